@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,11 +51,12 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def ordered(df: DataFrame, keys: list[str], name: str, partitions: int | None = None) -> DataFrame:
+def ordered(df: DataFrame, keys: list[str], name: str, partitions: int | None = None, then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Range-partition and sort df by keys, as a staged table with the position of each row.
 
     The table gets the columns _part and _pos (the row's place in its part). keys should end in
-    columns that tell rows apart, so that no key is too heavy for a part.
+    columns that tell rows apart, so that no key is too heavy for a part. then may add columns that depend
+    on the order of rows in a part.
     """
     n = partitions or shuffle_partitions(df.sparkSession)
     placed = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
@@ -61,7 +64,7 @@ def ordered(df: DataFrame, keys: list[str], name: str, partitions: int | None =
     placed = placed.withColumn("_at", at)
     placed = placed.withColumn("_part", F.shiftright("_at", 33).cast("int"))
     placed = placed.withColumn("_pos", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at")
-    return stage(placed, name)
+    return stage(then(placed) if then else placed, name)
 
 
 def with_bases(placed: DataFrame, amount: Column, to: str) -> tuple[DataFrame, int]:

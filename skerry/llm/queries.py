@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .mpegts import read_media, store_media
+from .packing import pack_along_curve
 from .sharding import hilbert_shards
 from .urlfilter import judge_urls
 from .warc import read_archives, write_archives
@@ -28,6 +29,13 @@ def op3_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = pack_along_curve(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = read_media(store_media(table(spark, sf_dir, "documents")))
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
@@ -37,5 +45,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_seekable": op1_warc_seekable,
     "op2_redirect_equivalence": op2_redirect_equivalence,
     "op3_hilbert_sharding": op3_hilbert_sharding,
+    "op4_curve_packing": op4_curve_packing,
     "op10_transport_stream": op10_transport_stream,
 }
