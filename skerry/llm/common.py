@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+PACKAGE = Path(__file__).resolve().parents[1]
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: spark.checkpoint.dir, or an own one where it is unset."""
@@ -20,6 +24,19 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors once, for operators with Python functions."""
+    context = spark.sparkContext
+    if getattr(context, "_skerry_shipped", None):
+        return
+    target = f"{tempfile.mkdtemp(prefix='skerry-')}/skerry.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for file in sorted(PACKAGE.rglob("*.py")):
+            z.write(file, file.relative_to(PACKAGE.parent))
+    context.addPyFile(target)
+    context._skerry_shipped = True
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"

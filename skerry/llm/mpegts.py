@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
+
 # fixed values of the transport stream format
 SYNC, PACKET, BODY = 0x47, 188, 184
 PAT_PID, PMT_PID, DATA_PID = 0x0000, 0x1000, 0x0100
@@ -184,6 +186,7 @@ def store_media(docs: DataFrame) -> DataFrame:
     Null and empty texts give 576 bytes of value 255. Each row is stored by itself: repeated rows and null ids stay as they are,
     and other columns are not looked at. Equal texts give equal streams. An empty table gives an empty one.
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8").alias("data"))
     return rows.mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
@@ -209,4 +212,5 @@ def read_media(stored: DataFrame) -> DataFrame:
 
     A damaged stream raises; that is a fault of the storage and not a property of the text.
     """
+    ship(stored.sparkSession)
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(_features, FEATURES)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ordered, stage, with_bases
+from .common import ordered, ship, stage, with_bases
 from .hilbert import hilbert_index
 
 DIMS, BITS = 3, 10
@@ -151,6 +151,7 @@ def pack_along_curve(docs: DataFrame, tokenizer: str, length: int = 2048, end_id
     are ordered by a hash. Other columns are not looked at. An empty table gives no pieces. The order needs a shuffle of thin
     rows only; ids are shuffled once, to meet their places.
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     fields = ", ".join(f"x{i} int" for i in range(DIMS))
     ids = rows.mapInArrow(lambda batches: _vectors(tokenizer, end_id, batches), f"doc_id long, doc_tokens long, ids binary, {fields}")

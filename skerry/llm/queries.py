@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontam import contaminated
 from .mpegts import read_media, store_media
 from .packing import pack_along_curve
 from .sharding import hilbert_shards
+from .toxicity import in_fold, toxicity
 from .urlfilter import judge_urls
 from .warc import read_archives, write_archives
 
@@ -36,6 +38,15 @@ def op4_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op8_class_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", (in_fold() == 0).alias("held_out"), "score", "predicted")
+
+
+def op9_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = read_media(store_media(table(spark, sf_dir, "documents")))
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
@@ -46,5 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_redirect_equivalence": op2_redirect_equivalence,
     "op3_hilbert_sharding": op3_hilbert_sharding,
     "op4_curve_packing": op4_curve_packing,
+    "op8_class_kneser_ney": op8_class_kneser_ney,
+    "op9_simhash_windows": op9_simhash_windows,
     "op10_transport_stream": op10_transport_stream,
 }

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, stage
+from .common import new_path, ship, stage
 
 # fixed values: the seekable format's numbers
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -176,6 +176,7 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     payload; a null page_id is never referred to, and stays a response where no other page has the payload; a null url is left out of the
     header. Other columns are not looked at. An empty table gives an empty index. A frame holds whole records, 256 KiB or one record.
     """
+    ship(pages.sparkSession)
     spark = pages.sparkSession
     folder = folder or new_path(spark, "warc")
     html = F.coalesce(F.col("html"), F.lit(""))
@@ -224,5 +225,6 @@ def read_archives(index: DataFrame, payloads: bool = True) -> DataFrame:
 
     payloads=False leaves the payload column null after checking it.
     """
+    ship(index.sparkSession)
     asked = index.repartition("bundle", F.floor(F.col("frame") / 16)).sortWithinPartitions("bundle", "frame", "offset")
     return asked.mapInArrow(lambda batches: _read_part(batches, payloads), RECORDS)
