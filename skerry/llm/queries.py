@@ -11,6 +11,7 @@ from .common import table
 from .decontam import contaminated
 from .mpegts import read_media, store_media
 from .packing import pack_along_curve
+from .pii import KINDS, find_pii, spans_text
 from .sharding import hilbert_shards
 from .toxicity import in_fold, toxicity
 from .urlfilter import judge_urls
@@ -38,6 +39,12 @@ def op4_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op7_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_pii(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    return out.select("doc_id", *counts, F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+
+
 def op8_class_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", (in_fold() == 0).alias("held_out"), "score", "predicted")
@@ -57,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_redirect_equivalence": op2_redirect_equivalence,
     "op3_hilbert_sharding": op3_hilbert_sharding,
     "op4_curve_packing": op4_curve_packing,
+    "op7_bootstrapped_pii": op7_bootstrapped_pii,
     "op8_class_kneser_ney": op8_class_kneser_ney,
     "op9_simhash_windows": op9_simhash_windows,
     "op10_transport_stream": op10_transport_stream,
