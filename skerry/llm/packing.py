@@ -13,6 +13,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,16 +23,20 @@ from .hilbert import hilbert_index
 DIMS, BITS = 3, 10
 HASHED = 1024
 SEED = 7
-MEMO = 1_000_000
+MEMO = 400_000
 MEMO_CHARS = 64
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
+
+
+LATIN = "\u0250"
 
 
 class ChunkTokenizer:
     """Token ids of whole texts, as little-endian bytes of unsigned numbers.
 
-    The vocabulary's tokens never span white space, so a text's ids are those of its chunks between
-    ASCII white space; ids of short chunks are remembered, up to a bound.
+    The vocabulary lower-cases, and its tokens never span white space or pass from letters to signs, so a text's ids are those of
+    its chunks between ASCII white space, and a chunk's those of its letters and of the signs behind them. Ids of
+    short pieces are remembered in two generations of bounded size.
     """
 
     def __init__(self, path: str):
@@ -39,38 +44,74 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo: dict[str, bytes] = {"": b""}
+        ids = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in "~^`=<>"}
+        self.sign, self.sign_id = next((c, i[0]) for c, i in ids.items() if len(i) == 1)
+        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, chunks: list[str]) -> list[bytes]:
-        """Ids of many chunks by one call; each is looked at by itself."""
-        e = self.tokenizer.encode(chunks, is_pretokenized=True, add_special_tokens=False)
-        ids = np.asarray(e.ids, self.kind)
-        of = np.array([-1 if w is None else w for w in e.word_ids], np.int64)
-        ends = np.searchsorted(of, np.arange(len(chunks) + 1))
-        return [ids[a:b].tobytes() for a, b in zip(ends, ends[1:])]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-            memo[""] = b""
-        split = []
-        for text in texts:
-            for space in "\n\t\r\v\f":
-                text = text.replace(space, " ")
-            split.append(text.split(" "))
-        missing = list({c for chunks in split for c in chunks if c not in memo})
-        found = {}
+        """Ids of many chunks by one call, with a sign between them that has one id; chunks that hold it are encoded by themselves."""
+        together = [c for c in chunks if self.sign not in c]
+        text = f" {self.sign} ".join(together)
+        ids = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+        ends = np.flatnonzero(ids == self.sign_id).tolist()
+        found = dict(zip(together, [ids[a:b].tobytes() for a, b in zip([0, *[e + 1 for e in ends]], [*ends, len(ids)])]))
+        if len(ends) != max(len(together) - 1, 0):
+            raise ValueError("the vocabulary doesn't keep signs apart")
+        for c in chunks:
+            if c not in found:
+                found[c] = np.asarray(self.tokenizer.encode(c, add_special_tokens=False).ids, self.kind).tobytes()
+        return [found[c] for c in chunks]
+
+    @staticmethod
+    def cut(chunk: str) -> tuple[str, str]:
+        """Letters and the signs behind them; other chunks stay whole. Only Latin letters, whose lower case and normal form are plain."""
+        core = chunk.rstrip(".,;:!?|%&*$#")
+        if core.isalpha() and max(core) < LATIN:
+            return core.lower(), chunk[len(core) :]
+        return chunk, ""
+
+    def learn(self, chunks: list[str]) -> list[bytes]:
+        """Ids of different chunks, remembered or not."""
+        if len(self.pieces) > MEMO:
+            self.pieces, self.older = {}, self.pieces
+        if len(self.chunks) > MEMO:
+            self.chunks = {}
+        memo, pieces, older = self.chunks, self.pieces, self.older
+        out = list(map(memo.get, chunks))
+        new = [i for i, ids in enumerate(out) if ids is None]
+        cut = [self.cut(chunks[i]) for i in new]
+        missing, large = [], {"": b""}
+        for p in {p for pair in cut for p in pair if p and p not in pieces}:
+            if p in older:
+                pieces[p] = older[p]
+            else:
+                missing.append(p)
         for at in range(0, len(missing), 20_000):
             part = missing[at : at + 20_000]
-            found.update(zip(part, self.encode(part)))
-        memo.update(found)
-        out = [b"".join([memo[c] for c in chunks]) for chunks in split]
-        for c in found:
-            if len(c) > MEMO_CHARS:
-                del memo[c]
+            for p, ids in zip(part, self.encode(part)):
+                (pieces if len(p) <= MEMO_CHARS else large)[p] = ids
+        for i, (a, b) in zip(new, cut):
+            out[i] = (pieces[a] if a in pieces else large[a]) + (pieces[b] if b in pieces else large[b])
+            if len(chunks[i]) <= MEMO_CHARS:
+                memo[chunks[i]] = out[i]
         return out
 
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids one after another, and the number of each text's. Null texts have none."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = lists.flatten().dictionary_encode()
+        known = self.learn(words.dictionary.to_pylist())
+        pool = np.frombuffer(b"".join(known), self.kind)
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // self.kind.itemsize
+        at = words.indices.to_numpy()
+        each = sizes[at]
+        before = np.concatenate([[0], np.cumsum(each)])
+        ids = pool[np.repeat((np.cumsum(sizes) - sizes)[at] - before[:-1], each) + np.arange(before[-1])]
+        edges = lists.offsets.to_numpy()
+        return ids, np.diff(before[edges - edges[0]])
+
 
 @cache
 def tokenizer_at(path: str) -> ChunkTokenizer:
@@ -91,28 +132,34 @@ def projection(size: int) -> np.ndarray:
 def _vectors(path: str, end_id: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tok = tokenizer_at(path)
     table = projection(max(tok.tokenizer.get_vocab_size(), end_id + 1))
-    end = np.asarray([end_id], tok.kind).tobytes()
     schema = pa.schema([("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()), *[(f"x{i}", pa.int32()) for i in range(DIMS)]])
 
-    def pack(doc_ids: list, ids: list[bytes]) -> pa.RecordBatch:
-        sizes = np.array([len(b) // tok.kind.itemsize for b in ids])
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        sums = np.add.reduceat(table[np.frombuffer(b"".join(ids), tok.kind)], starts, axis=0)
+    def pack(part: pa.RecordBatch) -> pa.RecordBatch:
+        ids, sizes = tok.ids(part.column(1))
+        ids = np.insert(ids, np.cumsum(sizes), end_id)
+        sizes = sizes + 1
+        starts = np.cumsum(sizes) - sizes
+        sums = np.add.reduceat(table[ids], starts, axis=0)
         place = 1 / (1 + np.exp(-6 * sums / sizes[:, None]))
         cells = np.minimum((place * (1 << BITS)).astype(np.int32), (1 << BITS) - 1)
-        return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), *[pa.array(cells[:, i]) for i in range(DIMS)]], schema=schema)
+        edges = np.concatenate([starts, [len(ids)]]).astype(np.int32) * tok.kind.itemsize
+        packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(ids, tok.kind))])
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), packed, *[pa.array(cells[:, i]) for i in range(DIMS)]], schema=schema)
 
-    doc_ids, texts, held = [], [], 0
     for batch in batches:
-        for d, t in zip(batch.column(0), batch.column(1)):
-            doc_ids.append(d.as_py())
-            texts.append(t.as_py() or "")
-            held += len(texts[-1])
-            if held >= BATCH_BYTES:
-                yield pack(doc_ids, [b + end for b in tok.ids(texts)])
-                doc_ids, texts, held = [], [], 0
-    if texts:
-        yield pack(doc_ids, [b + end for b in tok.ids(texts)])
+        for part in parts_of(batch, BATCH_BYTES):
+            yield pack(part)
+
+
+def parts_of(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch (key, text) with so many bytes of text, or one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy())
+    at = 0
+    while at < batch.num_rows:
+        base = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def _running(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,17 +174,20 @@ def _running(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pieces(length: int, kind: str, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "curve", "ids"]
-    types = [pa.int64()] * 8 + [pa.list_(pa.int64())]
-    for batch in batches:
-        rows = []
+    types = [pa.int64()] * 8 + [pa.binary()]
+
+    def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
         for doc_id, ids, at, curve in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "ids", "at", "curve")]):
             tokens = np.frombuffer(ids, kind).astype("<u4")
-            start = 0
-            while start < len(tokens):
+            start, total = 0, len(tokens)
+            while start < total:
                 sequence, offset = divmod(at + start, length)
-                piece = tokens[start : start + length - offset]
-                rows.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(tokens), sequence, offset, curve, piece))
-                start += len(piece)
+                piece = tokens[start : start + length - offset].tobytes()
+                yield doc_id, start, len(piece) // 4, zlib.crc32(piece), total, sequence, offset, curve, piece
+                start += len(piece) // 4
+
+    for batch in batches:
+        rows = list(rows_of(batch))
         for a in range(0, len(rows), 2000):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 2000]), types)], names=names)
 
@@ -146,7 +196,7 @@ def pack_along_curve(docs: DataFrame, tokenizer: str, length: int = 2048, end_id
     """Pack documents (doc_id, text) into sequences of so many tokens; tokenizer is the path of a word-bounded vocabulary.
 
     Returns a row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, curve (the Hilbert index) and ids
-    (the piece's tokens). Every document ends in end_id, so empty and null texts are one token. Sequences are full, but for the last,
+    (the piece's tokens as little-endian unsigned 32-bit numbers). Every document ends in end_id, so empty and null texts are one token. Sequences are full, but for the last,
     which is padded by whoever writes it. Null ids and repeated rows are documents like others; ties on the curve
     are ordered by a hash. Other columns are not looked at. An empty table gives no pieces. The order needs a shuffle of thin
     rows only; ids are shuffled once, to meet their places.
@@ -165,5 +215,5 @@ def pack_along_curve(docs: DataFrame, tokenizer: str, length: int = 2048, end_id
     kind = ChunkTokenizer(tokenizer).kind.str
     return laid.mapInArrow(
         lambda batches: _pieces(length, kind, batches),
-        "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve long, ids array<long>",
+        "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve long, ids binary",
     )
