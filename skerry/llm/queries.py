@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontam import contaminated
 from .mpegts import read_media, store_media
+from .ngram_join import near_duplicates
 from .packing import pack_along_curve
 from .pii import KINDS, find_pii, spans_text
 from .sharding import hilbert_shards
@@ -39,6 +40,10 @@ def op4_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op5_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_pii(table(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_redirect_equivalence": op2_redirect_equivalence,
     "op3_hilbert_sharding": op3_hilbert_sharding,
     "op4_curve_packing": op4_curve_packing,
+    "op5_adaptive_prefix_join": op5_adaptive_prefix_join,
     "op7_bootstrapped_pii": op7_bootstrapped_pii,
     "op8_class_kneser_ney": op8_class_kneser_ney,
     "op9_simhash_windows": op9_simhash_windows,
