@@ -97,3 +97,11 @@ def with_bases(placed: DataFrame, amount: Column, to: str) -> tuple[DataFrame, i
         total += amount_in_part
     bases = spark.createDataFrame(rows, f"_part int, {to} long")
     return placed.join(F.broadcast(bases), "_part"), total
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete a staged table that nothing will read any more."""
+    context = df.sparkSession.sparkContext
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

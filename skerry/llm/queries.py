@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontam import contaminated
+from .hpylm import PitmanYorModel, score_texts
 from .mpegts import read_media, store_media
 from .ngram_join import near_duplicates
 from .packing import pack_along_curve
@@ -44,6 +45,14 @@ def op5_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_hierarchical_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = in_fold(folds=7) == 2
+    model = PitmanYorModel(docs.where(~held_out))
+    out = score_texts(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op7_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_pii(table(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
@@ -70,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_hilbert_sharding": op3_hilbert_sharding,
     "op4_curve_packing": op4_curve_packing,
     "op5_adaptive_prefix_join": op5_adaptive_prefix_join,
+    "op6_hierarchical_pitman_yor": op6_hierarchical_pitman_yor,
     "op7_bootstrapped_pii": op7_bootstrapped_pii,
     "op8_class_kneser_ney": op8_class_kneser_ney,
     "op9_simhash_windows": op9_simhash_windows,
