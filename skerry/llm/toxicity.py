@@ -135,7 +135,7 @@ class WordModel:
         backoff = (1 - UNSEEN) * self.shared.at(codes) / max(self.shared.values.sum(), 1.0)
         new = np.flatnonzero(backoff == 0)
         if len(new):
-            backoff[new] = UNSEEN * np.exp(self.letters.log_probability([types[i] for i in new]))
+            backoff[new] = UNSEEN * np.exp(np.maximum(self.letters.log_probability([types[i] for i in new]), -600))  # very long words have no chance under either
         kept = np.maximum(c - steps[np.minimum(c, 3).astype(int)], 0) / n
         return np.log(kept + freed * backoff)
 
