@@ -11,6 +11,7 @@ from .operators import boards as BO
 from .operators import evaluate as E
 from .operators import flow
 from .operators import history as H
+from .operators import scoring
 from .operators import pattern as P
 from .sources import bindings as D
 from .sources.bindings import table
@@ -268,3 +269,21 @@ def pattern_search_topk(spark, d):
 @query
 def pattern_dtw(spark, d):
     return P.search(B.last_n(D.bars(spark, d), 60), QUERY, "dtw").select(*big("rank"), "code", day("end"), "similarity")
+
+
+@query
+def factor_theme_heat(spark, d):
+    t = BO.heat_trends(_heat(spark, d))
+    t = t.select("board", F.col("latest").alias("board_heat_score"), F.col("trend").alias("board_heat_trend_score"), F.col("observations").alias("board_heat_observations"), F.col("persistence").alias("board_heat_persistence_score"), F.col("cooling").alias("board_heat_cooling_score"))
+    boards = F.array(*[F.lit(x) for x in ("click", "view", "purchase", "signup", "none")])
+    s = D.snapshot(spark, d).withColumn("board", boards[(F.col("code") % 5).cast("int")])
+    return scoring.score(s.join(t, "board", "left")).select("code", "factor_theme_heat_score")
+
+
+@query
+def factor_topic_alignment(spark, d):
+    """Codes without a route, with one that names their industry, and with one that doesn't."""
+    kind = F.col("code") % 4
+    route = F.when(kind == 0, F.lit(None)).when(kind == 1, F.concat(F.regexp_replace("industry", " ", "_"), F.lit(":+1.20%:rank=3 | x"))).otherwise("elsewhere:+2%:rank=1")
+    s = D.snapshot(spark, d).withColumn("board_heat_summary", route).withColumn("industry", F.regexp_replace("industry", " ", "_")).withColumn("board_heat_score", F.lit(70.0))
+    return scoring.score(s).select("code", "factor_topic_alignment_score")

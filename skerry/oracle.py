@@ -104,14 +104,15 @@ FACTOR = {
 }
 
 
-def scored(source: str, weights: dict[str, float], extra: str = "") -> str:
-    """CTEs fac and ranked: rounded factors, screen_score and rank."""
+def scored(source: str, weights: dict[str, float], factors: dict[str, str] | None = None, tag: str = "") -> str:
+    """CTEs fac and ranked (with a tag): rounded factors, screen_score and rank."""
+    factors = FACTOR | (factors or {})
     total = sum(weights.values())
     by = " + ".join(f"f_{k} * {n(v / total)}" for k, v in weights.items())
     order = ", ".join(f"factor_{k}_score DESC NULLS LAST" for k, _ in sorted(weights.items(), key=lambda x: (-x[1], x[0])))
-    return f"""fac0 AS (SELECT *, {", ".join(f"{x} AS f_{k}" for k, x in FACTOR.items())} FROM {source}),
-fac AS (SELECT *, {r4(clip(by, 0, 100))} AS screen_score, {", ".join(f"{r4('f_' + k)} AS factor_{k}_score" for k in FACTOR)} FROM fac0),
-ranked AS (SELECT *, row_number() OVER (ORDER BY screen_score DESC NULLS LAST, {order}, code ASC) AS rank FROM fac)"""
+    return f"""fac0{tag} AS (SELECT *, {", ".join(f"{x} AS f_{k}" for k, x in factors.items())} FROM {source}),
+fac{tag} AS (SELECT *, {r4(clip(by, 0, 100))} AS screen_score, {", ".join(f"{r4('f_' + k)} AS factor_{k}_score" for k in factors)} FROM fac0{tag}),
+ranked{tag} AS (SELECT *, row_number() OVER (ORDER BY screen_score DESC NULLS LAST, {order}, code ASC) AS rank FROM fac{tag})"""
 
 
 DEFAULT = {"value": 0.25, "liquidity": 0.125, "stability": 0.125, "momentum": 0.275, "activity": 0.225}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracle import BARS, DEFAULT, FLOW, MA, MEMBERS, QUOTES, SNAP, SQL, W, frame, r4, rank, scored  # noqa: F401
+from .oracle import BARS, C, CHANGE60, DEFAULT, DIVERGE, FACTOR, FLOW, INPUTS, KDJ, MA, MACD, MEMBERS, QUOTES, RSI, SIGNAL, SNAP, SQL, STREAK, TR, V, W, above, clip, frame, n, r4, scored
 
 BOARDS = f"""{MEMBERS}, boards AS (SELECT code, 'industry' AS board_type, industry AS board FROM members WHERE industry IS NOT NULL
   UNION SELECT code, 'concept', trim(unnest(string_split(concepts, ','))) FROM members WHERE concepts <> '')"""
@@ -79,3 +79,47 @@ SELECT source, run_count, {r4('e')} AS error_rate, {r4('d')} AS degradation_rate
         "pattern_pearson": f"WITH {VECS}, u AS (SELECT vec_id, unnest(x) AS a, unnest(y) AS b FROM v) SELECT vec_id, {r6('corr(a, b)')} AS pearson FROM u GROUP BY 1",
     }
 )
+
+
+C60 = "coalesce(change_60d, 0)"
+DAY = clip(f"60 + {C} * 5 - {above(C, 5)} * 10 - {above(f'-{C}', 2)} * 3", 5, 100)
+TREND = clip(f"55 + {C60} * {n(.9)} - {above(C60, 45)} * {n(.8)} - {above(f'-{C60}', 20)} * {n(.7)}", 5, 100)
+DAILY = {
+    "momentum": clip(f"((50 * {n(.35)} + {DAY} * {n(.65)}) * {n(.6)} + {TREND} * {n(.4)}) * {n(.7)} + {clip('coalesce(signal_score, 50)', 0, 100)} * {n(.3)} + CASE macd_status WHEN 'bullish' THEN 6 WHEN 'bearish' THEN -8 ELSE 0 END", 5, 100),
+    "reversal": clip(f"100 - abs({C} + 3) * 13 - {above(f'-{C}', 8)} * 10 - {above(C, 1)} * 8 + CASE rsi_status WHEN 'oversold' THEN 10 WHEN 'overbought' THEN -14 ELSE 0 END - {above(C60, 35)} * {n(.5)} - {above(f'-{C60}', 35)} * {n(.8)}", 5, 100),
+    "stability": clip(
+        f"78 - least(abs({C}), 10) * 3 - {above(C, 7)} * 5 - {above(TR, 10)} * 2 - {above(V, 5)} * 4 - CASE WHEN pe_ratio <= 0 THEN 18 ELSE 0 END + (coalesce(signal_score, 50) - 50) * {n(.12)}"
+        f" - coalesce(CASE WHEN vol IS NOT NULL THEN {above('vol', 45)} END, 0) * {n(.45)} - coalesce({above('-dd', 12)}, 0) * {n(1.2)} - coalesce(CASE WHEN atr IS NOT NULL THEN {above('atr', 6)} END, 0) * 2 - {above('-quality', -80)} * {n(.35)}",
+        0,
+        100,
+    ),
+}
+WITH_FLOW = DAILY | {"activity": clip(f"CASE WHEN main_net_inflow_5d IS NOT NULL THEN ({FACTOR['activity']}) * {n(.6)} + {clip('50 + greatest(-500, least(500, main_net_inflow_5d)) / 20 + greatest(0, least(10, coalesce(main_inflow_streak, 0))) * 2', 5, 100)} * {n(.4)} ELSE {FACTOR['activity']} END", 0, 100)}
+
+
+def last_of(name: str, columns: str, source: str = "bars") -> str:
+    return f"{name} AS (SELECT code, {columns} FROM {source} QUALIFY row_number() OVER (PARTITION BY code ORDER BY date DESC) = 1)"
+
+
+FEATURES = f"""{INPUTS}, {MACD}, {KDJ}, {MA}, {CHANGE60}, {RSI}, {SIGNAL},
+moves AS (SELECT *, close / lag(close) OVER ({W}) - 1 AS r, greatest(high - low, abs(high - lag(close) OVER ({W})), abs(low - lag(close) OVER ({W}))) AS tr, list(close) OVER {frame(20)} AS cs FROM bars),
+{last_of('lastmove', f"{r4(f'CASE WHEN count(r) OVER {frame(19)} >= 2 THEN stddev_samp(r) OVER {frame(19)} * sqrt(252::DOUBLE) * 100 END')} AS vol, {r4(f'avg(tr) OVER {frame(20)} / close * 100')} AS atr, {r4('least(0, list_min(list_transform(range(1, len(cs) + 1), lambda i: cs[i] / list_max(cs[1:i]) - 1))) * 100')} AS dd", 'moves')},
+qual AS (SELECT code, 100 - CASE WHEN count(*) < 30 THEN 35 WHEN count(*) < 60 THEN 15 ELSE 0 END AS quality FROM bars GROUP BY code),
+feats AS (SELECT * FROM sig JOIN kdj USING (code) JOIN lastmove USING (code) JOIN qual USING (code))"""
+WEIGHTS_D = {"momentum": 0.32, "stability": 0.22, "activity": 0.18, "liquidity": 0.28}
+WEIGHTS_F = {"reversal": 0.3, "momentum": 0.25, "activity": 0.25, "stability": 0.2}
+PASS_D = "signal_score >= 40 AND kdj_j <= 90 AND atr <= 200"
+SQL.update(
+    {
+        "screen_daily": f"WITH {SNAP}, {FEATURES}, pool AS (SELECT * FROM snap JOIN feats USING (code) WHERE {PASS_D}), {scored('pool', WEIGHTS_D, DAILY)} SELECT rank, code, screen_score, signal_score, kdj_j FROM ranked WHERE rank <= 15",
+        "screen_daily_flow": f"""WITH {SNAP}, {FEATURES}, {FLOW}, {STREAK}, {DIVERGE}, {last_of('lf', 'main_net_inflow_5d, main_inflow_streak, price_up_flow_out', 'diverge')}, pool AS (SELECT * FROM snap JOIN feats USING (code) JOIN lf USING (code) WHERE kdj_j <= 95 AND main_net_inflow_5d >= 0 AND NOT price_up_flow_out), {scored('pool', WEIGHTS_F, WITH_FLOW)}
+SELECT rank, code, screen_score, {r4('main_net_inflow_5d')} AS main_net_inflow_5d FROM ranked WHERE rank <= 15""",
+        "screen_top_n_vs_full_pool": f"""WITH {SNAP}, {FEATURES}, {scored('snap', WEIGHTS_D, None, '_p')}, few AS (SELECT snap.* FROM snap JOIN ranked_p USING (code) WHERE rank <= 30), pool_a AS (SELECT * FROM few JOIN feats USING (code) WHERE {PASS_D}), pool_b AS (SELECT * FROM snap JOIN feats USING (code) WHERE {PASS_D}),
+{scored('pool_a', WEIGHTS_D, DAILY, '_a')}, {scored('pool_b', WEIGHTS_D, DAILY, '_b')}, a AS (SELECT code FROM ranked_a WHERE rank <= 15), b AS (SELECT code FROM ranked_b WHERE rank <= 15)
+SELECT coalesce(a.code, b.code) AS code, (a.code IS NOT NULL)::BIGINT AS pruned, (b.code IS NOT NULL)::BIGINT AS whole FROM a FULL JOIN b ON a.code = b.code""",
+        "factor_theme_heat": f"""WITH {SNAP}, {HEAT}, x AS (SELECT code, coalesce(latest, 50) AS s, coalesce(trend, 0) AS t, coalesce(observations, 0) AS o, coalesce(persistence, 0) AS p, coalesce(cooling, 0) AS c FROM snap LEFT JOIN trends ON trends.board = ['click', 'view', 'purchase', 'signup', 'none'][code % 5 + 1]),
+y AS (SELECT code, s + CASE WHEN o >= 2 THEN least(greatest(t, 0) * {n(.8)}, 10) - least(greatest(-t, 0) * {n(.8)}, 12) ELSE 0 END + least(greatest(p - 60, 0) * {n(.08)}, 6) - least(c * {n(.6)}, 10) AS v FROM x)
+SELECT code, {r4(clip(f"v - {above('v', 88)} * {n(.5)}", 0, 100))} AS factor_theme_heat_score FROM y""",
+        "factor_topic_alignment": f"""WITH {SNAP} SELECT code, CASE WHEN code % 4 = 0 THEN 50 WHEN code % 4 = 1 THEN 50 + 25 + 5 ELSE 50 - 12 END::DOUBLE AS factor_topic_alignment_score FROM snap""",
+    }
+)
