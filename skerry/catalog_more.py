@@ -287,3 +287,10 @@ def factor_topic_alignment(spark, d):
     route = F.when(kind == 0, F.lit(None)).when(kind == 1, F.concat(F.regexp_replace("industry", " ", "_"), F.lit(":+1.20%:rank=3 | x"))).otherwise("elsewhere:+2%:rank=1")
     s = D.snapshot(spark, d).withColumn("board_heat_summary", route).withColumn("industry", F.regexp_replace("industry", " ", "_")).withColumn("board_heat_score", F.lit(70.0))
     return scoring.score(s).select("code", "factor_topic_alignment_score")
+
+
+@query
+def topic_resolution(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_name").alias("topic"), F.array(F.concat(F.lit("the "), F.col("n_name"))).alias("aliases"), F.col("n_nationkey").cast("double").alias("heat"))
+    asked = spark.createDataFrame([("nation 1 板块",), ("NATION_12",), ("nati",), ("tonian",), ("",)], "query string")
+    return BO.resolve_topics(asked, n).select("query", *big("rank"), "topic", "confidence", "canonical")

@@ -64,16 +64,26 @@ def topic_tokens(c: Column) -> Column:
     return F.array_distinct(F.filter(parts, lambda x: ~F.lower(x).isin("rank", *NULL_WORDS)))
 
 
+# fixed values: words that say nothing about a topic
+TOPIC_STOPS = ("概念", "板块", "行业", "产业", "主题", "指数")
+
+
+def topic_key(c: Column) -> Column:
+    """A topic's key: lower case, letters and digits only, without words that say nothing (STR-07)."""
+    x = F.regexp_replace(F.lower(safe_text(c)), "人工智能", "ai")
+    return F.regexp_replace(F.regexp_replace(x, "|".join(TOPIC_STOPS), ""), r"[^\p{L}\p{N}]", "")
+
+
 def match_score(query: Column, alias: Column) -> Column:
-    """Similarity of two topic keys by containment, else by their characters (STR-08)."""
+    """Similarity of two topic keys: equal, one within the other, or by their sets of characters (STR-08)."""
     a, b = F.length(alias), F.length(query)
     qs, al = F.array_distinct(F.split(query, "")), F.array_distinct(F.split(alias, ""))
     overlap = F.size(F.array_intersect(qs, al)) / F.size(F.array_union(qs, al))
     return (
         F.when((query == "") | (alias == ""), 0.0)
         .when(query == alias, 1.0)
-        .when(F.instr(query, alias) > 0, 0.82 + 0.10 * F.least(a, b) / F.greatest(a, b) * 0.8)
-        .when(F.instr(alias, query) > 0, 0.78 + 0.10 * F.least(a, b) / F.greatest(a, b))
+        .when((a >= 2) & (F.instr(query, alias) > 0), 0.82 + 0.08 * a / b)
+        .when((b >= 2) & (F.instr(alias, query) > 0), 0.78 + 0.10 * b / a)
         .when(overlap >= 0.45, 0.42 + 0.28 * overlap)
         .otherwise(0.0)
     )

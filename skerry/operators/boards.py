@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.num import clip, rounded
-from ..functions.text import labels
+from ..functions.text import labels, match_score, topic_key
 
 
 def membership(m: DataFrame) -> DataFrame:
@@ -100,3 +100,18 @@ def timeline_route(events: DataFrame) -> DataFrame:
     dedup = events.groupBy("topic", F.to_date("at").alias("day"), "source", "title").agg(F.max_by(F.struct("impact", "at", "codes"), "at").alias("e"))
     lead = F.max_by("title", F.struct("e.impact", "e.at", "source", "title"))
     return dedup.groupBy("topic", "day").agg(F.count(F.lit(1)).alias("events"), lead.alias("lead"), F.max("e.impact").alias("impact"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("e.codes")))), ",").alias("codes"))
+
+
+def resolve_topics(queries: DataFrame, candidates: DataFrame, top: int = 5, least: float = 0.3, sure: float = 0.55) -> DataFrame:
+    """The best candidates of each query (query) among topics (topic, aliases, heat), and which one it stands for (HOT-08).
+
+    Candidates' keys are matched where they are: queries are a handful of texts asked by a user, and are broadcast as such.
+    """
+    keyed = candidates.select("topic", "heat", F.explode(F.array_distinct(F.concat(F.array("topic"), "aliases"))).alias("alias")).withColumn("_k", topic_key(F.col("alias")))
+    asked = queries.select("query").distinct().withColumn("_q", topic_key(F.col("query")))
+    if asked.count() > 1000:
+        raise ValueError("resolve_topics is for at most 1000 queries at a time")
+    score = keyed.crossJoin(F.broadcast(asked)).withColumn("confidence", match_score(F.col("_q"), F.col("_k")))
+    best = score.groupBy("query", "topic").agg(rounded(F.max("confidence")).alias("confidence"), F.max("heat").alias("heat")).where(F.col("confidence") >= least)
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("confidence"), F.desc("heat"), F.desc("topic")))
+    return best.withColumn("rank", place).where(F.col("rank") <= top).withColumn("canonical", (F.col("rank") == 1) & (F.col("confidence") >= sure))
