@@ -37,6 +37,17 @@ def ship(spark: SparkSession) -> None:
     context._skerry_shipped = True
 
 
+_caches: dict[str, dict] = {}
+
+
+def process_cache(owner: str) -> dict:
+    """What a worker process remembers for one operator; another operator's task drops it, so that caches don't add up."""
+    if owner not in _caches:
+        _caches.clear()
+        _caches[owner] = {}
+    return _caches[owner]
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"

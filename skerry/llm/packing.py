@@ -17,13 +17,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ordered, ship, stage, with_bases
+from .common import ordered, process_cache, ship, stage, with_bases
 from .hilbert import hilbert_index
 
 DIMS, BITS = 3, 10
 HASHED = 1024
 SEED = 7
-MEMO = 400_000
+MEMO = 300_000
 MEMO_CHARS = 64
 BATCH_BYTES = 8 << 20
 
@@ -113,10 +113,12 @@ class ChunkTokenizer:
         return ids, np.diff(before[edges - edges[0]])
 
 
-@cache
 def tokenizer_at(path: str) -> ChunkTokenizer:
     """One a worker process, so that what it remembers lasts over tasks."""
-    return ChunkTokenizer(path)
+    held = process_cache("tokenizer")
+    if path not in held:
+        held[path] = ChunkTokenizer(path)
+    return held[path]
 
 
 @cache

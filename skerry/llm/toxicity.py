@@ -10,17 +10,19 @@ suspicious stretch, calibrated by a logistic regression on labelled texts that t
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import process_cache, ship
 
 WORD = re.compile(r"[^\W_]+")
 ORDER, SHARED_ORDER = 4, 2
@@ -28,9 +30,10 @@ DISCOUNT = 0.75
 WORD_DISCOUNTS = (0.75, 1.3, 1.6)  # of words seen once, twice, and more often
 UNSEEN = 0.1
 SPAN = 3
-SAMPLE = 4000
+SAMPLE = 3000
 LIMIT, UNSEEN_LIMIT = 8.0, 1.5  # of a word's log ratio; the letters of an unseen word are weaker evidence
-MEMO = 1_000_000
+MEMO = 300_000
+PART_CHARS = 2_000_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -98,8 +101,7 @@ class LetterModel:
             before = np.concatenate([np.zeros(1, np.uint64), gram_codes(chars, order - 1)[:-1]])[full] if order > 1 else np.zeros(len(codes), np.uint64)
             model.grams.append(Counts.of(codes))
             model.totals.append(Counts.of(before))
-            pairs = np.unique(np.stack([before, codes]), axis=1)
-            model.kinds.append(Counts.of(pairs[0]))
+            model.kinds.append(Counts.of(before[np.unique(codes, return_index=True)[1]]))  # a code has one beginning
         return model
 
     def log_probability(self, types: list[str]) -> np.ndarray:
@@ -145,22 +147,27 @@ class ToxicityModel:
     toxic: WordModel
     ordinary: WordModel
     weights: np.ndarray | None = None
-    memo: dict = field(default_factory=dict)
 
-    def __getstate__(self):
-        return self.__dict__ | {"memo": {}}
+    @property
+    def memo(self) -> dict[str, float]:
+        """The log ratios of words that this process has met, for one model at a time."""
+        held = process_cache("toxicity")
+        if held.get("model") is not self:
+            held.update(model=self, ratios={})
+        return held["ratios"]
 
     def learn(self, types: set[str]) -> None:
-        new = [w for w in types if w not in self.memo]
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
+        memo = self.memo
+        new = [w for w in types if w not in memo]
+        if len(memo) + len(new) > MEMO:
+            memo.clear()
             new = list(types)
         for at in range(0, len(new), 50_000):
             part = new[at : at + 50_000]
             codes = np.array([word_code(w) for w in part], np.uint64)
             ratio = self.toxic.log_probability(part, codes) - self.ordinary.log_probability(part, codes)
             most = np.where(self.toxic.shared.at(codes) > 0, LIMIT, UNSEEN_LIMIT)
-            self.memo.update(zip(part, np.clip(ratio, -most, most).tolist()))
+            memo.update(zip(part, np.clip(ratio, -most, most).tolist()))
 
     def features(self, texts: list[str]) -> np.ndarray:
         """Per text: constant, mean log ratio, the best stretch's, the best word's."""
@@ -215,12 +222,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFram
 
 
 def _word_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(toxic, word before, word), different ones of some texts at a time."""
+    found: set[tuple[int, str, str]] = set()
+
+    def out() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int32(), pa.string(), pa.string()))], names=["toxic", "before", "word"])
+        found.clear()
+        return batch
+
     for batch in batches:
-        found: set[tuple[int, str, str]] = set()
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            ws = words(text)
+        for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist()):
+            ws = words(text.as_py())
             found.update((toxic, a, b) for a, b in zip(["", *ws], ws))
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int32(), pa.string(), pa.string()))], names=["toxic", "before", "word"])
+            if len(found) > 200_000:
+                yield out()
+    if found:
+        yield out()
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
@@ -231,15 +248,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> To
     ship(docs.sparkSession)
     rows = labelled_sample(docs, labels, sample)
     counted = rows.where("part = 0").select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_word_pairs, "toxic int, before string, word string").distinct()
-    table = counted.groupBy("toxic", "word").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values(["toxic", "word"])
-    shared = sorted(set(table["word"]))
-    by = {c: table[table["toxic"] == c] for c in (0, 1)}
-    if not all(len(by[c]) for c in by):
+    table = counted.groupBy("toxic", "word").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    table = table.sort_by([("toxic", "ascending"), ("word", "ascending")])
+    by = {c: table.filter(pc.equal(table["toxic"], c)) for c in (0, 1)}
+    if not all(by[c].num_rows for c in by):
         none = Counts(np.zeros(0, np.uint64), np.zeros(0))
         empty = WordModel(none, none, LetterModel())
         return ToxicityModel(empty, empty)
-    classes = Counts.of(np.array([word_code(w) for w in table["word"]], np.uint64))
-    models = [WordModel.fit(by[c]["word"].tolist(), by[c]["n"].to_numpy(float), shared, classes) for c in (0, 1)]
+    classes = Counts.of(np.array([word_code(w) for c in by for w in by[c]["word"].to_pylist()], np.uint64))
+    shared = pc.unique(table["word"]).to_pylist()
+    models = [WordModel.fit(by[c]["word"].to_pylist(), by[c]["n"].to_numpy().astype(float), shared, classes) for c in (0, 1)]
+    del table, by, shared, classes
+    gc.collect()
+    pa.default_memory_pool().release_unused()
     model = ToxicityModel(models[1], models[0])
     # where a table is so small that nothing is left to calibrate with, the counted texts serve
     schema = "toxic int, f0 double, f1 double, f2 double, f3 double"
@@ -247,9 +268,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> To
     sent = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            f = sent.value.features(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *[pa.array(f[:, i]) for i in range(4)]], names=["toxic", "f0", "f1", "f2", "f3"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 100):
+                batch = whole.slice(at, 100)
+                f = sent.value.features(batch.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column("toxic"), *[pa.array(f[:, i]) for i in range(4)]], names=["toxic", "f0", "f1", "f2", "f3"])
 
     held = rows.where("part = 1").select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(measure, schema).toPandas()
     if held["toxic"].nunique() < 2:
@@ -276,7 +299,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         for t in texts:
             part.append(t or "")
             held += len(part[-1])
-            if held > 8_000_000:
+            if held > PART_CHARS:
                 out.append(sent.value.score(part))
                 part, held = [], 0
         out.append(sent.value.score(part))
