@@ -24,7 +24,7 @@ from .shingles import shingle_sets
 
 MOST = 20
 LENGTHEN, EXTRA = 0.4, 60
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 BROADCAST_IDS = 500_000
 STARS = 2
 
