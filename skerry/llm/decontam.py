@@ -1,20 +1,19 @@
-"""Benchmark decontamination: SimHash of item-sized windows, found by multi-index Hamming blocks.
+"""Benchmark decontamination: item-sized windows, verified by exact weighted-shingle similarity.
 
-Every item-sized window of a document that shares any shingle with the item is fingerprinted (a window
-without one has similarity 0). Fingerprints are cut into one block more than the radius, so that any two within the
-radius agree in a block; candidates that do are verified by exact weighted-shingle similarity.
+Windows are laid where a shingle of a document meets one of an item (a window without one has similarity 0). A window as
+similar as asked holds at least that share of an item's shingles, so it holds one of the item's rarest few: windows meet
+items by those, which loses none, and all that meet are compared exactly. Their 64-bit SimHash distance is told and decides nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
 
 SHINGLE = 5
 SIMILARITY = 0.75
-RADIUS = 11
 BITS = 64
 BROADCAST_SHINGLES = 500_000
 
@@ -43,16 +42,6 @@ def simhash(words: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseOR(bit(b)))
 
 
-def block_values(fingerprint: Column, radius: int = RADIUS) -> Column:
-    """(number, value) of radius + 1 blocks that cover all bits."""
-    edges = [round(i * BITS / (radius + 1)) for i in range(radius + 2)]
-    cut = [
-        F.struct(F.lit(i).alias("block"), F.call_function("shiftrightunsigned", fingerprint, F.lit(a)).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("bigint")).alias("value"))
-        for i, (a, b) in enumerate(zip(edges, edges[1:]))
-    ]
-    return F.array(*cut)
-
-
 def weighted_similarity(a: Column, b: Column) -> Column:
     """Sum of the smaller over sum of the larger counts of all shingles of two lists of hashes."""
     count = lambda x, s: F.size(F.filter(x, lambda y: y == s))
@@ -60,7 +49,7 @@ def weighted_similarity(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Windows of docs (doc_id, text) that repeat an item of benchmark (item_id, text).
 
     Returns, for each document and item, doc_id, item_id, the best window's start (in words, from 0), words, distance
@@ -69,7 +58,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     looked at; empty tables give an empty result.
     """
     items = benchmark.select("item_id", words_of(F.col("text")).alias("w")).where(F.size("w") > 0).distinct()
-    items = stage(items.select("item_id", F.size("w").alias("m"), "w", shingles_of(F.col("w")).alias("sh"), simhash(F.col("w")).alias("fp")), "benchmark-items")
+    items = stage(items.select("item_id", F.size("w").alias("m"), "w", shingles_of(F.col("w")).alias("sh"), simhash(F.col("w")).alias("fp"), F.xxhash64("item_id", "w").alias("ik")), "benchmark-items")
     short = [r[0] for r in items.where(F.col("m") < SHINGLE).select("m").distinct().collect()]  # four lengths at most
     places = stage(items.select("m", F.posexplode("sh").alias("at", "h")).distinct(), "benchmark-shingles")
     n_places = places.count()
@@ -93,18 +82,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     windows = stage(windows.groupBy("doc_id", "k", "m", "start").agg(F.first("w").alias("w")), "windows")
     # equal windows are fingerprinted and compared once
     kinds = windows.select(F.xxhash64("w").alias("wk"), "w").groupBy("wk").agg(F.first("w").alias("w"))
-    kinds = stage(kinds.select("wk", shingles_of(F.col("w")).alias("wsh"), simhash(F.col("w")).alias("wfp")), "window-kinds")
-    left = kinds.select("wk", "wfp", F.explode(block_values(F.col("wfp"), radius)).alias("b")).select("wk", "wfp", "b.block", "b.value")
-    right = items.select("item_id", "m", "fp", F.explode(block_values(F.col("fp"), radius)).alias("b")).select("item_id", "m", "fp", "b.block", "b.value")
-    near = left.join(right, ["block", "value"]).withColumn("distance", F.bit_count(F.col("wfp").bitwiseXOR(F.col("fp"))).cast("int"))
-    near = near.where(F.col("distance") <= radius).select("wk", "item_id", "fp", "distance").distinct()
-    checked = near.join(kinds.select("wk", "wsh"), "wk").join(items.select("item_id", "fp", "sh"), [near["item_id"].eqNullSafe(items["item_id"]), near["fp"] == items["fp"]])
-    checked = checked.select("wk", near["item_id"], "distance", weighted_similarity(F.col("wsh"), F.col("sh")).alias("similarity")).where(F.col("similarity") >= similarity)
+    kinds = stage(kinds.select("wk", "w", shingles_of(F.col("w")).alias("wsh")), "window-kinds")
+    rare = rarest(items, similarity)
+    if n_places <= BROADCAST_SHINGLES:
+        rare = F.broadcast(rare)
+    near = kinds.select("wk", F.explode(F.array_distinct("wsh")).alias("h")).join(rare, "h").select("wk", "ik").distinct()
+    checked = near.join(kinds, "wk").join(items.select("ik", "item_id", "fp", "sh"), "ik")
+    checked = checked.withColumn("similarity", weighted_similarity(F.col("wsh"), F.col("sh"))).where(F.col("similarity") >= similarity)
+    checked = checked.select("wk", "item_id", F.bit_count(simhash(F.col("w")).bitwiseXOR(F.col("fp"))).cast("int").alias("distance"), "similarity")
     hits = windows.select("doc_id", "k", "start", "m", F.xxhash64("w").alias("wk")).join(checked, "wk")
     best = F.min_by(F.struct("start", F.col("m").alias("words"), "distance", "similarity"), F.struct(-F.col("similarity"), F.col("start"), F.col("m")))
     return hits.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.start", "b.words", "b.distance", "b.similarity")
 
 
+def rarest(items: DataFrame, similarity: float) -> DataFrame:
+    """(ik, h): of each item (ik, sh) so many shingles, those in the fewest items first, that no window of the similarity is without all of them."""
+    each = items.select("ik", F.size("sh").alias("n"), F.explode("sh").alias("h"))
+    common = each.groupBy("h").agg(F.count_distinct("ik").alias("items"))
+    place = F.row_number().over(Window.partitionBy("ik").orderBy("items", "h"))
+    spare = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9)
+    return each.join(common, "h").withColumn("place", place).where(F.col("place") <= spare + 1).select("ik", "h").distinct()
+
+
 def _grams(words: Column, size: int) -> Column:
     """Hashes of all runs of so many words, as an item of that size or more would have them."""
     if size < SHINGLE:

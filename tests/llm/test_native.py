@@ -192,3 +192,22 @@ def test_decontamination(spark, odd_docs, no_docs):
         module.BROADCAST_SHINGLES = few
     assert contaminated(no_docs, bench).count() == 0 and contaminated(frame, bench.where("false")).count() == 0
     assert contaminated(odd_docs, bench).count() == 0
+
+
+def test_decontamination_of_cut_passages(spark):
+    import random
+
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(900)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, " ".join(text(rng.randint(15, 59)))) for i in range(25)]
+    docs = []
+    for d in range(300):
+        own = items[d % 25][1].split()
+        n = rng.randint(1, max(1, len(own) // 6))
+        own = text(n) + own[n:] if d % 2 else own[:-n] + text(n)
+        docs.append((d, " ".join(text(20) + own + text(20))))
+    found = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): round(r.similarity, 6) for r in found.collect()}
+    wanted = leaks(docs, items)
+    assert wanted.items() <= got.items() and len(wanted) > 200
