@@ -190,12 +190,12 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-self.features(texts) @ self.weights))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-x @ w))
-        slope = x.T @ (y - p) - ridge * w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), slope)
+        slope = x.T @ (weight * (y - p)) - ridge * w
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), slope)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -208,17 +208,18 @@ def in_fold(doc_id: str = "doc_id", folds: int = 5):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """At most about so many texts of each class, chosen by a hash of the id, outside of fold 0: text, toxic, part."""
+    """At most about so many texts of each class, chosen by a hash of the id, outside of fold 0: text, toxic, part, weight (labels of the class for each chosen one)."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     known = known.where(in_fold() != 0)
     per_class = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    share = F.lit(0.0)
+    share, weight = F.lit(0.0), F.lit(1.0)
     for c, n in per_class.items():
         share = F.when(F.col("toxic") == c, F.lit(1e6 * sample / n)).otherwise(share)
-    chosen = known.where(place < share).withColumn("part", (F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(3)) == 0).cast("int"))
+        weight = F.when(F.col("toxic") == c, F.lit(max(1.0, n / sample))).otherwise(weight)
+    chosen = known.where(place < share).withColumn("part", (F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(3)) == 0).cast("int")).withColumn("weight", weight)
     # the sample is bounded by its parameter, and so is this broadcast
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic", "part")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic", "part", "weight")
 
 
 def _word_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +244,7 @@ def _word_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
     """Learn from at most about sample labelled texts of each class (a documented bound: the model is of a fixed size).
 
-    Two thirds of them give the counts, the rest calibrates. Without labels of both classes the model scores everything 0.
+    Two thirds of them give the counts, the rest calibrates, each class by the weight of all its labels. Without labels of both classes the model scores everything 0.
     """
     ship(docs.sparkSession)
     rows = labelled_sample(docs, labels, sample)
@@ -263,7 +264,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> To
     pa.default_memory_pool().release_unused()
     model = ToxicityModel(models[1], models[0])
     # where a table is so small that nothing is left to calibrate with, the counted texts serve
-    schema = "toxic int, f0 double, f1 double, f2 double, f3 double"
+    schema = "toxic int, weight double, f0 double, f1 double, f2 double, f3 double"
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
 
@@ -272,13 +273,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> To
             for at in range(0, whole.num_rows, 100):
                 batch = whole.slice(at, 100)
                 f = sent.value.features(batch.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column("toxic"), *[pa.array(f[:, i]) for i in range(4)]], names=["toxic", "f0", "f1", "f2", "f3"])
+                yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("weight"), *[pa.array(f[:, i]) for i in range(4)]], names=["toxic", "weight", "f0", "f1", "f2", "f3"])
 
-    held = rows.where("part = 1").select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(measure, schema).toPandas()
+    held = rows.where("part = 1").select("text", F.col("toxic").cast("int").alias("toxic"), "weight").mapInArrow(measure, schema).toPandas()
     if held["toxic"].nunique() < 2:
-        held = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(measure, schema).toPandas()
+        held = rows.select("text", F.col("toxic").cast("int").alias("toxic"), "weight").mapInArrow(measure, schema).toPandas()
     held = held.sort_values(held.columns.tolist())
-    model.weights = fit_logistic(held[["f0", "f1", "f2", "f3"]].to_numpy(), held["toxic"].to_numpy(float))
+    model.weights = fit_logistic(held[["f0", "f1", "f2", "f3"]].to_numpy(), held["toxic"].to_numpy(float), held["weight"].to_numpy())
     return model
 
 

@@ -333,3 +333,22 @@ def test_pipeline_stages(spark, tmp_path):
     assert {d for d in kept["toxicity"] if d < 300} == {d for d in range(300) if d % 10}
     assert kept["toxicity"] - kept["near_duplicates"] == {12} and kept["near_duplicates"] - kept["decontamination"] == {13}
     assert kept["packing"] == kept["pii"] == kept["decontamination"] and {400, 401} <= kept["packing"]
+
+
+def test_toxicity_decides_alike_beyond_the_sample(spark):
+    import random
+
+    rng = random.Random(3)
+    docs, labels = [], []
+    for d in range(1500):
+        toxic = int(d % 10 == 0)
+        mild = rng.random() < (0.5 if toxic else 0.25)
+        word = "mild" if mild else "vile" if toxic else "fine"
+        docs.append((d, " ".join([*(rng.choice(["one", "two", "three", "four"]) for _ in range(4)), word])))
+        labels.append((d, toxic))
+    frame, known = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    mild = [d for d, t in docs if t.endswith("mild")]
+    for sample in (10_000, 90):  # about 18 % of the mild texts are toxic, whatever the sample
+        out = {r.doc_id: r.predicted for r in toxicity(frame, known, sample).collect()}
+        assert sum(out[d] for d in mild) < len(mild) / 20
+        assert all(out[d] for d, t in docs if t.endswith("vile")) and not any(out[d] for d, t in docs if t.endswith("fine"))
