@@ -1,7 +1,7 @@
 """Personal data: fixed patterns, and bootstrapped contextual extraction on top of them.
 
 What the fixed patterns find are seed entities. The two words before an entity are a lexical pattern; patterns and the
-values they introduce form a graph that is scored iteratively. Values that only confident patterns
+values they introduce form a graph that is scored iteratively. Candidates are words and runs of digit groups. Values that only confident patterns
 introduce, and that have the shape of the pattern's kind, are further identifiers. All of it is DataFrame expressions.
 """
 
@@ -23,6 +23,9 @@ PATTERNS = {
 }
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+_GROUPS = r"[(+]*+[0-9]++(?:[().,:/+-]++[0-9]++)*+"
+RUN = rf"(?<!\S){_GROUPS}(?:\)?+[\x20-]++{_GROUPS})*+\)?+(?=[().,:;!?-]*+(?!\S))"
+ADDRESS = r"[0-9]+[^0-9a-z]+[0-9]+[^0-9a-z]+[0-9]+[^0-9a-z]+[0-9]+"
 LEFT = 64
 SPAN = "struct<start:int,kind:int,stop:int,context:string,value:string>"
 MIN_SUPPORT = 3
@@ -84,8 +87,12 @@ def base_spans(text: Column) -> Column:
 
 
 def candidate_spans(text: Column) -> Column:
-    """Other words that hold an at sign or six digits and could be identifiers."""
-    return located(text, CANDIDATE, r"@|[0-9]", lambda m: (F.length(digits_of(m)) >= 6) | m.rlike(r"\S@\S"), -1)
+    """Other words that hold an at sign, six digits or four numbers, and runs of digit groups that have the shape of a kind."""
+    words = located(text, CANDIDATE, r"@|[0-9]", lambda m: (F.length(digits_of(m)) >= 6) | m.rlike(r"\S@\S") | F.lower(m).rlike(ADDRESS), -1)
+    runs = located(text, RUN, r"[0-9]", lambda m: F.length(digits_of(m)).between(7, 19) | m.rlike(ADDRESS), -1)
+    # a word that is a run as well, but for punctuation after it, is a candidate once
+    alone = F.filter(words, lambda w: ~F.exists(runs, lambda r: (r["start"] == w["start"]) & (r["stop"] <= w["stop"])))
+    return F.concat(alone, runs)
 
 
 def shaped(kind: Column, value: Column) -> Column:
@@ -93,7 +100,7 @@ def shaped(kind: Column, value: Column) -> Column:
     n = F.length(digits_of(value))
     return (
         F.when(kind == 0, value.rlike(r"[a-z0-9]@[a-z0-9]"))
-        .when(kind == 1, value.rlike(r"[0-9]+[^0-9a-z]+[0-9]+[^0-9a-z]+[0-9]+[^0-9a-z]+[0-9]+"))
+        .when(kind == 1, value.rlike(ADDRESS))
         .when(kind == 2, n.between(12, 19) & ~value.rlike("[a-z]"))
         .otherwise(n.between(7, 15) & ~value.rlike("[a-z]"))
     )
@@ -141,7 +148,10 @@ def find_pii(docs: DataFrame, carry: bool = False) -> DataFrame:
     added = free.join(sure, "context").join(known, ["value", "kind"]).where(shaped(F.col("kind"), F.col("value")))
     # a span that patterns of several kinds introduce goes to the most confident
     best = added.groupBy("_uid", "start", "stop").agg(F.min_by("kind", F.struct(-F.col("confidence"), F.col("kind"))).alias("kind"))
-    more = best.groupBy("_uid").agg(F.collect_list(F.struct("start", "kind", "stop")).alias("_more"))
+    more = best.groupBy("_uid").agg(F.collect_list(F.struct("start", "kind", "stop")).alias("_all"))
+    # of a run and a word within it, the wider one stays
+    wider = lambda s: F.exists("_all", lambda o: (o["start"] <= s["start"]) & (o["stop"] >= s["stop"]) & (o["stop"] - o["start"] > s["stop"] - s["start"]))
+    more = more.select("_uid", F.filter("_all", lambda s: ~wider(s)).alias("_more"))
     bare = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop")))
     none = F.array().cast("array<struct<start:int,kind:int,stop:int>>")
     out = rows.join(more, "_uid", "left").withColumn("base", bare).withColumn("spans", F.array_sort(F.concat(F.col("base"), F.coalesce("_more", none))))

@@ -211,3 +211,12 @@ def test_decontamination_of_cut_passages(spark):
     got = {(r.doc_id, r.item_id): round(r.similarity, 6) for r in found.collect()}
     wanted = leaks(docs, items)
     assert wanted.items() <= got.items() and len(wanted) > 200
+
+
+def test_pii_bootstrap_of_digit_groups(spark):
+    card = lambda i: next(c for c in (f"41111111{i:04d}{k:04d}" for k in range(10)) if sum((y - 9 if y > 9 else y) for y in (int(c) * (1 + j % 2) for j, c in enumerate(c[::-1]))) % 10 == 0)
+    seeds = [t for i in range(20) for t in (f"please call +49 30 10{i:02d}555 today", f"my card {card(i)} ends", f"host at 10.0.0.{i} is up")]
+    new = ["please call 0171 555 1234 now", "Please call (229) 555-4838.", "my card 1234 5678 9012 3456 ends", "host at 10-0-0-1 is up", "host at 10,0,0,1.", "built in 1999 and 2001 by 12 people"]
+    docs = spark.createDataFrame(list(enumerate(seeds + new)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in redact_pii(docs).collect()}
+    assert [out[len(seeds) + i] for i in range(len(new))] == ["please call [PHONE] now", "Please call [PHONE].", "my card [CARD] ends", "host at [IP] is up", "host at [IP].", new[-1]]
