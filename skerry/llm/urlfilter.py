@@ -92,7 +92,7 @@ def alias_links(pages: DataFrame) -> DataFrame:
     refresh = r"(?is)<meta\s[^>]*?http-equiv\s*=\s*[\"']?refresh\b[^>]*>"
     # tags are only cut out of pages that hold the words at all
     some = pages.where(F.col("url").isNotNull() & F.col("html").rlike(r"(?i)canonical|http-equiv")).select("url", "html")
-    tags = some.select("url", F.explode(F.array(F.regexp_extract("html", link, 0), F.regexp_extract("html", refresh, 0))).alias("tag")).where("tag <> ''")
+    tags = some.select("url", F.explode(F.concat(F.regexp_extract_all("html", F.lit(link), F.lit(0)), F.regexp_extract_all("html", F.lit(refresh), F.lit(0)))).alias("tag"))
     target = F.when(
         F.col("tag").rlike(r"(?i)^<link"), _attribute(F.col("tag"), "href")
     ).otherwise(F.trim(F.regexp_replace(F.regexp_extract(_attribute(F.col("tag"), "content"), r"(?is)url\s*=\s*(.*)$", 1), r"^['\"]|['\"]$", "")))

@@ -220,3 +220,10 @@ def test_pii_bootstrap_of_digit_groups(spark):
     docs = spark.createDataFrame(list(enumerate(seeds + new)), "doc_id long, text string")
     out = {r.doc_id: r.text for r in redact_pii(docs).collect()}
     assert [out[len(seeds) + i] for i in range(len(new))] == ["please call [PHONE] now", "Please call [PHONE].", "my card [CARD] ends", "host at [IP] is up", "host at [IP].", new[-1]]
+
+
+def test_urls_block_by_any_of_a_page_s_links(spark):
+    link, refresh = '<link rel="canonical" href="http://{}">', "<meta http-equiv=refresh content='0; url=http://{}'>"
+    pages = [(i, f"http://p{i}.net/", tag.format("q.net/ok") + tag.format("bad.com/de/")) for i, tag in enumerate((link, refresh))] + [(2, "http://bad.com/de/", None), (3, "http://q3.net/", link.format("r.net/"))]
+    got = {r.page_id: r.verdict for r in judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {0: "block", 1: "block", 2: "block", 3: "allow"}
