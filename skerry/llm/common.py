@@ -16,10 +16,11 @@ PACKAGE = Path(__file__).resolve().parents[1]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or an own one where it is unset."""
+    """The folder all executors see: spark.checkpoint.dir; where it is unset, the warehouse, or an own folder if driver and executors are one process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="skerry-")
+        alone = spark.sparkContext.master.startswith("local") and "local-cluster" not in spark.sparkContext.master
+        base = "file://" + tempfile.mkdtemp(prefix="skerry-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/skerry-staged"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
@@ -64,7 +65,9 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged._staged_path = path
+    return staged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,9 +113,9 @@ def with_bases(placed: DataFrame, amount: Column, to: str) -> tuple[DataFrame, i
     return placed.join(F.broadcast(bases), "_part"), total
 
 
-def unstage(df: DataFrame) -> None:
-    """Delete a staged table that nothing will read any more."""
-    context = df.sparkSession.sparkContext
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = context._jvm.org.apache.hadoop.fs.Path(file)
+def unstage(*staged: DataFrame) -> None:
+    """Delete tables of stage() that nothing will read any more."""
+    for df in staged:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._staged_path)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

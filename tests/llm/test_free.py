@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from skerry.llm import hpylm, mpegts, warc
 from skerry.llm.components import connected_components
 from skerry.llm.hpylm import PitmanYorModel, score_texts, seat
-from skerry.llm.ngram_join import keep_first, near_duplicates
+from skerry.llm.ngram_join import NgramJoin, keep_first, near_duplicates
 from skerry.llm.packing import ChunkTokenizer, pack_along_curve
 from skerry.llm.toxicity import fit_toxicity, score_toxicity, toxicity
 
@@ -177,6 +177,38 @@ def test_near_duplicates(spark, seed):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(near(docs))
 
 
+def test_near_duplicates_with_colliding_codes(spark):
+    docs = corpus(5, 80)
+    got = NgramJoin(spark.createDataFrame(docs, "doc_id long, text string"), bits=3).components().collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(near(docs))
+
+
+def test_near_duplicates_of_a_large_group(spark):
+    """5,000 near copies of one text, half of them too far from each other: what links must be found through whichever copy links them."""
+    rng = random.Random(8)
+    origin = [f"o{i}" for i in range(60)]
+    docs = []
+    for i in range(5000):
+        w = list(origin)
+        for k in rng.sample(range(60), rng.choice((0, 1, 1, 2, 3))):
+            w[k] = f"e{rng.randrange(10**9)}"
+        docs.append((i, " ".join(w)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(56)} for _, t in docs]
+    centre = min(range(5000), key=lambda i: (docs[i][1] != " ".join(origin), i))
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(8)).collect()}
+    alone = []
+    for i in range(5000):
+        both = len(sets[i] & sets[centre])
+        if 100 * both >= 75 * (len(sets[i]) + len(sets[centre]) - both):
+            assert got[i] == got[centre]
+        else:
+            alone.append(i)
+    assert len(alone) > 500
+    for i in rng.sample(alone, 200):  # against all others, by plain Python
+        links = [j for j in range(5000) if j != i and (both := len(sets[i] & sets[j])) and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both)]
+        assert (got[i] == i) if not links else all(got[j] == got[i] for j in links)
+
+
 def test_near_duplicates_odd(spark, odd_docs, no_docs):
     rows = {(r.doc_id, r.n_shingles): r.component_id for r in near_duplicates(odd_docs).collect()}
     assert rows[0, 0] == 0 and rows[1, 0] == 1 and rows[5, 4] == rows[6, 4] == 5
@@ -184,6 +216,9 @@ def test_near_duplicates_odd(spark, odd_docs, no_docs):
     kept = keep_first(odd_docs)
     assert kept.columns == odd_docs.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 1, 2, 3, 5, 7, 8, 9]
+    clashing = odd_docs.selectExpr("*", "'mine' as _k", "'mine' as h1", "'mine' as row")
+    assert {tuple(r) for r in keep_first(clashing).collect()} <= {tuple(r) for r in clashing.collect()}
+    assert keep_first(clashing).columns == clashing.columns and keep_first(no_docs).count() == 0
 
 
 def test_seating_follows_the_process():
