@@ -87,7 +87,9 @@ def _postings(most: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Recor
         tokens, cids = tokens[order], cids[order]
         starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
         place = np.arange(len(tokens)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(tokens)]])))
-        posted = place <= most
+        posted = np.empty(len(tokens), bool)
+        posted[order] = place <= most
+        tokens[order], cids[order] = tokens.copy(), cids.copy()  # a class's rows together, as they compress better
         kept, left = np.unique(cids[~posted], return_counts=True)
         tokens, cids = np.concatenate([tokens[posted], kept]), np.concatenate([cids[posted], kept])
         many = np.concatenate([np.zeros(len(tokens) - len(kept), np.int32), left.astype(np.int32)])
