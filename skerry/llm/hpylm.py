@@ -1,10 +1,10 @@
 """Hierarchical Pitman-Yor language model, seated by Gibbs sampling.
 
-Restaurants are contexts: the class (one of 256, by hash) of the word before; class 255 also stands for a text's start. All have one parent, the restaurant of words without
-context, whose customers are the contexts' tables and whose base is uniform. A sweep seats every customer of
-every dish anew, customer by customer, given the seating of the sweep before; dishes are independent given
-the restaurants' totals, so a sweep is a map over the table of words, and only the 256 totals come together. Scores average the
-predictive probabilities of the samples after the first sweep.
+Every word before (and a text's start) is a context with a restaurant of its own. All have one parent, the restaurant of words without
+context, whose customers are the contexts' tables and whose base is uniform. A sweep seats the customers of every dish of
+every restaurant anew, one after another, given the tables of the sweep before: seats of different dishes don't depend on each other then, so
+rows are seated where they are, and what they need of their restaurant and of their word comes by joins. A dish with one customer has one table,
+so only pairs seen twice or more are kept as seats. Scores average the predictive probabilities of the samples after the first sweep.
 """
 
 from __future__ import annotations
@@ -13,295 +13,263 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.dataset
+import pyarrow.fs
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import process_cache, ship, stage, unstage
 from .packing import parts_of
-from .shingles import word_hashes
+from .shingles import mixed, word_hashes
 
-CLASSES = 256
-LOW = np.uint64(CLASSES - 1)  # codes of tokens keep these bits free for the class
-END = 0x5EED00  # the end token's code
-JUMPS, GROWTH = 32, 0.02
+END = 0x5EED00  # the end token's code, and the context of a text's first word
 D0, THETA0 = 0.7, 20.0
-D1, THETA1 = 0.8, 200.0
+D1, THETA1 = 0.8, 1.0
 SWEEPS, BURN = 3, 1
-FREQUENT = 1 << 16
+FREQUENT = 1_000_000
 BATCH_BYTES = 2 << 20
 FLUSH = 4_000_000
 SEED = 11
 
 
 def coded(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token codes (56 bits of each word's hash, and then an end), their contexts' classes, and the texts' lengths."""
+    """Token codes (a hash of each word, and then an end), their contexts' codes, and the texts' lengths."""
     words, counts = word_hashes(part.column(1))
-    tokens = np.insert(words & ~LOW, np.cumsum(counts), np.uint64(END)).view(np.int64)
+    tokens = np.insert(words, np.cumsum(counts), np.uint64(END))
     lengths = counts + 1
-    before = np.concatenate([np.zeros(1, np.int64), tokens[:-1]]).view(np.uint64)
-    classes = (before >> np.uint64(56)).astype(np.int64)
-    classes[np.cumsum(lengths) - lengths] = CLASSES - 1
-    return tokens, classes, lengths
+    before = np.concatenate([np.array([END], np.uint64), tokens[:-1]])
+    return tokens, before, lengths
+
+
+def pair_codes(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return mixed(context * np.uint64(3) + token)
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, class) counts, summed over some millions of rows at a time; token and class are one number while they are sorted."""
-
-    def summed(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        if n is None:
-            keys = np.sort(keys)
-        else:
-            order = np.argsort(keys)
-            keys, n = keys[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        return keys[first], np.diff(np.concatenate([first, [len(keys)]])) if n is None else np.add.reduceat(n, first)
-
-    def out(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(key, text) -> (ctx, word, n), summed over some millions of tokens at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting = 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        tokens, before = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        order = np.argsort(pair_codes(before, tokens))
+        tokens, before = tokens[order], before[order]
+        first = np.flatnonzero(np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (before[1:] != before[:-1])]))
+        n = np.diff(np.concatenate([first, [len(tokens)]]))
+        tokens, before = tokens[first].view(np.int64), before[first].view(np.int64)
         for a in range(0, len(n), 1 << 17):
-            k = keys[a : a + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(k & ~(CLASSES - 1)), pa.array((k & (CLASSES - 1)).astype(np.int16)), pa.array(n[a : a + (1 << 17)])], names=["token", "cls", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 17)]) for x in (before, tokens, n)], names=["ctx", "word", "n"])
 
-    keys, sums, held = [], [], 0
     for batch in batches:
         for part in parts_of(batch, BATCH_BYTES):
-            tokens, classes, _ = coded(part)
-            k, n = summed(tokens | classes)
-            keys.append(k)
-            sums.append(n)
-            held += len(n)
-            if held >= FLUSH:
-                yield from out(*summed(np.concatenate(keys), np.concatenate(sums)))
-                keys, sums, held = [], [], 0
-    if keys:
-        yield from out(*summed(np.concatenate(keys), np.concatenate(sums)))
-
-
-def _lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
-    offsets = np.concatenate([[0], ends]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
-
-
-TABLE = pa.schema([("token", pa.int64()), ("c", pa.int64()), ("cls", pa.list_(pa.int16())), ("n", pa.list_(pa.int64())), ("t", pa.list_(pa.int64())), ("t0", pa.int64()), ("kept", pa.list_(pa.float32())), ("root", pa.list_(pa.float64()))])
-TABLE_DDL = "token long, c long, cls array<short>, n array<long>, t array<long>, t0 long, kept array<float>, root array<double>"
-
-
-def _words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (token, cls, n) -> a row for each word, every dish at one table in each of its restaurants. At most a word's rows wait for the next batch."""
-    waiting = np.zeros((3, 0), np.int64)
-
-    def out(rows: np.ndarray) -> pa.RecordBatch:
-        first = np.flatnonzero(np.concatenate([[True], (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)]))
-        n = np.add.reduceat(rows[2], first)
-        token, cls = rows[0, first], rows[1, first]
-        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        ends = np.concatenate([starts[1:], [len(token)]])
-        ones = np.ones(len(n), np.int64)
-        words = len(starts)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(token[starts]), pa.array(np.add.reduceat(n, starts)), _lists(cls, ends, pa.int16()), _lists(n, ends, pa.int64()), _lists(ones, ends, pa.int64()), pa.array(np.ones(words, np.int64)), _lists(np.zeros(len(n)), ends, pa.float32()), _lists(np.zeros(0), np.zeros(words), pa.float64())],
-            schema=TABLE,
-        )
-
-    for batch in batches:
-        rows = np.concatenate([waiting, np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)])], axis=1)
-        cut = rows.shape[1] - int((rows[0] == rows[0, -1]).sum())
-        if cut:
-            yield out(rows[:, :cut])
-        waiting = rows[:, cut:]
-    if waiting.shape[1]:
-        yield out(waiting)
-
-
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """For positive x, by Stirling's series after a shift of 8."""
-    shift = np.log(x)
-    for k in range(1, 8):
-        shift = shift + np.log(x + k)
-    y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) - shift
+            held.append(coded(part)[:2])
+            waiting += len(held[-1][0])
+            if waiting >= FLUSH:
+                yield from out()
+                waiting = 0
+    if held:
+        yield from out()
 
 
 def seat(customers: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
     """Tables that so many customers of one dish take, one after another: a new one by weight new, an old one by its customers less the discount.
 
-    The time of the next new table is drawn directly, by inverting the chance that none opens until then. Dishes that open more than 32
-    tables go on in blocks of 2 % more customers, whose new tables are drawn together.
+    The next customer who may open a table is drawn at the present chance, which only falls until a table opens, and opens one by the chance's
+    share that is left (thinning, which is exact for any number of customers).
     """
     tables = np.minimum(customers, 1)
     live = np.flatnonzero(customers > 1)
     at = np.ones(len(live))
-    for _ in range(JUMPS):
-        if not len(live):
-            break
-        c, a, dt = customers[live].astype(float), new[live], discount * tables[live]
-        log_u = np.log1p(-rng.random(len(live)))
-        origin = log_gamma(at - dt + a) - log_gamma(at - dt)
-
-        def none_until(j: np.ndarray) -> np.ndarray:
-            return log_gamma(j - dt) - log_gamma(j - dt + a) + origin
-
-        opens = none_until(c) <= log_u
-        live, at, c, a, dt, log_u, origin = (x[opens] for x in (live, at, c, a, dt, log_u, origin))
-        low, high = at.copy(), c.copy()  # none opens until low; one has until high
-        while (high - low > 1).any():
-            middle = np.floor((low + high) / 2)
-            has = none_until(middle) <= log_u
-            high, low = np.where(has, middle, high), np.where(has, low, middle)
-        tables[live] += 1
-        # the customer at high opened it
-        more = high < c
-        live, at = live[more], high[more]
     while len(live):
-        block = np.minimum(np.ceil(at * GROWTH), customers[live] - at)
-        a = new[live]
-        opened = rng.binomial(block.astype(np.int64), a / (a + at + block / 2 - discount * tables[live]))
-        tables[live] += opened
-        at = at + block
-        more = at < customers[live]
-        live, at = live[more], at[more]
+        a, c, dt = new[live], customers[live], discount * tables[live]
+        total = a + at - dt
+        jump = rng.geometric(np.maximum(a / total, 1e-18)).astype(np.float64)
+        to = at + np.where(jump > 0, jump, 9e18)  # the customer number to, after to - 1 others; an overflow is beyond all
+        inside = to <= c
+        live, to, a, dt, total = live[inside], to[inside], a[inside], dt[inside], total[inside]
+        tables[live] += rng.random(len(live)) * (a + to - 1 - dt) < total
+        more = to < customers[live]
+        live, at = live[more], to[more]
     return tables
 
 
-def _sweep(sweep: int, totals: dict, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Seat all words of the batches anew, given the restaurants' totals."""
-    in_class, tables_in, customers0, tables0, base = (totals[k] for k in ("n", "t", "c0", "t0", "base"))
+def _seated(count: str, weight: str, discount: float, sweep: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the column t replaced by tables for the customers in column count; the column weight goes."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        rng = np.random.default_rng([SEED, sweep, int(batch.column(0)[0].as_py()) & (1 << 63) - 1])
-        lists = {k: batch.column(k).flatten().to_numpy() for k in ("cls", "n", "t", "kept")}
-        offsets = batch.column("n").offsets.to_numpy()
-        sizes = np.diff(offsets)
-        starts = np.cumsum(sizes) - sizes
-        t0, cls, n = batch.column("t0").to_numpy(), lists["cls"].astype(np.int64), lists["n"]
-        served = np.add.reduceat(lists["t"], starts)
-        root = (np.maximum(served - D0 * t0, 0) + (THETA0 + D0 * tables0) * base) / (THETA0 + customers0)
-        weight = (THETA1 + D1 * tables_in[cls]) * np.repeat(root, sizes)
-        t = seat(n, weight, D1, rng)
-        served = np.add.reduceat(t, starts)
-        t0 = seat(served, np.full(len(served), (THETA0 + D0 * tables0) * base), D0, rng)
-        kept, roots = lists["kept"], batch.column("root").flatten().to_numpy()
-        if sweep >= BURN:
-            kept = kept + (n - D1 * t) / (THETA1 + in_class[cls]) / (SWEEPS - BURN)
-            old = roots.reshape(len(sizes), -1)
-            roots = np.concatenate([old, (served - D0 * t0)[:, None]], axis=1).ravel()
-        ends = np.cumsum(sizes)
-        per = len(roots) // len(sizes)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("token"), batch.column("c"), _lists(cls, ends, pa.int16()), _lists(n, ends, pa.int64()), _lists(t, ends, pa.int64()), pa.array(t0), _lists(kept, ends, pa.float32()), _lists(roots, (np.arange(len(sizes)) + 1) * per, pa.float64())],
-            schema=TABLE,
-        )
+        first = [int(batch.column(k)[0].as_py()) & (1 << 63) - 1 for k in ("word", "ctx") if k in batch.schema.names]
+        rng = np.random.default_rng([SEED, sweep, *first])
+        t = seat(batch.column(count).to_numpy(), batch.column(weight).to_numpy(), discount, rng)
+        names = [k for k in batch.schema.names if k != weight]
+        yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int64)) if k == "t" else batch.column(k) for k in names], names=names)
 
 
 class PitmanYorModel:
-    """Word table (token, count, per context discounted counts, per sample the root's), and the restaurants' totals of each sample."""
+    """What docs taught: words (word, c, root: one probability a sample), contexts (ctx, share: the root's weight, a sample each; total), pairs (ctx, word, c, p)."""
 
-    def __init__(self, docs: DataFrame):
+    def __init__(self, docs: DataFrame, sweeps: int = SWEEPS, burn: int = BURN):
         """Learn from docs (doc_id, text): all of them, whole texts."""
         ship(docs.sparkSession)
+        self.samples = sweeps - burn
         texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        counted = texts.mapInArrow(_count, "token long, cls short, n long")
-        words = counted.repartition("token").sortWithinPartitions("token", "cls").mapInArrow(_words, TABLE_DDL)
-        self.words = stage(words, "seating")
-        self.n, self.v = (int(x or 0) for x in self.words.agg(F.sum("c"), F.count(F.lit(1))).first())
-        self.samples: list[dict] = []
-        totals = self._totals()
-        for sweep in range(SWEEPS):
-            old, given = self.words, totals
-            self.words = stage(old.mapInArrow(lambda b, s=sweep, g=given: _sweep(s, g, b), TABLE_DDL), "seating")
+        counted = texts.mapInArrow(_count, "ctx long, word long, n long")
+        pairs = stage(counted.groupBy("ctx", "word").agg(F.sum("n").alias("n")), "pairs")
+        each = [F.sum("n").alias("c"), F.count_if(F.col("n") == 1).alias("single")]
+        none = F.array().cast("array<double>")
+        words = stage(pairs.groupBy("word").agg(*each).withColumn("root", none), "words")
+        contexts = stage(pairs.groupBy("ctx").agg(*each).withColumn("share", none), "contexts")
+        self.n, self.v = (int(x or 0) for x in words.agg(F.sum("c"), F.count(F.lit(1))).first())
+        base = 1 / (self.v + 1)
+        seats = stage(pairs.where("n > 1").withColumn("t", F.lit(1).cast("long")).withColumn("kept", F.lit(0.0)), "seats")
+        self.floors: list[float] = []
+        customers0, tables0 = 1.0, 1.0
+        for sweep in range(sweeps + 1):
+            keep = sweep > burn
+            # the root: a word's customers are its tables in all contexts
+            served = seats.groupBy(F.col("word").alias("_w")).agg(F.sum("t").alias("_t"))
+            rows = words.join(served, F.col("word") == F.col("_w"), "left").select("word", "c", "single", "root", (F.col("single") + F.coalesce("_t", F.lit(0))).alias("customers"))
+            if not sweep:
+                tables0 = float(self.v)
+            new = (THETA0 + D0 * tables0) * base
+            rows = rows.withColumn("t", F.lit(0).cast("long")).withColumn("weight", F.lit(float(new)))
+            schema = "word long, c long, single long, root array<double>, customers long, t long"
+            rooted = stage(rows.mapInArrow(lambda b, s=sweep: _seated("customers", "weight", D0, s, b), schema), "words")
+            unstage(words)
+            customers0, tables0 = (float(x or 0) for x in rooted.agg(F.sum("customers"), F.sum("t")).first())
+            floor = (THETA0 + D0 * tables0) * base / (THETA0 + customers0)
+            p = (F.col("customers") - F.lit(D0) * F.col("t")) / F.lit(THETA0 + customers0) + F.lit(floor)
+            words = rooted.withColumn("now", p)
+            if keep:
+                self.floors.append(floor)
+                words = words.withColumn("root", F.array_append("root", F.col("now")))
+            words = stage(words.select("word", "c", "single", "root", "now"), "words")
+            unstage(rooted)
+            # the contexts' tables
+            laid = seats.groupBy(F.col("ctx").alias("_x")).agg(F.sum("t").alias("_t"))
+            old = contexts
+            contexts = contexts.join(laid, F.col("ctx") == F.col("_x"), "left").select("ctx", "c", "single", "share", (F.col("single") + F.coalesce("_t", F.lit(0))).alias("tables"))
+            if keep:
+                contexts = contexts.withColumn("share", F.array_append("share", (F.lit(THETA1) + F.lit(D1) * F.col("tables")) / (F.lit(THETA1) + F.col("c"))))
+            contexts = stage(contexts, "contexts")
             unstage(old)
-            totals = self._totals()
-            if sweep >= BURN:
-                self.samples.append(totals)
-
-    def _totals(self) -> dict:
-        """Customers and tables of each restaurant: 256 rows."""
-        each = self.words.select(F.explode(F.arrays_zip("cls", "n", "t")).alias("x")).groupBy("x.cls").agg(F.sum("x.n"), F.sum("x.t")).collect()
-        n, t = np.zeros(CLASSES), np.zeros(CLASSES)
-        for cls, a, b in each:
-            n[cls], t[cls] = a, b
-        t0 = self.words.agg(F.sum("t0")).first()[0] or 0
-        return {"n": n, "t": t, "c0": float(t.sum()), "t0": float(t0), "base": 1 / (self.v + 1)}
-
-    def coefficients(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """What a context adds to kept counts: share[class, sample] of the root's probability, which is root / spread[sample] + floor[sample]."""
-        share = np.stack([(THETA1 + D1 * s["t"]) / (THETA1 + s["n"]) for s in self.samples], axis=1) / len(self.samples)
-        spread = np.array([THETA0 + s["c0"] for s in self.samples])
-        floor = np.array([(THETA0 + D0 * s["t0"]) * s["base"] / (THETA0 + s["c0"]) for s in self.samples])
-        return share, spread, floor
-
-
-def _score(frequent, base_log, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(uid, text) -> a row with the sums over frequent words and the end, and one for each other word."""
-    tokens_of, counts_of, roots_of, keys, kept, share = frequent.value
-    names = ["uid", "token", "cls", "n", "known", "base", "score"]
+            if sweep == sweeps:
+                break
+            given = seats.join(words.select("word", "now"), "word").join(contexts.select("ctx", "tables"), "ctx")
+            given = given.select("ctx", "word", "n", "t", "kept", ((F.lit(THETA1) + F.lit(D1) * F.col("tables")) * F.col("now")).alias("weight"))
+            anew = given.mapInArrow(lambda b, s=sweep: _seated("n", "weight", D1, s, b), "ctx long, word long, n long, t long, kept double")
+            if sweep >= burn:
+                anew = anew.withColumn("kept", F.col("kept") + F.col("n") - F.lit(D1) * F.col("t"))
+            after = stage(anew, "seats")
+            unstage(seats)
+            seats = after
+            docs.sparkSession._jvm.System.gc()  # lets Spark delete shuffle files that nothing reads any more
+        self.words = words.select("word", "c", "root")
+        self.contexts = contexts.select("ctx", F.col("c").alias("total"), "share")
+        once = pairs.where("n = 1").select("ctx", "word", F.lit(1).cast("long").alias("n"), F.lit(self.samples * (1 - D1)).alias("kept"))
+        every = once.unionByName(seats.select("ctx", "word", "n", "kept")).join(self.words, "word").join(self.contexts, "ctx")
+        own = F.col("kept") / F.lit(float(self.samples)) / (F.lit(THETA1) + F.col("total"))
+        self.pairs = stage(every.select("ctx", "word", "n", "c", (own + self.backed_off(F.col("share"), F.col("root"))).cast("float").alias("p")), "pair-scores")
+        unstage(pairs, seats)
+        docs.sparkSession._jvm.System.gc()
+
+    def backed_off(self, share: Column, root: Column) -> Column:
+        """The part of a probability that comes from the root, averaged over samples; null share or root: an unknown context or word."""
+        total = F.lit(0.0)
+        for s, floor in enumerate(self.floors):
+            total = total + F.coalesce(share[s], F.lit(1.0)) * F.coalesce(root[s], F.lit(floor))
+        return total / F.lit(float(self.samples))
+
+    def frequent(self, most: int) -> DataFrame:
+        """The most frequent pairs, as many as there are down to some count, but no more than so many: a bound whatever the corpus."""
+        level = F.floor(F.log2("n") * 8)
+        down, taken = None, 0
+        for step, n in sorted(self.pairs.where("n > 1").groupBy(level.alias("l")).count().collect(), reverse=True):
+            if taken + n > most:
+                break
+            down, taken = step, taken + n
+        return stage(self.pairs.where(F.col("n") > 1).where(level >= F.lit(down) if down is not None else F.lit(False)).select("ctx", "word", "c", "p"), "frequent-pairs")
+
+
+def _lookup(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted pair codes with c and p, read once a worker process."""
     held = process_cache("hpylm")
-    if held.get("keys") is not keys:  # what each frequent word keeps in each class
-        table = np.zeros(len(tokens_of) * CLASSES, np.float32)
-        table[keys] = kept
-        held.update(keys=keys, table=table)
-    table = held["table"]
-    logs = np.log10(counts_of + 1) - base_log
+    if held.get("path") != path:
+        fs, name = pa.fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+        schema = pa.schema([("ctx", pa.int64()), ("word", pa.int64()), ("c", pa.int64()), ("p", pa.float32())])
+        read = pa.dataset.dataset(name, schema=schema, format="parquet", filesystem=fs).to_table()
+        codes = pair_codes(read["ctx"].to_numpy().view(np.uint64), read["word"].to_numpy().view(np.uint64))
+        order = np.argsort(codes)
+        held.update(path=path, table=(codes[order], read["c"].to_numpy()[order].astype(np.float64), read["p"].to_numpy()[order].astype(np.float64)))
+    return held["table"]
+
+
+PARTS = "uid long, ctx long, word long, n long, known long, base double, score double"
 
-    def out(*columns: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
+def _score(path: str, base_log: float, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(uid, text, doc_id) -> a row (uid, doc_id, null, ...) with the text's length and the sums over frequent pairs, and one for each other pair of a text."""
+    names = [x.split()[0] for x in PARTS.split(", ")]
+    codes_of, counts_of, p_of = _lookup(path)
     for batch in batches:
         for part in parts_of(batch, BATCH_BYTES):
             uid = part.column(0).to_numpy()
-            tokens, classes, lengths = coded(part)
+            tokens, before, lengths = coded(part)
             owner = np.repeat(np.arange(len(lengths)), lengths)
-            if len(tokens_of):
-                i = np.minimum(np.searchsorted(tokens_of, tokens), len(tokens_of) - 1)
-                hit = tokens_of[i] == tokens
-            else:
-                i, hit = np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
-            w, c, o = i[hit], classes[hit], owner[hit]
-            p = table[w * CLASSES + c].astype(np.float64)
-            for s in range(share.shape[1]):
-                p += roots_of[w, s] * share[c, s]
+            codes, at, inverse = np.unique(pair_codes(before, tokens), return_index=True, return_inverse=True)
+            place = np.minimum(np.searchsorted(codes_of, codes), max(len(codes_of) - 1, 0))
+            hit = codes_of[place] == codes if len(codes_of) else np.zeros(len(codes), bool)
+            held = hit[inverse]
             many = len(lengths)
-            sums = [np.bincount(o, x, many).astype(np.float64) for x in (logs[w], np.log10(p))]
-            yield out(uid, np.zeros(many, np.int64), np.full(many, -1, np.int16), lengths, np.bincount(o, minlength=many), *sums)
-            rare = np.flatnonzero(~hit)
-            for a in range(0, len(rare), 1 << 16):
-                f = rare[a : a + (1 << 16)]
-                zero = np.zeros(len(f))
-                yield out(uid[owner[f]], tokens[f], classes[f].astype(np.int16), np.ones(len(f), np.int64), zero.astype(np.int64), zero, zero)
+            if held.any():
+                o, w = owner[held], place[inverse[held]]
+                sums = [np.bincount(o, minlength=many), np.bincount(o, np.log10(counts_of[w] + 1) - base_log, many), np.bincount(o, np.log10(p_of[w]), many)]
+            else:
+                sums = [np.zeros(many, np.int64), np.zeros(many), np.zeros(many)]
+            yield pa.RecordBatch.from_arrays([pa.array(uid), part.column(2), pa.nulls(many, pa.int64()), pa.array(lengths), *[pa.array(x) for x in sums]], names=names)
+            rest, n = np.unique(owner[~held] * len(codes) + inverse[~held], return_counts=True)
+            for a in range(0, len(rest), 1 << 16):
+                r, m = rest[a : a + (1 << 16)], n[a : a + (1 << 16)]
+                i = at[r % len(codes)]
+                zero = np.zeros(len(r))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (uid[r // len(codes)], before[i].view(np.int64), tokens[i].view(np.int64), m, zero.astype(np.int64), zero, zero)], names=names)
 
 
-def score_texts(docs: DataFrame, model: PitmanYorModel) -> DataFrame:
+def score_texts(docs: DataFrame, model: PitmanYorModel, frequent: int | None = None) -> DataFrame:
     """docs' doc_id with n_tokens, n_known, base_score and score (log10), whole texts.
 
-    The 65,536 most frequent words (a fixed number, however large the corpus) are looked up where the texts are; all other words meet
+    The most frequent pairs of words (a fixed number at most, however large the corpus) are looked up where the texts are; all others meet
     the model by a shuffle. Null and empty texts are one end token; repeated rows are scored each; null ids are kept; other columns are
     not looked at; an empty table gives an empty result, and a model of no texts is uniform.
     """
     spark = docs.sparkSession
     ship(spark)
-    share, spread, floor = model.coefficients()
     base_log = float(np.log10(model.n + model.v + 1))
-    top = model.words.orderBy(F.desc("c"), "token").limit(FREQUENT).select("token", "c", "cls", "kept", "root").toArrow().sort_by("token").combine_chunks()
-    least = min(top["c"].to_pylist(), default=0)
-    tokens = top["token"].to_numpy()
-    sizes = np.diff(top["cls"].combine_chunks().offsets.to_numpy()) if len(tokens) else np.zeros(0, np.int64)
-    flat = lambda k: top[k].combine_chunks().flatten().to_numpy()
-    keys = np.repeat(np.arange(len(tokens)), sizes) * CLASSES + flat("cls") if len(tokens) else np.zeros(0, np.int64)
-    roots = (flat("root").reshape(len(tokens), -1) / spread + floor) if len(tokens) else np.zeros((0, len(spread)))
-    frequent = spark.sparkContext.broadcast((tokens, top["c"].to_numpy(), roots, keys, flat("kept") if len(tokens) else np.zeros(0, np.float32), share))
+    top = model.frequent(FREQUENT if frequent is None else frequent)
+    path = top._staged_path
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("uid", F.monotonically_increasing_id())
-    ids = stage(rows.select("uid", "doc_id"), "score-rows")
-    parts = stage(rows.select("uid", "text").mapInArrow(lambda b: _score(frequent, base_log, b), "uid long, token long, cls short, n long, known long, base double, score double"), "score-parts")
-
-    known = model.words.where(F.col("c") <= least).select("token", "c", F.col("cls").alias("classes"), "kept", "root")
-    rare = parts.where("cls >= 0").select("uid", "token", "cls", "n").join(known, "token", "left")
-    position = F.array_position("classes", F.col("cls"))
-    own = F.when(position > 0, F.element_at("kept", F.greatest(position, F.lit(1)).cast("int")).cast("double")).otherwise(0.0)
-    p = F.coalesce(own, F.lit(0.0))
-    for s in range(len(spread)):
-        each = F.array(*[F.lit(float(x)) for x in share[:, s]])
-        p = p + each[F.col("cls").cast("int")] * (F.coalesce(F.col("root")[s], F.lit(0.0)) / float(spread[s]) + float(floor[s]))
-    scored = rare.select("uid", F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0).alias("known"), (F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + F.lit(1)) - base_log)).alias("base"), (F.col("n") * F.log10(p)).alias("score"))
-    sums = parts.where("cls < 0").select("uid", F.col("n").alias("n_tokens"), "known", "base", "score").unionByName(scored.withColumn("n_tokens", F.lit(0).cast("long")))
-    sums = sums.groupBy("uid").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-    return ids.join(sums, "uid").select("doc_id", "n_tokens", "n_known", "base_score", "score")
+    parts = rows.select("uid", "text", "doc_id").mapInArrow(lambda b: _score(path, base_log, b), PARTS)
+    met = parts.join(model.pairs.select("ctx", "word", "c", "p"), ["ctx", "word"], "left")
+    seen = F.col("p").isNotNull()
+    log = lambda c: F.log10(c + F.lit(1)) - F.lit(base_log)
+    whole, n = F.col("word").isNull(), F.col("n")
+    # what isn't of a known pair stays a row of its own; all else is summed by text
+    keys = [F.when(~seen, F.col(k)).alias(k) for k in ("ctx", "word")]
+    met = met.select("uid", *keys, F.when(whole, 0).otherwise(n).alias("n"), F.when(whole, n).otherwise(0).alias("length"), "known", "base", "score", "c", "p", seen.alias("seen"))
+    seen = F.col("seen")
+    sums = [
+        F.sum("n").alias("n"),
+        F.sum("length").alias("length"),
+        F.sum(F.when(seen, F.col("n")).otherwise(F.col("known"))).alias("known"),
+        F.sum(F.when(seen, F.col("n") * log(F.col("c"))).otherwise(F.col("base"))).alias("base"),
+        F.sum(F.when(seen, F.col("n") * F.log10(F.col("p").cast("double"))).otherwise(F.col("score"))).alias("score"),
+    ]
+    found = stage(met.groupBy("uid", "ctx", "word").agg(*sums), "score-parts")
+    new = found.where("word is not null").select("uid", "ctx", "word", "n").join(model.words, "word", "left").join(model.contexts, "ctx", "left")
+    p = model.backed_off(F.col("share"), F.col("root"))
+    known = F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)
+    new = new.select("uid", F.lit(0).cast("long").alias("length"), known.alias("known"), (F.col("n") * log(F.coalesce("c", F.lit(0)))).alias("base"), (F.col("n") * F.log10(p)).alias("score"))
+    totals = found.where("word is null").select("uid", F.col("ctx").alias("doc_id"), "length", "known", "base", "score").unionByName(new.withColumn("doc_id", F.lit(None).cast("long")))
+    totals = totals.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.sum("length").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
+    return totals.select("doc_id", "n_tokens", "n_known", "base_score", "score")

@@ -240,12 +240,9 @@ def test_language_model(spark, odd_docs, no_docs):
     docs = [(i, " ".join(rng.choice(["the", "The", "of", f"w{rng.randrange(300)}"]) for _ in range(rng.randrange(80)))) for i in range(150)]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     train = frame.where("doc_id % 3 <> 0")
-    frequent, hpylm.FREQUENT = hpylm.FREQUENT, 20
-    try:
-        rows = {r.doc_id: r for r in score_texts(frame, PitmanYorModel(train)).collect()}
-    finally:
-        hpylm.FREQUENT = frequent
-    whole = {r.doc_id: r for r in score_texts(frame, PitmanYorModel(train)).collect()}
+    model = PitmanYorModel(train)
+    rows = {r.doc_id: r for r in score_texts(frame, model, frequent=20).collect()}
+    whole = {r.doc_id: r for r in score_texts(frame, model).collect()}
     tokens = lambda t: [*split(t), "\n"]
     counts = collections.Counter(w for i, t in docs if i % 3 for w in tokens(t))
     n, v = sum(counts.values()), len(counts)
@@ -257,7 +254,6 @@ def test_language_model(spark, odd_docs, no_docs):
         assert abs(rows[i].score - whole[i].score) < 1e-5 * (1 + abs(whole[i].score))
     held = [i for i, _ in docs if i % 3 == 0]
     assert sum(rows[i].score for i in held) > sum(rows[i].base_score for i in held)
-    model = PitmanYorModel(train)
     assert score_texts(odd_docs, model).count() == odd_docs.count() and score_texts(no_docs, model).count() == 0
     empty = score_texts(frame, PitmanYorModel(no_docs)).collect()
     assert all(abs(r.score) < 1e-9 and r.n_known == 0 for r in empty)
@@ -266,15 +262,66 @@ def test_language_model(spark, odd_docs, no_docs):
 def test_language_model_probabilities_sum_to_one(spark):
     texts = [(i, t) for i, t in enumerate(["a b a c", "a b", "b c c a", "a a a"])]
     model = PitmanYorModel(spark.createDataFrame(texts, "doc_id long, text string"))
-    share, spread, floor = model.coefficients()
-    rows = model.words.collect()
-    for cls in {c for r in rows for c in r.cls}:
-        total = 0.0
-        for r in rows:
-            kept = dict(zip(r.cls, r.kept)).get(cls, 0.0)
-            total += kept + sum(share[cls, s] * (r.root[s] / spread[s] + floor[s]) for s in range(len(spread)))
-        total += sum(share[cls, s] * floor[s] for s in range(len(spread)))  # the one unseen word
-        assert abs(total - 1) < 1e-6
+    from pyspark.sql import functions as F
+
+    root = model.words.select("word", model.backed_off(F.lit(None).cast("array<double>"), F.col("root")).alias("p")).collect()
+    assert abs(sum(r.p for r in root) + sum(model.floors) / model.samples - 1) < 1e-6  # and the one unseen word
+    every = model.contexts.crossJoin(model.words).join(model.pairs.select("ctx", "word", "p"), ["ctx", "word"], "left")
+    p = F.coalesce("p", model.backed_off(F.col("share"), F.col("root")))
+    unseen = model.backed_off(F.first("share"), F.lit(None).cast("array<double>"))
+    sums = every.groupBy("ctx").agg((F.sum(p) + unseen).alias("total")).collect()
+    assert len(sums) == 4 and all(abs(r.total - 1) < 1e-6 for r in sums)
+
+
+def plain_sampler(texts, sweeps, burn, seed):
+    """The same model, customer by customer, in dictionaries: log10 probabilities of the texts, averaged over samples."""
+    rng = random.Random(seed)
+    tokens = [[*t.split(), "END"] for t in texts]
+    pairs = collections.Counter((a, b) for ws in tokens for a, b in zip(["END", *ws], ws))
+    vocabulary = {b for _, b in pairs}
+    base = 1 / (len(vocabulary) + 1)
+    total = collections.Counter()
+    for (a, _), n in pairs.items():
+        total[a] += n
+    tables = dict.fromkeys(pairs, 1)
+    root_tables = dict.fromkeys(vocabulary, 1)
+
+    def reseat(n, weight, discount):
+        t = 1
+        for i in range(1, n):
+            t += rng.random() < weight / (weight + i - discount * t)
+        return t
+
+    kept = collections.defaultdict(float)
+    for sweep in range(sweeps + 1):
+        customers = collections.Counter()
+        for (_, b), t in tables.items():
+            customers[b] += t
+        new = (hpylm.THETA0 + hpylm.D0 * sum(root_tables.values())) * base
+        root_tables = {w: reseat(customers[w], new, hpylm.D0) for w in vocabulary}
+        all0, t0 = sum(customers.values()), sum(root_tables.values())
+        floor = (hpylm.THETA0 + hpylm.D0 * t0) * base / (hpylm.THETA0 + all0)
+        root = {w: (customers[w] - hpylm.D0 * root_tables[w]) / (hpylm.THETA0 + all0) + floor for w in vocabulary}
+        laid = collections.Counter()
+        for (a, _), t in tables.items():
+            laid[a] += t
+        share = {a: (hpylm.THETA1 + hpylm.D1 * laid[a]) / (hpylm.THETA1 + total[a]) for a in total}
+        if sweep > burn:
+            for (a, b), n in pairs.items():
+                kept[a, b] += ((n - hpylm.D1 * tables[a, b]) / (hpylm.THETA1 + total[a]) + share[a] * root[b]) / (sweeps - burn)
+        tables = {(a, b): reseat(n, (hpylm.THETA1 + hpylm.D1 * laid[a]) * root[b], hpylm.D1) for (a, b), n in pairs.items()}
+    return [sum(math.log10(kept[a, b]) for a, b in zip(["END", *ws], ws)) for ws in tokens]
+
+
+def test_language_model_equals_a_plain_sampler(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["a", "b", "c", f"w{rng.randrange(40)}"]) for _ in range(rng.randrange(1, 60))) for _ in range(60)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.score for r in score_texts(frame, PitmanYorModel(frame, sweeps=8, burn=2)).collect()}
+    plain = plain_sampler(texts, 300, 20, 5)
+    for i, want in enumerate(plain):
+        assert abs(got[i] - want) < 0.03 * (1 + abs(want)), (i, got[i], want)
+    assert abs(sum(got.values()) - sum(plain)) < 0.005 * abs(sum(plain))
 
 
 def test_toxicity(spark, odd_docs, no_docs):
