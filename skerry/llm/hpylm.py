@@ -9,6 +9,7 @@ so only pairs seen twice or more are kept as seats. Scores average the predictiv
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,13 +21,14 @@ from pyspark.sql import functions as F
 
 from .common import process_cache, ship, stage, unstage
 from .packing import parts_of
-from .shingles import mixed, word_hashes
+from .shingles import word_hashes
 
 END = 0x5EED00  # the end token's code, and the context of a text's first word
 D0, THETA0 = 0.7, 20.0
 D1, THETA1 = 0.8, 1.0
 SWEEPS, BURN = 3, 1
-FREQUENT = 1_000_000
+FREQUENT = 1_000_000  # pairs that every worker looks up
+LARGE = 100_000  # words and contexts that are broadcast
 BATCH_BYTES = 2 << 20
 FLUSH = 4_000_000
 SEED = 11
@@ -41,8 +43,23 @@ def coded(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tokens, before, lengths
 
 
+# fixed values: the multipliers of the public 64-bit xxHash
+PRIMES = [np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+
+
 def pair_codes(context: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return mixed(context * np.uint64(3) + token)
+    """Spark's xxhash64 of two longs."""
+    one, two, three, four, five = PRIMES
+    turned = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    code = np.full(len(context), 42, np.uint64)
+    for x in (context, token):
+        code = code + five + np.uint64(8)
+        code ^= turned(x * two, 31) * one
+        code = turned(code, 27) * one + four
+        code = (code ^ (code >> np.uint64(33))) * two
+        code = (code ^ (code >> np.uint64(29))) * three
+        code ^= code >> np.uint64(32)
+    return code
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,8 +123,26 @@ def _seated(count: str, weight: str, discount: float, sweep: int, batches: Itera
         yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int64)) if k == "t" else batch.column(k) for k in names], names=names)
 
 
+def _bounded(table: DataFrame, by: str, most: int) -> Column:
+    """Which rows are the most frequent ones: all down to some level of column by, no more than so many, whatever the table's size."""
+    level = F.floor(F.log2(F.greatest(F.col(by), F.lit(1))) * 8)
+    down, taken = None, 0
+    for step, n in sorted(table.groupBy(level.alias("l")).count().collect(), reverse=True):
+        if taken + n > most:
+            break
+        down, taken = step, taken + n
+    return level >= F.lit(down) if down is not None else F.lit(False)
+
+
+def _met(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows with their entry of table (columns key, often, ...): often entries, of which there are at most LARGE, are broadcast, and only rows of others are shuffled."""
+    often = F.broadcast(table.where("often").drop("often"))
+    seldom = table.where("not often").drop("often")
+    return rows.join(often, key).unionByName(rows.join(often.select(key), key, "left_anti").join(seldom, key))
+
+
 class PitmanYorModel:
-    """What docs taught: words (word, c, root: one probability a sample), contexts (ctx, share: the root's weight, a sample each; total), pairs (ctx, word, c, p)."""
+    """What docs taught: words (word, c, r0, ...: the root's probability, a sample each), contexts (ctx, total, s0, ...: the root's weight), pairs (code, n, c, p)."""
 
     def __init__(self, docs: DataFrame, sweeps: int = SWEEPS, burn: int = BURN):
         """Learn from docs (doc_id, text): all of them, whole texts."""
@@ -117,79 +152,76 @@ class PitmanYorModel:
         counted = texts.mapInArrow(_count, "ctx long, word long, n long")
         pairs = stage(counted.groupBy("ctx", "word").agg(F.sum("n").alias("n")), "pairs")
         each = [F.sum("n").alias("c"), F.count_if(F.col("n") == 1).alias("single")]
-        none = F.array().cast("array<double>")
-        words = stage(pairs.groupBy("word").agg(*each).withColumn("root", none), "words")
-        contexts = stage(pairs.groupBy("ctx").agg(*each).withColumn("share", none), "contexts")
+        words, contexts = (stage(pairs.groupBy(k).agg(*each), "totals") for k in ("word", "ctx"))
         self.n, self.v = (int(x or 0) for x in words.agg(F.sum("c"), F.count(F.lit(1))).first())
+        often = {k: _bounded(t, "c", LARGE) for k, t in (("word", words), ("ctx", contexts))}
         base = 1 / (self.v + 1)
         seats = stage(pairs.where("n > 1").withColumn("t", F.lit(1).cast("long")).withColumn("kept", F.lit(0.0)), "seats")
         self.floors: list[float] = []
-        customers0, tables0 = 1.0, 1.0
+        tables0 = float(self.v)
         for sweep in range(sweeps + 1):
-            keep = sweep > burn
+            sample = sweep - burn - 1
             # the root: a word's customers are its tables in all contexts
-            served = seats.groupBy(F.col("word").alias("_w")).agg(F.sum("t").alias("_t"))
-            rows = words.join(served, F.col("word") == F.col("_w"), "left").select("word", "c", "single", "root", (F.col("single") + F.coalesce("_t", F.lit(0))).alias("customers"))
-            if not sweep:
-                tables0 = float(self.v)
-            new = (THETA0 + D0 * tables0) * base
-            rows = rows.withColumn("t", F.lit(0).cast("long")).withColumn("weight", F.lit(float(new)))
-            schema = "word long, c long, single long, root array<double>, customers long, t long"
-            rooted = stage(rows.mapInArrow(lambda b, s=sweep: _seated("customers", "weight", D0, s, b), schema), "words")
-            unstage(words)
+            served = seats.groupBy("word").agg(F.sum("t").alias("_t"))
+            rows = words.join(served, "word", "left").withColumn("customers", F.col("single") + F.coalesce("_t", F.lit(0))).drop("_t")
+            rows = rows.withColumn("t", F.lit(0).cast("long")).withColumn("weight", F.lit(float((THETA0 + D0 * tables0) * base)))
+            rooted = stage(rows.mapInArrow(lambda b, s=sweep: _seated("customers", "weight", D0, s, b), rows.drop("weight").schema), "words")
             customers0, tables0 = (float(x or 0) for x in rooted.agg(F.sum("customers"), F.sum("t")).first())
             floor = (THETA0 + D0 * tables0) * base / (THETA0 + customers0)
-            p = (F.col("customers") - F.lit(D0) * F.col("t")) / F.lit(THETA0 + customers0) + F.lit(floor)
-            words = rooted.withColumn("now", p)
-            if keep:
-                self.floors.append(floor)
-                words = words.withColumn("root", F.array_append("root", F.col("now")))
-            words = stage(words.select("word", "c", "single", "root", "now"), "words")
-            unstage(rooted)
+            root = (F.col("customers") - F.lit(D0) * F.col("t")) / F.lit(THETA0 + customers0) + F.lit(floor)
             # the contexts' tables
-            laid = seats.groupBy(F.col("ctx").alias("_x")).agg(F.sum("t").alias("_t"))
-            old = contexts
-            contexts = contexts.join(laid, F.col("ctx") == F.col("_x"), "left").select("ctx", "c", "single", "share", (F.col("single") + F.coalesce("_t", F.lit(0))).alias("tables"))
-            if keep:
-                contexts = contexts.withColumn("share", F.array_append("share", (F.lit(THETA1) + F.lit(D1) * F.col("tables")) / (F.lit(THETA1) + F.col("c"))))
-            contexts = stage(contexts, "contexts")
-            unstage(old)
-            if sweep == sweeps:
-                break
-            given = seats.join(words.select("word", "now"), "word").join(contexts.select("ctx", "tables"), "ctx")
-            given = given.select("ctx", "word", "n", "t", "kept", ((F.lit(THETA1) + F.lit(D1) * F.col("tables")) * F.col("now")).alias("weight"))
-            anew = given.mapInArrow(lambda b, s=sweep: _seated("n", "weight", D1, s, b), "ctx long, word long, n long, t long, kept double")
-            if sweep >= burn:
-                anew = anew.withColumn("kept", F.col("kept") + F.col("n") - F.lit(D1) * F.col("t"))
-            after = stage(anew, "seats")
-            unstage(seats)
-            seats = after
-            docs.sparkSession._jvm.System.gc()  # lets Spark delete shuffle files that nothing reads any more
-        self.words = words.select("word", "c", "root")
-        self.contexts = contexts.select("ctx", F.col("c").alias("total"), "share")
+            laid = seats.groupBy("ctx").agg(F.sum("t").alias("_t"))
+            tabled = stage(contexts.join(laid, "ctx", "left").withColumn("tables", F.col("single") + F.coalesce("_t", F.lit(0))).drop("_t"), "contexts")
+            opens = F.lit(THETA1) + F.lit(D1) * F.col("tables")
+            if sample >= 0:
+                self.floors.append(floor)
+                unstage(words, contexts)
+                words = stage(rooted.withColumn(f"r{sample}", root.cast("float")).drop("customers", "t"), "words")
+                contexts = stage(tabled.withColumn(f"s{sample}", (opens / (F.lit(THETA1) + F.col("c"))).cast("float")).drop("tables"), "contexts")
+            if sweep < sweeps:
+                now = stage(rooted.select("word", root.alias("now"), often["word"].alias("often")), "now")
+                open_to = stage(tabled.select("ctx", opens.alias("opens"), often["ctx"].alias("often")), "now")
+                given = _met(_met(seats, now, "word"), open_to, "ctx")
+                given = given.select("ctx", "word", "n", "t", "kept", (F.col("opens") * F.col("now")).alias("weight"))
+                anew = given.mapInArrow(lambda b, s=sweep: _seated("n", "weight", D1, s, b), "ctx long, word long, n long, t long, kept double")
+                if sweep >= burn:
+                    anew = anew.withColumn("kept", F.col("kept") + F.col("n") - F.lit(D1) * F.col("t"))
+                after = stage(anew, "seats")
+                unstage(seats, now, open_to)
+                seats = after
+            unstage(rooted, tabled)
+            _free(docs)
+        self.words, self.contexts = words.drop("single"), contexts.withColumnRenamed("c", "total").drop("single")
         once = pairs.where("n = 1").select("ctx", "word", F.lit(1).cast("long").alias("n"), F.lit(self.samples * (1 - D1)).alias("kept"))
-        every = once.unionByName(seats.select("ctx", "word", "n", "kept")).join(self.words, "word").join(self.contexts, "ctx")
+        every = once.unionByName(seats.select("ctx", "word", "n", "kept"))
+        every = _met(_met(every, self.words.withColumn("often", often["word"]), "word"), contexts.withColumn("often", often["ctx"]).withColumnRenamed("c", "total").drop("single"), "ctx")
         own = F.col("kept") / F.lit(float(self.samples)) / (F.lit(THETA1) + F.col("total"))
-        self.pairs = stage(every.select("ctx", "word", "n", "c", (own + self.backed_off(F.col("share"), F.col("root"))).cast("float").alias("p")), "pair-scores")
+        self.pairs = stage(every.select(pair_code("ctx", "word").alias("code"), "n", "c", (own + self.backed_off()).cast("float").alias("p")), "pair-scores")
         unstage(pairs, seats)
-        docs.sparkSession._jvm.System.gc()
+        _free(docs)
 
-    def backed_off(self, share: Column, root: Column) -> Column:
-        """The part of a probability that comes from the root, averaged over samples; null share or root: an unknown context or word."""
+    def backed_off(self) -> Column:
+        """The part of a probability that comes from the root, averaged over samples, of rows joined to words and contexts; nulls: an unknown word or context."""
         total = F.lit(0.0)
         for s, floor in enumerate(self.floors):
-            total = total + F.coalesce(share[s], F.lit(1.0)) * F.coalesce(root[s], F.lit(floor))
+            total = total + F.coalesce(F.col(f"s{s}").cast("double"), F.lit(1.0)) * F.coalesce(F.col(f"r{s}").cast("double"), F.lit(floor))
         return total / F.lit(float(self.samples))
 
     def frequent(self, most: int) -> DataFrame:
         """The most frequent pairs, as many as there are down to some count, but no more than so many: a bound whatever the corpus."""
-        level = F.floor(F.log2("n") * 8)
-        down, taken = None, 0
-        for step, n in sorted(self.pairs.where("n > 1").groupBy(level.alias("l")).count().collect(), reverse=True):
-            if taken + n > most:
-                break
-            down, taken = step, taken + n
-        return stage(self.pairs.where(F.col("n") > 1).where(level >= F.lit(down) if down is not None else F.lit(False)).select("ctx", "word", "c", "p"), "frequent-pairs")
+        twice = self.pairs.where("n > 1")
+        return stage(twice.where(_bounded(twice, "n", most)).select("code", "c", "p"), "frequent-pairs")
+
+
+def pair_code(ctx: str, word: str) -> Column:
+    """A 64-bit code of a pair of codes."""
+    return F.xxhash64(ctx, word)
+
+
+def _free(df: DataFrame) -> None:
+    """Let Spark delete shuffle files that nothing reads any more."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
 
 
 def _lookup(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,24 +229,24 @@ def _lookup(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     held = process_cache("hpylm")
     if held.get("path") != path:
         fs, name = pa.fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
-        schema = pa.schema([("ctx", pa.int64()), ("word", pa.int64()), ("c", pa.int64()), ("p", pa.float32())])
+        schema = pa.schema([("code", pa.int64()), ("c", pa.int64()), ("p", pa.float32())])
         read = pa.dataset.dataset(name, schema=schema, format="parquet", filesystem=fs).to_table()
-        codes = pair_codes(read["ctx"].to_numpy().view(np.uint64), read["word"].to_numpy().view(np.uint64))
+        codes = read["code"].to_numpy().view(np.uint64)
         order = np.argsort(codes)
         held.update(path=path, table=(codes[order], read["c"].to_numpy()[order].astype(np.float64), read["p"].to_numpy()[order].astype(np.float64)))
     return held["table"]
 
 
-PARTS = "uid long, ctx long, word long, n long, known long, base double, score double"
+PARTS = "uid long, code long, ctx long, word long, n long, known long, base double, score double"
 
 
 def _score(path: str, base_log: float, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(uid, text, doc_id) -> a row (uid, doc_id, null, ...) with the text's length and the sums over frequent pairs, and one for each other pair of a text."""
+    """(uid, text, doc_id, taught) -> a row (uid, null, doc_id, null, ...) with the text's length and the sums over frequent pairs, and one for each other pair of a text."""
     names = [x.split()[0] for x in PARTS.split(", ")]
     codes_of, counts_of, p_of = _lookup(path)
     for batch in batches:
         for part in parts_of(batch, BATCH_BYTES):
-            uid = part.column(0).to_numpy()
+            uid, taught = part.column(0).to_numpy(), part.column(3).to_numpy(zero_copy_only=False)
             tokens, before, lengths = coded(part)
             owner = np.repeat(np.arange(len(lengths)), lengths)
             codes, at, inverse = np.unique(pair_codes(before, tokens), return_index=True, return_inverse=True)
@@ -227,49 +259,50 @@ def _score(path: str, base_log: float, batches: Iterable[pa.RecordBatch]) -> Ite
                 sums = [np.bincount(o, minlength=many), np.bincount(o, np.log10(counts_of[w] + 1) - base_log, many), np.bincount(o, np.log10(p_of[w]), many)]
             else:
                 sums = [np.zeros(many, np.int64), np.zeros(many), np.zeros(many)]
-            yield pa.RecordBatch.from_arrays([pa.array(uid), part.column(2), pa.nulls(many, pa.int64()), pa.array(lengths), *[pa.array(x) for x in sums]], names=names)
+            none = pa.nulls(many, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(uid), none, part.column(2), none, pa.array(lengths), *[pa.array(x) for x in sums]], names=names)
             rest, n = np.unique(owner[~held] * len(codes) + inverse[~held], return_counts=True)
             for a in range(0, len(rest), 1 << 16):
                 r, m = rest[a : a + (1 << 16)], n[a : a + (1 << 16)]
-                i = at[r % len(codes)]
-                zero = np.zeros(len(r))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (uid[r // len(codes)], before[i].view(np.int64), tokens[i].view(np.int64), m, zero.astype(np.int64), zero, zero)], names=names)
+                i, known, zero = at[r % len(codes)], taught[r // len(codes)], pa.nulls(len(r), pa.int64())
+                words = [pa.array(x[i].view(np.int64), mask=known) for x in (before, tokens)]
+                yield pa.RecordBatch.from_arrays([pa.array(uid[r // len(codes)]), pa.array(codes[r % len(codes)].view(np.int64)), *words, pa.array(m), zero, zero.cast(pa.float64()), zero.cast(pa.float64())], names=names)
 
 
-def score_texts(docs: DataFrame, model: PitmanYorModel, frequent: int | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, model: PitmanYorModel, frequent: int = FREQUENT, taught: Column | None = None) -> DataFrame:
     """docs' doc_id with n_tokens, n_known, base_score and score (log10), whole texts.
 
     The most frequent pairs of words (a fixed number at most, however large the corpus) are looked up where the texts are; all others meet
-    the model by a shuffle. Null and empty texts are one end token; repeated rows are scored each; null ids are kept; other columns are
-    not looked at; an empty table gives an empty result, and a model of no texts is uniform.
+    the model by a shuffle. Rows where taught holds were among the model's texts, so that only others have pairs that it doesn't know (a wrong taught raises). Null and empty texts
+    are one end token; repeated rows are scored each; null ids are kept; other columns are not looked at; an empty table gives an empty
+    result, and a model of no texts is uniform.
     """
     spark = docs.sparkSession
     ship(spark)
     base_log = float(np.log10(model.n + model.v + 1))
-    top = model.frequent(FREQUENT if frequent is None else frequent)
-    path = top._staged_path
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("uid", F.monotonically_increasing_id())
-    parts = rows.select("uid", "text", "doc_id").mapInArrow(lambda b: _score(path, base_log, b), PARTS)
-    met = parts.join(model.pairs.select("ctx", "word", "c", "p"), ["ctx", "word"], "left")
-    seen = F.col("p").isNotNull()
-    log = lambda c: F.log10(c + F.lit(1)) - F.lit(base_log)
-    whole, n = F.col("word").isNull(), F.col("n")
+    path = model.frequent(frequent)._staged_path
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id"), (F.lit(False) if taught is None else F.coalesce(taught, F.lit(False))).alias("taught"))
+    parts = rows.mapInArrow(lambda b: _score(path, base_log, b), PARTS)
+    met = parts.join(model.pairs.select("code", "c", "p"), "code", "left")
     # what isn't of a known pair stays a row of its own; all else is summed by text
-    keys = [F.when(~seen, F.col(k)).alias(k) for k in ("ctx", "word")]
-    met = met.select("uid", *keys, F.when(whole, 0).otherwise(n).alias("n"), F.when(whole, n).otherwise(0).alias("length"), "known", "base", "score", "c", "p", seen.alias("seen"))
-    seen = F.col("seen")
+    whole, seen = F.col("code").isNull(), F.col("p").isNotNull()
+    lost = F.when(~whole & ~seen & F.col("word").isNull(), F.raise_error(F.lit("a text that the model was said to know has a pair that it doesn't know")).cast("long"))
+    met = met.select("uid", *[F.when(~seen, F.col(k)).alias(k) for k in ("ctx", "word")], F.coalesce(lost, F.when(~whole, F.col("n"))).alias("n"), F.when(whole, F.col("n")).alias("length"), "known", "base", "score", "c", "p")
+    log = lambda c: F.log10(c + F.lit(1)) - F.lit(base_log)
+    kept = F.col("p").isNotNull()
     sums = [
         F.sum("n").alias("n"),
         F.sum("length").alias("length"),
-        F.sum(F.when(seen, F.col("n")).otherwise(F.col("known"))).alias("known"),
-        F.sum(F.when(seen, F.col("n") * log(F.col("c"))).otherwise(F.col("base"))).alias("base"),
-        F.sum(F.when(seen, F.col("n") * F.log10(F.col("p").cast("double"))).otherwise(F.col("score"))).alias("score"),
+        F.sum(F.when(kept, F.col("n")).otherwise(F.col("known"))).alias("known"),
+        F.sum(F.when(kept, F.col("n") * log(F.col("c"))).otherwise(F.col("base"))).alias("base"),
+        F.sum(F.when(kept, F.col("n") * F.log10(F.col("p").cast("double"))).otherwise(F.col("score"))).alias("score"),
     ]
     found = stage(met.groupBy("uid", "ctx", "word").agg(*sums), "score-parts")
+    _free(docs)
     new = found.where("word is not null").select("uid", "ctx", "word", "n").join(model.words, "word", "left").join(model.contexts, "ctx", "left")
-    p = model.backed_off(F.col("share"), F.col("root"))
     known = F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)
-    new = new.select("uid", F.lit(0).cast("long").alias("length"), known.alias("known"), (F.col("n") * log(F.coalesce("c", F.lit(0)))).alias("base"), (F.col("n") * F.log10(p)).alias("score"))
-    totals = found.where("word is null").select("uid", F.col("ctx").alias("doc_id"), "length", "known", "base", "score").unionByName(new.withColumn("doc_id", F.lit(None).cast("long")))
+    none = F.lit(None).cast("long")
+    new = new.select("uid", none.alias("doc_id"), none.alias("length"), known.alias("known"), (F.col("n") * log(F.coalesce("c", F.lit(0)))).alias("base"), (F.col("n") * F.log10(model.backed_off())).alias("score"))
+    totals = found.where("word is null").select("uid", F.col("ctx").alias("doc_id"), "length", "known", "base", "score").unionByName(new)
     totals = totals.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.sum("length").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
     return totals.select("doc_id", "n_tokens", "n_known", "base_score", "score")

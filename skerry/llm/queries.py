@@ -49,7 +49,7 @@ def op6_hierarchical_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = in_fold(folds=7) == 2
     model = PitmanYorModel(docs.where(~held_out))
-    out = score_texts(docs, model)
+    out = score_texts(docs, model, taught=~held_out)
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -262,15 +262,22 @@ def test_language_model(spark, odd_docs, no_docs):
 def test_language_model_probabilities_sum_to_one(spark):
     texts = [(i, t) for i, t in enumerate(["a b a c", "a b", "b c c a", "a a a"])]
     model = PitmanYorModel(spark.createDataFrame(texts, "doc_id long, text string"))
-    from pyspark.sql import functions as F
-
-    root = model.words.select("word", model.backed_off(F.lit(None).cast("array<double>"), F.col("root")).alias("p")).collect()
+    root = model.words.select("*", F.lit(None).alias("s0"), F.lit(None).alias("s1")).select(model.backed_off().alias("p")).collect()
     assert abs(sum(r.p for r in root) + sum(model.floors) / model.samples - 1) < 1e-6  # and the one unseen word
-    every = model.contexts.crossJoin(model.words).join(model.pairs.select("ctx", "word", "p"), ["ctx", "word"], "left")
-    p = F.coalesce("p", model.backed_off(F.col("share"), F.col("root")))
-    unseen = model.backed_off(F.first("share"), F.lit(None).cast("array<double>"))
-    sums = every.groupBy("ctx").agg((F.sum(p) + unseen).alias("total")).collect()
-    assert len(sums) == 4 and all(abs(r.total - 1) < 1e-6 for r in sums)
+    every = model.contexts.crossJoin(model.words).withColumn("code", hpylm.pair_code("ctx", "word")).join(model.pairs.select("code", "p"), "code", "left")
+    sums = collections.Counter()
+    for r in every.withColumn("back", model.backed_off()).collect():
+        sums[r.ctx] += r.back if r.p is None else r.p
+    for r in model.contexts.select("*", F.lit(None).alias("r0"), F.lit(None).alias("r1")).withColumn("back", model.backed_off()).collect():
+        sums[r.ctx] += r.back
+    assert len(sums) == 4 and all(abs(x - 1) < 1e-5 for x in sums.values())
+
+
+def test_pair_codes_equal_spark_s(spark):
+    pairs = [(5, -7), (0, 0), (1 << 62, -(1 << 63))]
+    got = spark.createDataFrame(pairs, "ctx long, word long").select(hpylm.pair_code("ctx", "word").alias("c")).collect()
+    plain = hpylm.pair_codes(*[np.array(x, np.int64).view(np.uint64) for x in zip(*pairs)])
+    assert [r.c for r in got] == plain.view(np.int64).tolist()
 
 
 def plain_sampler(texts, sweeps, burn, seed):
@@ -317,7 +324,7 @@ def test_language_model_equals_a_plain_sampler(spark):
     rng = random.Random(4)
     texts = [" ".join(rng.choice(["a", "b", "c", f"w{rng.randrange(40)}"]) for _ in range(rng.randrange(1, 60))) for _ in range(60)]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
-    got = {r.doc_id: r.score for r in score_texts(frame, PitmanYorModel(frame, sweeps=8, burn=2)).collect()}
+    got = {r.doc_id: r.score for r in score_texts(frame, PitmanYorModel(frame, sweeps=8, burn=2), taught=F.lit(True)).collect()}
     plain = plain_sampler(texts, 300, 20, 5)
     for i, want in enumerate(plain):
         assert abs(got[i] - want) < 0.03 * (1 + abs(want)), (i, got[i], want)
