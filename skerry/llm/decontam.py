@@ -112,6 +112,9 @@ def _grams(words: Column, size: int) -> Column:
 
 
 def drop_contaminated(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Documents without findings, with all their columns; rows with a null id stay only if no null id was found."""
-    bad = found.select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """Documents without findings, with all their columns; rows with a null id stay only if no null id was found.
+
+    Rows of one id go or stay together; null and empty texts stay; columns of any name are left alone. Empty tables give empty ones, and no findings leave all.
+    """
+    bad = found.select("doc_id").distinct().alias("bad")
+    return docs.alias("docs").join(bad, F.col("docs.doc_id").eqNullSafe(F.col("bad.doc_id")), "left_anti")

@@ -132,12 +132,13 @@ def find_pii(docs: DataFrame, carry: bool = False) -> DataFrame:
     """Spans of personal data in documents (doc_id, text): doc_id, base and spans, arrays of (start, kind, stop) by start and kind.
 
     start and stop count code points, stop exclusive; kind is a place in KINDS. Base spans of different kinds may overlap; those that the method adds overlap no base
-    span. Null and empty texts have none; repeated rows have the same; a null doc_id is kept. carry=True keeps all of docs' columns (base and spans replace such). An
-    empty table gives an empty one.
+    span. Null and empty texts have none; repeated rows have the same; a null doc_id is kept. carry=True adds row, a struct of all of docs' columns, whatever their
+    names; otherwise other columns are not looked at. An empty table gives an empty one.
     """
     mine = F.coalesce(F.col("text"), F.lit(""))
-    columns = [c for c in docs.columns if c not in ("base", "spans", "_uid", "_other")] if carry else ["doc_id"]
-    rows = docs.select(*columns, base_spans(mine).alias("base"), candidate_spans(mine).alias("_other"))
+    columns = ["doc_id", "row"] if carry else ["doc_id"]
+    whole = [F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")] if carry else []
+    rows = docs.select("doc_id", *whole, base_spans(mine).alias("base"), candidate_spans(mine).alias("_other"))
     clear = F.filter("_other", lambda c: ~F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
     rows = stage(rows.withColumn("_other", clear).withColumn("_uid", F.monotonically_increasing_id()), "pii-spans")
     held = rows.where(F.size("base") + F.size("_other") > 0).select("_uid", F.explode(F.concat("base", "_other")).alias("s"))
@@ -178,10 +179,14 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def redact_pii(docs: DataFrame) -> DataFrame:
-    """docs with personal data in text replaced by [KIND], and n_chars, if there is such a column, counted anew; all rows and columns stay."""
-    found = find_pii(docs, carry=True)
-    out = found.withColumn("text", redacted(F.col("text"), F.col("spans")))
+    """docs with personal data in text replaced by [KIND], and n_chars, if there is such a column, counted anew; all rows and columns stay.
+
+    Null and empty texts stay as they are; repeated rows stay repeated and are treated alike; no other column is touched, whatever its name. An empty table gives an
+    empty one.
+    """
+    text = F.col("row").getField("text")
+    found = find_pii(docs, carry=True).select("row", "spans", redacted(text, F.col("spans")).alias("clean"))
+    new = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
-        kind = dict(docs.dtypes)["n_chars"]
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.size("spans") > 0, F.length("clean").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("row").getField("n_chars"))
+    return found.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stage, table
 from .decontam import contaminated
 from .hpylm import PitmanYorModel, score_texts
 from .mpegts import read_media, store_media
@@ -69,7 +69,7 @@ def op9_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = read_media(store_media(table(spark, sf_dir, "documents")))
+    out = read_media(stage(store_media(table(spark, sf_dir, "documents")), "media"))
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 

@@ -83,12 +83,16 @@ def resolved(href: Column, url: Column) -> Column:
 
 def _attribute(tag: Column, name: str) -> Column:
     pattern = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    return F.trim(F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)]))
+    value = F.trim(F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)]))
+    # the entities that a url needs in an attribute
+    for sign, entity in (("'", "(?i)&(apos|#0*39|#x0*27);"), ('"', "(?i)&(quot|#0*34|#x0*22);"), ("/", "(?i)&(sol|#0*47|#x0*2f);"), ("&", "(?i)&(amp|#0*38|#x0*26);")):
+        value = F.regexp_replace(value, entity, sign)
+    return value
 
 
 def alias_links(pages: DataFrame) -> DataFrame:
     """(url, to) of each canonical link and refresh redirect in the pages' html."""
-    link = r"(?is)<link\s[^>]*?rel\s*=\s*[\"']?canonical\b[^>]*>"
+    link = r"""(?is)<link\s[^>]*?rel\s*=\s*(?:"[^"]*\bcanonical\b[^"]*"|'[^']*\bcanonical\b[^']*'|canonical\b)[^>]*>"""
     refresh = r"(?is)<meta\s[^>]*?http-equiv\s*=\s*[\"']?refresh\b[^>]*>"
     # tags are only cut out of pages that hold the words at all
     some = pages.where(F.col("url").isNotNull() & F.col("html").rlike(r"(?i)canonical|http-equiv")).select("url", "html")

@@ -27,6 +27,7 @@ FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 64 << 20
 REVISIT_FROM = 100
 BROADCAST_ROWS = 100_000
+READ_BYTES = 8 << 20
 DATE = "2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -223,8 +224,11 @@ def _read_part(batches: Iterable[pa.RecordBatch], payloads: bool) -> Iterator[pa
 def read_archives(index: DataFrame, payloads: bool = True) -> DataFrame:
     """The records that an index (or any selection of it) names: each frame is opened by its seek-table entry and read once a task.
 
+    Tasks are as many as the frames' compressed bytes ask for (8 MiB each), and no fewer than the session's default, as an index itself is thin.
     payloads=False leaves the payload column null after checking it.
     """
     ship(index.sparkSession)
-    asked = index.repartition("bundle", F.floor(F.col("frame") / 16)).sortWithinPartitions("bundle", "frame", "offset")
+    frames = index.groupBy("bundle", "frame").agg(F.max("frame_bytes").alias("b"))
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-int(frames.agg(F.sum("b")).first()[0] or 0) // READ_BYTES))
+    asked = index.repartition(tasks, "bundle", F.floor(F.col("frame") / 16)).sortWithinPartitions("bundle", "frame", "offset")
     return asked.mapInArrow(lambda batches: _read_part(batches, payloads), RECORDS)

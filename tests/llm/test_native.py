@@ -125,11 +125,81 @@ def test_pii_bootstrap(spark):
     assert redact_pii(docs).where("doc_id = 50").first().text == "Reach ME At [EMAIL] now"
 
 
+def plain_graph(edges, rounds=3):
+    """graph_scores by loops."""
+    values = collections.defaultdict(set)
+    for c, v, _ in edges:
+        values[c].add(v)
+    seeds = {(v, k) for _, v, k in edges if k >= 0}
+    score = dict.fromkeys(seeds, 1.0)
+    for _ in range(rounds):
+        confidence = {}
+        for c, held in values.items():
+            for k in range(4):
+                scores = [score[v, k] for v in held if (v, k) in score]
+                if len(held) >= 3 and sum(x >= 0.5 for x in scores) >= 3:
+                    confidence[c, k] = sum(scores) / (len(held) + 1)
+        wrong = collections.defaultdict(lambda: 1.0)
+        for (c, k), x in confidence.items():
+            for v in values[c]:
+                wrong[v, k] *= 1 - min(x, 0.999999)
+        score = {**{at: 1 - x for at, x in wrong.items()}, **dict.fromkeys(seeds, 1.0)}
+    return confidence, score
+
+
 def test_pii_graph_scores(spark):
-    rows = [("call me", f"s{i}", 3) for i in range(6)] + [("call me", "new", -1), ("rare", "s1", 3), ("noise", "new", -1), *[("noise", f"n{i}", -1) for i in range(9)]]
-    patterns, scores = graph_scores(spark.createDataFrame(rows, "context string, value string, kind int"))
-    assert {(r.context, r.kind): round(r.confidence, 2) for r in patterns.collect()} == {("call me", 3): 0.85}
-    assert {r.value: round(r.score, 2) for r in scores.collect()}["new"] == 0.85
+    import random
+
+    for seed in range(3):
+        rng = random.Random(seed)
+        rows = []
+        for _ in range(150):
+            v = rng.randrange(40)
+            rows.append((f"c{rng.randrange(12)}", f"v{v}", v % 4 if v < 20 else -1))
+        rows += [("call me", f"s{i}", 3) for i in range(6)] + [("call me", "new", -1)]
+        patterns, scores = graph_scores(spark.createDataFrame(rows, "context string, value string, kind int"))
+        confidence, score = plain_graph(rows)
+        got = {(r.context, r.kind): r.confidence for r in patterns.collect()}
+        assert got.keys() == confidence.keys() and ("call me", 3) in got and all(abs(got[k] - confidence[k]) < 1e-6 for k in got)
+        got = {(r.value, r.kind): r.score for r in scores.collect()}
+        assert got.keys() == score.keys() and all(abs(got[k] - score[k]) < 1e-6 for k in got)
+
+
+def test_redaction_leaves_clashing_columns(odd_docs):
+    clashing = odd_docs.selectExpr("*", "'mine' as _uid", "'mine' as _other", "'mine' as row", "'mine' as clean")
+    out = redact_pii(clashing)
+    assert out.columns == clashing.columns
+    keep = [c for c in out.columns if c not in ("text", "n_chars")]
+    assert sorted(map(str, out.select(*keep).collect())) == sorted(map(str, clashing.select(*keep).collect()))
+
+
+def test_pipeline_stages_take_odd_tables(spark, odd_docs, no_docs, tmp_path):
+    """Empty tables, null texts and ids, repeated rows and clashing names through every stage; what stays comes back as it was."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(0, 1, 0), (3, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "not to be found in any of these texts"), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    named = odd_docs.selectExpr("*", "'mine' as predicted_", "'mine' as row", "'mine' as _uid", "'mine' as h1", "'mine' as bad")
+    nulls = named.selectExpr(*[f"cast(null as {t}) as {c}" for c, t in named.dtypes])
+    for name, step in corpus_pipeline.STAGES:
+        before = collections.Counter(map(str, named.collect()))
+        out = step(spark, named, str(tmp_path))
+        if name != "packing":
+            assert out.columns == named.columns
+        if name not in ("packing", "pii"):
+            assert not collections.Counter(map(str, out.collect())) - before, name
+        assert step(spark, no_docs, str(tmp_path)).count() == 0, name
+        step(spark, nulls, str(tmp_path)).count()
+
+
+def test_urls_take_entities_and_several_relations(spark):
+    pages = [
+        (1, "http://a.net/x?p=1&q=2", None),
+        (2, "http://b.net/y", '<link rel="nofollow canonical" href="http://a.net/x?p=1&amp;q=2"><link rel=canonical href="http://c.com/de/z">'),
+        (3, "http://c.com/de/z", None),
+    ]
+    rows = {r.page_id: r.verdict for r in judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert rows == {1: "block", 2: "block", 3: "block"}
 
 
 def test_redaction_keeps_rows_and_columns(odd_docs):
