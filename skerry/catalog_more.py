@@ -226,8 +226,8 @@ def reconcile_diff(spark, d):
 @query
 def factor_change_rebuild(spark, d):
     f = D.factors(D.bars(spark, d))
-    changed = f.withColumn("adj_factor", F.when((F.col("code") % 5 == 0) & (F.year("date") == 1998), F.col("adj_factor") * 1.5).otherwise(F.col("adj_factor")))
-    return H.changed_factors(f, changed)
+    changed = f.withColumn("adj_factor", F.when((F.col("code") % 5 == 0) & (F.year("date") >= 2001), F.col("adj_factor") * 1.5).otherwise(F.col("adj_factor")))
+    return H.rebuilt(D.bars(spark, d), f, changed).select("code", day(), *r4("close"))
 
 
 @query
@@ -268,7 +268,7 @@ def pattern_search_topk(spark, d):
 
 @query
 def pattern_dtw(spark, d):
-    return P.search(B.last_n(D.bars(spark, d), 60), QUERY, "dtw").select(*big("rank"), "code", day("end"), "similarity")
+    return P.search(D.bars(spark, d), QUERY, "dtw").select(*big("rank"), "code", day("end"), "similarity")
 
 
 @query

@@ -34,6 +34,29 @@ def clip(c: Column | str, low: float | None = None, high: float | None = None) -
     return F.when(x.isNotNull(), y)
 
 
+def whole_number(c: Column | str) -> Column:
+    """The number without its fraction, or NULL (NUM-02)."""
+    x = number(c)
+    return F.when(F.abs(x) < 9e18, F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("long"))
+
+
+def truth(c: Column | str) -> Column:
+    """Whether a text says yes (1, true, yes, on); NULL for blanks (NUM-02)."""
+    x = F.lower(F.trim(col(c).cast("string")))
+    return F.when(x != "", x.isin("1", "true", "yes", "on"))
+
+
+def bounded(c: Column | str, low: float, high: float) -> Column:
+    """A number within bounds, or NULL (NUM-02)."""
+    return clip(number(c), low, high)
+
+
+def text_list(c: Column | str, most: int = 80) -> Column:
+    """The items of an array, trimmed and cut, without blanks; an empty array for NULL (NUM-02)."""
+    items = F.transform(F.coalesce(col(c), F.array().cast("array<string>")), lambda x: F.substring(F.trim(x), 1, most))
+    return F.filter(items, lambda x: F.coalesce(x, F.lit("")) != "")
+
+
 def ratio(a: Column | str, b: Column | str) -> Column:
     return F.when(col(b) != 0, col(a) / col(b))
 

@@ -104,3 +104,15 @@ def keyword_tags(c: Column, table: dict[str, tuple[str, ...]]) -> Column:
             hit = hit | F.contains(text, F.lit(w))
         hits.append((hit, label))
     return flags_of(hits)
+
+
+def day_key(c: Column) -> Column:
+    """A day as eight digits, from ISO or plain text; NULL for blanks (DAT-01)."""
+    x = F.trim(c.cast("string"))
+    return F.when(x != "", F.substring(F.regexp_replace(x, "-", ""), 1, 8))
+
+
+def iso_day(c: Column) -> Column:
+    """A day of eight digits in ISO form; other texts as they are, a blank one for NULL (DAT-01)."""
+    x = F.coalesce(day_key(c), F.lit(""))
+    return F.when(F.length(x) == 8, F.concat_ws("-", F.substring(x, 1, 4), F.substring(x, 5, 2), F.substring(x, 7, 2))).otherwise(x)

@@ -46,7 +46,7 @@ def with_previous(b: DataFrame) -> DataFrame:
 def adjust(b: DataFrame, factors: DataFrame, how: str = "qfq") -> DataFrame:
     """Forward (qfq) or backward (hfq) adjusted prices; factors are filled from later days (JOIN-03, WIN-02)."""
     latest = factors.where(F.col("adj_factor").isNotNull()).groupBy("code").agg(F.max_by("adj_factor", "date").alias("_latest"))
-    filled = F.first("adj_factor", ignorenulls=True).over(by_date().rowsBetween(0, Window.unboundedFollowing))
+    filled = F.last("adj_factor", ignorenulls=True).over(Window.partitionBy("code").orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, 0))
     rows = b.join(factors, ["code", "date"], "left").withColumn("_f", filled).join(latest, "code", "left")
     by = F.col("_f") if how == "hfq" else F.col("_f") / F.col("_latest")
     prices = {c: F.col(c) * by for c in ("open", "high", "low", "close")}

@@ -115,3 +115,54 @@ def resolve_topics(queries: DataFrame, candidates: DataFrame, top: int = 5, leas
     best = score.groupBy("query", "topic").agg(rounded(F.max("confidence")).alias("confidence"), F.max("heat").alias("heat")).where(F.col("confidence") >= least)
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("confidence"), F.desc("heat"), F.desc("topic")))
     return best.withColumn("rank", place).where(F.col("rank") <= top).withColumn("canonical", (F.col("rank") == 1) & (F.col("confidence") >= sure))
+
+
+def best_of(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """One row of each key, the first in the order (SET-03); the order should tell rows apart."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return rows.withColumn("_place", place).where("_place = 1").drop("_place")
+
+
+def summary_boards(summary: Column) -> Column:
+    """The boards that a heat summary names: what comes before the first colon of each part."""
+    parts = F.transform(F.split(F.coalesce(summary, F.lit("")), r"\|"), lambda p: F.trim(F.substring_index(F.trim(p), ":", 1)))
+    return F.array_distinct(F.filter(parts, lambda p: p != ""))
+
+
+def attach_trends(mapping: DataFrame, trends: DataFrame) -> DataFrame:
+    """mapping (code, board_heat_summary, ...) with the trend of that of its summary's boards which was seen most, then is hottest, then moves most (JOIN-11)."""
+    named = mapping.select("code", F.explode(summary_boards(F.col("board_heat_summary"))).alias("board"))
+    met = named.join(trends.select("board", "observations", "latest", "trend", "persistence", "cooling", "state"), "board")
+    best = met.groupBy("code").agg(F.max(F.struct("observations", "latest", F.abs("trend").alias("move"), "board", "trend", "persistence", "cooling", "state")).alias("b"))
+    fields = [F.col(f"b.{c}").alias(f"board_heat_{c}") for c in ("observations", "latest", "trend", "persistence", "cooling", "state")]
+    return mapping.join(best.select("code", *fields), "code", "left")
+
+
+def merge_maps(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Two maps (code, industry, concepts, industry_rank, heat, trend) as one (SET-06).
+
+    The first industry that isn't blank, the union of concepts in order, the least rank, the greatest heat, the trend that moves most.
+    """
+    a, b = (m.select("code", *[F.col(c).alias(f"{s}_{c}") for c in ("industry", "concepts", "industry_rank", "heat", "trend")]) for m, s in ((first, "a"), (second, "b")))
+    j = a.join(b, "code", "full")
+    labels = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    moves = F.coalesce(F.abs("b_trend") > F.abs("a_trend"), F.col("a_trend").isNull())
+    return j.select(
+        "code",
+        F.coalesce(F.when(F.col("a_industry") != "", F.col("a_industry")), F.when(F.col("b_industry") != "", F.col("b_industry")), F.lit("")).alias("industry"),
+        F.array_join(F.array_union(labels(F.col("a_concepts")), labels(F.col("b_concepts"))), ",").alias("concepts"),
+        F.least("a_industry_rank", "b_industry_rank").alias("industry_rank"),
+        F.greatest("a_heat", "b_heat").alias("heat"),
+        F.when(moves, F.col("b_trend")).otherwise(F.col("a_trend")).alias("trend"),
+    )
+
+
+def flag_counts(rows: DataFrame, flags: str) -> DataFrame:
+    """How often each flag of a column of flags, joined by semicolons, occurs (AGG-23)."""
+    return rows.select(F.explode(F.split(F.col(flags), ";")).alias("flag")).where("flag <> ''").groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
+
+
+def field_impacts(coverage: DataFrame) -> DataFrame:
+    """By missing field, how many strategies (strategy, missing array) it holds up, and which, most first (AGG-20)."""
+    each = coverage.select("strategy", F.explode("missing").alias("field"))
+    return each.groupBy("field").agg(F.count(F.lit(1)).alias("strategy_count"), F.array_join(F.sort_array(F.collect_list("strategy")), ",").alias("strategies"))

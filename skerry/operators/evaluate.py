@@ -20,15 +20,15 @@ def returns(picks: DataFrame, quotes: DataFrame, cost_bps: float = 0.0) -> DataF
 def price_path(picks: DataFrame, bars: DataFrame) -> DataFrame:
     """What happened from each pick's day on: path_days, path_end_pct, path_drawdown_pct, path_runup_pct.
 
-    Bars know the rest of their series by windows that look ahead; each pick takes the first bar from its day on, by one sort of
+    Bars know the rest of their series by windows that run from the last day back; each pick takes the first bar from its day on, by one sort of
     picks and bars together. So no pick meets all its later bars.
     """
-    ahead = Window.partitionBy("code").orderBy("date").rowsBetween(0, Window.unboundedFollowing)
-    known = bars.select("code", "date", F.struct(F.count(F.lit(1)).over(ahead).alias("days"), F.last("close").over(ahead).alias("end"), F.min("low").over(ahead).alias("low"), F.max("high").over(ahead).alias("high")).alias("b"))
+    ahead = Window.partitionBy("code").orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, 0)
+    known = bars.select("code", "date", F.struct(F.count(F.lit(1)).over(ahead).alias("days"), F.first("close").over(ahead).alias("end"), F.min("low").over(ahead).alias("low"), F.max("high").over(ahead).alias("high")).alias("b"))
     both = picks.withColumn("date", F.to_date("created")).withColumn("b", F.lit(None).cast(known.schema["b"].dataType)).withColumn("_pick", F.lit(True))
     both = both.unionByName(known.withColumn("_pick", F.lit(False)), allowMissingColumns=True)
-    # of a day's rows picks come first, so that the day's own bar is the next one
-    next_bar = F.first("b", ignorenulls=True).over(Window.partitionBy("code").orderBy("date", F.desc("_pick")).rowsBetween(0, Window.unboundedFollowing))
+    # from the last day back, a day's own bar comes before its picks, so that it is their next one
+    next_bar = F.last("b", ignorenulls=True).over(Window.partitionBy("code").orderBy(F.desc("date"), "_pick").rowsBetween(Window.unboundedPreceding, 0))
     rows = both.withColumn("b", next_bar).where("_pick")
     pct = lambda c: F.when(F.col("entry") > 0, rounded((F.col(c) / F.col("entry") - 1) * 100))
     return rows.select(*picks.columns, F.col("b.days").alias("path_days"), pct("b.end").alias("path_end_pct"), F.least(pct("b.low"), F.lit(0.0)).alias("path_drawdown_pct"), F.greatest(pct("b.high"), F.lit(0.0)).alias("path_runup_pct"))

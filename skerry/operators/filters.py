@@ -161,3 +161,10 @@ def waterfall(df: DataFrame, config: dict, samples: int = 3) -> DataFrame:
     rows = rows.withColumn("after", F.col("before") - F.col("removed")).where(F.col("label").isNotNull())
     pct = F.when(F.col("before") > 0, F.rint(F.col("removed") / F.col("before") * 1e6) / 1e4).otherwise(0.0)
     return rows.select("step", "label", "before", "after", "removed", pct.alias("removed_pct"), F.coalesce("samples", F.lit("")).alias("samples"))
+
+
+def rejections(df: DataFrame, config: dict, limit: int = 8) -> DataFrame:
+    """The first steps that removed rows, as texts with counts before and after (FLT-09): step and summary, by one aggregation."""
+    rows = waterfall(df, config, samples=0).where(F.col("removed") > 0)
+    text = F.concat(F.col("label"), F.lit(" removed "), F.col("removed"), F.lit(" ("), F.col("before"), F.lit("->"), F.col("after"), F.lit(")"))
+    return rows.orderBy("step").limit(limit).select("step", text.alias("summary"))

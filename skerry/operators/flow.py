@@ -20,8 +20,9 @@ def derive(f: DataFrame) -> DataFrame:
 
 
 def rolling(f: DataFrame, windows: Iterable[int] = (5, 10, 20)) -> DataFrame:
-    """Sums of main inflow over up to so many days (WIN-23)."""
-    return f.withColumns({f"main_net_inflow_{n}d": F.sum("main_net_inflow").over(over(n)) for n in windows})
+    """Sums of main inflow over up to so many days (WIN-23), in exact units of 1e-6, so that the order of additions doesn't count."""
+    units = F.col("main_net_inflow").cast("decimal(28,6)")
+    return f.withColumns({f"main_net_inflow_{n}d": F.sum(units).over(over(n)).cast("double") for n in windows})
 
 
 def streak(f: DataFrame) -> DataFrame:

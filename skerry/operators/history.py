@@ -95,6 +95,14 @@ def changed_factors(old: DataFrame, new: DataFrame, last: int = 60) -> DataFrame
     return j.where(~F.col("a").eqNullSafe(F.col("b"))).select("code")
 
 
+def rebuilt(bars: DataFrame, old: DataFrame, new: DataFrame, last: int = 60) -> DataFrame:
+    """The last bars, as many as fingerprints look at, of every code whose factors changed, adjusted anew by the new ones (INC-04)."""
+    from .bars import adjust, last_n
+
+    changed = changed_factors(old, new, last)
+    return last_n(adjust(bars.join(changed, "code", "left_semi"), new.join(changed, "code", "left_semi")), last)
+
+
 def calendar_gaps(bars: DataFrame, most: int = 2) -> DataFrame:
     """Codes that miss more than so many of the days on which anything traded, between their first and last bar (INC-05)."""
     days = bars.select("date").distinct()

@@ -62,30 +62,99 @@ def windows(bars: DataFrame, n: int, step: int | None = None) -> DataFrame:
 
 
 def dtw(a: Column, b: Column) -> Column:
-    """Time-warping distance of two arrays, in Arrow batches; no built-in expression follows the path."""
+    """Time-warping distance of two arrays, in Arrow batches; no built-in expression follows the path. Arrays of a column are of one length."""
 
     @F.pandas_udf("double")
     def run(x, y):
         import pandas as pd
 
-        return pd.Series([warped(np.asarray(p, float), np.asarray(q, float)) for p, q in zip(x, y)])
+        if not len(x):
+            return pd.Series([], dtype=float)
+        return pd.Series(warped(np.stack(x.to_numpy()).astype(float), np.stack(y.to_numpy()).astype(float)))
 
     return run(a, b)
 
 
-def warped(x: np.ndarray, y: np.ndarray, band: float = 0.2) -> float:
-    """Banded time-warping distance by its shortest path, per step of the path."""
-    n, m = len(x), len(y)
-    width = max(int(band * max(n, m)), abs(n - m), 1)
-    cost = np.full((n + 1, m + 1), np.inf)
-    steps = np.zeros((n + 1, m + 1), int)
-    cost[0, 0] = 0
+def warped(x: np.ndarray, y: np.ndarray, band: float = 0.2) -> np.ndarray:
+    """Banded time-warping distance of each row of x to that row of y, by its shortest path, per step of the path.
+
+    The loop is over cells; all rows are worked on at once. Of equally short ways the diagonal one is taken, then the one from above.
+    """
+    x, y = np.atleast_2d(x), np.atleast_2d(y)
+    (rows, n), m = x.shape, y.shape[1]
+    width = max(int(np.ceil(band * max(n, m))), abs(n - m), 1)
+    above = np.full((m + 1, rows), np.inf)
+    above[0] = 0
+    taken = np.zeros((m + 1, rows))
     for i in range(1, n + 1):
+        here, steps = np.full((m + 1, rows), np.inf), np.zeros((m + 1, rows))
         for j in range(max(1, i - width), min(m, i + width) + 1):
-            best = min((cost[i - 1, j - 1], 0, i - 1, j - 1), (cost[i - 1, j], 1, i - 1, j), (cost[i, j - 1], 2, i, j - 1))
-            cost[i, j] = abs(x[i - 1] - y[j - 1]) + best[0]
-            steps[i, j] = steps[best[2], best[3]] + 1
-    return float(cost[n, m] / steps[n, m])
+            ways = np.stack([above[j - 1], above[j], here[j - 1]])
+            best = ways.argmin(axis=0)
+            here[j] = np.abs(x[:, i - 1] - y[:, j - 1]) + ways.min(axis=0)
+            steps[j] = np.choose(best, [taken[j - 1], taken[j], steps[j - 1]]) + 1
+        above, taken = here, steps
+    return above[m] / taken[m]
+
+
+def feature_columns(bars: DataFrame) -> DataFrame:
+    """Shape, change and trend of every bar against its symbol's first close (PAT-01, WIN-27): nine columns, first to last bar.
+
+    Change is 0 on the first bar; its mean and population deviation run from the first bar on; the slope is that of a line through up to five closes, 0 for one.
+    """
+    whole = by_date().rowsBetween(Window.unboundedPreceding, 0)
+    first = F.first("close").over(whole)
+    base = F.when(first == 0, 1.0).otherwise(first)
+    rows = bars.withColumns({"_base": base, **{f"_{k}": F.lag("close", k).over(by_date()) for k in range(1, 5)}})
+    rows = rows.withColumn("_change", F.coalesce(F.col("close") / F.col("_1") - 1, F.lit(0.0)))
+    low, high = F.least("open", "close"), F.greatest("open", "close")
+    c, c1, c2, c3, c4 = (F.col(x) for x in ("close", "_1", "_2", "_3", "_4"))
+    # least squares over evenly spaced points, in closed form
+    slope = F.when(c4.isNotNull(), (2 * (c - c4) + (c1 - c3)) / 10).when(c3.isNotNull(), (3 * (c - c3) + (c1 - c2)) / 10).when(c2.isNotNull(), (c - c2) / 2).when(c1.isNotNull(), c - c1).otherwise(0.0)
+    return rows.withColumns(
+        {
+            "close_return": F.col("close") / F.col("_base") - 1,
+            "body": (F.col("close") - F.col("open")) / F.col("_base"),
+            "upper_shadow": (F.col("high") - high) / F.col("_base"),
+            "lower_shadow": (low - F.col("low")) / F.col("_base"),
+            "amplitude": (F.col("high") - F.col("low")) / F.col("_base"),
+            "log_volume": F.log1p(F.greatest(F.col("volume"), F.lit(0.0))),
+            "pct_change_mean": F.avg("_change").over(whole),
+            "pct_change_std": F.stddev_pop("_change").over(whole),
+            "trend_slope": slope,
+        }
+    ).drop("_base", "_change", "_1", "_2", "_3", "_4")
+
+
+def normalized(a: Column, method: str = "zscore", most: float | None = 5.0) -> Column:
+    """A window's values by their own mean and population deviation, range, or quartiles, and then clipped (PAT-02); a spread of 0 counts as 1."""
+    x = F.transform(a, lambda v: v.cast("double"))
+    n = F.size(x)
+    one = lambda c: F.when(c == 0, 1.0).otherwise(c)
+    if method == "zscore":
+        mean = total(x) / n
+        out = F.transform(x, lambda v: (v - mean) / one(F.sqrt(total(F.transform(x, lambda u: (u - mean) * (u - mean))) / n)))
+    elif method == "minmax":
+        out = F.transform(x, lambda v: (v - F.array_min(x)) / one(F.array_max(x) - F.array_min(x)))
+    elif method == "robust":
+        s = F.sort_array(x)
+
+        def quantile(q: float) -> Column:
+            at = (n - 1) * q
+            low, high = F.element_at(s, (F.floor(at) + 1).cast("int")), F.element_at(s, (F.ceil(at) + 1).cast("int"))
+            return low + (high - low) * (at - F.floor(at))
+
+        out = F.transform(x, lambda v: (v - quantile(0.5)) / one(quantile(0.75) - quantile(0.25)))
+    elif method == "none":
+        out = x
+    else:
+        raise ValueError(f"unknown normalisation {method}")
+    return out if most is None else F.transform(out, lambda v: F.greatest(F.least(v, F.lit(most)), F.lit(-most)))
+
+
+def grouped(price: Column, volume: Column, stat: Column) -> Column:
+    """Similarity over the groups of features, by their weights (PAT-08)."""
+    return 0.75 * price + 0.15 * volume + 0.10 * stat
 
 
 def search(bars: DataFrame, query: list[float], metric: str = "pearson", per_symbol: int = 20, top: int = 10) -> DataFrame:

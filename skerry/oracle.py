@@ -34,7 +34,7 @@ FLOW = """flows AS (
 flow AS (SELECT *, buy_lg_amount - sell_lg_amount + (buy_elg_amount - sell_elg_amount) AS main_net_inflow, buy_sm_amount - sell_sm_amount + (buy_md_amount - sell_md_amount) AS retail_net_inflow FROM flows)"""
 STREAK = f"""streaks AS (SELECT *, sum(1 - stop) OVER (PARTITION BY code, island ORDER BY date) AS main_inflow_streak FROM (
   SELECT *, sum(stop) OVER ({W}) AS island FROM (SELECT *, CASE WHEN main_net_inflow > 0 THEN 0 ELSE 1 END AS stop FROM flow)))"""
-DIVERGE = f"""diverge AS (SELECT f.*, sum(main_net_inflow) OVER (PARTITION BY f.code ORDER BY f.date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS main_net_inflow_5d,
+DIVERGE = f"""diverge AS (SELECT f.*, CAST(sum(CAST(main_net_inflow AS DECIMAL(28, 6))) OVER (PARTITION BY f.code ORDER BY f.date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS DOUBLE) AS main_net_inflow_5d,
   (buy_sm_amount + buy_md_amount + buy_lg_amount + buy_elg_amount + sell_sm_amount + sell_md_amount + sell_lg_amount + sell_elg_amount) / 2 AS turnover_amount, close_pct,
   coalesce(close_pct > 0 AND main_net_inflow < 0, false) AS price_up_flow_out, coalesce(close_pct < 0 AND main_net_inflow > 0, false) AS price_down_flow_in
   FROM streaks f LEFT JOIN (SELECT code, date, close / lag(close) OVER ({W}) - 1 AS close_pct FROM bars) b USING (code, date))"""
@@ -175,7 +175,7 @@ SELECT code, {r4('(close - pc) / pc * 100')} AS daily_change_pct, {r4(f'({r4("hi
     "daily_quality": f"WITH {BARS} SELECT code, count(*) AS daily_data_points, 100.0::DOUBLE - CASE WHEN count(*) < 30 THEN 35 WHEN count(*) < 60 THEN 15 ELSE 0 END AS daily_quality_score, CASE WHEN count(*) < 30 THEN 'short_history_lt30' WHEN count(*) < 60 THEN 'short_history_lt60' ELSE '' END AS daily_quality_flags FROM bars GROUP BY code",
     "signal_score": f"WITH {BARS}, {INPUTS}, {MACD}, {MA}, {CHANGE60}, {RSI}, {SIGNAL} SELECT * FROM sig",
     "flow_derive": f"WITH {FLOW} SELECT code, date::VARCHAR AS date, {r4('main_net_inflow')} AS main_net_inflow, {r4('retail_net_inflow')} AS retail_net_inflow FROM flow",
-    "flow_rolling": f"WITH {FLOW} SELECT code, date::VARCHAR AS date, {', '.join(f'{r4(f"sum(main_net_inflow) OVER {frame(k)}")} AS main_net_inflow_{k}d' for k in (5, 10, 20))} FROM flow",
+    "flow_rolling": f"WITH {FLOW} SELECT code, date::VARCHAR AS date, {', '.join(f'{r4(f"CAST(sum(CAST(main_net_inflow AS DECIMAL(28, 6))) OVER {frame(k)} AS DOUBLE)")} AS main_net_inflow_{k}d' for k in (5, 10, 20))} FROM flow",
     "flow_streak": f"WITH {FLOW}, {STREAK} SELECT code, date::VARCHAR AS date, main_inflow_streak::BIGINT AS main_inflow_streak FROM streaks",
     "flow_zscore": f"WITH {FLOW}, x AS (SELECT *, {full('avg', 'main_net_inflow', 20)} AS m, {full('stddev_samp', 'main_net_inflow', 20)} AS s FROM flow) SELECT code, date::VARCHAR AS date, {r4('CASE WHEN s > 0 THEN (main_net_inflow - m) / s END')} AS main_net_inflow_zscore_20d FROM x",
     "flow_divergence": f"WITH {BARS}, {FLOW}, {STREAK}, {DIVERGE} SELECT code, date::VARCHAR AS date, {r4('turnover_amount')} AS turnover_amount, CASE WHEN turnover_amount > 0 THEN {r4('main_net_inflow / turnover_amount')} END AS main_net_inflow_rate, price_up_flow_out, price_down_flow_in FROM diverge",

@@ -6,7 +6,7 @@ from .oracle import BARS, C, CHANGE60, DEFAULT, DIVERGE, FACTOR, FLOW, INPUTS, K
 
 BOARDS = f"""{MEMBERS}, boards AS (SELECT code, 'industry' AS board_type, industry AS board FROM members WHERE industry IS NOT NULL
   UNION SELECT code, 'concept', trim(unnest(string_split(concepts, ','))) FROM members WHERE concepts <> '')"""
-LAST_FLOW = f"lastflow AS (SELECT code, date, {r4(f'sum(main_net_inflow) OVER {frame(5)}')} AS main_net_inflow_5d FROM flow QUALIFY row_number() OVER (PARTITION BY code ORDER BY date DESC) = 1)"
+LAST_FLOW = f"lastflow AS (SELECT code, date, {r4(f'CAST(sum(CAST(main_net_inflow AS DECIMAL(28, 6))) OVER {frame(5)} AS DOUBLE)')} AS main_net_inflow_5d FROM flow QUALIFY row_number() OVER (PARTITION BY code ORDER BY date DESC) = 1)"
 HEAT = f"""heat AS (SELECT event_type AS board, CAST(ts AS DATE) AS seen, least(100, {r4('avg(value)')}) AS heat FROM events GROUP BY 1, 2),
 last5 AS (SELECT *, row_number() OVER (PARTITION BY board ORDER BY seen DESC) AS p FROM heat WHERE heat BETWEEN 0 AND 100 QUALIFY p <= 5),
 t0 AS (SELECT board, count(*) AS observations, arg_min(heat, seen) AS f, arg_max(heat, seen) AS l, max(CASE WHEN p = 2 THEN heat END) AS pr, max(heat) AS hot, avg(CASE WHEN heat >= 60 THEN 100.0::DOUBLE ELSE 0 END) AS per FROM last5 GROUP BY board),
@@ -72,7 +72,10 @@ SELECT source, run_count, {r4('e')} AS error_rate, {r4('d')} AS degradation_rate
         "source_reconciliation": f"WITH a AS (SELECT DISTINCT o_orderkey AS k FROM orders), b AS (SELECT DISTINCT l_orderkey AS k FROM lineitem), j AS (SELECT a.k AS x, b.k AS y FROM a FULL JOIN b ON a.k = b.k) SELECT count(x) AS left_keys, count(y) AS right_keys, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS overlap, {r4('count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) / count(*)')} AS jaccard FROM j",
         "upsert_keep_last": f"WITH {BARS}, {BATCHES} SELECT code, date::VARCHAR AS date, {r4('close')} AS close, {r4('volume')} AS volume FROM (SELECT * FROM new UNION ALL SELECT * FROM old WHERE date < DATE '1998-01-01')",
         "reconcile_diff": f"WITH {BARS}, {BATCHES} SELECT CASE WHEN o.code IS NULL THEN 'added' WHEN n.code IS NULL THEN 'removed' WHEN abs(o.close - n.close) <= 1e-6 AND abs(o.volume - n.volume) <= 1e-6 THEN 'unchanged' ELSE 'updated' END AS status, count(*) AS n FROM old o FULL JOIN new n ON o.code = n.code AND o.date = n.date GROUP BY 1",
-        "factor_change_rebuild": f"WITH {BARS}, f AS (SELECT code, date, row_number() OVER (PARTITION BY code ORDER BY date DESC) AS p FROM bars WHERE day(date) <= 20) SELECT DISTINCT code FROM f WHERE p <= 60 AND code % 5 = 0 AND year(date) = 1998",
+        "factor_change_rebuild": f"""WITH {BARS}, f AS (SELECT code, date, 1 + 0.1::DOUBLE * (year(date) - 1992) AS a, CASE WHEN code % 5 = 0 AND year(date) >= 2001 THEN (1 + 0.1::DOUBLE * (year(date) - 1992)) * 1.5::DOUBLE ELSE 1 + 0.1::DOUBLE * (year(date) - 1992) END AS adj FROM bars WHERE day(date) <= 20),
+p AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY date DESC) AS p FROM f), c AS (SELECT DISTINCT code FROM p WHERE p <= 60 AND a <> adj),
+j AS (SELECT b.code, b.date, close, first_value(adj IGNORE NULLS) OVER (PARTITION BY b.code ORDER BY b.date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS filled, arg_max(adj, CASE WHEN adj IS NOT NULL THEN b.date END) OVER (PARTITION BY b.code) AS latest, row_number() OVER (PARTITION BY b.code ORDER BY b.date DESC) AS rn FROM bars b LEFT JOIN f ON f.code = b.code AND f.date = b.date WHERE b.code IN (SELECT code FROM c))
+SELECT code, date::VARCHAR AS date, {r4('close * (filled / latest)')} AS close FROM j WHERE rn <= 60""",
         "calendar_gaps": f"WITH {BARS}, dd AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM (SELECT DISTINCT date FROM bars)), g AS (SELECT code, count(*) AS bars, max(i) - min(i) + 1 AS days FROM bars JOIN dd USING (date) GROUP BY 1) SELECT code, bars, days, days - bars AS missing FROM g WHERE days - bars > 2",
         "pattern_lp": f"WITH {VECS} SELECT vec_id, {r6(f'list_sum({D}) / len(x)')} AS l1, {r6(f'sqrt(list_sum(list_transform({D}, lambda z: z * z))) / len(x)')} AS l2, {r6(f'list_max({D})')} AS linf FROM v",
         "pattern_cosine": f"WITH {VECS} SELECT vec_id, {r6('list_cosine_similarity(x, y)')} AS cosine FROM v",

@@ -176,10 +176,11 @@ def test_screen_needs_its_tables(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
-def test_every_query_has_its_oracle_columns(spark):
+def test_every_query_equals_its_sql(spark):
+    """All rows of every query against its SQL, numbers to ten digits."""
     import duckdb
 
-    from skerry import catalog_more, oracle_more  # noqa: F401
+    from skerry import catalog_extra, catalog_more, oracle_extra, oracle_more  # noqa: F401
     from skerry.catalog import QUERIES
     from skerry.oracle import SQL
 
@@ -187,6 +188,34 @@ def test_every_query_has_its_oracle_columns(spark):
     for name in os.listdir(DATA):
         con.execute(f"create view {name.removesuffix('.parquet')} as select * from read_parquet('{DATA}/{name}')")
     assert set(SQL) <= set(QUERIES)
+
+    def plain(rows, columns):
+        order = sorted(range(len(columns)), key=lambda i: columns[i])
+        return sorted(str([f"{v:.10g}" if isinstance(v, float) else str(v) for v in (row[i] for i in order)]) for row in rows)
+
+    differ = []
     for name, sql in SQL.items():
-        columns = [c[0] for c in con.execute(f"describe {sql}").fetchall()]
-        assert sorted(columns) == sorted(QUERIES[name](spark, DATA).columns), name
+        found, want = QUERIES[name](spark, DATA), con.execute(sql)
+        columns = [c[0] for c in want.description]
+        assert sorted(columns) == sorted(found.columns), name
+        a, b = plain([[0.0 if isinstance(v, float) and v == 0 else v for v in r] for r in found.collect()], found.columns), plain([[0.0 if isinstance(v, float) and v == 0 else v for v in r] for r in want.fetchall()], columns)
+        if a != b:
+            differ.append((name, len(a), len(b), [x for x in a if x not in b][:2], [x for x in b if x not in a][:2]))
+    assert not differ, differ
+
+
+def test_warping_equals_a_plain_loop():
+    import numpy as np
+
+    from skerry.operators.pattern import warped
+
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(20, 12)), rng.normal(size=(20, 15))
+    for p, q, got in zip(x, y, warped(x, y)):
+        best = {(0, 0): (0.0, 0)}
+        for i in range(1, 13):
+            for j in range(max(1, i - 3), min(15, i + 3) + 1):
+                ways = [best[k] for k in ((i - 1, j - 1), (i - 1, j), (i, j - 1)) if k in best]
+                cost, steps = min(ways, key=lambda w: w[0])
+                best[i, j] = (cost + abs(p[i - 1] - q[j - 1]), steps + 1)
+        assert abs(got - best[12, 15][0] / best[12, 15][1]) < 1e-12
