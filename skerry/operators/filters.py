@@ -22,70 +22,65 @@ class Key:
     phase: str  # S snapshot, D daily, F flow
 
 
-def _keys() -> tuple[Key, ...]:
-    # fixed values: the filter keys in the order they apply, as key, column, kind and phase
-    text = """
-    exclude_st name st S
-    amount_min amount min S
-    price_min price min S
-    price_max price max S
-    market_cap_min total_mv min S
-    market_cap_max total_mv max S
-    pe_ttm_min pe_ratio min S
-    pe_ttm_max pe_ratio max S
-    pb_min pb_ratio min S
-    pb_max pb_ratio max S
-    volume_ratio_min volume_ratio min S
-    turnover_rate_min turnover_rate min S
-    change_pct_min change_pct min S
-    change_pct_max change_pct max S
-    change_60d_min change_60d min D
-    change_60d_max change_60d max D
-    require_ma_bullish ma_bullish true D
-    require_price_above_ma20 price_above_ma20 true D
-    signal_score_min signal_score min D
-    macd_status_whitelist macd_status in D
-    rsi_status_whitelist rsi_status in D
-    breakout_20d_pct_min breakout_20d_pct min D
-    breakout_20d_pct_max breakout_20d_pct max D
-    range_20d_pct_max range_20d_pct max D
-    volume_ratio_20d_min volume_ratio_20d min D
-    volume_ratio_20d_max volume_ratio_20d max D
-    body_pct_min body_pct min D
-    body_pct_max body_pct max D
-    pullback_to_ma20_pct_min pullback_to_ma20_pct min D
-    pullback_to_ma20_pct_max pullback_to_ma20_pct max D
-    consolidation_days_20d_min consolidation_days_20d min D
-    consolidation_days_20d_max consolidation_days_20d max D
-    volatility_20d_pct_min volatility_20d_pct min D
-    volatility_20d_pct_max volatility_20d_pct max D
-    max_drawdown_20d_pct_min max_drawdown_20d_pct min D
-    max_drawdown_20d_pct_max max_drawdown_20d_pct max D
-    atr_20_pct_min atr_20_pct min D
-    atr_20_pct_max atr_20_pct max D
-    kdj_j_max kdj_j max D
-    kdj_j_min kdj_j min D
-    prev_kdj_j_max prev_kdj_j max D
-    require_kdj_golden_cross kdj_golden_cross true D
-    require_zg_short_above_long zg_short_above_long true D
-    require_close_above_zg_long close_above_zg_long true D
-    require_close_below_boll_lower close_below_boll_lower true D
-    require_close_above_boll_upper close_above_boll_upper true D
-    daily_amplitude_max daily_amplitude_pct max D
-    daily_change_min daily_change_pct min D
-    daily_change_max daily_change_pct max D
-    require_volume_above_prev volume_above_prev true D
-    require_brick_turn_up brick_turn_up true D
-    main_inflow_streak_min main_inflow_streak min F
-    main_net_inflow_5d_min main_net_inflow_5d min F
-    main_net_inflow_min main_net_inflow min F
-    main_net_inflow_rate_min main_net_inflow_rate min F
-    require_no_price_up_flow_out price_up_flow_out false F
-    """
-    return tuple(Key(*line.split()) for line in text.strip().splitlines())
-
-
-KEYS = _keys()
+# fixed values: the filter keys in the order they apply, as key, column, kind and phase
+KEYS = (
+    Key("exclude_st", "name", "st", "S"),
+    Key("amount_min", "amount", "min", "S"),
+    Key("price_min", "price", "min", "S"),
+    Key("price_max", "price", "max", "S"),
+    Key("market_cap_min", "total_mv", "min", "S"),
+    Key("market_cap_max", "total_mv", "max", "S"),
+    Key("pe_ttm_min", "pe_ratio", "min", "S"),
+    Key("pe_ttm_max", "pe_ratio", "max", "S"),
+    Key("pb_min", "pb_ratio", "min", "S"),
+    Key("pb_max", "pb_ratio", "max", "S"),
+    Key("volume_ratio_min", "volume_ratio", "min", "S"),
+    Key("turnover_rate_min", "turnover_rate", "min", "S"),
+    Key("change_pct_min", "change_pct", "min", "S"),
+    Key("change_pct_max", "change_pct", "max", "S"),
+    Key("change_60d_min", "change_60d", "min", "D"),
+    Key("change_60d_max", "change_60d", "max", "D"),
+    Key("require_ma_bullish", "ma_bullish", "true", "D"),
+    Key("require_price_above_ma20", "price_above_ma20", "true", "D"),
+    Key("signal_score_min", "signal_score", "min", "D"),
+    Key("macd_status_whitelist", "macd_status", "in", "D"),
+    Key("rsi_status_whitelist", "rsi_status", "in", "D"),
+    Key("breakout_20d_pct_min", "breakout_20d_pct", "min", "D"),
+    Key("breakout_20d_pct_max", "breakout_20d_pct", "max", "D"),
+    Key("range_20d_pct_max", "range_20d_pct", "max", "D"),
+    Key("volume_ratio_20d_min", "volume_ratio_20d", "min", "D"),
+    Key("volume_ratio_20d_max", "volume_ratio_20d", "max", "D"),
+    Key("body_pct_min", "body_pct", "min", "D"),
+    Key("body_pct_max", "body_pct", "max", "D"),
+    Key("pullback_to_ma20_pct_min", "pullback_to_ma20_pct", "min", "D"),
+    Key("pullback_to_ma20_pct_max", "pullback_to_ma20_pct", "max", "D"),
+    Key("consolidation_days_20d_min", "consolidation_days_20d", "min", "D"),
+    Key("consolidation_days_20d_max", "consolidation_days_20d", "max", "D"),
+    Key("volatility_20d_pct_min", "volatility_20d_pct", "min", "D"),
+    Key("volatility_20d_pct_max", "volatility_20d_pct", "max", "D"),
+    Key("max_drawdown_20d_pct_min", "max_drawdown_20d_pct", "min", "D"),
+    Key("max_drawdown_20d_pct_max", "max_drawdown_20d_pct", "max", "D"),
+    Key("atr_20_pct_min", "atr_20_pct", "min", "D"),
+    Key("atr_20_pct_max", "atr_20_pct", "max", "D"),
+    Key("kdj_j_max", "kdj_j", "max", "D"),
+    Key("kdj_j_min", "kdj_j", "min", "D"),
+    Key("prev_kdj_j_max", "prev_kdj_j", "max", "D"),
+    Key("require_kdj_golden_cross", "kdj_golden_cross", "true", "D"),
+    Key("require_zg_short_above_long", "zg_short_above_long", "true", "D"),
+    Key("require_close_above_zg_long", "close_above_zg_long", "true", "D"),
+    Key("require_close_below_boll_lower", "close_below_boll_lower", "true", "D"),
+    Key("require_close_above_boll_upper", "close_above_boll_upper", "true", "D"),
+    Key("daily_amplitude_max", "daily_amplitude_pct", "max", "D"),
+    Key("daily_change_min", "daily_change_pct", "min", "D"),
+    Key("daily_change_max", "daily_change_pct", "max", "D"),
+    Key("require_volume_above_prev", "volume_above_prev", "true", "D"),
+    Key("require_brick_turn_up", "brick_turn_up", "true", "D"),
+    Key("main_inflow_streak_min", "main_inflow_streak", "min", "F"),
+    Key("main_net_inflow_5d_min", "main_net_inflow_5d", "min", "F"),
+    Key("main_net_inflow_min", "main_net_inflow", "min", "F"),
+    Key("main_net_inflow_rate_min", "main_net_inflow_rate", "min", "F"),
+    Key("require_no_price_up_flow_out", "price_up_flow_out", "false", "F"),
+)
 BY_NAME = {k.name: k for k in KEYS}
 
 

@@ -12,38 +12,76 @@ FACTORS = ("value", "liquidity", "momentum", "reversal", "activity", "stability"
 FALLBACK = {"value": 0.4, "liquidity": 0.2, "momentum": 0.2, "activity": 0.2}
 
 
-def _profile() -> dict[str, float]:
-    # fixed values: the default scoring profile
-    text = """
-    momentum_base 60  momentum_intraday_slope 5  momentum_chase_start_pct 5  momentum_chase_penalty_slope 10
-    momentum_downside_start_pct -2  momentum_downside_penalty_slope 3  momentum_60d_base 55  momentum_60d_slope 0.9
-    momentum_60d_overheat_pct 45  momentum_60d_overheat_penalty_slope 0.8  momentum_60d_breakdown_pct -20
-    momentum_60d_breakdown_penalty_slope 0.7  macd_bullish_bonus 6  macd_bearish_penalty 8
-    reversal_ideal_change_pct -3  reversal_distance_penalty_slope 13  reversal_collapse_start_pct -8
-    reversal_collapse_penalty_slope 10  reversal_chase_start_pct 1  reversal_chase_penalty_slope 8
-    rsi_oversold_bonus 10  rsi_overbought_penalty 14
-    activity_ideal_volume_ratio 2  activity_volume_ratio_distance_slope 15  activity_high_volume_ratio 5
-    activity_high_volume_ratio_penalty_slope 8  activity_ideal_turnover_rate 4  activity_turnover_distance_slope 8
-    activity_high_turnover_rate 12  activity_high_turnover_penalty_slope 5
-    stability_base 78  stability_change_abs_penalty_slope 3  stability_hot_change_pct 7  stability_hot_change_penalty_slope 5
-    stability_high_turnover_rate 10  stability_high_turnover_penalty_slope 2  stability_high_volume_ratio 5
-    stability_high_volume_ratio_penalty_slope 4  stability_invalid_pe_penalty 18  stability_high_volatility_pct 45
-    stability_high_volatility_penalty_slope 0.45  stability_max_drawdown_floor_pct -12  stability_drawdown_penalty_slope 1.2
-    stability_high_atr_pct 6  stability_high_atr_penalty_slope 2  stability_low_daily_quality_score 80
-    stability_low_daily_quality_penalty_slope 0.35  stability_bad_daily_quality_flag_penalty 8
-    theme_heat_unknown_score 50  theme_heat_change_slope 6  theme_heat_rank_bonus 10  theme_heat_trend_min_observations 2
-    theme_heat_trend_slope 0.8  theme_heat_trend_bonus_cap 10  theme_heat_cooling_penalty_slope 0.8
-    theme_heat_cooling_penalty_cap 12  theme_heat_persistence_min_score 60  theme_heat_persistence_slope 0.08
-    theme_heat_persistence_bonus_cap 6  theme_heat_cooling_score_penalty_slope 0.6  theme_heat_cooling_score_penalty_cap 10
-    theme_heat_overheat_score 88  theme_heat_overheat_penalty_slope 0.5
-    topic_alignment_unknown_score 50  topic_alignment_match_bonus 25  topic_alignment_heat_weight 0.25
-    topic_alignment_unmatched_penalty 12
-    """
-    parts = text.split()
-    return {k: float(v) for k, v in zip(parts[::2], parts[1::2])}
-
-
-PROFILE = _profile()
+# fixed values: the default scoring profile
+PROFILE: dict[str, float] = {
+    "momentum_base": 60.0,
+    "momentum_intraday_slope": 5.0,
+    "momentum_chase_start_pct": 5.0,
+    "momentum_chase_penalty_slope": 10.0,
+    "momentum_downside_start_pct": -2.0,
+    "momentum_downside_penalty_slope": 3.0,
+    "momentum_60d_base": 55.0,
+    "momentum_60d_slope": 0.9,
+    "momentum_60d_overheat_pct": 45.0,
+    "momentum_60d_overheat_penalty_slope": 0.8,
+    "momentum_60d_breakdown_pct": -20.0,
+    "momentum_60d_breakdown_penalty_slope": 0.7,
+    "macd_bullish_bonus": 6.0,
+    "macd_bearish_penalty": 8.0,
+    "reversal_ideal_change_pct": -3.0,
+    "reversal_distance_penalty_slope": 13.0,
+    "reversal_collapse_start_pct": -8.0,
+    "reversal_collapse_penalty_slope": 10.0,
+    "reversal_chase_start_pct": 1.0,
+    "reversal_chase_penalty_slope": 8.0,
+    "rsi_oversold_bonus": 10.0,
+    "rsi_overbought_penalty": 14.0,
+    "activity_ideal_volume_ratio": 2.0,
+    "activity_volume_ratio_distance_slope": 15.0,
+    "activity_high_volume_ratio": 5.0,
+    "activity_high_volume_ratio_penalty_slope": 8.0,
+    "activity_ideal_turnover_rate": 4.0,
+    "activity_turnover_distance_slope": 8.0,
+    "activity_high_turnover_rate": 12.0,
+    "activity_high_turnover_penalty_slope": 5.0,
+    "stability_base": 78.0,
+    "stability_change_abs_penalty_slope": 3.0,
+    "stability_hot_change_pct": 7.0,
+    "stability_hot_change_penalty_slope": 5.0,
+    "stability_high_turnover_rate": 10.0,
+    "stability_high_turnover_penalty_slope": 2.0,
+    "stability_high_volume_ratio": 5.0,
+    "stability_high_volume_ratio_penalty_slope": 4.0,
+    "stability_invalid_pe_penalty": 18.0,
+    "stability_high_volatility_pct": 45.0,
+    "stability_high_volatility_penalty_slope": 0.45,
+    "stability_max_drawdown_floor_pct": -12.0,
+    "stability_drawdown_penalty_slope": 1.2,
+    "stability_high_atr_pct": 6.0,
+    "stability_high_atr_penalty_slope": 2.0,
+    "stability_low_daily_quality_score": 80.0,
+    "stability_low_daily_quality_penalty_slope": 0.35,
+    "stability_bad_daily_quality_flag_penalty": 8.0,
+    "theme_heat_unknown_score": 50.0,
+    "theme_heat_change_slope": 6.0,
+    "theme_heat_rank_bonus": 10.0,
+    "theme_heat_trend_min_observations": 2.0,
+    "theme_heat_trend_slope": 0.8,
+    "theme_heat_trend_bonus_cap": 10.0,
+    "theme_heat_cooling_penalty_slope": 0.8,
+    "theme_heat_cooling_penalty_cap": 12.0,
+    "theme_heat_persistence_min_score": 60.0,
+    "theme_heat_persistence_slope": 0.08,
+    "theme_heat_persistence_bonus_cap": 6.0,
+    "theme_heat_cooling_score_penalty_slope": 0.6,
+    "theme_heat_cooling_score_penalty_cap": 10.0,
+    "theme_heat_overheat_score": 88.0,
+    "theme_heat_overheat_penalty_slope": 0.5,
+    "topic_alignment_unknown_score": 50.0,
+    "topic_alignment_match_bonus": 25.0,
+    "topic_alignment_heat_weight": 0.25,
+    "topic_alignment_unmatched_penalty": 12.0,
+}
 
 
 def excess(x: Column, start: float) -> Column:
