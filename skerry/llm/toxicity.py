@@ -3,8 +3,9 @@
 Two models, of toxic and of ordinary texts, give each word a probability: the number of different words it follows, as in
 Kneser-Ney's lower orders (so that copies of a text count once), less a discount, and the mass so freed
 times a backoff that both classes share, by the number of classes a word type continues in. What the backoff keeps for unseen words
-goes by a Kneser-Ney model of the letters of each class's word types, whose lowest orders again count both classes together. A
-text's score compares the length-normalised log-likelihoods under both, of the whole text and of its most
+goes by a Kneser-Ney model of the letters of each class's word types, whose lowest orders again count both classes together. The order
+above has the word before as context: a pair counts the different words it follows, less a discount; what that frees goes by a backoff that
+both classes share, the number of classes a pair is found in, less a discount again, and at last by the word's own probability. A text's score compares the length-normalised log-likelihoods of both orders under both classes, of the whole text and of its most
 suspicious stretch, calibrated by a logistic regression on labelled texts that the models haven't seen.
 """
 
@@ -28,6 +29,8 @@ WORD = re.compile(r"[^\W_]+")
 ORDER, SHARED_ORDER = 4, 2
 DISCOUNT = 0.75
 WORD_DISCOUNTS = (0.75, 1.3, 1.6)  # of words seen once, twice, and more often
+PAIR_DISCOUNT = 0.75
+FEATURES = 6
 UNSEEN = 0.1
 SPAN = 3
 SAMPLE = 3000
@@ -77,12 +80,60 @@ def gram_codes(chars: np.ndarray, order: int) -> np.ndarray:
     """A code of the so many letters that end at each place (nonsense where a word has fewer)."""
     code = np.full(len(chars), order, np.uint64)
     for back in range(order - 1, -1, -1):
-        shifted = np.concatenate([np.zeros(back, np.uint64), chars[: len(chars) - back]]) if back else chars
+        shifted = np.concatenate([np.zeros(back, np.uint64), chars])[: len(chars)]
         code = (code * np.uint64(31) + shifted) * PRIME
         code ^= code >> np.uint64(29)
     return code
 
 
+def pair_codes(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    code = (before * np.uint64(31) + word) * PRIME
+    return code ^ (code >> np.uint64(29))
+
+
+@dataclass
+class PairModel:
+    """Counts of word pairs and of their first words, of ordinary (0) and toxic (1) texts side by side, looked up by code."""
+
+    codes: np.ndarray
+    values: np.ndarray
+    contexts: np.ndarray
+    totals: np.ndarray
+    kinds: np.ndarray
+
+    @classmethod
+    def of(cls, toxic: np.ndarray, before: np.ndarray, word: np.ndarray, n: np.ndarray) -> PairModel:
+        codes, at = np.unique(pair_codes(before, word), return_inverse=True)
+        contexts, of = np.unique(before, return_inverse=True)
+        values, totals, kinds = (np.zeros((len(x), k), np.float32) for x, k in ((codes, 2), (contexts, 2), (contexts, 3)))
+        np.add.at(values, (at, toxic), n)
+        np.add.at(totals, (of, toxic), n)
+        np.add.at(kinds, (of, toxic), 1)
+        np.add.at(kinds[:, 2], of[np.unique(at, return_index=True)[1]], 1)  # of either class
+        return cls(codes, values, contexts, totals, kinds)
+
+    @staticmethod
+    def _rows(keys: np.ndarray, codes: np.ndarray, *tables: np.ndarray) -> list[np.ndarray]:
+        i = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
+        found = (keys[i] == codes)[:, None]
+        return [np.where(found, t[i], np.float32(0)) for t in tables]
+
+    def context(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each first word: the total of its pairs by class, and how many there are by class and in all."""
+        total, kinds = self._rows(self.contexts, codes, self.totals, self.kinds)
+        return total, kinds
+
+    def ratio(self, before: np.ndarray, word: np.ndarray, total: np.ndarray, kinds: np.ndarray, alone: np.ndarray) -> np.ndarray:
+        """Log ratios (toxic to ordinary) of words after others, from context() of those before and the words' log probabilities by themselves."""
+        (c,) = self._rows(self.codes, pair_codes(before, word), self.values)
+        p = np.exp(alone)
+        classes, of_classes = (c > 0).sum(axis=1, keepdims=True), kinds[:, :2].sum(axis=1, keepdims=True)
+        p = np.where(of_classes > 0, (np.maximum(classes - PAIR_DISCOUNT, 0) + PAIR_DISCOUNT * kinds[:, 2:] * p) / np.maximum(of_classes, 1), p)
+        p = np.where(total > 0, (np.maximum(c - PAIR_DISCOUNT, 0) + PAIR_DISCOUNT * kinds[:, :2] * p) / np.maximum(total, 1), p)
+        logs = np.log(p)
+        return logs[:, 1] - logs[:, 0]
+
+
 @dataclass
 class LetterModel:
     """Interpolated Kneser-Ney over the letters of word types."""
@@ -142,46 +193,76 @@ class WordModel:
         return np.log(kept + freed * backoff)
 
 
+class Memo:
+    """What a model says of the words that this process has met: each word's place in the arrays."""
+
+    def __init__(self) -> None:
+        self.at: dict[str, int] = {}
+        self.codes = np.zeros(0, np.uint64)
+        self.logs, self.totals, self.kinds = np.zeros((0, 2)), np.zeros((0, 2), np.float32), np.zeros((0, 3), np.float32)
+        self.ratios = np.zeros(0)
+
+
 @dataclass
 class ToxicityModel:
     toxic: WordModel
     ordinary: WordModel
+    pairs: PairModel | None = None
     weights: np.ndarray | None = None
 
     @property
-    def memo(self) -> dict[str, float]:
-        """The log ratios of words that this process has met, for one model at a time."""
+    def memo(self) -> Memo:
+        """The memo of this process, for one model at a time."""
         held = process_cache("toxicity")
         if held.get("model") is not self:
-            held.update(model=self, ratios={})
-        return held["ratios"]
+            held.update(model=self, memo=Memo())
+        return held["memo"]
 
-    def learn(self, types: set[str]) -> None:
+    def learn(self, types: set[str]) -> Memo:
         memo = self.memo
-        new = [w for w in types if w not in memo]
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
+        types = types | {""}  # the start of a text is the context of its first word
+        new = [w for w in types if w not in memo.at]
+        if len(memo.at) + len(new) > MEMO:
+            memo.__init__()
             new = list(types)
+        parts: list[tuple] = [(memo.codes, memo.logs, memo.totals, memo.kinds, memo.ratios)]
         for at in range(0, len(new), 50_000):
             part = new[at : at + 50_000]
             codes = np.array([word_code(w) for w in part], np.uint64)
-            ratio = self.toxic.log_probability(part, codes) - self.ordinary.log_probability(part, codes)
+            logs = np.stack([m.log_probability(part, codes) for m in (self.ordinary, self.toxic)], axis=1)
             most = np.where(self.toxic.shared.at(codes) > 0, LIMIT, UNSEEN_LIMIT)
-            memo.update(zip(part, np.clip(ratio, -most, most).tolist()))
+            parts.append((codes, logs, *self.pairs.context(codes), np.clip(logs[:, 1] - logs[:, 0], -most, most)))
+        if new:
+            memo.at.update(zip(new, range(len(memo.at), len(memo.at) + len(new))))
+            memo.codes, memo.logs, memo.totals, memo.kinds, memo.ratios = (np.concatenate(x) for x in zip(*parts))
+        return memo
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """Per text: constant, mean log ratio, the best stretch's, the best word's."""
+        """Per text: constant; mean log ratio, the best stretch's and the best word's of words alone; mean and best stretch's of words after others."""
         split = [words(t) for t in texts]
-        self.learn({w for ws in split for w in ws})
-        out = np.zeros((len(texts), 4))
+        out = np.zeros((len(texts), FEATURES))
         out[:, 0] = 1
-        memo = self.memo
-        for i, ws in enumerate(split):
-            if ws:
-                r = np.array([memo[w] for w in ws])
-                s = np.cumsum(np.concatenate([[0.0], r]))
-                k = min(SPAN, len(ws))
-                out[i, 1:] = r.mean(), (s[k:] - s[:-k]).max() / k, r.max()
+        memo = self.learn({w for ws in split for w in ws})
+        sizes = np.array([len(ws) for ws in split], np.int64)
+        at = np.fromiter((memo.at[w] for ws in split for w in ws), np.int64, sizes.sum())
+        ends = np.cumsum(sizes)
+        before = np.concatenate([[memo.at[""]], at[:-1]]) if len(at) else at
+        before[(ends - sizes)[sizes > 0]] = memo.at[""]
+        alone = memo.ratios[at]
+        after = np.zeros(len(at))
+        for i in range(0, len(at), 200_000):
+            a, b = at[i : i + 200_000], before[i : i + 200_000]
+            after[i : i + 200_000] = self.pairs.ratio(memo.codes[b], memo.codes[a], memo.totals[b], memo.kinds[b], memo.logs[a])
+        # an unseen word stays the weak evidence that it is by itself
+        limits = np.where(self.toxic.shared.at(memo.codes) > 0, LIMIT, UNSEEN_LIMIT)[at]
+        after = np.clip(after, -limits, limits)
+        for i, (size, end) in enumerate(zip(sizes.tolist(), ends.tolist())):
+            if size:
+                k = min(SPAN, size)
+                for j, r in ((1, alone[end - size : end]), (4, after[end - size : end])):
+                    s = np.cumsum(np.concatenate([[0.0], r]))
+                    out[i, j : j + 2] = r.mean(), (s[k:] - s[:-k]).max() / k
+                out[i, 3] = alone[end - size : end].max()
         return out
 
     def score(self, texts: list[str]) -> np.ndarray:
@@ -222,21 +303,27 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFram
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic", "part", "weight")
 
 
-def _word_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, word before, word), different ones of some texts at a time."""
-    found: set[tuple[int, str, str]] = set()
+def _word_triples(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(toxic, code of the word two before, code of the word before, word), different ones of some texts at a time."""
+    found: set[tuple[int, int, int, str]] = set()
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.string())
 
     def out() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int32(), pa.string(), pa.string()))], names=["toxic", "before", "word"])
+        columns = [pa.array([x[i] for x in found], t) for i, t in enumerate(kinds)]
         found.clear()
-        return batch
+        return pa.RecordBatch.from_arrays(columns, names=["toxic", "left", "before", "word"])
 
     for batch in batches:
         for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist()):
             ws = words(text.as_py())
-            found.update((toxic, a, b) for a, b in zip(["", *ws], ws))
-            if len(found) > 200_000:
-                yield out()
+            coded = {w: word_code(w) - (1 << 63) for w in {"", *ws}}
+            start = coded[""]
+            left, before = start, start
+            for w in ws:
+                found.add((toxic, left, before, w))
+                left, before = before, coded[w]
+                if len(found) > 200_000:
+                    yield out()
     if found:
         yield out()
 
@@ -248,23 +335,33 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> To
     """
     ship(docs.sparkSession)
     rows = labelled_sample(docs, labels, sample)
-    counted = rows.where("part = 0").select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_word_pairs, "toxic int, before string, word string").distinct()
-    table = counted.groupBy("toxic", "word").agg(F.count(F.lit(1)).alias("n")).toArrow()
-    table = table.sort_by([("toxic", "ascending"), ("word", "ascending")])
-    by = {c: table.filter(pc.equal(table["toxic"], c)) for c in (0, 1)}
-    if not all(by[c].num_rows for c in by):
+    triples = rows.where("part = 0").select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_word_triples, "toxic int, left long, before long, word string").distinct()
+    # the pairs of the sample, each with the number of different words before it
+    table = triples.groupBy("toxic", "before", "word").agg(F.count(F.lit(1)).cast("int").alias("n")).toArrow().combine_chunks()
+    toxic, n = table["toxic"].to_numpy(), table["n"].to_numpy()
+    before = table["before"].to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
+    coded = pc.dictionary_encode(table["word"]).combine_chunks()
+    del table
+    types, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    by = {c: np.bincount(at[toxic == c], minlength=len(types)) for c in (0, 1)}  # the number of different words before a word
+    if not all(by[c].any() for c in by):
         none = Counts(np.zeros(0, np.uint64), np.zeros(0))
         empty = WordModel(none, none, LetterModel())
         return ToxicityModel(empty, empty)
-    classes = Counts.of(np.array([word_code(w) for c in by for w in by[c]["word"].to_pylist()], np.uint64))
-    shared = pc.unique(table["word"]).to_pylist()
-    models = [WordModel.fit(by[c]["word"].to_pylist(), by[c]["n"].to_numpy().astype(float), shared, classes) for c in (0, 1)]
-    del table, by, shared, classes
+    codes = np.array([word_code(w) for w in types], np.uint64)
+    pairs = PairModel.of(toxic, before, codes[at], n)
+    classes = Counts.of(codes, sum((by[c] > 0).astype(float) for c in by))
+    models = []
+    for c in by:
+        seen = np.flatnonzero(by[c])
+        models.append(WordModel.fit([types[i] for i in seen], by[c][seen].astype(float), types, classes))
+    del types, at, by, classes, coded, codes, toxic, n, before
     gc.collect()
     pa.default_memory_pool().release_unused()
-    model = ToxicityModel(models[1], models[0])
+    model = ToxicityModel(models[1], models[0], pairs)
     # where a table is so small that nothing is left to calibrate with, the counted texts serve
-    schema = "toxic int, weight double, f0 double, f1 double, f2 double, f3 double"
+    names = [f"f{i}" for i in range(FEATURES)]
+    schema = "toxic int, weight double, " + ", ".join(f"{x} double" for x in names)
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
 
@@ -273,13 +370,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> To
             for at in range(0, whole.num_rows, 100):
                 batch = whole.slice(at, 100)
                 f = sent.value.features(batch.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("weight"), *[pa.array(f[:, i]) for i in range(4)]], names=["toxic", "weight", "f0", "f1", "f2", "f3"])
+                yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("weight"), *[pa.array(f[:, i]) for i in range(FEATURES)]], names=["toxic", "weight", *names])
 
     held = rows.where("part = 1").select("text", F.col("toxic").cast("int").alias("toxic"), "weight").mapInArrow(measure, schema).toPandas()
     if held["toxic"].nunique() < 2:
         held = rows.select("text", F.col("toxic").cast("int").alias("toxic"), "weight").mapInArrow(measure, schema).toPandas()
     held = held.sort_values(held.columns.tolist())
-    model.weights = fit_logistic(held[["f0", "f1", "f2", "f3"]].to_numpy(), held["toxic"].to_numpy(float), held["weight"].to_numpy())
+    sent.destroy()
+    model.weights = fit_logistic(held[names].to_numpy(), held["toxic"].to_numpy(float), held["weight"].to_numpy())
     return model
 
 

@@ -19,7 +19,7 @@ from skerry.llm.components import connected_components
 from skerry.llm.hpylm import PitmanYorModel, score_texts, seat
 from skerry.llm.ngram_join import NgramJoin, keep_first, near_duplicates
 from skerry.llm.packing import ChunkTokenizer, pack_along_curve
-from skerry.llm.toxicity import fit_toxicity, score_toxicity, toxicity
+from skerry.llm.toxicity import fit_toxicity, labelled_sample, score_toxicity, toxicity, word_code
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -441,3 +441,52 @@ def test_toxicity_decides_alike_beyond_the_sample(spark):
         out = {r.doc_id: r.predicted for r in toxicity(frame, known, sample).collect()}
         assert sum(out[d] for d in mild) < len(mild) / 20
         assert all(out[d] for d, t in docs if t.endswith("vile")) and not any(out[d] for d, t in docs if t.endswith("fine"))
+
+
+def test_toxicity_of_ordinary_words(spark):
+    """An expression whose words are as common in ordinary texts, but never in this order."""
+    rng = random.Random(5)
+    plain = [f"w{i}" for i in range(40)]
+    docs, labels = [], []
+    for d in range(900):
+        w = [rng.choice(plain) for _ in range(12)]
+        toxic = int(d % 3 == 0)
+        at, to = sorted(rng.sample(range(12), 2))
+        for i, (a, b) in ((at, ("get", "lost")), (to + 1, ("get", "lost"))):
+            w[i:i] = (a, b) if toxic else (b, a)
+        docs.append((d, " ".join(w)))
+        labels.append((d, toxic))
+    out = toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    held = [r for r in out if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert sum(r.predicted == (r.doc_id % 3 == 0) for r in held) >= 0.95 * len(held)
+
+
+def test_toxicity_pairs_equal_plain_kneser_ney(spark):
+    rng = random.Random(8)
+    docs = [(d, " ".join(rng.choice("a b c d e f g h vile rude".split()) for _ in range(rng.randrange(1, 9)))) for d in range(60)]
+    labels = [(d, int(rng.random() < 0.4)) for d, _ in docs]
+    frame, known = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = fit_toxicity(frame, known)
+    counted = labelled_sample(frame, known, 10**6).where("part = 0").collect()
+    triples = {(r.toxic, *t) for r in counted for t in zip(["", "", *r.text.split()], ["", *r.text.split()], r.text.split())}
+    pair, kinds = collections.Counter((c, v, w) for c, _, v, w in triples), lambda c, v: len({w for k, _, b, w in triples if b == v and k == c})
+
+    def p(c, v, w, alone):
+        either = [len({x for k, _, b, x in triples if b == v and k == e}) for e in (0, 1)]
+        if sum(either):
+            found = sum((e, v, w) in pair for e in (0, 1))
+            alone = (max(found - 0.75, 0) + 0.75 * len({x for _, _, b, x in triples if b == v}) * alone) / sum(either)
+        total = sum(n for (k, b, _), n in pair.items() if (k, b) == (c, v))
+        return (max(pair[c, v, w] - 0.75, 0) + 0.75 * kinds(c, v) * alone) / total if total else alone
+
+    for text in ("a b c", "vile a rude vile", "unseen a unseen", "h"):
+        ws = text.split()
+        memo = model.learn(set(ws))
+        before = ["", *ws[:-1]]
+        at, of = np.array([memo.at[w] for w in ws]), np.array([memo.at[v] for v in before])
+        found = model.pairs.ratio(memo.codes[of], memo.codes[at], memo.totals[of], memo.kinds[of], memo.logs[at])
+        alone = np.exp([[m.log_probability([w], np.array([word_code(w)], np.uint64))[0] for m in (model.ordinary, model.toxic)] for w in ws])
+        assert np.allclose(found, [np.log(p(1, v, w, x[1]) / p(0, v, w, x[0])) for v, w, x in zip(before, ws, alone)], atol=1e-4)
+        whole = model.features([text])[0]
+        limits = [8.0 if model.toxic.shared.at(np.array([word_code(w)], np.uint64))[0] else 1.5 for w in ws]
+        assert abs(whole[4] - np.clip(found, np.negative(limits), limits).mean()) < 1e-9
