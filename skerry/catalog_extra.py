@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import WATERFALL, big, day, query, r4
+from .catalog import WATERFALL, _picks, big, day, query, r4
 from .catalog_more import _heat, _pairs
 from .functions import num, text
+from .operators import analyzers as A
 from .operators import boards as BO
 from .operators import filters
 from .operators import pattern as P
+from .operators import scoring as SC
 from .sources import bindings as D
 from .sources.bindings import table
 
@@ -120,3 +122,53 @@ def field_impacts(spark, d):
     lacks = F.array_compact(F.array(F.when(F.col("n") % 2 == 0, "volume"), F.when(F.col("n") % 3 == 0, "turnover"), F.when(F.col("total") > 0, "industry")))
     g = o.groupBy(F.col("o_orderpriority").alias("strategy")).agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
     return BO.field_impacts(g.select("strategy", lacks.alias("missing")))
+
+
+@query
+def sub_scores(spark, d):
+    return SC.sub_scores(D.snapshot(spark, d)).select("code", "snapshot_score", "tech_score")
+
+
+@query
+def deep_overlay(spark, d):
+    """Picks with every advice and trend, blanks around them, unknown words and missing scores."""
+    c = F.col("code").cast("long")
+    said = F.array(*[F.lit(x) for x in (*A.ADVICE, " 买入 ", "?")])[(c % 11).cast("int")]
+    trend = F.array(*[F.lit(x) for x in (*A.TREND, "?")])[(c % 5).cast("int")]
+    picks = _picks(spark, d).withColumns(
+        {
+            "deep_status": F.when(c % 6 != 0, "completed").otherwise("failed"),
+            "deep_signal_score": F.when(c % 3 != 0, c * 7 % 101),
+            "deep_sentiment_score": F.when(c % 4 != 0, c * 13 % 101),
+            "deep_advice": said,
+            "deep_trend": trend,
+            "deep_flags": F.array_repeat(F.lit("flag"), (c % 5).cast("int")),
+        }
+    )
+    return A.analyze(picks, ["dsa"]).select(*big("rank"), "code", "final_score")
+
+
+@query
+def external_overlay(spark, d):
+    picks = _picks(spark, d).withColumn("risk_flags", F.when(F.col("code") % 2 == 0, "high_pb"))
+    item = lambda part, seq, delta, flags: picks.where(part).select(F.lit(seq).cast("long").alias("seq"), "code", delta.alias("score_delta"), flags.alias("risk_flags"))
+    items = item("code % 3 <> 0", 2, (F.col("code") % 9 - 4) / 2.0, F.array(F.lit("late"), F.lit("high_pb"))).unionByName(item("code % 6 = 1", 1, F.lit(None).cast("double"), F.array(F.lit(" early "), F.lit(""))))
+    out = A.analyze(picks, ["external_http"], {"external_http": {"items": items, "most": 40}})
+    return out.select(*big("rank"), "code", "external_status", "risk_flags", "final_score")
+
+
+@query
+def hotspot_quality(spark, d):
+    c, none = F.col("c_custkey"), F.array().cast("array<string>")
+    rows = table(spark, d, "customer").select(
+        "c_custkey",
+        F.when(c % 4 != 0, F.col("c_mktsegment")).alias("canonical_topic"),
+        F.when(c % 5 != 0, "em").otherwise("").alias("source"),
+        (c % 3).alias("stock_count"),
+        F.when(c % 2 == 0, F.array(F.lit("one"))).otherwise(none).alias("leaders"),
+        F.when(c % 7 == 0, F.array(F.lit("heat"), F.lit("heat"))).alias("missing_fields"),
+        F.when(c % 8 == 0, F.array(F.lit("x"))).otherwise(none).alias("resolver_candidates"),
+        (c % 11 == 0).alias("stale"),
+        BO.stale_confidence(F.lit(0.65), F.when(c % 9 != 0, c % 100)).alias("confidence"),
+    )
+    return BO.hotspot_quality(rows).select("c_custkey", F.array_join("missing_fields", ",").alias("missing"), "quality_status", "confidence")

@@ -166,3 +166,24 @@ def field_impacts(coverage: DataFrame) -> DataFrame:
     """By missing field, how many strategies (strategy, missing array) it holds up, and which, most first (AGG-20)."""
     each = coverage.select("strategy", F.explode("missing").alias("field"))
     return each.groupBy("field").agg(F.count(F.lit(1)).alias("strategy_count"), F.array_join(F.sort_array(F.collect_list("strategy")), ",").alias("strategies"))
+
+
+def hotspot_quality(df: DataFrame) -> DataFrame:
+    """missing_fields completed by what a hotspot lacks, and its quality_status (HOT-10).
+
+    Takes canonical_topic, source, stock_count, leaders, missing_fields, resolver_candidates (arrays) and stale; a null counts as blank, none or false.
+    """
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    none = lambda c: F.coalesce(F.array_size(c), F.lit(0)) == 0
+    no_stocks = (F.coalesce("stock_count", F.lit(0)) <= 0) & none("leaders")
+    lacks = F.array_compact(F.array(F.when(blank("canonical_topic"), "canonical_topic"), F.when(blank("source"), "source"), F.when(no_stocks, "stocks")))
+    out = df.withColumn("missing_fields", F.array_distinct(F.concat(F.coalesce("missing_fields", F.array().cast("array<string>")), lacks)))
+    unknown = F.array_contains("missing_fields", "canonical_topic") & none("resolver_candidates")
+    status = F.when(F.coalesce("stale", F.lit(False)), "stale").when(unknown, "failed").when(~none("missing_fields"), "partial").otherwise("available")
+    return out.withColumn("quality_status", status)
+
+
+def stale_confidence(base: Column, age_hours: Column) -> Column:
+    """The confidence of an old answer: whole for a day, then less by age, never below half."""
+    less = F.greatest(base * 0.5, base - F.least(age_hours / 240.0, F.lit(0.25)))
+    return rounded(F.when(age_hours > 24, less).otherwise(base))

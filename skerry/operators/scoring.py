@@ -248,3 +248,10 @@ def score(df: DataFrame, factor_weights: dict[str, float] | None = None, tech_we
         total = total + F.col(f"_f_{f}") * w
     out = raw.withColumn("screen_score", rounded(clip(total, 0, 100)))
     return out.withColumns({f"factor_{f}_score": rounded(F.col(f"_f_{f}")) for f in FACTORS}).drop(*[f"_f_{f}" for f in FACTORS])
+
+
+def sub_scores(df: DataFrame, profile: dict[str, float] | None = None) -> DataFrame:
+    """snapshot_score from value, liquidity and stability, tech_score from momentum and activity, without weights of a strategy (SCR-10)."""
+    s = Scorer(df, profile)
+    snapshot = s.value() * 0.5 + s.liquidity() * 0.25 + s.stability() * 0.25
+    return df.withColumns({"snapshot_score": rounded(clip(snapshot, 0, 100)), "tech_score": rounded(clip(s.momentum() * 0.55 + s.activity() * 0.45, 0, 100))})

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .oracle import BARS, MEMBERS, SNAP, SQL, W, r4
+from .operators.analyzers import ADVICE, TREND
+from .oracle import BARS, DEFAULT, MEMBERS, SNAP, SQL, W, clip, n, r4, scored
 from .oracle_more import HEAT, VECS, r6
 
 KINDS = "['click', 'view', 'purchase', 'signup', 'none']"
@@ -16,6 +17,15 @@ def _clipped(x: str) -> str:
     return f"greatest(least({x}, 2.0::DOUBLE), -2.0::DOUBLE)"
 
 
+def _points(c: str, table: dict[str, float]) -> str:
+    return f"CASE {c} " + " ".join(f"WHEN '{k}' THEN {n(v)}" for k, v in table.items()) + f" ELSE {n(0)} END"
+
+
+ADVISED = "trim([" + ", ".join(f"'{x}'" for x in (*ADVICE, " 买入 ", "?")) + "][code % 11 + 1])"
+TRENDING = "[" + ", ".join(f"'{x}'" for x in (*TREND, "?")) + "][code % 5 + 1]"
+DEEP = f"""coalesce(CASE WHEN code % 3 <> 0 THEN (code * 7 % 101 - 50) * {n(0.2)} END, 0) + coalesce(CASE WHEN code % 4 <> 0 THEN (code * 13 % 101 - 50) * {n(0.12)} END, 0) + {_points(ADVISED, ADVICE)} + {_points(TRENDING, TREND)} - least((code % 5) * {n(2)}, 6)"""
+
+
 SQL.update(
     {
         "pattern_spearman": f"""WITH {VECS}, u AS (SELECT vec_id, unnest(x) AS a, unnest(y) AS b FROM v), k AS (SELECT vec_id, rank() OVER (PARTITION BY vec_id ORDER BY a) + (count(*) OVER (PARTITION BY vec_id, a) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY vec_id ORDER BY b) + (count(*) OVER (PARTITION BY vec_id, b) - 1) / 2.0::DOUBLE AS b FROM u)
@@ -43,5 +53,16 @@ least(industry_rank, CASE WHEN b.code IS NOT NULL THEN 9.0::DOUBLE END) AS indus
         "flag_counts": f"WITH {SNAP}, f AS (SELECT 'up' AS flag FROM snap WHERE change_pct > 0 UNION ALL SELECT 'loss' FROM snap WHERE pe_ratio < 0 UNION ALL SELECT 'busy' FROM snap WHERE turnover_rate > 1) SELECT flag, count(*) AS n FROM f GROUP BY 1",
         "field_impacts": """WITH g AS (SELECT o_orderpriority AS strategy, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY 1), e AS (SELECT strategy, 'volume' AS field FROM g WHERE n % 2 = 0 UNION ALL SELECT strategy, 'turnover' FROM g WHERE n % 3 = 0 UNION ALL SELECT strategy, 'industry' FROM g WHERE total > 0)
 SELECT field, count(*) AS strategy_count, string_agg(strategy, ',' ORDER BY strategy) AS strategies FROM e GROUP BY 1""",
+        "sub_scores": f"WITH {SNAP}, {scored('snap', DEFAULT)} SELECT code, {r4(clip(f'f_value * {n(0.5)} + f_liquidity * {n(0.25)} + f_stability * {n(0.25)}', 0, 100))} AS snapshot_score, {r4(clip(f'f_momentum * {n(0.55)} + f_activity * {n(0.45)}', 0, 100))} AS tech_score FROM fac",
+        "deep_overlay": f"""WITH {SNAP}, {scored('snap', DEFAULT)}, x AS (SELECT code, rank, {r4(f'screen_score + CASE WHEN code % 6 <> 0 THEN {DEEP} ELSE 0 END')} AS final_score FROM ranked)
+SELECT row_number() OVER (ORDER BY final_score DESC, rank) AS rank, code, final_score FROM x""",
+        "external_overlay": f"""WITH {SNAP}, {scored('snap', DEFAULT)}, x AS (SELECT code, rank, CASE WHEN rank > 40 THEN 'skipped' WHEN code % 3 <> 0 THEN 'completed' ELSE '' END AS external_status,
+concat_ws(';', CASE WHEN code % 2 = 0 THEN 'high_pb' END, CASE WHEN code % 6 = 1 THEN 'early' END, CASE WHEN code % 3 <> 0 THEN 'late' END, CASE WHEN code % 3 <> 0 AND code % 2 <> 0 THEN 'high_pb' END) AS risk_flags,
+{r4(f'screen_score + CASE WHEN code % 3 <> 0 THEN (code % 9 - 4) / {n(2)} ELSE 0 END')} AS final_score FROM ranked)
+SELECT row_number() OVER (ORDER BY final_score DESC, rank) AS rank, code, external_status, risk_flags, final_score FROM x""",
+        "hotspot_quality": f"""WITH q AS (SELECT c_custkey, c_custkey % 4 = 0 AS no_topic, c_custkey % 11 = 0 AS stale, c_custkey % 8 = 0 AS resolved, CASE WHEN c_custkey % 9 <> 0 THEN c_custkey % 100 END AS age,
+concat_ws(',', CASE WHEN c_custkey % 7 = 0 THEN 'heat' END, CASE WHEN c_custkey % 4 = 0 THEN 'canonical_topic' END, CASE WHEN c_custkey % 5 = 0 THEN 'source' END, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 <> 0 THEN 'stocks' END) AS missing FROM customer)
+SELECT c_custkey, missing, CASE WHEN stale THEN 'stale' WHEN no_topic AND NOT resolved THEN 'failed' WHEN missing <> '' THEN 'partial' ELSE 'available' END AS quality_status,
+{r4(f'CASE WHEN age > 24 THEN greatest({n(0.65)} * {n(0.5)}, {n(0.65)} - least(age / {n(240)}, {n(0.25)})) ELSE {n(0.65)} END')} AS confidence FROM q""",
     }
 )

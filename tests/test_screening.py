@@ -219,3 +219,19 @@ def test_warping_equals_a_plain_loop():
                 cost, steps = min(ways, key=lambda w: w[0])
                 best[i, j] = (cost + abs(p[i - 1] - q[j - 1]), steps + 1)
         assert abs(got - best[12, 15][0] / best[12, 15][1]) < 1e-12
+
+
+def test_analyzers_by_name(spark):
+    from skerry.operators import analyzers as A
+
+    picks = spark.createDataFrame([(1, 1, 60.0, "completed", 60, None, " 买入", None, ["a"] * 5), (2, 2, 59.0, "failed", 100, 100, "买入", "看多", None), (3, 3, 59.0, "completed", None, None, None, None, None)], "rank int, code int, final_score double, deep_status string, deep_signal_score int, deep_sentiment_score int, deep_advice string, deep_trend string, deep_flags array<string>")
+    out = A.analyze(picks, [" DSA ", "dsa"])
+    assert [(r.rank, r.code, r.final_score) for r in out.orderBy("rank").collect()] == [(1, 1, 64.0), (2, 2, 59.0), (3, 3, 59.0)]
+    with pytest.raises(ValueError):
+        A.analyze(picks, ["dsa", "other"])
+    assert A.analyze(picks, []) is picks
+    items = spark.createDataFrame([(1, 3, 2.0, ["x"]), (0, 3, 0.5, None), (2, 9, 50.0, ["y"])], "seq long, code int, score_delta double, risk_flags array<string>")
+    out = A.analyze(picks.withColumn("risk_flags", F.lit(None).cast("string")), ["external_http"], {"external_http": {"items": items, "most": 1}})
+    assert [(r.code, r.final_score, r.external_status, r.risk_flags) for r in out.orderBy("rank").collect()] == [(3, 61.5, "skipped", "x"), (1, 60.0, "", ""), (2, 59.0, "skipped", "")]
+    assert A.analyze(picks.limit(0), ["dsa"]).count() == 0
+    assert (A.candidates(100, 10, 3, 50), A.candidates(100, 10, 0, 50), A.candidates(8, 10, 3, 50), A.candidates(100, 40, 3, 50)) == (30, 10, 8, 50)
