@@ -293,7 +293,8 @@ def scorecard_delta(spark, d):
 @query
 def llm_blend(spark, d):
     p = _picks(spark, d)
-    judged = p.where("code % 4 <> 0").select("code", (F.col("code") * 37 % 101).cast("double").alias("llm_score"))
+    score = F.when(F.col("code") % 5 != 0, (F.col("code") * 37 % 101).cast("double"))
+    judged = p.where("code % 4 <> 0").select("code", (F.col("code") * 11 % 1009).cast("long").alias("seq"), score.alias("llm_score"))
     return ranking.blend(p, judged).select(*big("rank"), "code", "llm_coverage", "final_score")
 
 

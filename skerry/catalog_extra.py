@@ -11,6 +11,7 @@ from .operators import analyzers as A
 from .operators import boards as BO
 from .operators import filters
 from .operators import pattern as P
+from .operators import ranking
 from .operators import scoring as SC
 from .sources import bindings as D
 from .sources.bindings import table
@@ -172,3 +173,13 @@ def hotspot_quality(spark, d):
         BO.stale_confidence(F.lit(0.65), F.when(c % 9 != 0, c % 100)).alias("confidence"),
     )
     return BO.hotspot_quality(rows).select("c_custkey", F.array_join("missing_fields", ",").alias("missing"), "quality_status", "confidence")
+
+
+@query
+def risk_lists(spark, d):
+    """Risk by another profile, with what a judge and a deep analysis warn of."""
+    c = F.col("code").cast("long")
+    warned = F.array_repeat(F.lit("warned"), (c % 5).cast("int"))
+    picks = _picks(spark, d).withColumns({"llm_risks": F.when(c % 3 != 0, F.array_append(warned, "")), "deep_flags": F.array(F.lit("deep"), F.lit("high_pb"))})
+    out = ranking.risk_overlay(picks, profile={"high_pb": 2.0, "llm_risk_points": 1.25})
+    return out.select(*big("rank"), "code", "risk_points", "risk_flags", "final_score")

@@ -9,20 +9,36 @@ from ..functions.num import rounded
 from ..functions.text import flags_of
 from .scoring import weights_of
 
-# fixed values: risk rules as flag, condition's column, comparison, bound and points
-RULES = (
-    ("abnormal_volume_ratio", "volume_ratio", ">=", 6.0, 3.0),
-    ("high_turnover", "turnover_rate", ">=", 15.0, 3.0),
-    ("negative_or_invalid_pe", "pe_ratio", "<=", 0.0, 3.0),
-    ("high_pb", "pb_ratio", ">=", 8.0, 2.0),
-    ("weak_daily_signal", "signal_score", "<", 45.0, 2.5),
-    ("low_llm_confidence", "llm_confidence", "<", 0.35, 1.5),
-    ("low_daily_quality", "daily_quality_score", "<", 70.0, 2.0),
-)
-
-
-def compare(c: Column, op: str, bound: float) -> Column:
-    return {">=": c >= bound, "<=": c <= bound, "<": c < bound}[op]
+# fixed values: bounds and points of the risk rules
+RISK = {
+    "chase_change_pct": 8.0,
+    "chase_points": 4.0,
+    "breakdown_change_pct": -7.0,
+    "breakdown_points": 3.5,
+    "abnormal_volume_ratio": 6.0,
+    "abnormal_volume_ratio_points": 3.0,
+    "high_turnover_rate": 15.0,
+    "high_turnover_points": 3.0,
+    "invalid_pe_points": 3.0,
+    "high_pb": 8.0,
+    "high_pb_points": 2.0,
+    "weak_signal_score": 45.0,
+    "weak_signal_points": 2.5,
+    "macd_bearish_points": 2.0,
+    "rsi_overbought_points": 1.5,
+    "low_llm_confidence": 0.35,
+    "low_llm_confidence_points": 1.5,
+    "llm_risk_points": 1.2,
+    "llm_risk_points_cap": 4.0,
+    "deep_risk_points": 1.5,
+    "deep_risk_points_cap": 4.5,
+    "low_daily_quality_score": 70.0,
+    "low_daily_quality_points": 2.0,
+    "bad_daily_quality_flag_points": 3.0,
+    "stale_daily_cache_points": 2.5,
+    "fallback_daily_errors_points": 1.5,
+    "fetch_failed_daily_points": 6.0,
+}
 
 
 def ordered(df: DataFrame, factor_weights: dict[str, float] | None = None) -> DataFrame:
@@ -33,31 +49,52 @@ def ordered(df: DataFrame, factor_weights: dict[str, float] | None = None) -> Da
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*keys, F.asc("code"))))
 
 
-def risk(df: DataFrame) -> tuple[Column, Column]:
-    """(points, flags) of a pick's risk rules; rules on columns that aren't there don't count."""
+def risk(df: DataFrame, profile: dict[str, float] | None = None) -> tuple[Column, Column]:
+    """(points, flags) of a pick's risk rules, by the bounds and points of a profile (RSK-02).
+
+    Rules on columns that aren't there don't count. Each of llm_risks and deep_flags (arrays) counts, up to its cap, and is a flag itself; blanks among the
+    llm_risks don't. Every flag is named once.
+    """
+    p = RISK | (profile or {})
     has = set(df.columns)
-    pairs: list[tuple[Column, str, float]] = []
-    if "change_pct" in has:
-        pairs += [(F.col("change_pct") >= 8.0, "single_day_chase_risk", 4.0), (F.col("change_pct") <= -7.0, "single_day_breakdown_risk", 3.5)]
-    pairs += [(compare(F.col(c), op, bound), flag, points) for flag, c, op, bound, points in RULES if c in has]
-    if "macd_status" in has:
-        pairs.append((F.col("macd_status") == "bearish", "macd_bearish", 2.0))
-    if "rsi_status" in has:
-        pairs.append((F.col("rsi_status") == "overbought", "rsi_overbought", 1.5))
-    if "daily_quality_flags" in has:
-        flags = F.split(F.regexp_replace(F.coalesce("daily_quality_flags", F.lit("")), "[,，| ]", ";"), ";")
-        for name, flag, points in (("fetch_failed", "daily_fetch_failed", 6.0), ("stale_cache", "daily_stale_cache", 2.5), ("fallback_errors", "daily_source_fallback_errors", 1.5)):
-            pairs.append((F.array_contains(flags, name), flag, points))
-        pairs.append((F.arrays_overlap(flags, F.array(*[F.lit(x) for x in ("invalid_ohlc", "non_positive_price", "negative_volume")])), "bad_daily_quality_flags", 3.0))
+    c = lambda name: F.col(name) if name in has else F.lit(None)
+    quality = F.split(F.regexp_replace(F.coalesce(c("daily_quality_flags").cast("string"), F.lit("")), "[,，| ]", ";"), ";")
+    severe = F.array(*[F.lit(x) for x in ("invalid_ohlc", "non_positive_price", "negative_volume")])
+    chase = F.coalesce(c("change_pct") >= p["chase_change_pct"], F.lit(False))
+    rules = [
+        (chase, "single_day_chase_risk", "chase_points"),
+        (~chase & (c("change_pct") <= p["breakdown_change_pct"]), "single_day_breakdown_risk", "breakdown_points"),
+        (c("volume_ratio") >= p["abnormal_volume_ratio"], "abnormal_volume_ratio", "abnormal_volume_ratio_points"),
+        (c("turnover_rate") >= p["high_turnover_rate"], "high_turnover", "high_turnover_points"),
+        (c("pe_ratio") <= 0, "negative_or_invalid_pe", "invalid_pe_points"),
+        (c("pb_ratio") >= p["high_pb"], "high_pb", "high_pb_points"),
+        (c("signal_score") < p["weak_signal_score"], "weak_daily_signal", "weak_signal_points"),
+        (c("macd_status") == "bearish", "macd_bearish", "macd_bearish_points"),
+        (c("rsi_status") == "overbought", "rsi_overbought", "rsi_overbought_points"),
+        (c("llm_confidence") < p["low_llm_confidence"], "low_llm_confidence", "low_llm_confidence_points"),
+        (c("daily_quality_score") < p["low_daily_quality_score"], "low_daily_quality", "low_daily_quality_points"),
+        (F.array_contains(quality, "fetch_failed"), "daily_fetch_failed", "fetch_failed_daily_points"),
+        (F.array_contains(quality, "stale_cache"), "daily_stale_cache", "stale_daily_cache_points"),
+        (F.array_contains(quality, "fallback_errors"), "daily_source_fallback_errors", "fallback_daily_errors_points"),
+        (F.arrays_overlap(quality, severe), "bad_daily_quality_flags", "bad_daily_quality_flag_points"),
+    ]
     points = F.lit(0.0)
-    for cond, _, n in pairs:
-        points = points + F.when(cond, n).otherwise(0.0)
-    return points, flags_of([(c, f) for c, f, _ in pairs])
-
-
-def risk_overlay(df: DataFrame, max_penalty: float = 12.0, veto: bool = False) -> DataFrame:
+    for cond, _, key in rules:
+        points = points + F.when(cond, float(p[key])).otherwise(0.0)
+    flags = F.split(flags_of([(cond, flag) for cond, flag, _ in rules]), ";")
+    for name, key in (("llm_risks", "llm_risk_points"), ("deep_flags", "deep_risk_points")):
+        if name in has:
+            listed = F.coalesce(F.array_compact(name), F.array().cast("array<string>"))
+            if name == "llm_risks":
+                listed = F.filter(listed, lambda x: x != "")
+            points = points + F.least(F.size(listed) * float(p[key]), F.lit(float(p[f"{key}_cap"])))
+            flags = F.concat(flags, listed)
+    return points, F.array_join(F.array_distinct(F.filter(flags, lambda x: x != "")), ";")
+
+
+def risk_overlay(df: DataFrame, max_penalty: float = 12.0, veto: bool = False, profile: dict[str, float] | None = None) -> DataFrame:
     """Subtract bounded risk from final_score, mark risk_level, optionally drop high risk, and rank anew (RSK-02, RSK-03)."""
-    points, flags = risk(df)
+    points, flags = risk(df, profile)
     out = df.withColumn("risk_points", points).withColumn("risk_flags", flags)
     p = F.col("risk_points")
     share = F.when(F.lit(max_penalty > 0), F.least(p / max(max_penalty, 1e-9) * 100, F.lit(100.0))).otherwise(0.0)
@@ -104,10 +141,20 @@ def scorecard(df: DataFrame, card: dict[str, float] | None = None) -> DataFrame:
 
 
 def blend(df: DataFrame, judged: DataFrame, weight: float = 0.4, coverage: float = 0.6) -> DataFrame:
-    """Blend screen_score with llm_score of judged (code, llm_score); where too few are covered, the screen order stands (RSK-01)."""
-    rows = df.join(judged, "code", "left")
+    """Blend screen_score with llm_score of judged (code, llm_score and, if the judge gave an order, seq); where too few are covered, the screen order stands (RSK-01).
+
+    Picks are placed as the judge lists them (a code's first mention counts, unknown codes don't), then the others by rank. A pick without a score gets one by
+    its place, from 100 evenly down. Equal blends keep that order.
+    """
+    seq = F.col("seq").cast("long") if "seq" in judged.columns else F.lit(None).cast("long")
+    first = judged.groupBy("code").agg(F.min_by(F.struct(seq.alias("seq"), "llm_score"), F.struct(F.coalesce(seq, F.lit(1 << 62)), "llm_score")).alias("_judged"))
+    rows = df.drop("llm_score").join(first, "code", "left")
     everything = Window.partitionBy(F.lit(0))
-    share = F.count("llm_score").over(everything) / F.count(F.lit(1)).over(everything)
-    mixed = F.col("screen_score") * (1 - weight) + F.coalesce("llm_score", "screen_score") * weight
-    rows = rows.withColumn("llm_coverage", rounded(share)).withColumn("final_score", rounded(F.when(F.col("llm_coverage") >= coverage, mixed).otherwise(F.col("screen_score"))))
-    return rerank(rows)
+    n, known = F.count(F.lit(1)).over(everything), F.count("_judged").over(everything)
+    place = F.row_number().over(everything.orderBy(F.col("_judged").isNull(), F.asc_nulls_last("_judged.seq"), F.asc("rank")))
+    rows = rows.withColumns({"llm_coverage": rounded(known / n), "_place": place, "_step": 100.0 / n})
+    said = F.coalesce("_judged.llm_score", 100.0 - (F.col("_place") - 1) * F.col("_step"))
+    counts = F.col("llm_coverage") >= coverage
+    mixed = F.col("screen_score") * (1 - weight) + said * weight
+    rows = rows.withColumns({"llm_score": F.when(counts, said), "final_score": rounded(F.when(counts, mixed).otherwise(F.col("screen_score"))), "rank": F.when(counts, F.col("_place")).otherwise(F.col("rank"))})
+    return rerank(rows.drop("_judged", "_place", "_step"))

@@ -190,8 +190,10 @@ SELECT row_number() OVER (ORDER BY final_score DESC, rank) AS rank, code, risk_p
 SELECT row_number() OVER (ORDER BY final_score DESC, rank) AS rank, code, industry AS bucket, portfolio_penalty, final_score FROM s""",
     "scorecard_delta": f"""WITH {SNAP}, {scored('snap', DEFAULT)} SELECT code, {r4('''CASE WHEN factor_value_score >= 75 AND factor_stability_score >= 65 THEN 2.4::DOUBLE ELSE 0 END + CASE WHEN factor_momentum_score >= 72 AND factor_activity_score >= 65 THEN 1.8::DOUBLE ELSE 0 END + CASE WHEN factor_reversal_score >= 75 AND change_pct < 0 THEN 1.2::DOUBLE ELSE 0 END - CASE WHEN factor_activity_score >= 90 AND factor_stability_score < 45 THEN 2.5::DOUBLE ELSE 0 END - CASE WHEN volume_ratio >= 5 THEN 1.2::DOUBLE ELSE 0 END''')} AS score_delta,
 concat_ws(';', CASE WHEN factor_value_score >= 75 AND factor_stability_score >= 65 THEN 'value_quality' END, CASE WHEN factor_momentum_score >= 72 AND factor_activity_score >= 65 THEN 'capital_confirmed' END, CASE WHEN factor_reversal_score >= 75 AND change_pct < 0 THEN 'controlled_reversal' END) AS score_tags, concat_ws(';', CASE WHEN factor_activity_score >= 90 AND factor_stability_score < 45 THEN 'hot_money_instability' END, CASE WHEN volume_ratio >= 5 THEN 'volume_spike' END) AS score_flags FROM ranked""",
-    "llm_blend": f"""WITH {SNAP}, {scored('snap', DEFAULT)}, p AS (SELECT *, CASE WHEN code % 4 <> 0 THEN (code * 37 % 101)::DOUBLE END AS llm FROM ranked), q AS (SELECT *, {r4('count(llm) OVER () / count(*) OVER ()')} AS llm_coverage FROM p), s AS (SELECT *, {r4('CASE WHEN llm_coverage >= 0.6 THEN screen_score * 0.6::DOUBLE + coalesce(llm, screen_score) * 0.4::DOUBLE ELSE screen_score END')} AS final_score FROM q)
-SELECT row_number() OVER (ORDER BY final_score DESC, rank) AS rank, code, llm_coverage, final_score FROM s""",
+    "llm_blend": f"""WITH {SNAP}, {scored('snap', DEFAULT)}, p AS (SELECT *, code % 4 <> 0 AS known, CASE WHEN code % 4 <> 0 AND code % 5 <> 0 THEN (code * 37 % 101)::DOUBLE END AS llm FROM ranked),
+q AS (SELECT *, {r4('count(*) FILTER (known) OVER () / count(*) OVER ()')} AS llm_coverage, row_number() OVER (ORDER BY known DESC, CASE WHEN known THEN code * 11 % 1009 END, rank) AS place, 100.0::DOUBLE / count(*) OVER () AS step FROM p),
+s AS (SELECT *, {r4('CASE WHEN llm_coverage >= 0.6 THEN screen_score * 0.6::DOUBLE + coalesce(llm, 100.0::DOUBLE - (place - 1) * step) * 0.4::DOUBLE ELSE screen_score END')} AS final_score FROM q)
+SELECT row_number() OVER (ORDER BY final_score DESC, CASE WHEN llm_coverage >= 0.6 THEN place ELSE rank END) AS rank, code, llm_coverage, final_score FROM s""",
     "keyword_events": "SELECT doc_id, concat_ws(';', CASE WHEN contains(text, 'the ') OR contains(text, 'The ') THEN 'greeting' END, CASE WHEN contains(text, '@') OR contains(text, '+1') THEN 'contact' END, CASE WHEN contains(text, 'password') OR contains(text, 'token') THEN 'secret' END, CASE WHEN contains(text, '|') THEN 'list' END) AS tags FROM documents",
     "normalize_code": "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN lpad(o_orderkey::VARCHAR, 6, '0') WHEN 1 THEN lpad(o_orderkey::VARCHAR, 6, '0') WHEN 2 THEN '' ELSE CASE WHEN length(o_orderkey::VARCHAR) = 6 THEN o_orderkey::VARCHAR ELSE right('000000' || '1' || o_orderkey::VARCHAR, 6) END END AS code, lpad(o_orderkey::VARCHAR, 6, '0') || CASE WHEN regexp_matches(lpad(o_orderkey::VARCHAR, 6, '0'), '^(4|8|920)') THEN '.BJ' WHEN regexp_matches(lpad(o_orderkey::VARCHAR, 6, '0'), '^(6|9|5)') THEN '.SH' ELSE '.SZ' END AS listed FROM orders",
     "label_merge": f"WITH {MEMBERS} SELECT code, concat_ws(',', industry, concepts) AS labels FROM members",

@@ -64,5 +64,11 @@ SELECT row_number() OVER (ORDER BY final_score DESC, rank) AS rank, code, extern
 concat_ws(',', CASE WHEN c_custkey % 7 = 0 THEN 'heat' END, CASE WHEN c_custkey % 4 = 0 THEN 'canonical_topic' END, CASE WHEN c_custkey % 5 = 0 THEN 'source' END, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 <> 0 THEN 'stocks' END) AS missing FROM customer)
 SELECT c_custkey, missing, CASE WHEN stale THEN 'stale' WHEN no_topic AND NOT resolved THEN 'failed' WHEN missing <> '' THEN 'partial' ELSE 'available' END AS quality_status,
 {r4(f'CASE WHEN age > 24 THEN greatest({n(0.65)} * {n(0.5)}, {n(0.65)} - least(age / {n(240)}, {n(0.25)})) ELSE {n(0.65)} END')} AS confidence FROM q""",
+        "risk_lists": f"""WITH {SNAP}, {scored('snap', DEFAULT)}, p AS (SELECT *, CASE WHEN change_pct >= 8 THEN 4 WHEN change_pct <= -7 THEN 3.5::DOUBLE ELSE 0 END + CASE WHEN volume_ratio >= 6 THEN 3 ELSE 0 END + CASE WHEN turnover_rate >= 15 THEN 3 ELSE 0 END + CASE WHEN pe_ratio <= 0 THEN 3 ELSE 0 END + CASE WHEN pb_ratio >= 2 THEN 2 ELSE 0 END
++ CASE WHEN code % 3 <> 0 THEN least((code % 5) * {n(1.25)}, 4) ELSE 0 END + {n(3)} AS risk_points,
+concat_ws(';', CASE WHEN change_pct >= 8 THEN 'single_day_chase_risk' END, CASE WHEN change_pct <= -7 THEN 'single_day_breakdown_risk' END, CASE WHEN volume_ratio >= 6 THEN 'abnormal_volume_ratio' END, CASE WHEN turnover_rate >= 15 THEN 'high_turnover' END, CASE WHEN pe_ratio <= 0 THEN 'negative_or_invalid_pe' END, CASE WHEN pb_ratio >= 2 THEN 'high_pb' END,
+CASE WHEN code % 3 <> 0 AND code % 5 <> 0 THEN 'warned' END, 'deep', CASE WHEN NOT coalesce(pb_ratio >= 2, false) THEN 'high_pb' END) AS risk_flags FROM ranked),
+s AS (SELECT *, {r4(f"screen_score - {r4('least(risk_points, 12)')}")} AS final_score FROM p)
+SELECT row_number() OVER (ORDER BY final_score DESC, rank) AS rank, code, risk_points, risk_flags, final_score FROM s""",
     }
 )
