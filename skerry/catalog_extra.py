@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalog import WATERFALL, _picks, big, day, query, r4
-from .catalog_more import _heat, _pairs
+from .catalog_more import _evaluated, _heat, _pairs
 from .functions import num, text
 from .operators import analyzers as A
 from .operators import boards as BO
-from .operators import filters
+from .operators import bars as B
+from .operators import evaluate as E
+from .operators import filters, flow
 from .operators import pattern as P
 from .operators import ranking
 from .operators import scoring as SC
@@ -183,3 +185,21 @@ def risk_lists(spark, d):
     picks = _picks(spark, d).withColumns({"llm_risks": F.when(c % 3 != 0, F.array_append(warned, "")), "deep_flags": F.array(F.lit("deep"), F.lit("high_pb"))})
     out = ranking.risk_overlay(picks, profile={"high_pb": 2.0, "llm_risk_points": 1.25})
     return out.select(*big("rank"), "code", "risk_points", "risk_flags", "final_score")
+
+
+@query
+def eval_path_summary(spark, d):
+    picks = _evaluated(spark, d).select("run_id", "code", "created", "entry")
+    return E.price_path(picks, D.bars(spark, d)).agg(*E.path_stats())
+
+
+@query
+def daily_quality_fetched(spark, d):
+    fetched = D.membership(spark, d).where("code % 4 <> 0").select("code", (F.col("code") % 3 == 0).alias("daily_stale"), (F.col("code") % 6).cast("int").alias("source_errors"))
+    return B.quality(D.bars(spark, d), fetched).select("code", "daily_data_points", "daily_quality_score", "daily_quality_flags")
+
+
+@query
+def flow_without_bars(spark, d):
+    f = flow.against_bars(flow.derive(D.moneyflow(spark, d)), None)
+    return f.select("code", day(), *r4("turnover_amount"), "price_up_flow_out", "price_down_flow_in")

@@ -147,8 +147,11 @@ def consolidation(b: DataFrame, most_pct: float = 12.0) -> DataFrame:
     return b.withColumn("consolidation_days_20d", F.when(n > 0, days))
 
 
-def quality(b: DataFrame) -> DataFrame:
-    """Per symbol: daily_data_points, daily_quality_score and flags (WIN-20)."""
+def quality(b: DataFrame, fetched: DataFrame | None = None) -> DataFrame:
+    """Per symbol: daily_data_points, daily_quality_score and flags (WIN-20).
+
+    fetched may tell how the bars were had (code, daily_stale, source_errors: how many, one row a code): old bars and failed sources cost points.
+    """
     miss = {c: F.avg(F.when(F.col(c).isNull(), 1.0).otherwise(0.0)) for c in ("open", "high", "low", "close", "volume")}
     bad = (F.col("high") < F.col("low")) | (F.col("high") < F.col("open")) | (F.col("high") < F.col("close")) | (F.col("low") > F.col("open")) | (F.col("low") > F.col("close"))
     zero = F.least("open", "high", "low", "close") <= 0
@@ -163,6 +166,11 @@ def quality(b: DataFrame) -> DataFrame:
     flags = flags_of(
         [(n < 30, "short_history_lt30"), ((n >= 30) & (n < 60), "short_history_lt60"), *[(F.col(f"_m_{c}") > 0, f"incomplete_{c}") for c in ("open", "high", "low", "close", "volume")], (F.col("_neg"), "negative_volume"), (F.col("_bad"), "invalid_ohlc"), (F.col("_zero"), "non_positive_price")]
     )
+    if fetched is not None:
+        g = g.join(fetched.select("code", "daily_stale", "source_errors"), "code", "left")
+        stale, errors = F.coalesce("daily_stale", F.lit(False)), F.coalesce("source_errors", F.lit(0))
+        cut = cut + F.when(stale, 25.0).otherwise(0.0) + F.least(errors * 5.0, F.lit(20.0))
+        flags = F.concat_ws(";", F.when(flags != "", flags), F.when(stale, "stale_cache"), F.when(errors > 0, "fallback_errors"))
     return g.select("code", "daily_data_points", rounded(F.greatest(100 - cut, F.lit(0.0))).alias("daily_quality_score"), flags.alias("daily_quality_flags"))
 
 

@@ -40,6 +40,13 @@ def stats(c: str = "return_pct") -> list[Column]:
     return [F.count(c).alias("pick_count"), rounded(F.avg(c)).alias("average_return_pct"), rounded(F.median(c)).alias("median_return_pct"), rounded(win).alias("win_rate")]
 
 
+def path_stats() -> list[Column]:
+    """Of picks with a known path: how many, and mean and median of their greatest falls and rises (AGG-02)."""
+    of = lambda f, c, name: rounded(f(c)).alias(name)
+    each = [of(f, f"path_{c}_pct", f"{n}_max_{c}_pct") for c in ("drawdown", "runup") for f, n in ((F.avg, "average"), (F.median, "median"))]
+    return [F.count("path_drawdown_pct").alias("path_pick_count"), *each]
+
+
 def summary(rows: DataFrame) -> DataFrame:
     return rows.agg(F.countDistinct("run_id").alias("run_count"), F.count(F.lit(1)).alias("total_count"), F.count_if(F.col("status") == "missing").alias("missing_count"), *stats())
 

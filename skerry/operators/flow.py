@@ -38,18 +38,25 @@ def zscore(f: DataFrame) -> DataFrame:
     return f.withColumn("main_net_inflow_zscore_20d", F.when(dev > 0, (F.col("main_net_inflow") - mean) / dev))
 
 
-def against_bars(f: DataFrame, bars: DataFrame) -> DataFrame:
-    """Turnover, inflow rate and divergence of price and flow; close_pct is taken on the bars' own days (JOIN-04, WIN-26)."""
+def against_bars(f: DataFrame, bars: DataFrame | None) -> DataFrame:
+    """Turnover, inflow rate and divergence of price and flow; close_pct is taken on the bars' own days (JOIN-04, WIN-26).
+
+    Without bars, close, close_pct and both divergences are null; a day without a bar diverges in neither way.
+    """
+    if bars is None:
+        bars = f.select("code", "date", F.lit(None).cast("double").alias("close")).limit(0)
+        diverges = lambda _: F.lit(None).cast("boolean")
+    else:
+        diverges = lambda c: F.coalesce(c, F.lit(False))
     px = bars.select("code", "date", "close", (F.col("close") / F.lag("close").over(by_date()) - 1).alias("close_pct"))
     rows = f.join(px, ["code", "date"], "left")
     turnover = sum((F.coalesce(F.col(f"{s}_{t}_amount"), F.lit(0.0)) for s in ("buy", "sell") for t in TIERS), F.lit(0.0)) / 2
     rows = rows.withColumn("turnover_amount", turnover)
-    no = F.lit(False)
     return rows.withColumns(
         {
             "main_net_inflow_rate": F.when(F.col("turnover_amount") > 0, F.col("main_net_inflow") / F.col("turnover_amount")),
-            "price_up_flow_out": F.coalesce((F.col("close_pct") > 0) & (F.col("main_net_inflow") < 0), no),
-            "price_down_flow_in": F.coalesce((F.col("close_pct") < 0) & (F.col("main_net_inflow") > 0), no),
+            "price_up_flow_out": diverges((F.col("close_pct") > 0) & (F.col("main_net_inflow") < 0)),
+            "price_down_flow_in": diverges((F.col("close_pct") < 0) & (F.col("main_net_inflow") > 0)),
         }
     )
 
