@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from .common import stage, table
 from .decontam import contaminated
+from .divergence import source_divergence
+from .html_blocks import main_text
 from .hpylm import PitmanYorModel, score_texts
+from .merkle import merkle_manifest, tampered_rows
 from .mpegts import read_media, store_media
 from .ngram_join import near_duplicates
 from .packing import pack_along_curve
@@ -73,6 +76,18 @@ def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(table(spark, sf_dir, "documents"), changed=tampered_rows())
+
+
+def op13_flat_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_seekable": op1_warc_seekable,
     "op2_redirect_equivalence": op2_redirect_equivalence,
@@ -84,4 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_class_kneser_ney": op8_class_kneser_ney,
     "op9_simhash_windows": op9_simhash_windows,
     "op10_transport_stream": op10_transport_stream,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_flat_blocks": op13_flat_blocks,
 }
