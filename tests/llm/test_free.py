@@ -209,6 +209,52 @@ def test_near_duplicates_of_a_large_group(spark):
         assert (got[i] == i) if not links else all(got[j] == got[i] for j in links)
 
 
+def in_files(spark, tmp_path, parts):
+    """Documents in one staged file for each part, so that a part's copies are seen apart from another's."""
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+    return spark.read.parquet(str(tmp_path / "docs"))
+
+
+@pytest.mark.parametrize("size", [21, 25, 60])
+def test_near_duplicates_with_copies_in_two_files(spark, tmp_path, size):
+    """Near copies in one file and an exact copy of the first in another: one class comes twice to the task that reads both. Lists are as long as a short list may be, or a little longer."""
+    origin = [f"o{i}" for i in range(200)]
+    group = [(i, " ".join([*origin[:-1], f"end{i}"])) for i in range(size)]
+    rng = random.Random(size)
+    other = [(1000 + i, " ".join(f"x{rng.randrange(10**9)}" for _ in range(300))) for i in range(40)] + [(500, group[0][1])]
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        docs = in_files(spark, tmp_path, [group, other])
+        got = near_duplicates(docs).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(near(group + other))
+
+
+@pytest.mark.parametrize("parts", [1, 2, 5, 11])
+def test_near_duplicates_however_the_input_is_split(spark, tmp_path, parts):
+    docs = corpus(9, 160) + [(10_000 + i, corpus(9, 160)[i][1]) for i in range(0, 160, 7)]
+    random.Random(parts).shuffle(docs)
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        got = near_duplicates(in_files(spark, tmp_path, [docs[i::parts] for i in range(parts)])).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(near(docs))
+
+
+def test_only_documents_that_share_a_first_shingle_are_lengthened(spark):
+    """What the shortest prefixes cost decides: documents that share no shingle there have no link and get no longer prefix."""
+    rng = random.Random(4)
+    alone = [(i, " ".join(f"a{rng.randrange(10**9)}" for _ in range(80))) for i in range(50)]
+    base = [f"b{i}" for i in range(80)]
+    pair = [(100, " ".join(base)), (101, " ".join([*base[:-1], "z"]))]
+    join = NgramJoin(spark.createDataFrame(alone + pair, "doc_id long, text string"))
+    costs = join._costs().join(join.classes, "cid").collect()
+    assert sorted(r["first"] for r in costs) == [100, 101] and all(r.cost > 0 for r in costs)
+
+
 def test_near_duplicates_odd(spark, odd_docs, no_docs):
     rows = {(r.doc_id, r.n_shingles): r.component_id for r in near_duplicates(odd_docs).collect()}
     assert rows[0, 0] == 0 and rows[1, 0] == 1 and rows[5, 4] == rows[6, 4] == 5
