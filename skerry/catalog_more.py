@@ -13,6 +13,8 @@ from .operators import flow
 from .operators import history as H
 from .operators import scoring
 from .operators import pattern as P
+from .operators import pattern_search as PS
+from .operators.places import By, numbered
 from .sources import bindings as D
 from .sources.bindings import table
 
@@ -59,9 +61,7 @@ def hotspot_rank(spark, d):
 def board_heat_score(spark, d):
     s = D.snapshot(spark, d)
     g = s.groupBy(F.col("industry").alias("board")).agg(F.avg("change_pct").alias("c"))
-    from pyspark.sql import Window
-
-    g = g.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last("c"), "board")))
+    g = numbered(g, [By("c", descending=True), By("board")])
     return g.select("board", *big("rank"), BO.heat_score(F.col("c") / 100, F.col("rank")).alias("heat"))
 
 
@@ -261,14 +261,62 @@ def pattern_pearson(spark, d):
 QUERY = [100, 101, 103, 102, 105, 107, 106, 108, 111, 110, 112, 115, 113, 116, 118, 117, 120, 122, 121, 124]
 
 
+# whole bars: the closes of QUERY, opened at the close before, with shadows and volumes of different lengths
+QUERY_BARS = [
+    {"open": QUERY[max(i - 1, 0)], "high": max(c, QUERY[max(i - 1, 0)]) + i % 3, "low": min(c, QUERY[max(i - 1, 0)]) - i % 2, "close": c, "volume": 20 + 7 * (i % 5)} for i, c in enumerate(QUERY)
+]
+
+
 @query
-def pattern_search_topk(spark, d):
+def pattern_closes_topk(spark, d):
     return P.search(D.bars(spark, d), QUERY, "pearson").select(*big("rank"), "code", day("end"), "similarity")
 
 
+def _similar(spark, d, metric):
+    found = PS.search(D.bars(spark, d), QUERY_BARS, metric)
+    shown = [f"{g}_similarity" for g in PS.GROUPS] if metric != "dtw" else []
+    return found.select(*big("rank"), "code", day("start"), day("end"), *shown, "similarity")
+
+
+@query
+def pattern_search_topk(spark, d):
+    return _similar(spark, d, "euclidean")
+
+
+@query
+def pattern_search_manhattan(spark, d):
+    return _similar(spark, d, "manhattan")
+
+
+@query
+def pattern_search_chebyshev(spark, d):
+    return _similar(spark, d, "chebyshev")
+
+
+@query
+def pattern_search_pearson(spark, d):
+    return _similar(spark, d, "pearson")
+
+
+@query
+def pattern_search_spearman(spark, d):
+    return _similar(spark, d, "spearman")
+
+
+@query
+def pattern_search_cosine(spark, d):
+    return _similar(spark, d, "cosine")
+
+
 @query
 def pattern_dtw(spark, d):
-    return P.search(D.bars(spark, d), QUERY, "dtw").select(*big("rank"), "code", day("end"), "similarity")
+    return _similar(spark, d, "dtw")
+
+
+@query
+def pattern_window_features(spark, d):
+    """The features of each symbol's last 30 bars against the first of them."""
+    return PS.window_features(D.bars(spark, d), 30).select("code", day(), *r4(*PS.FEATURES))
 
 
 @query

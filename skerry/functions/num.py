@@ -71,10 +71,13 @@ def log_of(c: Column | str) -> Column:
 
 
 def rank_score(c: Column, lower_is_better: bool, missing: float, by: list[str] | None = None) -> Column:
-    """Cross-sectional percentile rank times 100 with average ties; missing values get a score of their own (WIN-30)."""
-    part = Window.partitionBy(*[F.col(x) for x in by]) if by else Window.partitionBy(F.lit(0))
+    """Percentile rank times 100 with average ties within groups, or within a frame known to be small; missing values get a score of their own.
+
+    Over all rows of a frame of any size, operators.places.percentile_ranks gives the same.
+    """
+    part = Window.partitionBy(*[F.col(x) for x in by or []])
     order = c.asc_nulls_last() if not lower_is_better else c.desc_nulls_last()
     rank = F.rank().over(part.orderBy(order))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*([F.col(x) for x in by] if by else [F.lit(0)]), c))
+    ties = F.count(F.lit(1)).over(Window.partitionBy(*[F.col(x) for x in by or []], c))
     known = F.count(c).over(part)
     return F.when(c.isNull(), float(missing)).otherwise((rank + (ties - 1) / 2.0) / known * 100)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.num import clip, rounded
 from ..functions.text import labels, match_score, topic_key
+from .places import By, few_numbered
 
 
 def membership(m: DataFrame) -> DataFrame:
@@ -66,8 +67,7 @@ def hotspots(trends: DataFrame, top: int = 10) -> DataFrame:
     """Boards with their stage, by heat with trend and persistence for and cooling against them (SRT-07)."""
     key = F.col("latest") + 0.35 * F.greatest(F.col("trend"), F.lit(0.0)) + 0.05 * F.col("persistence") - 0.6 * F.col("cooling")
     rows = trends.withColumn("hot_score", rounded(key)).withColumn("stage", stage())
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("hot_score"), "board"))
-    return rows.withColumn("rank", place).where(F.col("rank") <= top)
+    return few_numbered(rows, [By("hot_score", descending=True), By("board")], top)
 
 
 def stock_score(change: Column, amount: Column, turnover: Column, ratio: Column, inflow: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.num import number
+from ..sources.staged import staged
 
 
 class MissingFieldError(ValueError):
@@ -143,15 +144,15 @@ def waterfall(df: DataFrame, config: dict, samples: int = 3) -> DataFrame:
     first = F.lit(len(named) + 1)
     for i in range(len(named), 0, -1):
         first = F.when(~named[i - 1][1], i).otherwise(first)
-    marked = df.select(F.col("code"), first.alias("step"))
+    marked = staged(df.select(F.col("code"), first.alias("step")), "first-failed")
     place = F.row_number().over(Window.partitionBy("step").orderBy("code"))
     few = marked.withColumn("_p", place).where(F.col("_p") <= samples).groupBy("step").agg(F.array_join(F.sort_array(F.collect_list("code")), ",").alias("samples"))
     counts = marked.groupBy("step").agg(F.count(F.lit(1)).alias("removed"))
     spark = df.sparkSession
     all_steps = spark.createDataFrame([(i + 1, n) for i, (n, _) in enumerate(named)] + [(len(named) + 1, None)], "step int, label string")
     rows = all_steps.join(counts, "step", "left").join(few, "step", "left").withColumn("removed", F.coalesce("removed", F.lit(0)))
-    gone = F.sum("removed").over(Window.partitionBy(F.lit(0)).orderBy("step").rowsBetween(Window.unboundedPreceding, -1))
-    total = F.sum("removed").over(Window.partitionBy(F.lit(0)))
+    gone = F.sum("removed").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1))
+    total = F.sum("removed").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     rows = rows.withColumn("before", total - F.coalesce(gone, F.lit(0)))
     rows = rows.withColumn("after", F.col("before") - F.col("removed")).where(F.col("label").isNotNull())
     pct = F.when(F.col("before") > 0, F.rint(F.col("removed") / F.col("before") * 1e6) / 1e4).otherwise(0.0)

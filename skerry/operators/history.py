@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.num import rounded
+from ..sources.keyed import latest_rows
+from .places import By, few_numbered, numbered
 
 
 def run_history(runs: DataFrame, recent: int = 5) -> DataFrame:
@@ -42,8 +44,7 @@ def factor_leaders(scored: DataFrame, factors: list[str]) -> DataFrame:
 
 def label_distribution(s: DataFrame, label: Column, top: int = 6) -> DataFrame:
     g = s.groupBy(F.coalesce(label, F.lit("unknown")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "label"))
-    return g.withColumn("rank", place).where(F.col("rank") <= top)
+    return few_numbered(g, [By("n", descending=True), By("label")], top)
 
 
 def field_quality(df: DataFrame, fields: list[str], key: str) -> DataFrame:
@@ -64,11 +65,10 @@ def reconcile_sources(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return j.agg(F.count("_a").alias("left_keys"), F.count("_b").alias("right_keys"), both.alias("overlap"), rounded(both / F.count(F.lit(1))).alias("jaccard"))
 
 
-def keep_last(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Upsert: an incoming row replaces the one with its keys (SET-02, INC-06)."""
+def keep_last(old: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Upsert: an incoming row replaces the one with its keys (SET-02, INC-06); of several incoming ones that with the greatest order counts, then the greatest by its other columns."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_new")))
-    return both.withColumn("_p", place).where("_p = 1").drop("_p", "_new")
+    return latest_rows(both, keys, ["_new", *(order or [])]).drop("_new")
 
 
 def diff(old: DataFrame, new: DataFrame, keys: list[str], values: list[str], tolerance: float = 1e-6) -> DataFrame:
@@ -106,6 +106,6 @@ def rebuilt(bars: DataFrame, old: DataFrame, new: DataFrame, last: int = 60) ->
 def calendar_gaps(bars: DataFrame, most: int = 2) -> DataFrame:
     """Codes that miss more than so many of the days on which anything traded, between their first and last bar (INC-05)."""
     days = bars.select("date").distinct()
-    place = days.withColumn("_i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")))
+    place = numbered(days, [By("date")], "_i")
     g = bars.join(place, "date").groupBy("code").agg(F.count(F.lit(1)).alias("bars"), (F.max("_i") - F.min("_i") + 1).alias("days"))
     return g.withColumn("missing", F.col("days") - F.col("bars")).where(F.col("missing") > most)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.num import rounded
 from .bars import by_date, over
+from .places import By, few_numbered
 
 
 def total(a: Column) -> Column:
@@ -78,23 +79,32 @@ def dtw(a: Column, b: Column) -> Column:
 def warped(x: np.ndarray, y: np.ndarray, band: float = 0.2) -> np.ndarray:
     """Banded time-warping distance of each row of x to that row of y, by its shortest path, per step of the path.
 
-    The loop is over cells; all rows are worked on at once. Of equally short ways the diagonal one is taken, then the one from above.
+    A row is a series of numbers, or of points whose distance is Euclidean. The loop is over diagonals, whose cells don't depend on each other; all rows are worked on at once.
+    Of equally short ways the diagonal one is taken, then the one from above.
     """
     x, y = np.atleast_2d(x), np.atleast_2d(y)
-    (rows, n), m = x.shape, y.shape[1]
+    x, y = (a[:, :, None] if a.ndim == 2 else a for a in (x, y))
+    (rows, n), m = x.shape[:2], y.shape[1]
     width = max(int(np.ceil(band * max(n, m))), abs(n - m), 1)
-    above = np.full((m + 1, rows), np.inf)
-    above[0] = 0
-    taken = np.zeros((m + 1, rows))
-    for i in range(1, n + 1):
-        here, steps = np.full((m + 1, rows), np.inf), np.zeros((m + 1, rows))
-        for j in range(max(1, i - width), min(m, i + width) + 1):
-            ways = np.stack([above[j - 1], above[j], here[j - 1]])
+    cost = np.zeros((rows, n, m))
+    for k in range(x.shape[2]):
+        cost += (x[:, :, None, k] - y[:, None, :, k]) ** 2
+    cost = np.sqrt(cost)
+    # the two diagonals before: shortest ways to cells (i, d - i), by i, and their steps
+    far, near = np.full((rows, n + 1), np.inf), np.full((rows, n + 1), np.inf)
+    far_steps, near_steps = np.zeros((rows, n + 1)), np.zeros((rows, n + 1))
+    far[:, 0] = 0
+    for d in range(2, n + m + 1):
+        low, high = max(1, d - m, -((width - d) // 2)), min(n, d - 1, (d + width) // 2)
+        here, steps = np.full((rows, n + 1), np.inf), np.zeros((rows, n + 1))
+        if low <= high:
+            i = np.arange(low, high + 1)
+            ways = np.stack([far[:, i - 1], near[:, i - 1], near[:, i]])
             best = ways.argmin(axis=0)
-            here[j] = np.abs(x[:, i - 1] - y[:, j - 1]) + ways.min(axis=0)
-            steps[j] = np.choose(best, [taken[j - 1], taken[j], steps[j - 1]]) + 1
-        above, taken = here, steps
-    return above[m] / taken[m]
+            here[:, i] = cost[:, i - 1, d - i - 1] + ways.min(axis=0)
+            steps[:, i] = np.choose(best, [far_steps[:, i - 1], near_steps[:, i - 1], near_steps[:, i]]) + 1
+        far, near, far_steps, near_steps = near, here, near_steps, steps
+    return near[:, n] / near_steps[:, n]
 
 
 def feature_columns(bars: DataFrame) -> DataFrame:
@@ -152,13 +162,8 @@ def normalized(a: Column, method: str = "zscore", most: float | None = 5.0) -> C
     return out if most is None else F.transform(out, lambda v: F.greatest(F.least(v, F.lit(most)), F.lit(-most)))
 
 
-def grouped(price: Column, volume: Column, stat: Column) -> Column:
-    """Similarity over the groups of features, by their weights (PAT-08)."""
-    return 0.75 * price + 0.15 * volume + 0.10 * stat
-
-
 def search(bars: DataFrame, query: list[float], metric: str = "pearson", per_symbol: int = 20, top: int = 10) -> DataFrame:
-    """The windows most like a query of closes: the best of each symbol, then of all. The query is a literal; windows are looked at where they are."""
+    """The windows of closes most like a query of closes alone: the best of each symbol, then of all. The query is a literal; windows are looked at where they are. Whole bars are searched by pattern_search."""
     q = F.array(*[F.lit(float(x) / query[0] - 1) for x in query])
     w = windows(bars, len(query))
     score = {"pearson": lambda: (pearson(F.col("w"), q) + 1) / 2, "spearman": lambda: (spearman(F.col("w"), q) + 1) / 2, "cosine": lambda: cosine(F.col("w"), q), "l1": lambda: similarity(lp(F.col("w"), q, "l1")), "l2": lambda: similarity(lp(F.col("w"), q, "l2")), "linf": lambda: similarity(lp(F.col("w"), q, "linf")), "dtw": lambda: similarity(dtw(F.col("w"), q))}
@@ -167,5 +172,4 @@ def search(bars: DataFrame, query: list[float], metric: str = "pearson", per_sym
     rows = w.withColumn("similarity", rounded(score[metric](), 6))
     order = [F.desc("similarity"), F.asc("end")]
     own = rows.withColumn("_p", F.row_number().over(Window.partitionBy("code").orderBy(*order))).where(F.col("_p") <= per_symbol)
-    best = own.orderBy(*order, "code").limit(top)
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order, F.asc("code")))).select("rank", "code", "end", "similarity")
+    return few_numbered(own, [By("similarity", descending=True), By("end"), By("code")], top).select("rank", "code", "end", "similarity")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.num import rounded
 from ..functions.text import flags_of
+from ..sources.staged import staged
+from .places import By, few_numbered, numbered
 from .scoring import weights_of
 
 # fixed values: bounds and points of the risk rules
@@ -41,12 +43,20 @@ RISK = {
 }
 
 
+def order_of(factor_weights: dict[str, float] | None = None) -> list[By]:
+    """By screen_score, then factors by weight (ties by name), then code."""
+    factors = sorted(weights_of(factor_weights).items(), key=lambda x: (-x[1], x[0]))
+    return [By("screen_score", descending=True), *[By(f"factor_{f}_score", descending=True) for f, _ in factors], By("code")]
+
+
 def ordered(df: DataFrame, factor_weights: dict[str, float] | None = None) -> DataFrame:
     """rank by screen_score, then factors by weight (ties by name), then code: a total order (SRT-01)."""
-    keys = [F.desc_nulls_last("screen_score")]
-    for f, _ in sorted(weights_of(factor_weights).items(), key=lambda x: (-x[1], x[0])):
-        keys.append(F.desc_nulls_last(f"factor_{f}_score"))
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*keys, F.asc("code"))))
+    return numbered(df, order_of(factor_weights))
+
+
+def best(df: DataFrame, most: int, factor_weights: dict[str, float] | None = None) -> DataFrame:
+    """The first rows of ordered(), without ordering the others."""
+    return few_numbered(df, order_of(factor_weights), most)
 
 
 def risk(df: DataFrame, profile: dict[str, float] | None = None) -> tuple[Column, Column]:
@@ -108,7 +118,7 @@ def risk_overlay(df: DataFrame, max_penalty: float = 12.0, veto: bool = False, p
 
 def rerank(df: DataFrame) -> DataFrame:
     """Stable: by final_score, then by the earlier rank (SRT-04)."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("final_score"), F.asc("rank"))))
+    return numbered(df, [By("final_score", descending=True), By("rank")])
 
 
 def portfolio_overlay(df: DataFrame, bucket: Column, most: int = 1, step: float = 4.0) -> DataFrame:
@@ -148,11 +158,10 @@ def blend(df: DataFrame, judged: DataFrame, weight: float = 0.4, coverage: float
     """
     seq = F.col("seq").cast("long") if "seq" in judged.columns else F.lit(None).cast("long")
     first = judged.groupBy("code").agg(F.min_by(F.struct(seq.alias("seq"), "llm_score"), F.struct(F.coalesce(seq, F.lit(1 << 62)), "llm_score")).alias("_judged"))
-    rows = df.drop("llm_score").join(first, "code", "left")
-    everything = Window.partitionBy(F.lit(0))
-    n, known = F.count(F.lit(1)).over(everything), F.count("_judged").over(everything)
-    place = F.row_number().over(everything.orderBy(F.col("_judged").isNull(), F.asc_nulls_last("_judged.seq"), F.asc("rank")))
-    rows = rows.withColumns({"llm_coverage": rounded(known / n), "_place": place, "_step": 100.0 / n})
+    rows = staged(df.drop("llm_score").join(first, "code", "left").withColumns({"_unsaid": F.col("_judged").isNull().cast("int"), "_seq": F.col("_judged.seq")}), "judged")
+    count = rows.agg(F.count(F.lit(1)).alias("n"), F.count("_judged").alias("known")).first()
+    rows = numbered(rows, [By("_unsaid"), By("_seq"), By("rank")], "_place").drop("_unsaid", "_seq")
+    rows = rows.withColumns({"llm_coverage": rounded(F.lit(count.known) / F.lit(max(count.n, 1))), "_step": F.lit(100.0 / max(count.n, 1))})
     said = F.coalesce("_judged.llm_score", 100.0 - (F.col("_place") - 1) * F.col("_step"))
     counts = F.col("llm_coverage") >= coverage
     mixed = F.col("screen_score") * (1 - weight) + said * weight

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.num import clip, log_of, number, or_else, rank_score, rounded
+from ..functions.num import clip, log_of, number, or_else, rounded
+from ..sources.staged import staged
+from .places import percentile_ranks
 from ..functions.text import topic_tokens
 
 FACTORS = ("value", "liquidity", "momentum", "reversal", "activity", "stability", "size", "theme_heat", "topic_alignment")
@@ -100,24 +102,16 @@ class Scorer:
     def value(self) -> Column:
         s = F.lit(50.0)
         if self.has("pe_ratio"):
-            pe = number("pe_ratio")
-            s = s * 0.35 + rank_score(F.when((pe > 0) & (pe < 500), pe), True, 25) * 0.65
+            s = s * 0.35 + F.col("_rank_pe_ratio") * 0.65
         if self.has("pb_ratio"):
-            pb = number("pb_ratio")
-            s = s * 0.55 + rank_score(F.when((pb > 0) & (pb < 50), pb), True, 25) * 0.45
+            s = s * 0.55 + F.col("_rank_pb_ratio") * 0.45
         return clip(s, 0, 100)
 
     def liquidity(self) -> Column:
-        if not self.has("amount"):
-            return F.lit(50.0)
-        a = number("amount")
-        return rank_score(F.when(a > 0, log_of(a)), False, 20)
+        return F.col("_rank_amount") if self.has("amount") else F.lit(50.0)
 
     def size(self) -> Column:
-        if not self.has("total_mv"):
-            return F.lit(50.0)
-        a = number("total_mv")
-        return rank_score(F.when(a > 0, log_of(a)), False, 35)
+        return F.col("_rank_total_mv") if self.has("total_mv") else F.lit(50.0)
 
     def momentum(self) -> Column:
         p, s = self.p, F.lit(50.0)
@@ -231,6 +225,21 @@ class Scorer:
         return clip(s, 0, 100)
 
 
+# columns that are ranked over all rows: the valid values, whether lower is better, and what missing ones get
+RANKS = {
+    "_rank_pe_ratio": ("pe_ratio", lambda x: F.when((x > 0) & (x < 500), x), True, 25.0),
+    "_rank_pb_ratio": ("pb_ratio", lambda x: F.when((x > 0) & (x < 50), x), True, 25.0),
+    "_rank_amount": ("amount", lambda x: F.when(x > 0, log_of(x)), False, 20.0),
+    "_rank_total_mv": ("total_mv", lambda x: F.when(x > 0, log_of(x)), False, 35.0),
+}
+
+
+def with_ranks(df: DataFrame) -> DataFrame:
+    """df, staged, with the percentile ranks of those of its columns that factors are made of."""
+    ranked = {name: (valid(number(c)), lower, missing) for name, (c, valid, lower, missing) in RANKS.items() if c in df.columns}
+    return percentile_ranks(staged(df, "scored"), ranked) if ranked else df
+
+
 def weights_of(factor_weights: dict[str, float] | None, tech_weight: float = 0.5) -> dict[str, float]:
     """Explicit weights without unknown factors and negatives, or such that follow from tech_weight; they sum to 1."""
     raw = factor_weights or {"value": (1 - tech_weight) * 0.5, "liquidity": (1 - tech_weight) * 0.25, "stability": (1 - tech_weight) * 0.25, "momentum": tech_weight * 0.55, "activity": tech_weight * 0.45}
@@ -242,16 +251,16 @@ def weights_of(factor_weights: dict[str, float] | None, tech_weight: float = 0.5
 def score(df: DataFrame, factor_weights: dict[str, float] | None = None, tech_weight: float = 0.5, profile: dict[str, float] | None = None) -> DataFrame:
     """Rounded factor columns and screen_score, the clipped sum of unrounded factors by weight."""
     scorer = Scorer(df, profile)
-    raw = df.withColumns({f"_f_{f}": getattr(scorer, f)() for f in FACTORS})
+    raw = with_ranks(df).withColumns({f"_f_{f}": getattr(scorer, f)() for f in FACTORS})
     total = F.lit(0.0)
     for f, w in weights_of(factor_weights, tech_weight).items():
         total = total + F.col(f"_f_{f}") * w
     out = raw.withColumn("screen_score", rounded(clip(total, 0, 100)))
-    return out.withColumns({f"factor_{f}_score": rounded(F.col(f"_f_{f}")) for f in FACTORS}).drop(*[f"_f_{f}" for f in FACTORS])
+    return out.withColumns({f"factor_{f}_score": rounded(F.col(f"_f_{f}")) for f in FACTORS}).drop(*[f"_f_{f}" for f in FACTORS], *RANKS)
 
 
 def sub_scores(df: DataFrame, profile: dict[str, float] | None = None) -> DataFrame:
     """snapshot_score from value, liquidity and stability, tech_score from momentum and activity, without weights of a strategy (SCR-10)."""
     s = Scorer(df, profile)
     snapshot = s.value() * 0.5 + s.liquidity() * 0.25 + s.stability() * 0.25
-    return df.withColumns({"snapshot_score": rounded(clip(snapshot, 0, 100)), "tech_score": rounded(clip(s.momentum() * 0.55 + s.activity() * 0.45, 0, 100))})
+    return with_ranks(df).drop("snapshot_score", "tech_score").withColumns({"snapshot_score": rounded(clip(snapshot, 0, 100)), "tech_score": rounded(clip(s.momentum() * 0.55 + s.activity() * 0.45, 0, 100))}).drop(*RANKS)

@@ -52,7 +52,7 @@ def screen(snapshot: DataFrame, spec: ScreenSpec, bars: DataFrame | None = None,
         if bars is None:
             raise ValueError(f"{spec.name} needs daily bars")
         if prune:
-            pool = ranking.ordered(scoring.score(pool, spec.factor_weights, profile=spec.profile), spec.factor_weights).where(F.col("rank") <= prune).select(*snapshot.columns)
+            pool = ranking.best(scoring.score(pool, spec.factor_weights, profile=spec.profile), prune, spec.factor_weights).select(*snapshot.columns)
         own = bars.join(pool.select("code"), "code", "left_semi")
         pool = pool.join(daily_features(own), "code", "left")
         pool = filters.apply(pool, spec.hard_filters, "SD")
@@ -62,5 +62,4 @@ def screen(snapshot: DataFrame, spec: ScreenSpec, bars: DataFrame | None = None,
         own = moneyflow.join(pool.select("code"), "code", "left_semi")
         pool = pool.join(flow_features(own, bars), "code", "left")
         pool = filters.apply(pool, spec.hard_filters)
-    ranked = ranking.ordered(scoring.score(pool, spec.factor_weights, profile=spec.profile), spec.factor_weights)
-    return ranked.where(F.col("rank") <= spec.max_output)
+    return ranking.best(scoring.score(pool, spec.factor_weights, profile=spec.profile), spec.max_output, spec.factor_weights)

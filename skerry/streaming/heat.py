@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.history import keep_last
+from ..sources.keyed import KeyedTable, StaleTable
 from ..sources.readers import HEAT
 
 
@@ -23,31 +23,24 @@ def daily_heat(stream: DataFrame, late: str = "2 days") -> DataFrame:
     return days.agg(F.count(F.lit(1)).alias("n"), F.avg("heat").alias("mean"), F.max("heat").alias("most")).select(F.to_date("w.start").alias("day"), "board", "n", "mean", "most")
 
 
-def upsert_stream(stream: DataFrame, path: str, keys: list[str], checkpoint: str, drain: bool = True) -> StreamingQuery:
-    """Keep a table at path up to date: in each batch the latest row of a key replaces the one before.
+def upsert_stream(stream: DataFrame, path: str, keys: list[str], checkpoint: str, drain: bool = True, order: list[str] | None = None) -> StreamingQuery:
+    """Keep a table at path up to date: of a key's rows the one with the greatest order counts, else that of the latest batch.
 
-    A batch writes a whole new version beside the others and then names it in a marker table, so a batch that is run
-    again after a failure gives the same table.
+    A batch rewrites the buckets it touches and commits them as a version, so a batch that is run again after a failure changes nothing. Versions before the last two are removed as the stream goes on.
     """
-    spark = stream.sparkSession
+    table = KeyedTable(stream.sparkSession, path, keys, order or [])
 
     def merge(batch: DataFrame, number: int) -> None:
-        old = current(spark, path, before=number)
-        new = batch.dropDuplicates(keys)
-        merged = keep_last(old, new, keys) if old is not None else new
-        merged.write.mode("overwrite").parquet(f"{path}/version={number}")
-        spark.range(1).select(F.lit(number).cast("long").alias("version")).write.mode("overwrite").parquet(f"{path}/_done/{number}")
+        table.upsert(batch, "stream", number)
+        table.vacuum(keep=2)
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if drain else writer).start()
 
 
-def current(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The table's newest finished version, or None."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_done")
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table's newest version, or None."""
+    try:
+        return KeyedTable(spark, path).read()
+    except (ValueError, StaleTable):
         return None
-    versions = [int(s.getPath().getName()) for s in fs.listStatus(hadoop)]
-    versions = [v for v in versions if before is None or v < before]
-    return spark.read.parquet(f"{path}/version={max(versions)}") if versions else None
