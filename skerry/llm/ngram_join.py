@@ -1,7 +1,6 @@
 """Near-duplicate join on word shingles by adaptive multi-match prefixes.
 
-Each set of shingles, in the order of their hashes, is first cut to the shortest prefix that can't miss a partner. That tells what a
-document would cost: how many of these shingles others have too. Documents that share none have no link and are done; all others have their prefixes lengthened, so that any two sets of the asked similarity
+Each set of shingles, in the order of their hashes, is cut to a prefix so long that any two sets of the asked similarity
 share l of their prefixes' shingles, not just one. Shingles in many prefixes are never joined on: a pair that shares k of
 them still shares l - k others, so a document's number of such costly shingles lowers the number of matches its pairs must show. Documents with so many that nothing else
 must match (copies in large groups) have their prefixes lengthened to the whole set, cut anew by how rare shingles are among them, and are compared by pivots: what
@@ -36,14 +35,9 @@ def required(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-n * percent // 100)
 
 
-def shortest_prefix(n: np.ndarray, percent: int) -> np.ndarray:
-    """The prefix of a set of n that shares a shingle with that of any similar set."""
-    return n - required(n, percent) + (n > 0)
-
-
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
-    """The lengthened prefix of a set of n: enough for one match, and then longer in proportion and by a constant."""
-    one = shortest_prefix(n, percent)
+    """The prefix of a set of n: enough for one match, and then longer in proportion and by a constant."""
+    one = n - required(n, percent) + 1
     return np.minimum(n, one + (one * LENGTHEN).astype(np.int64) + EXTRA)
 
 
@@ -81,11 +75,10 @@ def _sets(percent: int, size: int, bits: int, batches: Iterable[pa.RecordBatch])
         yield pa.RecordBatch.from_arrays([*key, pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(n, pa.int64()), pa.array(prefixes, pa.binary())], names=["doc_id", "h1", "h2", "cid", "c2", "n", "prefix"])
 
 
-def _postings(most: int, batches: Iterable[pa.RecordBatch], percent: int | None = None) -> Iterator[pa.RecordBatch]:
-    """(cid, prefix, n) -> (token, cid, 0), of the shortest prefixes where percent is given, else of the lengthened ones.
+def _postings(most: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cid, prefix) -> (token, cid, 0); of a shingle in more classes than most, as far as this task sees, only so many go on that it shows, and each class tells its number of others: (cid, cid, that).
 
-    Of a shingle in more classes than most, as far as this task sees, only so many go on that it shows, and each class tells its number of others: (cid, cid, that). A class
-    may come several times (each task that met its text gave it a prefix): its repeats count once here, so that what goes on are different classes.
+    A class may come several times (each task that met its text gave it a prefix): its repeats count once here, so that what goes on are different classes.
     """
     held: list[tuple[np.ndarray, np.ndarray]] = []
     waiting = 0
@@ -112,8 +105,6 @@ def _postings(most: int, batches: Iterable[pa.RecordBatch], percent: int | None
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
             prefixes = part.column(1).to_pylist()
-            if percent is not None:
-                prefixes = [p[: 8 * k] for p, k in zip(prefixes, shortest_prefix(part.column(2).to_numpy(), percent).tolist())]
             sizes = np.fromiter(map(len, prefixes), np.int64, len(prefixes)) // 8
             held.append((np.frombuffer(b"".join(prefixes), np.int64), np.repeat(part.column(0).to_numpy(), sizes)))
             waiting += len(held[-1][0])
@@ -237,15 +228,8 @@ class NgramJoin:
         least = [F.min("c2").alias("c2"), F.max("c2").alias("other"), F.min("n").alias("n"), F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "h1", "h2")).alias("key")]
         return stage(rows.where("n > 0").groupBy("cid").agg(*least), "classes")
 
-    def _costs(self) -> DataFrame:
-        """(cid, cost): the classes whose shortest prefixes hold shingles of other classes' ones, and how many. A class without a row shares none, so it has no link."""
-        percent = self.percent
-        first = self.rows.where("prefix is not null").select("cid", "prefix", "n").mapInArrow(lambda b: _postings(1, b, percent), "token long, cid long, many int")
-        shared = first.repartition("token").sortWithinPartitions("token", "cid").mapInArrow(lambda b: _group(1, b), "many int, u long, v long")
-        return stage(shared.groupBy(F.col("u").alias("cid")).agg(F.sum("many").alias("cost")), "costs")
-
-    def _info(self, found: DataFrame, costs: DataFrame) -> DataFrame:
-        """Per class that was lengthened: size, matches that pairs owe, the least that any partner's size makes of it, and the number of costly shingles."""
+    def _info(self, found: DataFrame) -> DataFrame:
+        """Per class with costly shingles or partners: size, matches that pairs owe, the least that any partner's size makes of it, and the number of costly shingles."""
         percent = self.percent
 
         @F.pandas_udf("struct<l:long,least:long>")
@@ -258,7 +242,7 @@ class NgramJoin:
             return pd.DataFrame({"l": matches(n, percent), "least": np.minimum(matches(n, percent), matches(low, percent)) - 2})
 
         h = found.where("many > 0").groupBy(F.col("u").alias("cid")).agg(F.sum("many").alias("h"))
-        info = self.classes.select("cid", "n").join(costs, "cid", "left_semi").join(h, "cid", "left").withColumn("o", owed("n"))
+        info = self.classes.select("cid", "n").join(h, "cid", "left").withColumn("o", owed("n"))
         return stage(info.select("cid", "n", "o.l", "o.least", F.coalesce("h", F.lit(0)).alias("h")), "owed")
 
     def _near_sizes(self, a: Column, b: Column) -> Column:
@@ -282,12 +266,10 @@ class NgramJoin:
 
     def class_components(self) -> DataFrame:
         """The components of classes (node, component), by enough verified links to connect all that is connected."""
-        costs = self._costs()
-        lengthened = self.rows.where("prefix is not null").select("cid", "prefix", "n").join(costs, "cid", "left_semi")
-        posted = lengthened.mapInArrow(lambda b: _postings(MOST, b), "token long, cid long, many int")
+        posted = self.rows.where("prefix is not null").select("cid", "prefix").mapInArrow(lambda b: _postings(MOST, b), "token long, cid long, many int")
         found = posted.repartition("token").sortWithinPartitions("token", "cid").mapInArrow(lambda b: _group(MOST, b), "many int, u long, v long")
         found = stage(found, "matches")
-        info = self._info(found, costs)
+        info = self._info(found)
         pairs = found.where("many = 0").groupBy("u", "v").agg(F.count(F.lit(1)).alias("c"))
         a, b = (info.select(F.col("cid").alias(s), *[F.col(c).alias(s + c) for c in ("n", "l", "h")]) for s in ("u", "v"))
         owed = F.greatest(F.lit(1), F.least("ul", "vl") - F.least("uh", "vh"))
@@ -296,7 +278,7 @@ class NgramJoin:
         members = info.where("h >= least").select("cid")
         sets = self._whole(near.select(F.col("u").alias("cid")).unionByName(near.select(F.col("v").alias("cid"))).unionByName(members).distinct())
         links = self._verified(near, sets)
-        unstage(found, near, costs)
+        unstage(found, near)
 
         lists = self._lengthened(sets.join(members, "cid", "left_semi"))
         unstage(info)

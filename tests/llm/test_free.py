@@ -244,17 +244,6 @@ def test_near_duplicates_however_the_input_is_split(spark, tmp_path, parts):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(near(docs))
 
 
-def test_only_documents_that_share_a_first_shingle_are_lengthened(spark):
-    """What the shortest prefixes cost decides: documents that share no shingle there have no link and get no longer prefix."""
-    rng = random.Random(4)
-    alone = [(i, " ".join(f"a{rng.randrange(10**9)}" for _ in range(80))) for i in range(50)]
-    base = [f"b{i}" for i in range(80)]
-    pair = [(100, " ".join(base)), (101, " ".join([*base[:-1], "z"]))]
-    join = NgramJoin(spark.createDataFrame(alone + pair, "doc_id long, text string"))
-    costs = join._costs().join(join.classes, "cid").collect()
-    assert sorted(r["first"] for r in costs) == [100, 101] and all(r.cost > 0 for r in costs)
-
-
 def test_near_duplicates_odd(spark, odd_docs, no_docs):
     rows = {(r.doc_id, r.n_shingles): r.component_id for r in near_duplicates(odd_docs).collect()}
     assert rows[0, 0] == 0 and rows[1, 0] == 1 and rows[5, 4] == rows[6, 4] == 5
