@@ -114,6 +114,7 @@ def share(count: Column, total: Column, terms: Column) -> Column:
 
 def apart(p: Column, q: Column) -> Column:
     """floor((p - q)^2 / (p + q)); shares are at most SCALE + 1, so squares fit in a long."""
+    p, q = p.cast("long"), q.cast("long")
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 

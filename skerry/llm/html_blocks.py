@@ -111,7 +111,7 @@ def blocks_of(page: str) -> list[Block]:
         if m[2] is None:
             continue
         tag = m[2].lower()
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in RAW:
             end_block()
         elif tag == "br":
             text(" ")
