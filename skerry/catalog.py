@@ -105,7 +105,7 @@ WATERFALL = {"amount_min": 30000, "price_min": 1000, "price_max": 2600, "pe_ttm_
 
 @query
 def filter_waterfall(spark, d):
-    return filters.waterfall(D.snapshot(spark, d), WATERFALL).select(*big("step"), "label", *big("before", "after", "removed"), "removed_pct", "samples")
+    return filters.waterfall(D.snapshot(spark, d), WATERFALL).select(*big("step"), "label", *big("before", "after", "removed"), "removed_pct", "samples", "suggestion")
 
 
 @query

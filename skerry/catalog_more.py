@@ -68,7 +68,7 @@ def board_heat_score(spark, d):
 def _stocks(spark, d):
     s = D.snapshot(spark, d)
     c = F.col("change_pct") / 10
-    score = BO.stock_score(c, F.col("amount") * 1000, F.col("turnover_rate"), F.col("volume_ratio"), F.col("change_pct") * 1e6)
+    score = BO.stock_score(c, F.col("amount") * 1000, F.col("turnover_rate"), F.col("volume_ratio"), F.col("change_pct") * 1e6, c >= 5, F.col("code") % 5, F.col("code") % 6)
     return s.select("code", F.col("industry").alias("board"), rounded(c).alias("change_pct"), rounded("amount").alias("amount"), score.alias("hot_stock_score"))
 
 

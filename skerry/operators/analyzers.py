@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.num import rounded
+from ..functions.text import normalize_code
 from .ranking import rerank, scorecard
 
 # fixed values: points of advice and of predicted trends
@@ -41,16 +42,16 @@ def deep_overlay(df: DataFrame) -> DataFrame:
 def external_overlay(df: DataFrame, items: DataFrame, most: int) -> DataFrame:
     """Deltas and flags of an external analyzer's items (seq, code, score_delta, risk_flags array) on the picks of their codes.
 
-    Several items of a code add up, with their flags in the order of seq; items of unknown codes and missing deltas count nothing. Only the first
+    Codes are compared in their normal spelling. Several items of a code add up, with their flags in the order of seq; items of unknown codes and missing deltas count nothing. Only the first
     picks were shown to the analyzer: the others are skipped, though an item that names one still counts.
     """
-    told = items.groupBy("code").agg(F.sum(F.coalesce("score_delta", F.lit(0.0))).alias("external_delta"), F.array_sort(F.collect_list(F.struct("seq", "risk_flags"))).alias("_told"))
+    told = items.groupBy(normalize_code(F.col("code").cast("string")).alias("_code")).agg(F.sum(F.coalesce("score_delta", F.lit(0.0))).alias("external_delta"), F.array_sort(F.collect_list(F.struct("seq", "risk_flags"))).alias("_told"))
     more = F.flatten(F.transform(F.coalesce("_told", F.array().cast("array<struct<seq:bigint,risk_flags:array<string>>>")), lambda x: F.coalesce(x["risk_flags"], F.array().cast("array<string>"))))
     held = F.split(F.coalesce("risk_flags", F.lit("")), ";")
     flags = F.array_join(F.array_distinct(F.filter(F.concat(held, F.transform(more, lambda x: F.trim(x))), lambda x: x != "")), ";")
     status = F.when(F.col("rank") > most, "skipped").when(F.col("external_delta").isNotNull(), "completed").otherwise("")
-    out = df.join(told, "code", "left").withColumns({"external_status": status, "risk_flags": flags, "final_score": rounded(F.col("final_score") + F.coalesce("external_delta", F.lit(0.0)))})
-    return out.drop("_told")
+    out = df.withColumn("_code", normalize_code(F.col("code").cast("string"))).join(told, "_code", "left").withColumns({"external_status": status, "risk_flags": flags, "final_score": rounded(F.col("final_score") + F.coalesce("external_delta", F.lit(0.0)))})
+    return out.drop("_told", "_code")
 
 
 def card_overlay(df: DataFrame) -> DataFrame:

@@ -70,12 +70,18 @@ def hotspots(trends: DataFrame, top: int = 10) -> DataFrame:
     return few_numbered(rows, [By("hot_score", descending=True), By("board")], top)
 
 
-def stock_score(change: Column, amount: Column, turnover: Column, ratio: Column, inflow: Column) -> Column:
-    """A constituent's strength (HOT-04)."""
+def stock_score(change: Column, amount: Column, turnover: Column, ratio: Column, inflow: Column, limit_up: Column | None = None, active: Column | None = None, evidence: Column | None = None) -> Column:
+    """A constituent's strength, with bonuses for a limit-up, days of activity and pieces of evidence where they are known (HOT-04)."""
     z = lambda c: F.coalesce(c, F.lit(0.0))
     size = F.when(amount > 0, clip((F.log10(amount) - 6) / 4 * 18, 0, 18)).otherwise(0.0)
     money = F.when(inflow > 0, clip((F.log10(inflow) - 5) / 4 * 12, 0, 12)).when(inflow < 0, -clip((F.log10(-inflow) - 5) / 4 * 8, 0, 8)).otherwise(0.0)
-    return rounded(clip(35 + clip(z(change) * 2.7, -18, 32) + size + clip(z(turnover) * 1.1, 0, 14) + clip(z(ratio) * 3, 0, 12) + money, 0, 100))
+    score = 35 + clip(z(change) * 2.7, -18, 32) + size + clip(z(turnover) * 1.1, 0, 14) + clip(z(ratio) * 3, 0, 12) + money
+    if limit_up is not None:
+        score = score + F.when(limit_up, 8.0).otherwise(0.0)
+    for c, each in ((active, 2.5), (evidence, 2.0)):
+        if c is not None:
+            score = score + clip(z(c.cast("double").cast("long").cast("double")) * each, 0, 8)
+    return rounded(clip(score, 0, 100))
 
 
 def roles(stocks: DataFrame) -> DataFrame:

@@ -128,19 +128,23 @@ def steps(df: DataFrame, config: dict, phases: str = "SDF") -> list[tuple[str, C
 
 
 def apply(df: DataFrame, config: dict, phases: str = "SDF") -> DataFrame:
-    """Rows that pass every configured filter."""
+    """Rows that pass every configured filter, in their order. A column that isn't there is an error only if any row is left to be judged by it."""
     cond = F.lit(True)
-    for _, p in steps(df, config, phases):
-        cond = cond & p
+    for key, value in active(config, phases):
+        if key.column not in df.columns:
+            if df.where(cond).isEmpty():
+                return df.where(F.lit(False))
+            raise MissingFieldError(f"{key.name} needs column {key.column}")
+        cond = cond & predicate(key, value)
     return df.where(cond)
 
 
 def waterfall(df: DataFrame, config: dict, samples: int = 3) -> DataFrame:
-    """Per step: step, label, before, after, removed, removed_pct and up to so many removed codes, in one pass over df.
+    """Per step: step, label, before, after, removed, removed_pct, up to so many removed codes and a suggestion, in one pass over df. Flow filters are no steps.
 
-    Each row's first failed step is found once; steps' counts are running sums over at most 55 groups.
+    Each row's first failed step is found once and staged; steps' counts are running sums over at most 55 groups. A step is to be looked at if it left nothing, or took nine of ten.
     """
-    named = steps(df, config)
+    named = steps(df, config, "SD")
     first = F.lit(len(named) + 1)
     for i in range(len(named), 0, -1):
         first = F.when(~named[i - 1][1], i).otherwise(first)
@@ -156,7 +160,9 @@ def waterfall(df: DataFrame, config: dict, samples: int = 3) -> DataFrame:
     rows = rows.withColumn("before", total - F.coalesce(gone, F.lit(0)))
     rows = rows.withColumn("after", F.col("before") - F.col("removed")).where(F.col("label").isNotNull())
     pct = F.when(F.col("before") > 0, F.rint(F.col("removed") / F.col("before") * 1e6) / 1e4).otherwise(0.0)
-    return rows.select("step", "label", "before", "after", "removed", pct.alias("removed_pct"), F.coalesce("samples", F.lit("")).alias("samples"))
+    said = F.when((F.col("before") <= 0) | (F.col("removed") <= 0), "").when(F.col("after") == 0, F.concat("label", F.lit(" eliminated all remaining candidates; inspect threshold or data availability.")))
+    said = said.when(F.col("removed") / F.col("before") >= 0.9, F.concat("label", F.lit(" removed over 90% of remaining candidates; consider reviewing this threshold."))).otherwise("")
+    return rows.select("step", "label", "before", "after", "removed", pct.alias("removed_pct"), F.coalesce("samples", F.lit("")).alias("samples"), said.alias("suggestion"))
 
 
 def rejections(df: DataFrame, config: dict, limit: int = 8) -> DataFrame:

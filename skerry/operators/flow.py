@@ -7,16 +7,21 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.num import rounded
 from .bars import by_date, full, over
 
 TIERS = ("sm", "md", "lg", "elg")
 
 
 def derive(f: DataFrame) -> DataFrame:
-    """Main (large and extra large) and retail net inflow, missing cells as 0 (WIN-22)."""
+    """Main (large and extra large) and retail net inflow, missing cells as 0 (WIN-22). A main inflow that a code's rows already have, on any day, is left as it is."""
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     net = lambda tiers: sum((z(f"buy_{t}_amount") - z(f"sell_{t}_amount") for t in tiers), F.lit(0.0))
-    return f.withColumns({"main_net_inflow": net(("lg", "elg")), "retail_net_inflow": net(("sm", "md"))})
+    main = net(("lg", "elg"))
+    if "main_net_inflow" in f.columns:
+        own = F.col("main_net_inflow").cast("double")
+        main = F.when(F.max(own.isNotNull()).over(Window.partitionBy("code")), own).otherwise(main)
+    return f.withColumns({"main_net_inflow": main, "retail_net_inflow": net(("sm", "md"))})
 
 
 def rolling(f: DataFrame, windows: Iterable[int] = (5, 10, 20)) -> DataFrame:
@@ -41,17 +46,18 @@ def zscore(f: DataFrame) -> DataFrame:
 def against_bars(f: DataFrame, bars: DataFrame | None) -> DataFrame:
     """Turnover, inflow rate and divergence of price and flow; close_pct is taken on the bars' own days (JOIN-04, WIN-26).
 
-    Without bars, close, close_pct and both divergences are null; a day without a bar diverges in neither way.
+    Turnover is the bar's close times volume, in ten thousands; where that is missing or not positive, half of what was bought and sold; null if that isn't positive either. Without bars, close, close_pct and both divergences are null; a day without a bar diverges in neither way.
     """
     if bars is None:
-        bars = f.select("code", "date", F.lit(None).cast("double").alias("close")).limit(0)
+        none = F.lit(None).cast("double")
+        bars = f.select("code", "date", none.alias("close"), none.alias("volume")).limit(0)
         diverges = lambda _: F.lit(None).cast("boolean")
     else:
         diverges = lambda c: F.coalesce(c, F.lit(False))
-    px = bars.select("code", "date", "close", (F.col("close") / F.lag("close").over(by_date()) - 1).alias("close_pct"))
+    px = bars.select("code", "date", "close", (F.col("close") / F.lag("close").over(by_date()) - 1).alias("close_pct"), (F.col("close") * F.col("volume") / 10000).alias("_traded"))
     rows = f.join(px, ["code", "date"], "left")
     turnover = sum((F.coalesce(F.col(f"{s}_{t}_amount"), F.lit(0.0)) for s in ("buy", "sell") for t in TIERS), F.lit(0.0)) / 2
-    rows = rows.withColumn("turnover_amount", turnover)
+    rows = rows.withColumn("turnover_amount", F.coalesce(F.when(F.col("_traded") > 0, F.col("_traded")), F.when(turnover > 0, turnover))).drop("_traded")
     return rows.withColumns(
         {
             "main_net_inflow_rate": F.when(F.col("turnover_amount") > 0, F.col("main_net_inflow") / F.col("turnover_amount")),
@@ -65,6 +71,16 @@ def enrich(f: DataFrame, bars: DataFrame) -> DataFrame:
     return against_bars(zscore(streak(rolling(derive(f)))), bars)
 
 
+def snapshot(f: DataFrame, bars: DataFrame | None, as_of: str | None = None) -> DataFrame:
+    """Each code's fields on its last day up to a date (FLT-11): rounded, with divergences that aren't known as false. Codes without a day are left out."""
+    rows = against_bars(zscore(streak(rolling(derive(f)))), bars)
+    rows = rows.where(F.col("date") <= F.to_date(F.lit(as_of))) if as_of else rows
+    last = rows.withColumn("_p", F.row_number().over(Window.partitionBy("code").orderBy(F.desc("date")))).where("_p = 1")
+    numbers = ("main_net_inflow", "main_net_inflow_rate", "main_net_inflow_zscore_20d", "main_net_inflow_5d", "main_net_inflow_10d", "main_net_inflow_20d")
+    flags = [F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ("price_up_flow_out", "price_down_flow_in")]
+    return last.select("code", F.col("date").alias("as_of"), "main_inflow_streak", *[rounded(c).alias(c) for c in numbers], *flags)
+
+
 def condition(name: str, **params: float) -> Column:
     """One named flow condition (FLT-11); an unknown name is a ValueError."""
     c = F.col

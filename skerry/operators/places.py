@@ -111,6 +111,23 @@ def few_numbered(df: DataFrame, keys: Sequence[By], most: int, name: str = "rank
     return first.withColumn(name, F.row_number().over(Window.orderBy(*order)))
 
 
+def medians(rows: DataFrame, by: Sequence[str], value: str, part_rows: int = PART_ROWS) -> DataFrame:
+    """The exact median of a staged table's values in each group (by..., median), however large a group is (AGG-02, AGG-07).
+
+    Equal values are counted first; the places of a group's values come from sums over parts, and its one or two middle values are picked by their places. No task holds a group's values.
+    """
+    counts = staged(rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_value")).agg(F.count(F.lit(1)).alias("_n")), "value-counts")
+    placed = running(counts, [*[By(b) for b in by], By("_value")], F.col("_n"), "_before", part_rows)
+    groups = placed.groupBy(*by).agg(F.sum("_n").alias("_all"), F.min("_before").alias("_start"))
+    same = F.lit(True)
+    for b in by:
+        same = same & F.col(f"p.`{b}`").eqNullSafe(F.col(f"g.`{b}`"))
+    met = placed.alias("p").join(groups.alias("g"), same).select(*[F.col(f"p.`{b}`").alias(b) for b in by], "_value", (F.col("_before") - F.col("_start")).alias("_from"), "_n", "_all")
+    at = lambda place: F.max(F.when((F.col("_from") <= place) & (place < F.col("_from") + F.col("_n")), F.col("_value")))
+    low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    return met.groupBy(*by).agg(((at(low) + at(high)) / 2).alias("median"))
+
+
 def percentile_ranks(rows: DataFrame, ranked: dict[str, tuple[Column, bool, float]], part_rows: int = PART_ROWS) -> DataFrame:
     """A staged table's rows with a column for each of ranked: name -> (value, whether lower is better, what missing values get).
 

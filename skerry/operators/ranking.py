@@ -59,6 +59,10 @@ def best(df: DataFrame, most: int, factor_weights: dict[str, float] | None = Non
     return few_numbered(df, order_of(factor_weights), most)
 
 
+def quality_list(flags: Column) -> Column:
+    return F.split(F.regexp_replace(F.coalesce(flags.cast("string"), F.lit("")), "[,，| ]", ";"), ";")
+
+
 def risk(df: DataFrame, profile: dict[str, float] | None = None) -> tuple[Column, Column]:
     """(points, flags) of a pick's risk rules, by the bounds and points of a profile (RSK-02).
 
@@ -68,7 +72,7 @@ def risk(df: DataFrame, profile: dict[str, float] | None = None) -> tuple[Column
     p = RISK | (profile or {})
     has = set(df.columns)
     c = lambda name: F.col(name) if name in has else F.lit(None)
-    quality = F.split(F.regexp_replace(F.coalesce(c("daily_quality_flags").cast("string"), F.lit("")), "[,，| ]", ";"), ";")
+    quality = F.col("_quality") if "_quality" in has else quality_list(c("daily_quality_flags"))
     severe = F.array(*[F.lit(x) for x in ("invalid_ohlc", "non_positive_price", "negative_volume")])
     chase = F.coalesce(c("change_pct") >= p["chase_change_pct"], F.lit(False))
     rules = [
@@ -104,8 +108,10 @@ def risk(df: DataFrame, profile: dict[str, float] | None = None) -> tuple[Column
 
 def risk_overlay(df: DataFrame, max_penalty: float = 12.0, veto: bool = False, profile: dict[str, float] | None = None) -> DataFrame:
     """Subtract bounded risk from final_score, mark risk_level, optionally drop high risk, and rank anew (RSK-02, RSK-03)."""
+    if "daily_quality_flags" in df.columns:
+        df = df.withColumn("_quality", quality_list(F.col("daily_quality_flags")))  # split once, not by each rule
     points, flags = risk(df, profile)
-    out = df.withColumn("risk_points", points).withColumn("risk_flags", flags)
+    out = df.withColumn("risk_points", points).withColumn("risk_flags", flags).drop("_quality")
     p = F.col("risk_points")
     share = F.when(F.lit(max_penalty > 0), F.least(p / max(max_penalty, 1e-9) * 100, F.lit(100.0))).otherwise(0.0)
     level = F.when(F.lit(max_penalty <= 0), "low").when(p >= max_penalty * 0.66, "high").when(p >= max_penalty * 0.33, "medium").otherwise("low")

@@ -34,10 +34,11 @@ FLOW = """flows AS (
 flow AS (SELECT *, buy_lg_amount - sell_lg_amount + (buy_elg_amount - sell_elg_amount) AS main_net_inflow, buy_sm_amount - sell_sm_amount + (buy_md_amount - sell_md_amount) AS retail_net_inflow FROM flows)"""
 STREAK = f"""streaks AS (SELECT *, sum(1 - stop) OVER (PARTITION BY code, island ORDER BY date) AS main_inflow_streak FROM (
   SELECT *, sum(stop) OVER ({W}) AS island FROM (SELECT *, CASE WHEN main_net_inflow > 0 THEN 0 ELSE 1 END AS stop FROM flow)))"""
+TIERS = "((buy_sm_amount + buy_md_amount + buy_lg_amount + buy_elg_amount + sell_sm_amount + sell_md_amount + sell_lg_amount + sell_elg_amount) / 2)"
 DIVERGE = f"""diverge AS (SELECT f.*, CAST(sum(CAST(main_net_inflow AS DECIMAL(28, 6))) OVER (PARTITION BY f.code ORDER BY f.date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS DOUBLE) AS main_net_inflow_5d,
-  (buy_sm_amount + buy_md_amount + buy_lg_amount + buy_elg_amount + sell_sm_amount + sell_md_amount + sell_lg_amount + sell_elg_amount) / 2 AS turnover_amount, close_pct,
+  coalesce(CASE WHEN traded > 0 THEN traded END, CASE WHEN {TIERS} > 0 THEN {TIERS} END) AS turnover_amount, close_pct,
   coalesce(close_pct > 0 AND main_net_inflow < 0, false) AS price_up_flow_out, coalesce(close_pct < 0 AND main_net_inflow > 0, false) AS price_down_flow_in
-  FROM streaks f LEFT JOIN (SELECT code, date, close / lag(close) OVER ({W}) - 1 AS close_pct FROM bars) b USING (code, date))"""
+  FROM streaks f LEFT JOIN (SELECT code, date, close / lag(close) OVER ({W}) - 1 AS close_pct, close * volume / 10000 AS traded FROM bars) b USING (code, date))"""
 
 
 def ewm(series: str, alpha: str) -> str:
@@ -127,7 +128,8 @@ counts AS (SELECT step, count(*) AS removed FROM marked GROUP BY step),
 few AS (SELECT step, string_agg(code::VARCHAR, ',' ORDER BY code) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY step ORDER BY code) AS rn FROM marked) WHERE rn <= 3 GROUP BY step),
 rows AS (SELECT s.step, s.label, coalesce(removed, 0) AS removed, coalesce(samples, '') AS samples, (SELECT count(*) FROM snap) AS total FROM (VALUES {names}) s(step, label) LEFT JOIN counts USING (step) LEFT JOIN few USING (step)),
 sums AS (SELECT *, total - coalesce(sum(removed) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM rows)
-SELECT step::BIGINT AS step, label, before::BIGINT AS before, (before - removed)::BIGINT AS after, removed::BIGINT AS removed, CASE WHEN before > 0 THEN round_even(removed / before * 1000000, 0) / 10000 ELSE 0 END AS removed_pct, samples FROM sums"""
+SELECT step::BIGINT AS step, label, before::BIGINT AS before, (before - removed)::BIGINT AS after, removed::BIGINT AS removed, CASE WHEN before > 0 THEN round_even(removed / before * 1000000, 0) / 10000 ELSE 0 END AS removed_pct, samples,
+CASE WHEN before <= 0 OR removed <= 0 THEN '' WHEN before = removed THEN label || ' eliminated all remaining candidates; inspect threshold or data availability.' WHEN removed / before >= 0.9::DOUBLE THEN label || ' removed over 90% of remaining candidates; consider reviewing this threshold.' ELSE '' END AS suggestion FROM sums"""
 
 
 def _adjusted(by: str) -> str:

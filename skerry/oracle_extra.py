@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .operators.analyzers import ADVICE, TREND
-from .oracle import BARS, DEFAULT, FLOW, MEMBERS, SNAP, SQL, W, clip, n, r4, scored
+from .oracle import BARS, DEFAULT, FLOW, MEMBERS, SNAP, SQL, TIERS, W, clip, n, r4, scored
 from .oracle_more import HEAT, VECS, r6
 
 KINDS = "['click', 'view', 'purchase', 'signup', 'none']"
@@ -73,6 +73,6 @@ SELECT row_number() OVER (ORDER BY final_score DESC, rank) AS rank, code, risk_p
         "eval_path_summary": f"SELECT count(path_drawdown_pct) AS path_pick_count, " + ", ".join(f"{r4(f'{f}(path_{c}_pct)')} AS {x}_max_{c}_pct" for c in ("drawdown", "runup") for f, x in (("avg", "average"), ("median", "median"))) + f" FROM ({SQL['eval_price_path']})",
         "daily_quality_fetched": f"""WITH q AS ({SQL['daily_quality']}), x AS (SELECT *, code % 4 <> 0 AND code % 3 = 0 AS old, CASE WHEN code % 4 <> 0 THEN code % 6 ELSE 0 END AS errors FROM q)
 SELECT code, daily_data_points, greatest(daily_quality_score - CASE WHEN old THEN 25 ELSE 0 END - least(errors * 5, 20), 0)::DOUBLE AS daily_quality_score, concat_ws(';', nullif(daily_quality_flags, ''), CASE WHEN old THEN 'stale_cache' END, CASE WHEN errors > 0 THEN 'fallback_errors' END) AS daily_quality_flags FROM x""",
-        "flow_without_bars": f"WITH f AS ({SQL['flow_divergence']}) SELECT code, date, turnover_amount, NULL::BOOLEAN AS price_up_flow_out, NULL::BOOLEAN AS price_down_flow_in FROM f",
+        "flow_without_bars": f"WITH {FLOW} SELECT code, date::VARCHAR AS date, {r4(f'CASE WHEN {TIERS} > 0 THEN {TIERS} END')} AS turnover_amount, NULL::BOOLEAN AS price_up_flow_out, NULL::BOOLEAN AS price_down_flow_in FROM flow",
     }
 )

@@ -37,7 +37,7 @@ SELECT board_type, board, row_number() OVER (PARTITION BY board_type ORDER BY to
 SELECT row_number() OVER (ORDER BY hot_score DESC, board) AS rank, board, hot_score, stage FROM h QUALIFY rank <= 10""",
         "board_heat_score": f"""WITH {SNAP}, g AS (SELECT industry AS board, avg(change_pct) AS c FROM snap GROUP BY 1), h AS (SELECT *, row_number() OVER (ORDER BY c DESC NULLS LAST, board) AS rank FROM g)
 SELECT board, rank, {r4('greatest(0, least(100, 50 + coalesce(c / 100 * 6, 0) + greatest(0, 12 - least(rank, 12))))')} AS heat FROM h""",
-        "stock_roles": f"""WITH {SNAP}, s0 AS (SELECT code, industry AS board, {r4('change_pct / 10')} AS change_pct, {r4('amount')} AS amount, {r4('''greatest(0, least(100, 35 + greatest(-18, least(32, coalesce(change_pct / 10, 0) * 2.7::DOUBLE)) + CASE WHEN amount > 0 THEN greatest(0, least(18, (log10(amount * 1000) - 6) / 4 * 18)) ELSE 0 END + greatest(0, least(14, coalesce(turnover_rate, 0) * 1.1::DOUBLE)) + greatest(0, least(12, coalesce(volume_ratio, 0) * 3)) + CASE WHEN change_pct > 0 THEN greatest(0, least(12, (log10(change_pct * 1e6) - 5) / 4 * 12)) WHEN change_pct < 0 THEN -greatest(0, least(8, (log10(-change_pct * 1e6) - 5) / 4 * 8)) ELSE 0 END))''')} AS hot_stock_score FROM snap),
+        "stock_roles": f"""WITH {SNAP}, s0 AS (SELECT code, industry AS board, {r4('change_pct / 10')} AS change_pct, {r4('amount')} AS amount, {r4('''greatest(0, least(100, 35 + greatest(-18, least(32, coalesce(change_pct / 10, 0) * 2.7::DOUBLE)) + CASE WHEN amount > 0 THEN greatest(0, least(18, (log10(amount * 1000) - 6) / 4 * 18)) ELSE 0 END + greatest(0, least(14, coalesce(turnover_rate, 0) * 1.1::DOUBLE)) + greatest(0, least(12, coalesce(volume_ratio, 0) * 3)) + CASE WHEN change_pct > 0 THEN greatest(0, least(12, (log10(change_pct * 1e6) - 5) / 4 * 12)) WHEN change_pct < 0 THEN -greatest(0, least(8, (log10(-change_pct * 1e6) - 5) / 4 * 8)) ELSE 0 END + CASE WHEN change_pct / 10 >= 5 THEN 8 ELSE 0 END + least(8, (code % 5) * 2.5::DOUBLE) + least(8, (code % 6) * 2)))''')} AS hot_stock_score FROM snap),
 s1 AS (SELECT *, row_number() OVER (PARTITION BY board ORDER BY hot_stock_score DESC, change_pct DESC NULLS LAST, amount DESC NULLS LAST, code DESC) AS rank, max(hot_stock_score) OVER (PARTITION BY board) AS top FROM s0)
 SELECT board, code, rank, hot_stock_score, CASE WHEN rank = 1 AND hot_stock_score >= 70 THEN '核心龙头' WHEN rank <= 3 AND hot_stock_score >= greatest(68, top - 8) AND coalesce(change_pct, 0) >= 5 THEN '核心龙头' WHEN hot_stock_score >= 62 AND coalesce(change_pct, 0) >= 3 THEN '助攻' WHEN hot_stock_score >= 48 AND coalesce(change_pct, 0) >= 0 THEN '补涨' WHEN hot_stock_score >= 38 THEN '后排' ELSE '掉队' END AS role FROM s1""",
         "timeline_route": f"""WITH ev AS (SELECT event_type AS topic, ts AS seen, 's' || (user_id % 3) AS source, 't' || (user_id % 20) AS title, {r4('value')} AS impact, (user_id % 7)::VARCHAR AS code FROM events),

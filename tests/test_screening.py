@@ -180,7 +180,7 @@ def test_every_query_equals_its_sql(spark):
     """All rows of every query against its SQL, numbers to ten digits."""
     import duckdb
 
-    from skerry import catalog_extra, catalog_more, oracle_extra, oracle_more  # noqa: F401
+    from skerry import catalog_extra, catalog_more, catalog_review, oracle_extra, oracle_more, oracle_review, oracle_search  # noqa: F401
     from skerry.catalog import QUERIES
     from skerry.oracle import SQL
 
