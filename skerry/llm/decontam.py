@@ -1,12 +1,15 @@
-"""Benchmark decontamination: item-sized windows, verified by exact weighted-shingle similarity.
+"""Benchmark decontamination: SimHash of item-sized windows, found by multi-index Hamming blocks, verified by exact weighted-shingle similarity.
 
-Windows are laid where a shingle of a document meets one of an item (a window without one has similarity 0). A window as
-similar as asked holds at least that share of an item's shingles, so it holds one of the item's rarest few: windows meet
-items by those, which loses none, and all that meet are compared exactly. Their 64-bit SimHash distance is told and decides nothing.
+Windows are laid where a shingle of a document meets one of an item (a window without one has similarity 0). Fingerprints of 64 bits are cut into four blocks; any two within a distance of
+11 differ by at most two bits in one of them, so an item that is looked up under all values that near to its own meets every such window. Windows whose words differ at one end may be as similar as
+asked and lie beyond that radius: for them there is an exact supplement. A window as similar as asked holds at least that share of an item's shingles, so it holds one of the item's
+rarest few, and meets it by those. All candidates are compared exactly.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,9 @@ from .common import stage
 SHINGLE = 5
 SIMILARITY = 0.75
 BITS = 64
+RADIUS = 11
+BLOCKS = 4
+WIDTH = BITS // BLOCKS
 BROADCAST_SHINGLES = 500_000
 
 
@@ -42,6 +48,26 @@ def simhash(words: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseOR(bit(b)))
 
 
+def blocks_of(fingerprint: Column) -> Column:
+    """(block, value) of the blocks that a fingerprint is cut into."""
+    cut = [F.struct(F.lit(i).alias("block"), F.call_function("shiftrightunsigned", fingerprint, F.lit(i * WIDTH)).bitwiseAND(F.lit((1 << WIDTH) - 1).cast("bigint")).alias("value")) for i in range(BLOCKS)]
+    return F.array(*cut)
+
+
+def probes(radius: int = RADIUS) -> Column:
+    """Masks of up to radius // BLOCKS bits of a block: two fingerprints within the radius differ by no more in one of their blocks."""
+    masks = [sum(1 << b for b in bits) for n in range(radius // BLOCKS + 1) for bits in combinations(range(WIDTH), n)]
+    return F.array(*[F.lit(m).cast("bigint") for m in masks])
+
+
+def within_radius(windows: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(wk, ik) of all windows (wk, wfp) and items (ik, fp) whose fingerprints are within the radius, by the block index."""
+    left = windows.select("wk", "wfp", F.explode(blocks_of(F.col("wfp"))).alias("b")).select("wk", "wfp", "b.block", "b.value")
+    right = items.select("ik", "fp", F.explode(blocks_of(F.col("fp"))).alias("b")).select("ik", "fp", "b.block", F.explode(F.transform(probes(radius), lambda m: F.col("b.value").bitwiseXOR(m))).alias("value"))
+    met = left.join(right, ["block", "value"]).where(F.bit_count(F.col("wfp").bitwiseXOR(F.col("fp"))) <= radius)
+    return met.select("wk", "ik").distinct()
+
+
 def weighted_similarity(a: Column, b: Column) -> Column:
     """Sum of the smaller over sum of the larger counts of all shingles of two lists of hashes."""
     count = lambda x, s: F.size(F.filter(x, lambda y: y == s))
@@ -58,12 +84,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     looked at; empty tables give an empty result.
     """
     items = benchmark.select("item_id", words_of(F.col("text")).alias("w")).where(F.size("w") > 0).distinct()
-    items = stage(items.select("item_id", F.size("w").alias("m"), "w", shingles_of(F.col("w")).alias("sh"), simhash(F.col("w")).alias("fp"), F.xxhash64("item_id", "w").alias("ik")), "benchmark-items")
+    items = stage(items.select("item_id", F.size("w").alias("m"), "w", shingles_of(F.col("w")).alias("sh"), simhash(F.col("w")).alias("fp"), _identity("item_id", F.array_join("w", " ")).alias("ik")), "benchmark-items")
     short = [r[0] for r in items.where(F.col("m") < SHINGLE).select("m").distinct().collect()]  # four lengths at most
     places = stage(items.select("m", F.posexplode("sh").alias("at", "h")).distinct(), "benchmark-shingles")
     n_places = places.count()
 
-    texts = docs.select("doc_id", "text").where("text is not null").withColumn("k", F.xxhash64("doc_id", "text"))
+    texts = docs.select("doc_id", "text").where("text is not null").withColumn("k", _identity("doc_id", F.col("text")))
     split = texts.select("doc_id", "k", words_of(F.col("text")).alias("w"))
     marks = F.array(*[F.struct(F.lit(s).alias("size"), _grams(F.col("w"), s).alias("hs")) for s in [SHINGLE, *sorted(short)]])
     if short:
@@ -81,20 +107,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     windows = found.select("doc_id", "k", "m", "start", F.slice("w", F.col("start") + 1, F.col("m")).alias("w"))
     windows = stage(windows.groupBy("doc_id", "k", "m", "start").agg(F.first("w").alias("w")), "windows")
     # equal windows are fingerprinted and compared once
-    kinds = windows.select(F.xxhash64("w").alias("wk"), "w").groupBy("wk").agg(F.first("w").alias("w"))
-    kinds = stage(kinds.select("wk", "w", shingles_of(F.col("w")).alias("wsh")), "window-kinds")
+    same = F.sha2(F.array_join("w", " "), 256)
+    kinds = windows.select(same.alias("wk"), "w").groupBy("wk").agg(F.first("w").alias("w"))
+    kinds = stage(kinds.select("wk", shingles_of(F.col("w")).alias("wsh"), simhash(F.col("w")).alias("wfp")), "window-kinds")
     rare = rarest(items, similarity)
     if n_places <= BROADCAST_SHINGLES:
         rare = F.broadcast(rare)
-    near = kinds.select("wk", F.explode(F.array_distinct("wsh")).alias("h")).join(rare, "h").select("wk", "ik").distinct()
+    beyond = kinds.select("wk", F.explode(F.array_distinct("wsh")).alias("h")).join(rare, "h").select("wk", "ik")
+    near = within_radius(kinds, items).unionByName(beyond).distinct()
     checked = near.join(kinds, "wk").join(items.select("ik", "item_id", "fp", "sh"), "ik")
     checked = checked.withColumn("similarity", weighted_similarity(F.col("wsh"), F.col("sh"))).where(F.col("similarity") >= similarity)
-    checked = checked.select("wk", "item_id", F.bit_count(simhash(F.col("w")).bitwiseXOR(F.col("fp"))).cast("int").alias("distance"), "similarity")
-    hits = windows.select("doc_id", "k", "start", "m", F.xxhash64("w").alias("wk")).join(checked, "wk")
+    checked = checked.select("wk", "item_id", F.bit_count(F.col("wfp").bitwiseXOR(F.col("fp"))).cast("int").alias("distance"), "similarity")
+    hits = windows.select("doc_id", "k", "start", "m", same.alias("wk")).join(checked, "wk")
     best = F.min_by(F.struct("start", F.col("m").alias("words"), "distance", "similarity"), F.struct(-F.col("similarity"), F.col("start"), F.col("m")))
     return hits.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.start", "b.words", "b.distance", "b.similarity")
 
 
+def _identity(number: str, text: Column) -> Column:
+    """What tells (number, text) apart, by a digest: equal digests of different texts needn't be reckoned with."""
+    return F.sha2(F.concat(F.coalesce(F.col(number).cast("string"), F.lit("-")), F.lit(":"), text), 256)
+
+
 def rarest(items: DataFrame, similarity: float) -> DataFrame:
     """(ik, h): of each item (ik, sh) so many shingles, those in the fewest items first, that no window of the similarity is without all of them."""
     each = items.select("ik", F.size("sh").alias("n"), F.explode("sh").alias("h"))

@@ -281,6 +281,26 @@ def test_decontamination_of_cut_passages(spark):
     got = {(r.doc_id, r.item_id): round(r.similarity, 6) for r in found.collect()}
     wanted = leaks(docs, items)
     assert wanted.items() <= got.items() and len(wanted) > 200
+    near = sum(r.distance <= 11 for r in found.collect() if (r.doc_id, r.item_id) in wanted)
+    print(f"blocks alone: {near / len(wanted):.3f} of {len(wanted)}")
+    assert near / len(wanted) >= 0.9  # the recall of the block index alone; the supplement finds the rest
+
+
+def test_blocks_hold_all_within_the_radius(spark):
+    import random
+
+    from skerry.llm.decontam import within_radius
+
+    rng = random.Random(6)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    items = [(f"i{k}", rng.getrandbits(64)) for k in range(30)]
+    windows = [(f"w{k}", rng.getrandbits(64)) for k in range(40)]
+    for k in range(400):
+        flips = rng.sample(range(64), k % 15)
+        windows.append((f"n{k}", items[k % 30][1] ^ sum(1 << b for b in flips)))
+    want = {(w, i) for w, a in windows for i, b in items if (a ^ b).bit_count() <= 11}
+    got = within_radius(spark.createDataFrame([(w, signed(a)) for w, a in windows], "wk string, wfp long"), spark.createDataFrame([(i, signed(b)) for i, b in items], "ik string, fp long"))
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 300
 
 
 def test_pii_bootstrap_of_digit_groups(spark):
