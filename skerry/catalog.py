@@ -14,6 +14,7 @@ from .operators import filters, flow, indicators, ranking, scoring
 from .plans import screen as S
 from .sources import bindings as D
 from .sources.bindings import table
+from .sources.staged import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -256,18 +257,22 @@ def screen_snapshot_only(spark, d):
 
 @query
 def screen_daily(spark, d):
-    return S.screen(D.snapshot(spark, d), DAILY_SPEC, D.bars(spark, d)).select(*big("rank"), "code", "screen_score", "signal_score", "kdj_j")
+    b = staged(D.bars(spark, d), "bars")  # the snapshot and the features are made of them
+    return S.screen(D.snapshot(spark, d, b), DAILY_SPEC, b).select(*big("rank"), "code", "screen_score", "signal_score", "kdj_j")
 
 
 @query
 def screen_daily_flow(spark, d):
-    return S.screen(D.snapshot(spark, d), FLOW_SPEC, D.bars(spark, d), D.moneyflow(spark, d)).select(*big("rank"), "code", "screen_score", *r4("main_net_inflow_5d"))
+    b = staged(D.bars(spark, d), "bars")
+    return S.screen(D.snapshot(spark, d, b), FLOW_SPEC, b, D.moneyflow(spark, d)).select(*big("rank"), "code", "screen_score", *r4("main_net_inflow_5d"))
 
 
 @query
 def screen_top_n_vs_full_pool(spark, d):
-    a = S.screen(D.snapshot(spark, d), DAILY_SPEC, D.bars(spark, d), prune=30).select("code", F.lit(1).alias("pruned"))
-    b = S.screen(D.snapshot(spark, d), DAILY_SPEC, D.bars(spark, d)).select("code", F.lit(1).alias("whole"))
+    bars = staged(D.bars(spark, d), "bars")
+    snap = D.snapshot(spark, d, bars)
+    a = S.screen(snap, DAILY_SPEC, bars, prune=30).select("code", F.lit(1).alias("pruned"))
+    b = S.screen(snap, DAILY_SPEC, bars).select("code", F.lit(1).alias("whole"))
     return a.join(b, "code", "full").select("code", F.coalesce("pruned", F.lit(0)).cast("long").alias("pruned"), F.coalesce("whole", F.lit(0)).cast("long").alias("whole"))
 
 

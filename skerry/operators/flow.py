@@ -81,6 +81,46 @@ def snapshot(f: DataFrame, bars: DataFrame | None, as_of: str | None = None) ->
     return last.select("code", F.col("date").alias("as_of"), "main_inflow_streak", *[rounded(c).alias(c) for c in numbers], *flags)
 
 
+def latest(f: DataFrame, bars: DataFrame | None = None) -> DataFrame:
+    """What enrich() has on each code's last day, without what no one asks for on other days: one sort and one aggregation of a code's rows, and its last two bars."""
+    main = F.col("main_net_inflow")
+    stop = F.when(~F.coalesce(main > 0, F.lit(False)), F.col("date"))
+    tiers = sum((F.coalesce(F.col(f"{s}_{t}_amount"), F.lit(0.0)) for s in ("buy", "sell") for t in TIERS), F.lit(0.0)) / 2
+    place = F.row_number().over(Window.partitionBy("code").orderBy(F.desc("date")))
+    rows = derive(f).withColumns({"_p": place, "_stop": F.max(stop).over(Window.partitionBy("code"))})
+    within = lambda n, c: F.when(F.col("_p") <= n, c)
+    units = main.cast("decimal(28,6)")
+    last20 = within(20, main)
+    dev = F.when(F.count(last20) == 20, F.stddev_samp(last20))
+    out = rows.groupBy("code").agg(
+        F.max("date").alias("date"),
+        F.max(within(1, main)).alias("main_net_inflow"),
+        F.max(within(1, tiers)).alias("_tiers"),
+        *[F.sum(within(n, units)).cast("double").alias(f"main_net_inflow_{n}d") for n in (5, 10, 20)],
+        F.count_if(F.col("_stop").isNull() | (F.col("date") > F.col("_stop"))).alias("main_inflow_streak"),
+        F.when(dev > 0, (F.max(within(1, main)) - F.avg(last20)) / dev).alias("main_net_inflow_zscore_20d"),
+    )
+    if bars is None:
+        none = F.lit(None)
+        out = out.withColumns({"close_pct": none.cast("double"), "_traded": none.cast("double")})
+        diverges = lambda _: none.cast("boolean")
+    else:
+        days = out.select("code", F.col("date").alias("_day"))
+        two = bars.join(days, "code").where(F.col("date") <= F.col("_day")).withColumn("_b", F.row_number().over(Window.partitionBy("code").orderBy(F.desc("date")))).where("_b <= 2")
+        at = lambda k, c: F.max(F.when(F.col("_b") == k, c))
+        px = two.groupBy("code").agg(at(1, F.col("date") == F.col("_day")).alias("_on"), (at(1, F.col("close")) / at(2, F.col("close")) - 1).alias("_pct"), at(1, F.col("close") * F.col("volume") / 10000).alias("_amount"))
+        out = out.join(px, "code", "left").withColumns({"close_pct": F.when(F.col("_on"), F.col("_pct")), "_traded": F.when(F.col("_on"), F.col("_amount"))}).drop("_on", "_pct", "_amount")
+        diverges = lambda c: F.coalesce(c, F.lit(False))
+    out = out.withColumn("turnover_amount", F.coalesce(F.when(F.col("_traded") > 0, F.col("_traded")), F.when(F.col("_tiers") > 0, F.col("_tiers")))).drop("_traded", "_tiers")
+    return out.withColumns(
+        {
+            "main_net_inflow_rate": F.when(F.col("turnover_amount") > 0, main / F.col("turnover_amount")),
+            "price_up_flow_out": diverges((F.col("close_pct") > 0) & (main < 0)),
+            "price_down_flow_in": diverges((F.col("close_pct") < 0) & (main > 0)),
+        }
+    )
+
+
 def condition(name: str, **params: float) -> Column:
     """One named flow condition (FLT-11); an unknown name is a ValueError."""
     c = F.col

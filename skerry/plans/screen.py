@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bars as B
 from ..operators import filters, flow, indicators, ranking, scoring
+from ..sources.staged import staged
 
 
 @dataclass(frozen=True)
@@ -36,8 +37,7 @@ def daily_features(bars: DataFrame) -> DataFrame:
 
 
 def flow_features(moneyflow: DataFrame, bars: DataFrame) -> DataFrame:
-    last = B.last_bars(flow.enrich(moneyflow, bars))
-    return last.select("code", "main_net_inflow", "main_net_inflow_5d", "main_inflow_streak", "main_net_inflow_rate", "price_up_flow_out")
+    return flow.latest(moneyflow, bars).select("code", "main_net_inflow", "main_net_inflow_5d", "main_inflow_streak", "main_net_inflow_rate", "price_up_flow_out")
 
 
 def screen(snapshot: DataFrame, spec: ScreenSpec, bars: DataFrame | None = None, moneyflow: DataFrame | None = None, prune: int | None = None) -> DataFrame:
@@ -53,13 +53,15 @@ def screen(snapshot: DataFrame, spec: ScreenSpec, bars: DataFrame | None = None,
             raise ValueError(f"{spec.name} needs daily bars")
         if prune:
             pool = ranking.best(scoring.score(pool, spec.factor_weights, profile=spec.profile), prune, spec.factor_weights).select(*snapshot.columns)
-        own = bars.join(pool.select("code"), "code", "left_semi")
-        pool = pool.join(daily_features(own), "code", "left")
+        pool = staged(pool, "pool")
+        bars = staged(bars.join(pool.select("code"), "code", "left_semi"), "pool-bars")  # several features read them
+        pool = pool.join(daily_features(bars), "code", "left")
         pool = filters.apply(pool, spec.hard_filters, "SD")
     if "F" in phases:
         if moneyflow is None or bars is None:
             raise ValueError(f"{spec.name} needs money flow and daily bars")
-        own = moneyflow.join(pool.select("code"), "code", "left_semi")
+        pool = staged(pool, "pool")
+        own, bars = (t.join(pool.select("code"), "code", "left_semi") for t in (moneyflow, bars))
         pool = pool.join(flow_features(own, bars), "code", "left")
         pool = filters.apply(pool, spec.hard_filters)
     return ranking.best(scoring.score(pool, spec.factor_weights, profile=spec.profile), spec.max_output, spec.factor_weights)

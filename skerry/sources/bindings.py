@@ -56,9 +56,9 @@ def quotes(b: DataFrame) -> DataFrame:
     return last_bars(with_previous(b))
 
 
-def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+def snapshot(spark: SparkSession, sf_dir: str, b: DataFrame | None = None) -> DataFrame:
     """One row per symbol: code, name, price, change_pct, amount, total_mv, pe_ratio, pb_ratio, volume_ratio, turnover_rate, industry, concepts."""
-    q = quotes(bars(spark, sf_dir))
+    q = quotes(bars(spark, sf_dir) if b is None else b)
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("code"), F.col("s_name").alias("name"), (F.col("s_acctbal") / 100).alias("pe_ratio"), (F.abs(F.col("s_acctbal")) / 1000).alias("pb_ratio"))
     out = q.join(s, "code", "left").join(membership(spark, sf_dir), "code", "left")
     return out.select(
