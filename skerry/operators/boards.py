@@ -18,9 +18,10 @@ def membership(m: DataFrame) -> DataFrame:
 
 
 def flow_rank(flows: DataFrame, members: DataFrame, metric: str, top: int = 10) -> DataFrame:
-    """Boards by the sum of a metric of their stocks, the top of each type; a sum of nothing is 0."""
+    """Boards by the sum of a metric of their stocks, the top of each type; a sum of nothing is 0. Sums are exact in units of 1e-6, so that neither they nor means depend on the order of rows."""
+    total = F.sum(F.col(metric).cast("decimal(28,6)")).cast("double")
     g = members.join(flows, "code").groupBy("board_type", "board").agg(
-        F.count(metric).alias("stock_count"), rounded(F.coalesce(F.sum(metric), F.lit(0.0))).alias("total"), rounded(F.avg(metric)).alias("mean"), F.max("date").alias("as_of")
+        F.count(metric).alias("stock_count"), rounded(F.coalesce(total, F.lit(0.0))).alias("total"), rounded(total / F.count(metric)).alias("mean"), F.max("date").alias("as_of")
     )
     place = F.row_number().over(Window.partitionBy("board_type").orderBy(F.desc("total"), "board"))
     return g.withColumn("rank", place).where(F.col("rank") <= top)

@@ -29,7 +29,7 @@ def r6(x: str) -> str:
 SQL.update(
     {
         "board_membership": f"WITH {BOARDS} SELECT * FROM boards",
-        "board_flow_rank": f"""WITH {FLOW}, {BOARDS}, {LAST_FLOW}, g AS (SELECT board_type, board, count(main_net_inflow_5d) AS stock_count, {r4('coalesce(sum(main_net_inflow_5d), 0)')} AS total, {r4('avg(main_net_inflow_5d)')} AS mean, max(date)::VARCHAR AS as_of FROM boards JOIN lastflow USING (code) GROUP BY 1, 2)
+        "board_flow_rank": f"""WITH {FLOW}, {BOARDS}, {LAST_FLOW}, g AS (SELECT board_type, board, count(main_net_inflow_5d) AS stock_count, {r4('coalesce(sum(CAST(main_net_inflow_5d AS DECIMAL(28, 6))), 0)::DOUBLE')} AS total, {r4('sum(CAST(main_net_inflow_5d AS DECIMAL(28, 6)))::DOUBLE / count(main_net_inflow_5d)')} AS mean, max(date)::VARCHAR AS as_of FROM boards JOIN lastflow USING (code) GROUP BY 1, 2)
 SELECT board_type, board, row_number() OVER (PARTITION BY board_type ORDER BY total DESC, board) AS rank, stock_count, total, mean, as_of FROM g QUALIFY rank <= 10""",
         "board_flow_top_stocks": f"WITH {FLOW}, {BOARDS}, {LAST_FLOW} SELECT board_type, board, row_number() OVER (PARTITION BY board_type, board ORDER BY main_net_inflow_5d DESC NULLS LAST, code) AS rank, code, main_net_inflow_5d FROM boards JOIN lastflow USING (code) QUALIFY rank <= 3",
         "board_heat_trend": f"WITH {HEAT} SELECT board, observations, latest, trend, cooling, persistence, state FROM trends",
