@@ -143,3 +143,13 @@ def judged_problems(spark, d):
     picks, answers = _answers(spark, d)
     _, problems = EN.typed_ranking(EN.judged_items(answers), picks)
     return problems.groupBy("run_id", "problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def topic_resolution_many(spark, d):
+    """Names of parts with their brands, asked for among names of parts with their kinds, which go by several names."""
+    p = table(spark, d, "part")
+    asked = p.select(F.concat_ws(" ", "p_name", F.translate("p_brand", "#", "概念")).alias("query"))
+    topics = p.select(F.concat_ws(" ", "p_type", "p_name").alias("topic"), F.array(F.col("p_name"), F.concat_ws("-", "p_brand", "p_type")).alias("alias"), F.col("p_size").alias("size"))
+    topics = topics.groupBy("topic").agg(F.array_distinct(F.flatten(F.collect_list("alias"))).alias("aliases"), F.max("size").cast("double").alias("heat"))
+    return BO.resolve_topics(asked, topics, 3).select("query", *big("rank"), "topic", "confidence", "canonical")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.num import clip, rounded
 from ..functions.text import labels, match_score, topic_key
+from ..sources.staged import staged
 from .places import By, few_numbered
 
 
@@ -109,17 +110,49 @@ def timeline_route(events: DataFrame) -> DataFrame:
     return dedup.groupBy("topic", "day").agg(F.count(F.lit(1)).alias("events"), lead.alias("lead"), F.max("e.impact").alias("impact"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("e.codes")))), ",").alias("codes"))
 
 
+LEAST_OVERLAP = 45  # percent of characters that two keys must share to match, if neither holds the other
+
+
+def _grams(key: Column, size: int) -> Column:
+    """The different runs of so many characters of a key; none of a shorter one."""
+    n = F.length(key)
+    return F.when(n >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(key, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+
+
+def matching_keys(queries: DataFrame, keys: DataFrame) -> DataFrame:
+    """(q, k): of all pairs of a query's key (q) and a topic's key (k) at least those that match_score gives more than 0, by equi-joins on runs of characters.
+
+    Sets of characters that overlap enough share one of each set's rarest few. A key that holds the other one holds the rarest of its pairs of characters. How rare a run is, is counted over both
+    sides.
+    """
+    q = queries.select(F.col("q").alias("key"), F.lit("q").alias("side")).where("key <> ''").distinct()
+    k = keys.select(F.col("k").alias("key"), F.lit("k").alias("side")).where("key <> ''").distinct()
+    both = staged(q.unionByName(k), "topic-keys")
+
+    def ranked(size: int) -> DataFrame:
+        grams = both.select("key", "side", F.explode(_grams(F.col("key"), size)).alias("g"))
+        often = grams.groupBy("g").agg(F.count(F.lit(1)).alias("often"))
+        place = F.row_number().over(Window.partitionBy("key", "side").orderBy("often", "g"))
+        return staged(grams.join(often, "g").withColumns({"p": place, "n": F.count(F.lit(1)).over(Window.partitionBy("key", "side"))}).drop("often"), "topic-grams")
+
+    side = lambda df, s, name: df.where(F.col("side") == s).select("g", F.col("key").alias(name))
+    chars, pairs = ranked(1), ranked(2)
+    prefix = chars.where(F.col("p") <= F.col("n") - F.expr(f"(n * {LEAST_OVERLAP} + 99) div 100") + 1)
+    rarest = pairs.where("p = 1")
+    met = [side(prefix, "q", "q").join(side(prefix, "k", "k"), "g"), side(rarest, "q", "q").join(side(pairs, "k", "k"), "g"), side(pairs, "q", "q").join(side(rarest, "k", "k"), "g")]
+    return met[0].unionByName(met[1]).unionByName(met[2]).select("q", "k").distinct()
+
+
 def resolve_topics(queries: DataFrame, candidates: DataFrame, top: int = 5, least: float = 0.3, sure: float = 0.55) -> DataFrame:
     """The best candidates of each query (query) among topics (topic, aliases, heat), and which one it stands for (HOT-08).
 
-    Candidates' keys are matched where they are: queries are a handful of texts asked by a user, and are broadcast as such.
+    Only keys that can match are scored, so that queries may be as many as topics; least must be above 0.
     """
-    keyed = candidates.select("topic", "heat", F.explode(F.array_distinct(F.concat(F.array("topic"), "aliases"))).alias("alias")).withColumn("_k", topic_key(F.col("alias")))
-    asked = queries.select("query").distinct().withColumn("_q", topic_key(F.col("query")))
-    if asked.count() > 1000:
-        raise ValueError("resolve_topics is for at most 1000 queries at a time")
-    score = keyed.crossJoin(F.broadcast(asked)).withColumn("confidence", match_score(F.col("_q"), F.col("_k")))
-    best = score.groupBy("query", "topic").agg(rounded(F.max("confidence")).alias("confidence"), F.max("heat").alias("heat")).where(F.col("confidence") >= least)
+    keyed = staged(candidates.select("topic", "heat", F.explode(F.array_distinct(F.concat(F.array("topic"), "aliases"))).alias("alias")).select("topic", "heat", topic_key(F.col("alias")).alias("k")), "topics")
+    asked = staged(queries.select("query").distinct().withColumn("q", topic_key(F.col("query"))), "asked")
+    score = asked.join(matching_keys(asked, keyed), "q").join(keyed, "k").withColumn("confidence", match_score(F.col("q"), F.col("k")))
+    heat = candidates.groupBy("topic").agg(F.max("heat").alias("heat"))
+    best = score.groupBy("query", "topic").agg(rounded(F.max("confidence")).alias("confidence")).where(F.col("confidence") >= least).join(heat, "topic")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("confidence"), F.desc("heat"), F.desc("topic")))
     return best.withColumn("rank", place).where(F.col("rank") <= top).withColumn("canonical", (F.col("rank") == 1) & (F.col("confidence") >= sure))
 

@@ -128,8 +128,15 @@ SELECT code, {r4(clip(f"v - {above('v', 88)} * {n(.5)}", 0, 100))} AS factor_the
 )
 
 KEY = "regexp_replace(regexp_replace(replace(lower(trim({})), '人工智能', 'ai'), '概念|板块|行业|产业|主题|指数', '', 'g'), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
-SQL["topic_resolution"] = f"""WITH c AS (SELECT n_name AS topic, n_nationkey AS heat, unnest([n_name, 'the ' || n_name]) AS alias FROM nation), q AS (SELECT unnest(['nation 1 板块', 'NATION_12', 'nati', 'tonian', '']) AS query),
+
+
+def topics(asked: str, candidates: str, top: int) -> str:
+    """The best topics of each query, by every pair: asked gives query, candidates give topic, heat and alias."""
+    return f"""WITH c AS ({candidates}), q AS ({asked}),
 k AS (SELECT query, topic, heat, {KEY.format('query')} AS qk, {KEY.format('alias')} AS ak FROM c, q), o AS (SELECT *, len(list_intersect(list_distinct(string_split(qk, '')), list_distinct(string_split(ak, '')))) / len(list_distinct(list_concat(string_split(qk, ''), string_split(ak, '')))) AS ov FROM k),
 s AS (SELECT query, topic, heat, CASE WHEN qk = '' OR ak = '' THEN 0 WHEN qk = ak THEN 1 WHEN length(ak) >= 2 AND contains(qk, ak) THEN {n(.82)} + {n(.08)} * length(ak) / length(qk) WHEN length(qk) >= 2 AND contains(ak, qk) THEN {n(.78)} + {n(.1)} * length(qk) / length(ak) WHEN ov >= 0.45 THEN {n(.42)} + {n(.28)} * ov ELSE 0 END AS v FROM o),
 b AS (SELECT query, topic, {r4('max(v)')} AS confidence, max(heat) AS heat FROM s GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY confidence DESC, heat DESC, topic DESC) AS rank FROM b WHERE confidence >= 0.3)
-SELECT query, rank, topic, confidence, rank = 1 AND confidence >= 0.55 AS canonical FROM r WHERE rank <= 5"""
+SELECT query, rank, topic, confidence, rank = 1 AND confidence >= 0.55 AS canonical FROM r WHERE rank <= {top}"""
+
+
+SQL["topic_resolution"] = topics("SELECT unnest(['nation 1 板块', 'NATION_12', 'nati', 'tonian', '']) AS query", "SELECT n_name AS topic, n_nationkey AS heat, unnest([n_name, 'the ' || n_name]) AS alias FROM nation", 5)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .operators.review import KINDS, MANY, SINGLE
 from .oracle import BARS, DIVERGE, FLOW, QUOTES, SNAP, SQL, STREAK, TIERS, W, r4  # noqa: F401
-from .oracle_more import EVAL
+from .oracle_more import EVAL, topics
 
 EACH = "list_filter([{}], lambda x: x IS NOT NULL)"
 REVIEWED = f"""{BARS}, {QUOTES}, rv0 AS (SELECT o_orderkey AS run_id, o_orderpriority AS strategy, l_suppkey AS code, l_linenumber AS rank, CASE WHEN l_linenumber = 7 THEN 0 ELSE l_extendedprice / l_quantity END AS entry,
@@ -81,3 +81,9 @@ SELECT run_id, 'no_json_found' AS problem, 1 AS n FROM r WHERE run_id % 5 = 3 UN
 UNION ALL SELECT run_id, 'duplicate_code:' || lpad(code::VARCHAR, 6, '0'), 1 FROM said WHERE named AND code % 7 = 0""",
     }
 )
+
+SQL["topic_resolution_many"] = topics(
+    "SELECT DISTINCT p_name || ' ' || replace(p_brand, '#', '概') AS query FROM part",
+    "SELECT topic, heat, unnest(list_distinct([topic] || aliases)) AS alias FROM (SELECT p_type || ' ' || p_name AS topic, max(p_size) AS heat, list_distinct(flatten(list([p_name, p_brand || '-' || p_type]))) AS aliases FROM part GROUP BY 1)",
+    3,
+)
