@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import process_cache, ship, stage, unstage
 from .packing import parts_of
-from .shingles import word_hashes
+from .shingles import mixed, word_hashes
 
 END = 0x5EED00  # the end token's code, and the context of a text's first word
 D0, THETA0 = 0.7, 20.0
@@ -89,23 +89,40 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out()
 
 
-def seat(customers: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+class RowDraws:
+    """Random numbers of rows, each from its own key: a row's numbers don't depend on what rows come with it."""
+
+    def __init__(self, sweep: int, *keys: np.ndarray):
+        code = mixed(np.full(len(keys[0]), (SEED << 32) + sweep + 1, np.uint64))
+        for key in keys:
+            code = mixed(code * np.uint64(3) + key.view(np.uint64))
+        self.keys, self.step = code, 0
+
+    def random(self, rows: np.ndarray) -> np.ndarray:
+        """The next number of each of the rows, from 0 to below 1. Rows that are asked for drop out one by one and never come back, so a row's steps are its own."""
+        self.step += 1
+        return (mixed(self.keys[rows] + np.uint64(self.step * 0xD6E8FEB86659FD93 & (1 << 64) - 1)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+
+def seat(customers: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator | RowDraws) -> np.ndarray:
     """Tables that so many customers of one dish take, one after another: a new one by weight new, an old one by its customers less the discount.
 
     The next customer who may open a table is drawn at the present chance, which only falls until a table opens, and opens one by the chance's
     share that is left (thinning, which is exact for any number of customers).
     """
+    draw = rng.random if isinstance(rng, RowDraws) else lambda rows: rng.random(len(rows))
     tables = np.minimum(customers, 1)
     live = np.flatnonzero(customers > 1)
     at = np.ones(len(live))
     while len(live):
         a, c, dt = new[live], customers[live], discount * tables[live]
         total = a + at - dt
-        jump = rng.geometric(np.maximum(a / total, 1e-18)).astype(np.float64)
-        to = at + np.where(jump > 0, jump, 9e18)  # the customer number to, after to - 1 others; an overflow is beyond all
+        with np.errstate(divide="ignore"):
+            jump = np.floor(np.log1p(-draw(live)) / np.log1p(-np.clip(a / total, 1e-18, 1.0))) + 1  # how many customers until one may open a table
+        to = at + np.maximum(jump, 1)  # the customer number to, after to - 1 others
         inside = to <= c
         live, to, a, dt, total = live[inside], to[inside], a[inside], dt[inside], total[inside]
-        tables[live] += rng.random(len(live)) * (a + to - 1 - dt) < total
+        tables[live] += draw(live) * (a + to - 1 - dt) < total
         more = to < customers[live]
         live, at = live[more], to[more]
     return tables
@@ -116,8 +133,7 @@ def _seated(count: str, weight: str, discount: float, sweep: int, batches: Itera
     for batch in batches:
         if not batch.num_rows:
             continue
-        first = [int(batch.column(k)[0].as_py()) & (1 << 63) - 1 for k in ("word", "ctx") if k in batch.schema.names]
-        rng = np.random.default_rng([SEED, sweep, *first])
+        rng = RowDraws(sweep, *(np.asarray(batch.column(k).to_numpy(zero_copy_only=False), np.int64) for k in ("word", "ctx") if k in batch.schema.names))
         t = seat(batch.column(count).to_numpy(), batch.column(weight).to_numpy(), discount, rng)
         names = [k for k in batch.schema.names if k != weight]
         yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int64)) if k == "t" else batch.column(k) for k in names], names=names)

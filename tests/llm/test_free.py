@@ -294,6 +294,21 @@ def test_language_model(spark, odd_docs, no_docs):
     assert all(abs(r.score) < 1e-9 and r.n_known == 0 for r in empty)
 
 
+def test_language_model_does_not_depend_on_batches(spark):
+    rng = random.Random(11)
+    docs = [(i, " ".join(rng.choice(["the", "of", f"w{rng.randrange(60)}"]) for _ in range(rng.randrange(60)))) for i in range(60)]
+    scores = []
+    for batch, parts in (("10000", 1), ("50", 1), ("7", 3)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)
+            scores.append({r.doc_id: r.score for r in score_texts(frame, PitmanYorModel(frame)).collect()})
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for other in scores[1:]:
+        assert all(abs(other[i] - s) < 1e-9 * (1 + abs(s)) for i, s in scores[0].items())
+
+
 def test_language_model_probabilities_sum_to_one(spark):
     texts = [(i, t) for i, t in enumerate(["a b a c", "a b", "b c c a", "a a a"])]
     model = PitmanYorModel(spark.createDataFrame(texts, "doc_id long, text string"))
