@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, stage, unstage
+from .common import lean, ship, stage, unstage
 from .components import connected_components
 from .shingles import shingle_sets
 
@@ -214,7 +214,7 @@ class NgramJoin:
         self.spark, self.percent, self.size = docs.sparkSession, percent, size
         ship(self.spark)
         self.texts = keyed(docs)
-        rows = stage(self.texts.mapInArrow(lambda b: _sets(percent, size, bits, b), "doc_id long, h1 long, h2 long, cid long, c2 long, n long, prefix binary"), "prefixes")
+        rows = stage(self.texts.mapInArrow(lean("join", lambda b: _sets(percent, size, bits, b)), "doc_id long, h1 long, h2 long, cid long, c2 long, n long, prefix binary"), "prefixes")
         self.rows, self.classes = rows, self._classed(rows)
         while (clash := self.classes.where("c2 <> other").select("cid", "other")).limit(1).count():
             # different sets of one code: all get another, until none are left
@@ -255,19 +255,19 @@ class NgramJoin:
         few = asked.count() <= BROADCAST_IDS
         of = F.broadcast(asked) if few else asked
         wanted = self.texts.alias("t").join(of.alias("a"), _same_key("t", "a")).select("cid", "text")
-        return stage(wanted.mapInArrow(lambda b: _whole_sets(size, b), "cid long, set binary").dropDuplicates(["cid"]), "sets")
+        return stage(wanted.mapInArrow(lean("join", lambda b: _whole_sets(size, b)), "cid long, set binary").dropDuplicates(["cid"]), "sets")
 
     def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """(x, y) of those of the pairs (u, v, x, y) whose whole sets are similar."""
         percent = self.percent
         both = pairs.join(sets.select(F.col("cid").alias("u"), F.col("set").alias("a")), "u")
         both = both.join(sets.select(F.col("cid").alias("v"), F.col("set").alias("b")), "v").select("x", "y", "a", "b")
-        return stage(both.mapInArrow(lambda b: _verify(percent, b), "u long, v long"), "links")
+        return stage(both.mapInArrow(lean("join", lambda b: _verify(percent, b)), "u long, v long"), "links")
 
     def class_components(self) -> DataFrame:
         """The components of classes (node, component), by enough verified links to connect all that is connected."""
-        posted = self.rows.where("prefix is not null").select("cid", "prefix").mapInArrow(lambda b: _postings(MOST, b), "token long, cid long, many int")
-        found = posted.repartition("token").sortWithinPartitions("token", "cid").mapInArrow(lambda b: _group(MOST, b), "many int, u long, v long")
+        posted = self.rows.where("prefix is not null").select("cid", "prefix").mapInArrow(lean("join", lambda b: _postings(MOST, b)), "token long, cid long, many int")
+        found = posted.repartition("token").sortWithinPartitions("token", "cid").mapInArrow(lean("join", lambda b: _group(MOST, b)), "many int, u long, v long")
         found = stage(found, "matches")
         info = self._info(found)
         pairs = found.where("many = 0").groupBy("u", "v").agg(F.count(F.lit(1)).alias("c"))
@@ -296,7 +296,7 @@ class NgramJoin:
         Shingles of one of them alone match nothing (lone of n). Returns token, cid, n, lone, the token's rank in the class and salt, by which long lists are dealt.
         """
         percent = self.percent
-        tokens = sets.mapInArrow(_tokens, "token long, cid long, n long")
+        tokens = sets.mapInArrow(lean("join", _tokens), "token long, cid long, n long")
         rare = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
         order = Window.partitionBy("cid").orderBy("df", "token")
         # a shingle of one class alone comes before all others of the class: their number is what ranks start from
