@@ -136,29 +136,37 @@ def feature_columns(bars: DataFrame) -> DataFrame:
     ).drop("_base", "_change", "_1", "_2", "_3", "_4")
 
 
+def bound(value: Column, then) -> Column:
+    """then of a value that is computed once; inside a lambda an expression of its own is computed anew for every element."""
+    return F.transform(F.array(value), then)[0]
+
+
 def normalized(a: Column, method: str = "zscore", most: float | None = 5.0) -> Column:
-    """A window's values by their own mean and population deviation, range, or quartiles, and then clipped (PAT-02); a spread of 0 counts as 1."""
-    x = F.transform(a, lambda v: v.cast("double"))
-    n = F.size(x)
+    """A window's values by their own mean and population deviation, range, or quartiles, and then clipped (PAT-02); a spread of 0 counts as 1.
+
+    What all values share is bound once, so that the work grows with the window and not with its square.
+    """
     one = lambda c: F.when(c == 0, 1.0).otherwise(c)
-    if method == "zscore":
-        mean = total(x) / n
-        out = F.transform(x, lambda v: (v - mean) / one(F.sqrt(total(F.transform(x, lambda u: (u - mean) * (u - mean))) / n)))
-    elif method == "minmax":
-        out = F.transform(x, lambda v: (v - F.array_min(x)) / one(F.array_max(x) - F.array_min(x)))
-    elif method == "robust":
-        s = F.sort_array(x)
-
-        def quantile(q: float) -> Column:
-            at = (n - 1) * q
-            low, high = F.element_at(s, (F.floor(at) + 1).cast("int")), F.element_at(s, (F.ceil(at) + 1).cast("int"))
-            return low + (high - low) * (at - F.floor(at))
-
-        out = F.transform(x, lambda v: (v - quantile(0.5)) / one(quantile(0.75) - quantile(0.25)))
-    elif method == "none":
-        out = x
-    else:
+
+    def by(x: Column, middle: Column, spread) -> Column:
+        return bound(middle, lambda m: bound(one(spread(m)), lambda d: F.transform(x, lambda v: (v - m) / d)))
+
+    def quantile(s: Column, q: float) -> Column:
+        at = (F.size(s) - 1) * q
+        low, high = F.element_at(s, (F.floor(at) + 1).cast("int")), F.element_at(s, (F.ceil(at) + 1).cast("int"))
+        return low + (high - low) * (at - F.floor(at))
+
+    def scaled(x: Column) -> Column:
+        if method == "zscore":
+            return by(x, total(x) / F.size(x), lambda m: F.sqrt(total(F.transform(x, lambda u: (u - m) * (u - m))) / F.size(x)))
+        if method == "minmax":
+            return by(x, F.array_min(x), lambda m: F.array_max(x) - m)
+        return bound(F.sort_array(x), lambda s: by(x, quantile(s, 0.5), lambda m: quantile(s, 0.75) - quantile(s, 0.25)))
+
+    x = F.transform(a, lambda v: v.cast("double"))
+    if method not in ("zscore", "minmax", "robust", "none"):
         raise ValueError(f"unknown normalisation {method}")
+    out = x if method == "none" else bound(x, scaled)
     return out if most is None else F.transform(out, lambda v: F.greatest(F.least(v, F.lit(most)), F.lit(-most)))
 
 

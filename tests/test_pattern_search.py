@@ -130,3 +130,18 @@ def test_window_features_are_the_window_s(spark):
     assert len(got) == 30 and got[0].close_return == 0.0 and got[0].pct_change_mean == 0.0
     assert got[-1].close_return == pytest.approx(own[-1][5] / own[0][5] - 1)
     assert got[-1].pct_change_std == pytest.approx(np.std([0.0] + [own[i][5] / own[i - 1][5] - 1 for i in range(1, 30)]))
+
+
+def test_normalized_work_is_linear(spark):
+    """A window of thousands of values; work by its square or cube wouldn't end."""
+    from pyspark.sql import functions as F
+
+    from skerry.operators.pattern import normalized
+
+    values = [float((i * 37) % 101) for i in range(4000)]
+    df = spark.createDataFrame([(values,)], "a array<double>")
+    began = time.time()
+    for method, first in (("zscore", -1.7135), ("minmax", 0.0), ("robust", -1.0)):
+        got = df.select(normalized(F.col("a"), method)).first()[0]
+        assert len(got) == 4000 and got[0] == pytest.approx(first, abs=2e-2)
+    assert time.time() - began < 60
