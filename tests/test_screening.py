@@ -235,3 +235,12 @@ def test_analyzers_by_name(spark):
     assert [(r.code, r.final_score, r.external_status, r.risk_flags) for r in out.orderBy("rank").collect()] == [(3, 61.5, "skipped", "x"), (1, 60.0, "", ""), (2, 59.0, "skipped", "")]
     assert A.analyze(picks.limit(0), ["dsa"]).count() == 0
     assert (A.candidates(100, 10, 3, 50), A.candidates(100, 10, 0, 50), A.candidates(8, 10, 3, 50), A.candidates(100, 40, 3, 50)) == (30, 10, 8, 50)
+
+
+def test_codes_of_long_keys(spark, tmp_path):
+    from skerry.catalog import QUERIES
+
+    keys = [8, 9, 11, 12345, 1234564, 1234565, 1234567]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.o_orderkey: r.code for r in QUERIES["normalize_code"](spark, str(tmp_path)).collect()}
+    assert got == {8: "000008", 9: "000009", 11: "000111", 12345: "012345", 1234564: "123456", 1234565: "123456", 1234567: "234567"}
