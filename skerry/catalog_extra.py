@@ -190,7 +190,7 @@ def risk_lists(spark, d):
 @query
 def eval_path_summary(spark, d):
     picks = _evaluated(spark, d).select("run_id", "code", "created", "entry")
-    return E.price_path(picks, D.bars(spark, d)).agg(*E.path_stats())
+    return E.path_summary(E.price_path(picks, D.bars(spark, d)))
 
 
 @query

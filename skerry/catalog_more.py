@@ -162,7 +162,7 @@ def eval_windows(spark, d):
     rows = _evaluated(spark, d).select("*", F.explode(F.array(*[F.lit(n) for n in (30, 365, 2000)])).alias("window_days"))
     now = F.lit(NOW).cast("timestamp")
     inside = rows.where(F.datediff(now, F.col("created")) <= F.col("window_days"))
-    return inside.groupBy("window_days", "strategy").agg(*E.stats()).withColumn("window_days", F.col("window_days").cast("long"))
+    return E.rolled(inside.select("window_days", "strategy", "return_pct"), ["window_days", "strategy"]).withColumn("window_days", F.col("window_days").cast("long"))
 
 
 @query

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.num import rounded
+from ..sources.staged import staged
+from .places import with_medians
 
 
 def returns(picks: DataFrame, quotes: DataFrame, cost_bps: float = 0.0) -> DataFrame:
@@ -34,21 +36,32 @@ def price_path(picks: DataFrame, bars: DataFrame) -> DataFrame:
     return rows.select(*picks.columns, F.col("b.days").alias("path_days"), pct("b.end").alias("path_end_pct"), F.least(pct("b.low"), F.lit(0.0)).alias("path_drawdown_pct"), F.greatest(pct("b.high"), F.lit(0.0)).alias("path_runup_pct"))
 
 
-def stats(c: str = "return_pct") -> list[Column]:
-    """pick_count, mean, median and win rate of known returns (AGG-07)."""
+def rolled(rows: DataFrame, by: list[str], before: list[Column] = (), after: list[Column] = (), c: str = "return_pct") -> DataFrame:
+    """Per group of by, or over all: pick_count, mean, median and win rate of known returns (AGG-07), with further aggregates before and after them.
+
+    rows should have the columns that these need and no others, as they are staged: their medians are had by more than one pass.
+    """
+    rows = staged(rows, "returns")
     win = F.avg(F.when(F.col(c) > 0, 100.0).when(F.col(c).isNotNull(), 0.0))
-    return [F.count(c).alias("pick_count"), rounded(F.avg(c)).alias("average_return_pct"), rounded(F.median(c)).alias("median_return_pct"), rounded(win).alias("win_rate")]
+    own = [F.count(c).alias("pick_count"), rounded(F.avg(c)).alias("average_return_pct"), rounded(win).alias("win_rate")]
+    g = rows.groupBy(*by).agg(*before, *own, *after)
+    out = with_medians(rows, by, g, {"median_return_pct": c}).withColumn("median_return_pct", rounded("median_return_pct"))
+    names = [n for n in g.columns if n != "win_rate"]
+    at = names.index("average_return_pct") + 1
+    return out.select(*names[:at], "median_return_pct", "win_rate", *names[at:])
 
 
-def path_stats() -> list[Column]:
+def path_summary(paths: DataFrame) -> DataFrame:
     """Of picks with a known path: how many, and mean and median of their greatest falls and rises (AGG-02)."""
-    of = lambda f, c, name: rounded(f(c)).alias(name)
-    each = [of(f, f"path_{c}_pct", f"{n}_max_{c}_pct") for c in ("drawdown", "runup") for f, n in ((F.avg, "average"), (F.median, "median"))]
-    return [F.count("path_drawdown_pct").alias("path_pick_count"), *each]
+    rows = staged(paths.select("path_drawdown_pct", "path_runup_pct"), "paths")
+    g = rows.agg(F.count("path_drawdown_pct").alias("path_pick_count"), *[rounded(F.avg(f"path_{c}_pct")).alias(f"average_max_{c}_pct") for c in ("drawdown", "runup")])
+    g = with_medians(rows, [], g, {f"median_max_{c}_pct": f"path_{c}_pct" for c in ("drawdown", "runup")})
+    return g.select("path_pick_count", *[x for c in ("drawdown", "runup") for x in (F.col(f"average_max_{c}_pct"), rounded(f"median_max_{c}_pct").alias(f"median_max_{c}_pct"))])
 
 
 def summary(rows: DataFrame) -> DataFrame:
-    return rows.agg(F.countDistinct("run_id").alias("run_count"), F.count(F.lit(1)).alias("total_count"), F.count_if(F.col("status") == "missing").alias("missing_count"), *stats())
+    counts = [F.countDistinct("run_id").alias("run_count"), F.count(F.lit(1)).alias("total_count"), F.count_if(F.col("status") == "missing").alias("missing_count")]
+    return rolled(rows.select("run_id", "status", "return_pct"), [], counts)
 
 
 def portfolios(rows: DataFrame, by: str = "strategy") -> DataFrame:
@@ -60,13 +73,13 @@ def portfolios(rows: DataFrame, by: str = "strategy") -> DataFrame:
 def by_label(rows: DataFrame, label: Column) -> DataFrame:
     """Blank labels are unknown; labels with no known return stay with a count of 0 (AGG-05)."""
     named = F.when(F.trim(F.coalesce(label, F.lit(""))) == "", "unknown").otherwise(label)
-    return rows.groupBy(named.alias("label")).agg(*stats())
+    return rolled(rows.select(named.alias("label"), "return_pct"), ["label"])
 
 
 def by_labels(rows: DataFrame, labels: Column) -> DataFrame:
     """A row counts for each of its labels, or for none (AGG-06)."""
     each = F.explode(F.when(F.size(labels) > 0, labels).otherwise(F.array(F.lit("none"))))
-    return rows.select("*", each.alias("label")).groupBy("label").agg(*stats())
+    return rolled(rows.select("return_pct", each.alias("label")), ["label"])
 
 
 def holding_period(created: Column, now: Column) -> Column:
@@ -84,7 +97,9 @@ def shape_status(follow: float = 3.0, failed: float = -3.0) -> Column:
 
 def strategies(rows: DataFrame) -> DataFrame:
     """Per strategy: counts, stats, statuses as text, outcome (AGG-04, AGG-12)."""
-    base = rows.groupBy("strategy").agg(F.countDistinct("run_id").alias("run_count"), F.count(F.lit(1)).alias("total_count"), F.count_if(F.col("status") == "missing").alias("missing_count"), *stats())
+    rows = staged(rows.select("strategy", "run_id", "status", "return_pct"), "picks")
+    counts = [F.countDistinct("run_id").alias("run_count"), F.count(F.lit(1)).alias("total_count"), F.count_if(F.col("status") == "missing").alias("missing_count")]
+    base = rolled(rows, ["strategy"], counts)
     each = rows.groupBy("strategy", "status").agg(F.count(F.lit(1)).alias("n"))
     text = each.groupBy("strategy").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("status", "n"))), lambda x: F.concat_ws("=", x["status"], x["n"].cast("string"))), ";").alias("status_counts"))
     avg, win = F.col("average_return_pct"), F.col("win_rate")
@@ -105,6 +120,8 @@ def failures(rows: DataFrame, dimensions: list[str], bad: float = -5.0) -> DataF
 def event_signals(rows: DataFrame, signals: Column, bad: float = -5.0) -> DataFrame:
     """Per signal: stats, failure rate, extremes and an action (AGG-08)."""
     each = rows.select("return_pct", "strategy", F.explode(signals).alias("signal"))
-    g = each.groupBy("signal").agg(*stats(), rounded(F.avg(F.when(F.col("return_pct") <= bad, 100.0).when(F.col("return_pct").isNotNull(), 0.0))).alias("failure_rate"), rounded(F.max("return_pct")).alias("best_return_pct"), rounded(F.min("return_pct")).alias("worst_return_pct"), F.countDistinct("strategy").alias("strategy_count"))
+    bad_rate = F.avg(F.when(F.col("return_pct") <= bad, 100.0).when(F.col("return_pct").isNotNull(), 0.0))
+    more = [rounded(bad_rate).alias("failure_rate"), rounded(F.max("return_pct")).alias("best_return_pct"), rounded(F.min("return_pct")).alias("worst_return_pct"), F.countDistinct("strategy").alias("strategy_count")]
+    g = rolled(each, ["signal"], after=more)
     action = F.when(F.col("pick_count") < 3, "collect_more").when((F.col("average_return_pct") > 0) & (F.col("win_rate") >= 55), "promote").when((F.col("average_return_pct") < 0) & (F.col("failure_rate") >= 40), "demote").otherwise("watch")
     return g.withColumn("action", action)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.num import rounded
+from ..sources.staged import staged
+from .places import with_medians
 
 # fixed values: bounds of failures, and the prefixes of a signal's kinds
 LARGE_LOSS, DRAWDOWN = -5.0, -8.0
@@ -125,6 +127,7 @@ def signal_stats(picks: DataFrame, by: list[str] | None = None, samples: int = 5
     """Each signal (of each group): counts, failure rate, returns, strategies, codes of the worst picks, and its action."""
     rows = complete(picks).withColumn("_order", F.struct(F.col("return_pct").isNull().alias("none"), F.coalesce("return_pct", F.lit(0.0)).alias("r"), "strategy", "rank"))
     long = rows.select("strategy", "code", "return_pct", "_order", (F.size("failure_reasons") > 0).alias("_failed"), F.explode("event_signals").alias("signal"))
+    long = staged(long, "signals")
     keys = [*(by or []), "signal"]
     r = F.col("return_pct")
     stats = long.groupBy(*keys).agg(
@@ -133,13 +136,15 @@ def signal_stats(picks: DataFrame, by: list[str] | None = None, samples: int = 5
         F.count_if("_failed").alias("failure_count"),
         rounded(F.count_if("_failed") / F.count(F.lit(1)) * 100).alias("failure_rate"),
         rounded(F.avg(r)).alias("average_return_pct"),
-        rounded(F.median(r)).alias("median_return_pct"),
         rounded(F.avg(F.when(r > 0, 100.0).when(r.isNotNull(), 0.0))).alias("win_rate"),
         rounded(F.max(r)).alias("best_return_pct"),
         rounded(F.min(r)).alias("worst_return_pct"),
         F.array_join(F.sort_array(F.collect_set("strategy")), ",").alias("strategies"),
     )
-    return stats.join(_sample_codes(long, keys, samples), keys, "left").withColumn("action", signal_action())
+    out = with_medians(long, keys, stats, {"median_return_pct": "return_pct"}).withColumn("median_return_pct", rounded("median_return_pct"))
+    names = [c for c in stats.columns if c not in ("win_rate", "best_return_pct", "worst_return_pct", "strategies")]
+    out = out.select(*names, "median_return_pct", "win_rate", "best_return_pct", "worst_return_pct", "strategies")
+    return out.join(_sample_codes(long, keys, samples), keys, "left").withColumn("action", signal_action())
 
 
 def suggestion_value(signal: Column) -> Column:

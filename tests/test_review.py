@@ -143,3 +143,19 @@ def test_external_items_in_any_spelling(spark):
     items = spark.createDataFrame([(0, "SH600519", 2.0, ["x"]), (1, "1", 20.0, None)], "seq long, code string, score_delta double, risk_flags array<string>")
     got = analyzers.analyze(p, ["external_http"], {"external_http": {"items": items, "most": 5}}).orderBy("rank").collect()
     assert [(r.code, r.final_score, r.external_status) for r in got] == [("000001", 70.0, "completed"), ("600519", 62.0, "completed")]
+
+
+@pytest.mark.parametrize("few", [5, 10_000])
+def test_medians_by_bounds(spark, few):
+    """The bounds hold the middle, and the few values between them give the same as a sort of all."""
+    from skerry.operators import evaluate
+    from skerry.operators.places import _near_middle
+
+    rng = random.Random(few)
+    rows = [(rng.choice(["hot", "hot", "cold", None]), rng.choice([None, 1.0, rng.uniform(-5, 5), rng.uniform(-5, 5)])) for _ in range(20_000)] + [("none", None), ("one", 3.0), ("two", 1.0), ("two", 2.0)]
+    df = staged(spark.createDataFrame(rows, "g string, x double").repartition(4), "t")
+    want = {g: statistics.median(x for h, x in rows if h == g and x is not None) for g in ("hot", "cold", None, "one", "two")}
+    assert {r.g: r.median for r in _near_middle(df, ["g"], "x", few).collect() if r.median is not None} == pytest.approx(want)
+    out = {r.g: (r.pick_count, r.median_return_pct) for r in evaluate.rolled(df.withColumnRenamed("x", "return_pct"), ["g"]).collect()}
+    assert out["none"] == (0, None) and {g: out[g][1] for g in want} == pytest.approx(want, abs=1e-4)
+    assert evaluate.rolled(df.where("g = 'none'").withColumnRenamed("x", "return_pct"), []).first().asDict() == {"pick_count": 0, "average_return_pct": None, "median_return_pct": None, "win_rate": None}
