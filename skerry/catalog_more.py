@@ -140,7 +140,7 @@ def eval_failure_review(spark, d):
 
 @query
 def eval_shape_status(spark, d):
-    b = B.last_bars(B.shape(B.averages(D.bars(spark, d)))).select("code", "breakout_20d_pct", "pullback_to_ma20_pct")
+    b = B.last_bars(B.shape(B.averages(B.recent(D.bars(spark, d), 21)))).select("code", "breakout_20d_pct", "pullback_to_ma20_pct")
     rows = _evaluated(spark, d).join(b, "code").withColumn("shape", E.shape_status())
     return E.by_label(rows, F.col("shape"))
 

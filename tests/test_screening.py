@@ -244,3 +244,24 @@ def test_codes_of_long_keys(spark, tmp_path):
     spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
     got = {r.o_orderkey: r.code for r in QUERIES["normalize_code"](spark, str(tmp_path)).collect()}
     assert got == {8: "000008", 9: "000009", 11: "000111", 12345: "012345", 1234564: "123456", 1234565: "123456", 1234567: "234567"}
+
+
+def test_last_bar_columns(spark):
+    """What is worked out at the last bar alone equals the moving columns' last values, with short series and missing closes."""
+    import random
+
+    from skerry.operators import bars as B
+    from skerry.operators import indicators as I
+
+    rng = random.Random(3)
+    rows = [(c, dt.date(2020, 1, 1) + dt.timedelta(i), *[None if c == 4 and i % 37 == 5 else rng.uniform(9, 11)] * 4, rng.uniform(1, 9)) for c, n in ((1, 1), (2, 19), (3, 113), (4, 200), (5, 114), (6, 300)) for i in range(n)]
+    b = spark.createDataFrame(rows, "code long, date date, open double, high double, low double, close double, volume double")
+    assert {r.code: r["count"] for r in B.recent(b, 21).groupBy("code").count().collect()} == {1: 1, 2: 19, 3: 22, 4: 22, 5: 22, 6: 22}
+    features = lambda x: B.last_bars(B.consolidation(B.true_range(B.drawdown(B.volatility(B.shape(B.rsi(B.change_60(B.averages(x)))))))))
+    assert sorted(map(str, features(B.recent(b, 61)).collect())) == sorted(map(str, features(b).collect()))
+    moving = {r.code: r for r in B.last_bars(B.long_line(B.bands(b))).collect()}
+    closes = b.groupBy("code").agg(F.transform(F.sort_array(F.collect_list(F.struct("date", "close"))), lambda x: x["close"]).alias("s"))
+    last = F.slice("s", -F.least(F.size("s"), F.lit(20)), F.least(F.size("s"), F.lit(20)))
+    for r in closes.select("code", I.last_bands(last).alias("band"), I.last_long_line(F.col("s")).alias("zg")).collect():
+        m = moving[r.code]
+        assert (r.zg, *r.band) == (m.zg_long, m.boll_mid, m.boll_upper, m.boll_lower)
