@@ -10,6 +10,8 @@ from ..functions.num import rounded
 from .bars import by_date, over
 from .places import By, few_numbered
 
+WARPED_AT_ONCE = 1024  # rows
+
 
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
@@ -77,34 +79,43 @@ def dtw(a: Column, b: Column) -> Column:
 
 
 def warped(x: np.ndarray, y: np.ndarray, band: float = 0.2) -> np.ndarray:
-    """Banded time-warping distance of each row of x to that row of y, by its shortest path, per step of the path.
+    """Banded time-warping distance of each row of x to that row of y (or to its only row), by its shortest path, per step of the path.
 
-    A row is a series of numbers, or of points whose distance is Euclidean. The loop is over diagonals, whose cells don't depend on each other; all rows are worked on at once.
-    Of equally short ways the diagonal one is taken, then the one from above.
+    A row is a series of numbers, or of points whose distance is Euclidean. The loop is over diagonals, whose cells don't depend on each other; some hundred rows, which a processor's
+    cache holds, are worked on at once. Of equally short ways the diagonal one is taken, then the one from above.
     """
     x, y = np.atleast_2d(x), np.atleast_2d(y)
     x, y = (a[:, :, None] if a.ndim == 2 else a for a in (x, y))
     (rows, n), m = x.shape[:2], y.shape[1]
     width = max(int(np.ceil(band * max(n, m))), abs(n - m), 1)
-    cost = np.zeros((rows, n, m))
-    for k in range(x.shape[2]):
-        cost += (x[:, :, None, k] - y[:, None, :, k]) ** 2
-    cost = np.sqrt(cost)
-    # the two diagonals before: shortest ways to cells (i, d - i), by i, and their steps
-    far, near = np.full((rows, n + 1), np.inf), np.full((rows, n + 1), np.inf)
-    far_steps, near_steps = np.zeros((rows, n + 1)), np.zeros((rows, n + 1))
-    far[:, 0] = 0
+    out = np.empty(rows)
+    for at in range(0, rows, WARPED_AT_ONCE):
+        part = slice(at, at + WARPED_AT_ONCE)
+        out[part] = _warped(*(np.ascontiguousarray(a.transpose(1, 2, 0)) for a in (x[part], y if len(y) == 1 else y[part])), width)
+    return out
+
+
+def _warped(x: np.ndarray, y: np.ndarray, width: int) -> np.ndarray:
+    """The same for (points, features, rows): neighbouring rows lie side by side, and only cells within the band are looked at."""
+    n, m, rows = len(x), len(y), x.shape[2]
+    # the two diagonals before and the next one: shortest ways to cells (i, d - i), by i, and their steps
+    far, near, here = (np.full((n + 2, rows), np.inf) for _ in range(3))
+    far_steps, near_steps, steps = (np.zeros((n + 2, rows)) for _ in range(3))
+    far[0] = 0
     for d in range(2, n + m + 1):
         low, high = max(1, d - m, -((width - d) // 2)), min(n, d - 1, (d + width) // 2)
-        here, steps = np.full((rows, n + 1), np.inf), np.zeros((rows, n + 1))
-        if low <= high:
-            i = np.arange(low, high + 1)
-            ways = np.stack([far[:, i - 1], near[:, i - 1], near[:, i]])
-            best = ways.argmin(axis=0)
-            here[:, i] = cost[:, i - 1, d - i - 1] + ways.min(axis=0)
-            steps[:, i] = np.choose(best, [far_steps[:, i - 1], near_steps[:, i - 1], near_steps[:, i]]) + 1
-        far, near, far_steps, near_steps = near, here, near_steps, steps
-    return near[:, n] / near_steps[:, n]
+        cells, before = slice(low, high + 1), slice(low - 1, high)
+        apart = x[before] - y[d - high - 1 : d - low][::-1]
+        cost = np.sqrt(np.multiply(apart, apart, out=apart).sum(axis=1))
+        across, above, beside = far[before], near[before], near[cells]
+        count = np.where(beside < above, near_steps[cells], near_steps[before])
+        way = np.minimum(above, beside)
+        np.add(np.where(across <= way, far_steps[before], count), 1, out=steps[cells])
+        np.add(np.minimum(across, way), cost, out=here[cells])
+        here[low - 1] = here[high + 1] = np.inf
+        far, near, here = near, here, far
+        far_steps, near_steps, steps = near_steps, steps, far_steps
+    return near[n] / near_steps[n]
 
 
 def feature_columns(bars: DataFrame) -> DataFrame:

@@ -1,16 +1,18 @@
 """Search for windows of bars like a query's: nine features of each window, normalised in it, resampled to one length and compared in three groups (PAT-01 to PAT-09, JOIN-13, SRT-06).
 
-A symbol's last bars are one small group; all its windows are described and compared at once in an Arrow task, which gives out the symbol's best only. (As Column
-expressions over arrays the same took 13 s instead of 2 for 18,000 windows.) Time warping is exact but runs only on windows that a lower bound, from envelopes of the query, can't rule out.
+A symbol's last bars are one small group; an Arrow task describes and compares the windows of many symbols at once and gives out each symbol's best only. (As Column
+expressions over arrays the same took 13 s instead of 2 for 18,000 windows.) Arrays are (windows, ...) to whoever reads them, but windows lie side by side in memory. Time warping is exact; windows
+that the groups compared so far rule out aren't compared any further.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,10 +30,11 @@ WEIGHTS = {"price": 0.75, "volume": 0.15, "stat": 0.10}
 MIN_BARS, POINTS, CLIP, WARP, LOOKBACK, PER_SYMBOL, TOP = 20, 32, 5.0, 0.2, 200, 20, 20
 
 FEATURES = tuple(f for group in GROUPS.values() for f in group)
-PLACES = {g: [FEATURES.index(f) for f in names] for g, names in GROUPS.items()}
+PLACES = {g: slice(FEATURES.index(names[0]), FEATURES.index(names[-1]) + 1) for g, names in GROUPS.items()}  # a group's features are neighbours
 METRICS = ("euclidean", "manhattan", "chebyshev", "pearson", "spearman", "cosine", "dtw")
 COLUMNS = ("open", "high", "low", "close", "volume")
 CHUNK = 64
+CELLS = 1 << 20  # numbers of windows' features at once
 
 
 def filled(bars: DataFrame) -> DataFrame:
@@ -42,6 +45,11 @@ def filled(bars: DataFrame) -> DataFrame:
     return bars.where("close is not null").select("code", "date", *prices, close.alias("close"), F.coalesce(has("volume"), F.lit(0.0)).alias("volume"))
 
 
+def _side_by_side(windows: int, *sizes: int) -> np.ndarray:
+    """An empty (windows, ...) whose windows are neighbours in memory, so that work on all windows runs along it."""
+    return np.moveaxis(np.empty((*sizes, windows)), -1, 0)
+
+
 def features(bars: np.ndarray) -> np.ndarray:
     """(windows, bars, 5) -> (windows, bars, 9): the features of each window against its first close (PAT-01, WIN-27).
 
@@ -50,15 +58,15 @@ def features(bars: np.ndarray) -> np.ndarray:
     o, h, low, c, v = (bars[:, :, i] for i in range(5))
     w, n = c.shape
     base = np.where(c[:, :1] == 0, 1.0, c[:, :1])
-    change = np.zeros((w, n))
+    change = np.zeros((w, n), order="F")
     np.divide(c[:, 1:] - c[:, :-1], c[:, :-1], out=change[:, 1:], where=c[:, :-1] != 0)
-    mean, spread, means, devs = np.zeros(w), np.zeros(w), np.zeros((w, n)), np.zeros((w, n))
+    mean, spread, means, devs = np.zeros(w), np.zeros(w), np.zeros((w, n), order="F"), np.zeros((w, n), order="F")
     for i in range(n):
         off = change[:, i] - mean
         mean = mean + off / (i + 1)
         spread = spread + off * (change[:, i] - mean)
         means[:, i], devs[:, i] = mean, np.sqrt(spread / (i + 1))
-    slope = np.zeros((w, n))
+    slope = np.zeros((w, n), order="F")
     for i in range(1, n):
         back = [c[:, i - k] for k in range(min(i, 4) + 1)]
         if i == 1:
@@ -69,7 +77,10 @@ def features(bars: np.ndarray) -> np.ndarray:
             slope[:, i] = (3 * (back[0] - back[3]) + (back[1] - back[2])) / 10
         else:
             slope[:, i] = (2 * (back[0] - back[4]) + (back[1] - back[3])) / 10
-    return np.stack([c / base - 1, (c - o) / base, (h - np.maximum(o, c)) / base, (np.minimum(o, c) - low) / base, (h - low) / base, np.log1p(np.maximum(v, 0)), means, devs, slope], axis=2)
+    out = _side_by_side(w, n, len(FEATURES))
+    for k, feature in enumerate([c / base - 1, (c - o) / base, (h - np.maximum(o, c)) / base, (np.minimum(o, c) - low) / base, (h - low) / base, np.log1p(np.maximum(v, 0)), means, devs, slope]):
+        out[:, :, k] = feature
+    return out
 
 
 def normalised(x: np.ndarray, method: str = "zscore", most: float | None = CLIP) -> np.ndarray:
@@ -99,8 +110,10 @@ def resampled(x: np.ndarray, points: int = POINTS) -> np.ndarray:
         return x
     at = np.arange(points) * (n - 1) / max(points - 1, 1)
     low = np.minimum(at.astype(int), max(n - 2, 0))
-    part = (at - low).reshape(-1, *[1] * (x.ndim - 2))
-    return x[:, low] + (x[:, np.minimum(low + 1, n - 1)] - x[:, low]) * part
+    out = _side_by_side(len(x), points, *x.shape[2:])
+    for i, (j, part) in enumerate(zip(low, at - low)):
+        out[:, i] = x[:, j] + (x[:, min(j + 1, n - 1)] - x[:, j]) * part
+    return out
 
 
 def matrices(bars: np.ndarray, points: int = POINTS, method: str = "zscore") -> np.ndarray:
@@ -132,7 +145,7 @@ def group_similarity(metric: str, x: np.ndarray, q: np.ndarray, alpha: float = 1
         norm = np.sqrt((x * x).sum(axis=(1, 2)) * (q * q).sum())
         return (np.where(norm == 0, 0.0, np.clip((x * q).sum(axis=(1, 2)) / np.where(norm == 0, 1.0, norm), -1, 1)) + 1) / 2
     if metric == "dtw":
-        return np.exp(-alpha * warped(x, np.broadcast_to(q, x.shape), WARP))
+        return np.exp(-alpha * warped(x, q[None], WARP))
     apart = np.abs(x - q)
     distance = {"euclidean": lambda: np.sqrt((apart * apart).sum(axis=(1, 2))) / points, "manhattan": lambda: apart.sum(axis=(1, 2)) / points, "chebyshev": lambda: apart.max(axis=(1, 2))}[metric]()
     return np.exp(-alpha * distance)
@@ -198,11 +211,11 @@ def warp_ceiling(x: np.ndarray, q: np.ndarray, bound=envelope_bound, warp: float
     return sum(WEIGHTS[g] * np.exp(-bound(x[:, :, at], q[:, at], band)) for g, at in PLACES.items())
 
 
-def best_by_warping(x: np.ndarray, q: np.ndarray, most: int, least: float = -1.0, probe: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def best_by_warping(x: np.ndarray, q: np.ndarray, most: int, least: float = -1.0) -> tuple[np.ndarray, np.ndarray]:
     """(similarity, -1 where it wasn't taken; whether it was): exact for all windows that can be among the best most and reach least.
 
-    Windows are taken in the order of their ceilings by envelopes, some at a time, until the next ceiling is below the last of the best found; of these, those whose ceiling by nearest points is not. A probe
-    stops after the first most.
+    Windows are taken in the order of their ceilings by envelopes, some at a time, until the next ceiling is below the last of the best found; of these, those whose ceiling by nearest points is not. A search doesn't use it: over
+    many windows the ceilings cost more than the warping itself.
     """
     ceiling = warp_ceiling(x, q)
     order = np.argsort(-ceiling, kind="stable")
@@ -218,8 +231,22 @@ def best_by_warping(x: np.ndarray, q: np.ndarray, most: int, least: float = -1.0
         part = part[warp_ceiling(x[part], q, nearest_bound) >= bar]
         if len(part):
             found[part], taken[part] = total_similarity("dtw", x[part], q)[1], True
-        if probe:
+    return found, taken
+
+
+def reaching_by_warping(x: np.ndarray, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(similarity, -1 where it wasn't taken; whether it was): exact for all windows that can reach least. A window is dropped as soon as its groups so far, and all that is left of the weights, are below that."""
+    live, total, left = np.arange(len(x)), np.zeros(len(x)), sum(WEIGHTS.values())
+    for g, at in PLACES.items():
+        own = np.moveaxis(np.moveaxis(x, 0, -1)[:, at, live], -1, 0)
+        total = total + WEIGHTS[g] * group_similarity("dtw", own, q[:, at])
+        left -= WEIGHTS[g]
+        may = total + left >= least - 2e-6  # similarities are compared by six digits
+        live, total = live[may], total[may]
+        if not len(live):
             break
+    found, taken = np.full(len(x), -1.0), np.zeros(len(x), bool)
+    found[live], taken[live] = total, True
     return found, taken
 
 
@@ -228,27 +255,68 @@ def _table(group: pa.Table) -> tuple[pa.Table, np.ndarray]:
     return group, np.column_stack([group[c].to_numpy() for c in COLUMNS])
 
 
-def _scan(group: pa.Table, q: np.ndarray, n: int, step: int, metric: str, points: int, method: str, most: int, least: float, probe: bool) -> pa.Table:
-    """One symbol's bars -> its best windows, with how many windows it has and how many were compared."""
-    group, bars = _table(group)
-    starts = np.arange(0, len(bars) - n + 1, step)
-    if not len(starts):
-        return group.slice(0, 0).select(["code"])
-    x = matrices(bars[starts[:, None] + np.arange(n)], points, method)
-    if metric == "dtw":
-        whole, taken = best_by_warping(x, q, most, least, probe)
-        parts = {g: np.full(len(x), np.nan) for g in GROUPS}
-    else:
-        parts, whole = total_similarity(metric, x, q)
-        taken = np.ones(len(x), bool)
-    shown = np.rint(whole * 1e6) / 1e6
-    best = np.lexsort((starts, -shown))[:most]
-    best = best[taken[best]]
-    date = group["date"]
-    columns = {"code": group["code"].take(pa.array(np.zeros(len(best), np.int64))), "start": date.take(pa.array(starts[best])), "end": date.take(pa.array(starts[best] + n - 1))}
-    for g in GROUPS:
-        columns[f"{g}_similarity"] = pa.array(np.rint(parts[g][best] * 1e6) / 1e6, from_pandas=True)
-    return pa.table(columns | {"similarity": pa.array(shown[best]), "windows": pa.array(np.full(len(best), len(x))), "compared": pa.array(np.full(len(best), int(taken.sum())))})
+def _runs(codes: pa.ChunkedArray) -> np.ndarray:
+    """Where each run of one code ends."""
+    return pc.run_end_encode(codes.combine_chunks()).run_ends.to_numpy()
+
+
+def _whole_symbols(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows that are sorted by code, in tables that cut no code's rows."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        ends = _runs(rows["code"])
+        cut = int(ends[-2]) if len(ends) > 1 else 0
+        if cut or (held and held[0]["code"][0].as_py() != rows["code"][0].as_py()):
+            yield pa.concat_tables([*held, rows.slice(0, cut)]).combine_chunks()
+            held = []
+        held.append(rows.slice(cut))
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def _scan(batches: Iterable[pa.RecordBatch], q: np.ndarray, n: int, step: int, metric: str, points: int, method: str, most: int, top: int | None) -> Iterator[pa.RecordBatch]:
+    """Bars sorted by code and date -> each symbol's best windows, with how many windows it has and how many were compared in full. With top, windows that can't be among so many best of all need not be."""
+    best_so_far = np.empty(0)
+    for rows in _whole_symbols(batches):
+        ends = _runs(rows["code"])
+        firsts = np.concatenate([[0], ends[:-1]])
+        many = np.maximum((ends - firsts - n) // step + 1, 0)
+        symbol = np.repeat(np.arange(len(ends)), many)
+        windows = len(symbol)
+        if not windows:
+            continue
+        starts = firsts[symbol] + (np.arange(windows) - np.repeat(np.cumsum(many) - many, many)) * step
+        bars = np.stack([rows[c].to_numpy() for c in COLUMNS])
+        least = best_so_far[0] if top is not None and len(best_so_far) == top else -1.0
+        whole, taken, parts = np.empty(windows), np.ones(windows, bool), {g: np.full(windows, np.nan) for g in GROUPS}
+        size = max(CELLS // (len(FEATURES) * max(n, points)), 1)
+        for a in range(0, windows, size):
+            at = slice(a, a + size)
+            own = _side_by_side(len(starts[at]), n, len(COLUMNS))
+            for i in range(n):
+                own[:, i] = bars[:, starts[at] + i].T
+            x = matrices(own, points, method)
+            if metric == "dtw":
+                whole[at], taken[at] = reaching_by_warping(x, q, least)
+            else:
+                found, whole[at] = total_similarity(metric, x, q)
+                for g in GROUPS:
+                    parts[g][at] = found[g]
+        shown = np.rint(whole * 1e6) / 1e6
+        best = np.lexsort((starts, -shown, symbol))
+        place = np.arange(windows) - np.repeat(np.cumsum(many) - many, many)
+        best = best[(place < most) & taken[best]]
+        if top is not None:
+            best_so_far = np.sort(np.concatenate([best_so_far, shown[best]]))[-top:]
+        columns = {"code": rows["code"].take(pa.array(starts[best])), "start": rows["date"].take(pa.array(starts[best])), "end": rows["date"].take(pa.array(starts[best] + n - 1))}
+        for g in GROUPS:
+            columns[f"{g}_similarity"] = pa.array(np.rint(parts[g][best] * 1e6) / 1e6, from_pandas=True)
+        compared = np.bincount(symbol[taken], minlength=len(ends))
+        columns |= {"similarity": pa.array(shown[best]), "windows": pa.array(many[symbol[best]].astype(np.int64)), "compared": pa.array(compared[symbol[best]].astype(np.int64))}
+        yield from pa.table(columns).to_batches()
 
 
 def query_bars(query: Sequence) -> np.ndarray:
@@ -265,11 +333,12 @@ def query_bars(query: Sequence) -> np.ndarray:
 
 
 def scanned(
-    bars: DataFrame, query: Sequence, metric: str = "euclidean", per_symbol: int = PER_SYMBOL, lookback: int = LOOKBACK, step: int | None = None, points: int = POINTS, method: str = "zscore", least: float = -1.0, probe: bool = False
+    bars: DataFrame, query: Sequence, metric: str = "euclidean", per_symbol: int = PER_SYMBOL, lookback: int = LOOKBACK, step: int | None = None, points: int = POINTS, method: str = "zscore", top: int | None = None
 ) -> DataFrame:
     """The best windows of each symbol: code, start, end, the groups' and the whole similarity (six digits), windows and compared.
 
     Windows of the query's length start at every step-th of a symbol's last bars, from the first of these on; symbols with fewer bars have none. Ties go by start.
+    With top, what can't be among so many best of all symbols may be left out: a task compares windows by time warping only as far as they may reach the last of the best that it has found.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric}; there are {', '.join(METRICS)}")
@@ -279,19 +348,10 @@ def scanned(
     step = max(n // 15, 1) if step is None else max(step, 1)
     # an explicit number of parts, as the few bytes of a symbol's bars say nothing of the work on them
     parts = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = last_n(filled(bars).repartition(parts, "code"), lookback)
+    rows = last_n(filled(bars).repartition(parts, "code"), lookback).sortWithinPartitions("code", F.asc_nulls_last("date"))
     kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = f"code {kind['code']}, start {kind['date']}, end {kind['date']}, " + ", ".join(f"{g}_similarity double" for g in GROUPS) + ", similarity double, windows long, compared long"
-
-    def scan(group: pa.Table) -> pa.Table:
-        found = _scan(group, q, n, step, metric, points, method, per_symbol, least, probe)
-        if found.num_rows:
-            return found
-        empty = {"code": group.schema.field("code").type, "start": group.schema.field("date").type, "end": group.schema.field("date").type}
-        empty |= {c: pa.float64() for c in (*[f"{g}_similarity" for g in GROUPS], "similarity")} | {"windows": pa.int64(), "compared": pa.int64()}
-        return pa.schema(list(empty.items())).empty_table()
-
-    return rows.groupBy("code").applyInArrow(scan, schema)
+    return rows.mapInArrow(lambda batches: _scan(batches, q, n, step, metric, points, method, per_symbol, top), schema)
 
 
 def search(
@@ -309,8 +369,7 @@ def search(
 ) -> DataFrame:
     """The windows of bars most like a query of at least 20 bars: rank, code, start, end, the similarity of each group (null by time warping) and in all, by their weights (PAT-09).
 
-    Ties go by code, then by start. By time warping, a few windows of each symbol that look best are compared first; the last of their top is what any other
-    window must be able to reach. It can only be lower than the result's last one, so nothing is lost. One number comes to the driver.
+    Ties go by code, then by start.
     """
     if top <= 0:
         raise ValueError("top must be positive")
@@ -318,13 +377,7 @@ def search(
         bars = bars.where(F.col("code").isin(*codes))
     if exclude:
         bars = bars.where(~F.col("code").isin(*exclude))
-    settings = {"lookback": lookback, "step": step, "points": points, "method": method}
-    least = -1.0
-    if metric == "dtw":
-        probes = scanned(bars, query, metric, min(4, per_symbol), **settings, probe=True).orderBy(F.desc("similarity")).limit(top)
-        known = probes.agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("least")).first()
-        least = known.least if known.n == top else -1.0
-    rows = scanned(bars, query, metric, per_symbol, **settings, least=least).drop("windows", "compared")
+    rows = scanned(bars, query, metric, per_symbol, lookback, step, points, method, top).drop("windows", "compared")
     return few_numbered(rows, [By("similarity", descending=True), By("code"), By("start")], top).select("rank", "code", "start", "end", *[f"{g}_similarity" for g in GROUPS], "similarity")
 
 

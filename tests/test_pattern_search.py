@@ -145,3 +145,50 @@ def test_normalized_work_is_linear(spark):
         got = df.select(normalized(F.col("a"), method)).first()[0]
         assert len(got) == 4000 and got[0] == pytest.approx(first, abs=2e-2)
     assert time.time() - began < 60
+
+
+def test_warping_is_bounded_in_memory():
+    """Neither rows nor cells outside the band are held all at once; a query is one row for all."""
+    import tracemalloc
+
+    from skerry.operators.pattern import warped
+
+    rng = np.random.default_rng(3)
+    x, q = rng.normal(size=(20_000, 32, 3)), rng.normal(size=(32, 3))
+    tracemalloc.start()
+    got = warped(x, q[None])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20  # the costs of all cells alone would be 160 MB
+    assert [got[i] for i in (0, 1023, 1024, 19_999)] == pytest.approx([plain_warp(x[i], q) for i in (0, 1023, 1024, 19_999)])
+    assert np.array_equal(got[:50], warped(x[:50], np.broadcast_to(q, (50, 32, 3))))
+
+
+def test_warping_drops_only_what_cannot_reach():
+    rng = np.random.default_rng(6)
+    q = rng.normal(size=(32, 9)).cumsum(axis=0)
+    x = np.concatenate([rng.normal(size=(300, 32, 9)).cumsum(axis=1), q + rng.normal(size=(30, 32, 9)) * 0.1])
+    exact = PS.total_similarity("dtw", x, q)[1]
+    bar = sorted(exact)[-20]
+    found, taken = PS.reaching_by_warping(x, q, bar)
+    assert set(np.flatnonzero(exact >= bar)) <= set(np.flatnonzero(taken)) and taken.sum() < 100
+    assert np.array_equal(found[taken], exact[taken]) and PS.reaching_by_warping(x, q, -1.0)[1].all()
+
+
+def test_search_is_whole_over_cut_batches(spark, market):
+    """A symbol's bars may come in several batches, and several symbols in one; a bar taken from earlier symbols loses none of the best."""
+    df, _, asked = market
+    query = [dict(zip(("open", "high", "low", "close", "volume"), b[2:])) for b in asked]
+    named = df.selectExpr("case when code = 5 then null else concat('s', code) end as code", "date", "open", "high", "low", "close", "volume")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was, found = spark.conf.get(key), []
+    for most in (7, 75, 10_000):
+        spark.conf.set(key, str(most))
+        try:
+            found.append([PS.search(named, query, m, per_symbol=2, top=5).orderBy("rank").collect() for m in ("dtw", "euclidean")])
+        finally:
+            spark.conf.set(key, was)
+    assert found[0] == found[1] == found[2] and len(found[0][0]) == 5
+    every = PS.scanned(named, query, "dtw", per_symbol=2)
+    assert [r.similarity for r in found[0][0]] == sorted((r.similarity for r in every.collect()), reverse=True)[:5]
+    assert {r.code for r in every.collect()} == {None, *(f"s{i}" for i in range(8) if i != 5)} and all(r.compared == r.windows for r in every.collect())
