@@ -6,8 +6,14 @@ llm_tags, llm_catalysts, llm_risks, post_analysis_tags. A column that isn't ther
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.num import rounded
 from ..sources.staged import staged
@@ -37,6 +43,24 @@ def _clean(a: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda x: F.trim(F.coalesce(x, F.lit("")))), lambda x: x != ""))
 
 
+def _own_reasons() -> list[tuple[Column, Column]]:
+    """What makes a completed pick a failure, and how it is called."""
+    r, shape, named = F.col("return_pct"), F.col("shape_status"), lambda prefix, c: F.concat(F.lit(f"{prefix}:"), c)
+    return [
+        (F.col("status") != "ok", named("quote_status", F.col("status"))),
+        (r < 0, F.lit("negative_return")),
+        (r <= LARGE_LOSS, F.lit("large_loss")),
+        (shape.isin("failed_breakout", "pullback_failed", "breakout_unconfirmed"), named("shape_status", shape)),
+        (F.col("max_drawdown_pct") <= DRAWDOWN, F.lit("path_drawdown_breach")),
+        (~F.col("path_status").isin("", "ok"), named("path_status", F.col("path_status"))),
+    ]
+
+
+def failed() -> Column:
+    """Whether a completed pick has failure_reasons, told without building them: a filter's expression is worked out apart from the columns'."""
+    return F.greatest(*[F.coalesce(holds, F.lit(False)) for holds, _ in _own_reasons()])
+
+
 def complete(picks: DataFrame) -> DataFrame:
     """picks with all columns that a review looks at, and with event_signals and failure_reasons."""
     has = set(picks.columns)
@@ -45,17 +69,7 @@ def complete(picks: DataFrame) -> DataFrame:
     if "max_drawdown_pct" not in has:
         out = out.withColumn("max_drawdown_pct", F.lit(None).cast("double"))
     named = lambda prefix, c: F.transform(c, lambda x: F.concat(F.lit(f"{prefix}:"), x))
-    r, shape = F.col("return_pct"), F.col("shape_status")
-    own = F.array_compact(
-        F.array(
-            F.when(F.col("status") != "ok", F.concat(F.lit("quote_status:"), "status")),
-            F.when(r < 0, "negative_return"),
-            F.when(r <= LARGE_LOSS, "large_loss"),
-            F.when(shape.isin("failed_breakout", "pullback_failed", "breakout_unconfirmed"), F.concat(F.lit("shape_status:"), shape)),
-            F.when(F.col("max_drawdown_pct") <= DRAWDOWN, "path_drawdown_breach"),
-            F.when(~F.col("path_status").isin("", "ok"), F.concat(F.lit("path_status:"), "path_status")),
-        )
-    )
+    own = F.array_compact(F.array(*[F.when(holds, said) for holds, said in _own_reasons()]))
     out = out.withColumns({"event_signals": F.array_distinct(F.concat(*[named(k, F.col(c)) for k, c in KINDS.items()])), "_own": own})
     beside = F.concat(F.col("_own"), named("risk_flag", F.col("risk_flags")), named("portfolio_flag", F.col("portfolio_flags")), named("llm_risk", F.col("llm_risks")))
     return out.withColumn("failure_reasons", F.when(F.size("_own") > 0, F.array_distinct(beside)).otherwise(F.array().cast("array<string>"))).drop("_own")
@@ -66,9 +80,50 @@ def _worst_first() -> Column:
     return F.struct(F.col("return_pct").isNull().alias("none"), F.coalesce("return_pct", F.lit(0.0)).alias("r"), F.when(F.col("return_pct").isNull(), F.col("status")).otherwise("").alias("s"), "strategy", "rank", "code")
 
 
-def _sample_codes(rows: DataFrame, by: list[str], most: int) -> DataFrame:
-    """The codes of each group's worst picks, each once: a code's worst pick by one aggregation, then the first of each group."""
-    code = rows.where(F.col("code").isNotNull()).groupBy(*by, F.col("code").cast("string").alias("_code")).agg(F.min("_order").alias("_order"))
+def _few(most: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_groups, _code, _order) -> a row for each group and code that is among a batch's first of the group, so many different codes each, with the code's first order.
+
+    A code that is among a group's first of all is among the first of the batch that holds its first row: whatever comes before it there comes before it everywhere.
+    """
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        code, order = batch.column("_code"), batch.column("_order")
+        by = []
+        for key in [*order.flatten(), code]:
+            if pa.types.is_floating(key.type):  # NaN is greater than all other values
+                nan = pc.is_nan(key)
+                by += [nan, pc.if_else(nan, pa.scalar(0, key.type), key)]
+            else:
+                by.append(key)
+        sort_keys = [(f"k{i}", "ascending") for i in range(len(by))]
+        at = pc.sort_indices(pa.table({k: c for (k, _), c in zip(sort_keys, by)}), sort_keys=sort_keys, null_placement="at_start")
+        lists = batch.column("_groups").take(at)
+        row, groups = pc.list_parent_indices(lists).to_numpy(), lists.flatten()
+        label = np.zeros(len(row), np.int64)
+        for name in groups.type:
+            own = pc.struct_field(groups, name.name).dictionary_encode()
+            label = label * (len(own.dictionary) + 1) + own.indices.fill_null(len(own.dictionary)).to_numpy()
+        own = code.take(at).dictionary_encode()
+        first = np.sort(np.unique(label * len(own.dictionary) + own.indices.to_numpy()[row], return_index=True)[1])
+        first = first[np.argsort(label[first], kind="stable")]
+        starts = np.flatnonzero(np.diff(label[first], prepend=-1))
+        first = first[np.arange(len(first)) - np.repeat(starts, np.diff(np.append(starts, len(first)))) < most]
+        rows, kept = at.take(pa.array(row[first])), groups.take(pa.array(first))
+        names = [f.name for f in groups.type]
+        yield pa.RecordBatch.from_arrays([*[pc.struct_field(kept, k) for k in names], code.take(rows), order.take(rows)], names=[*names, "_code", "_order"])
+
+
+def _sample_codes(rows: DataFrame, groups: Column, most: int) -> DataFrame:
+    """The codes of each group's worst picks by _order, each once. groups is an array of structs, the groups that a row belongs to.
+
+    Batches give out their few first codes of each group before anything is sorted or shuffled; a code's worst pick is then had by one aggregation, and the first of each group.
+    """
+    narrow = rows.where(F.col("code").isNotNull()).select(groups.alias("_groups"), F.col("code").cast("string").alias("_code"), "_order")
+    keys = narrow.schema["_groups"].dataType.elementType.fields
+    by = [k.name for k in keys]
+    schema = StructType([*[StructField(k.name, k.dataType) for k in keys], StructField("_code", narrow.schema["_code"].dataType), StructField("_order", narrow.schema["_order"].dataType)])
+    code = narrow.mapInArrow(lambda batches: _few(most, batches), schema).groupBy(*by, "_code").agg(F.min("_order").alias("_order"))
     place = F.row_number().over(Window.partitionBy(*by).orderBy("_order", "_code"))
     few = code.withColumn("_p", place).where(F.col("_p") <= most)
     return few.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_code"))), lambda x: x["_code"]), ",").alias("sample_codes"))
@@ -76,7 +131,7 @@ def _sample_codes(rows: DataFrame, by: list[str], most: int) -> DataFrame:
 
 def failures(picks: DataFrame) -> DataFrame:
     """The picks that failed, with their reasons."""
-    return complete(picks).where(F.size("failure_reasons") > 0)
+    return complete(picks).where(failed())
 
 
 def failure_samples(picks: DataFrame, most: int = 5) -> DataFrame:
@@ -102,7 +157,8 @@ def failure_summary(picks: DataFrame) -> DataFrame:
 
 
 def failure_dimensions(picks: DataFrame, samples: int = 3) -> DataFrame:
-    """Failures by thirteen dimensions at once: each failure is unpivoted to its labels (a blank one is unknown, an empty list none), then one aggregation.
+    """Failures by thirteen dimensions at once: each failure is unpivoted to its labels (a blank one is unknown, an empty list none), then one aggregation;
+    for the samples they stay one row until a batch has picked its few worst codes of each label.
 
     Returns dimension, label, failure_count, evaluated_failure_count, average and worst return, and the codes of the worst.
     """
@@ -111,10 +167,10 @@ def failure_dimensions(picks: DataFrame, samples: int = 3) -> DataFrame:
     none = F.array(F.lit("none"))
     each = lambda d, c: F.transform(F.when(F.size(c) > 0, F.col(c)).otherwise(none), lambda x: F.struct(F.lit(d).alias("dimension"), x.alias("label")))
     cells = F.concat(F.array(*[one(d, c) for d, c in SINGLE.items()]), *[each(d, c) for d, c in MANY.items()])
-    long = f.select("code", "return_pct", "_order", F.explode(cells).alias("e")).select("code", "return_pct", "_order", "e.dimension", "e.label")
+    long = f.select("return_pct", F.explode(cells).alias("e")).select("return_pct", "e.dimension", "e.label")
     by = ["dimension", "label"]
     stats = long.groupBy(*by).agg(F.count(F.lit(1)).alias("failure_count"), F.count("return_pct").alias("evaluated_failure_count"), rounded(F.avg("return_pct")).alias("average_return_pct"), rounded(F.min("return_pct")).alias("worst_return_pct"))
-    return stats.join(_sample_codes(long, by, samples), by, "left")
+    return stats.join(_sample_codes(f, cells, samples), by, "left")
 
 
 def signal_action() -> Column:
@@ -126,7 +182,7 @@ def signal_action() -> Column:
 def signal_stats(picks: DataFrame, by: list[str] | None = None, samples: int = 5) -> DataFrame:
     """Each signal (of each group): counts, failure rate, returns, strategies, codes of the worst picks, and its action."""
     rows = complete(picks).withColumn("_order", F.struct(F.col("return_pct").isNull().alias("none"), F.coalesce("return_pct", F.lit(0.0)).alias("r"), "strategy", "rank"))
-    long = rows.select("strategy", "code", "return_pct", "_order", (F.size("failure_reasons") > 0).alias("_failed"), F.explode("event_signals").alias("signal"))
+    long = rows.select("strategy", "code", "return_pct", "_order", failed().alias("_failed"), F.explode("event_signals").alias("signal"))
     long = staged(long, "signals")
     keys = [*(by or []), "signal"]
     r = F.col("return_pct")
@@ -144,7 +200,7 @@ def signal_stats(picks: DataFrame, by: list[str] | None = None, samples: int = 5
     out = with_medians(long, keys, stats, {"median_return_pct": "return_pct"}).withColumn("median_return_pct", rounded("median_return_pct"))
     names = [c for c in stats.columns if c not in ("win_rate", "best_return_pct", "worst_return_pct", "strategies")]
     out = out.select(*names, "median_return_pct", "win_rate", "best_return_pct", "worst_return_pct", "strategies")
-    return out.join(_sample_codes(long, keys, samples), keys, "left").withColumn("action", signal_action())
+    return out.join(_sample_codes(long, F.array(F.struct(*keys)), samples), keys, "left").withColumn("action", signal_action())
 
 
 def suggestion_value(signal: Column) -> Column:

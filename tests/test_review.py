@@ -159,3 +159,34 @@ def test_medians_by_bounds(spark, few):
     out = {r.g: (r.pick_count, r.median_return_pct) for r in evaluate.rolled(df.withColumnRenamed("x", "return_pct"), ["g"]).collect()}
     assert out["none"] == (0, None) and {g: out[g][1] for g in want} == pytest.approx(want, abs=1e-4)
     assert evaluate.rolled(df.where("g = 'none'").withColumnRenamed("x", "return_pct"), []).first().asDict() == {"pick_count": 0, "average_return_pct": None, "median_return_pct": None, "win_rate": None}
+
+
+def test_samples_are_few_before_the_shuffle(spark):
+    """Codes in any number and order, over batches: the worst picks as plain Python finds them, with few rows left for the shuffle; nulls and NaN as Spark orders them."""
+    rng = random.Random(4)
+    rows = [(rng.choice([f"c{i}" for i in range(400)] + [None]), rng.choice([None, float("nan"), -0.0, *[rng.randrange(-60, 60) / 4] * 5]), rng.choice(["a", None, "b"]), [{"k": x, "n": y} for x, y in rng.sample([("x", 1), ("y", 2), ("z", None), (None, 3)], rng.randrange(5))]) for _ in range(6000)]
+    df = spark.createDataFrame(rows, "code string, r double, s string, g array<struct<k: string, n: int>>").repartition(3).withColumn("_order", F.struct(F.col("r").isNull().alias("none"), "r", "s"))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "500")
+    try:
+        got = {(r.k, r.n): r.sample_codes for r in review._sample_codes(df, F.col("g"), 3).collect()}
+        shuffled = df.where("code is not null").selectExpr("g as _groups", "code as _code", "_order").mapInArrow(lambda b: review._few(3, b), "k string, n int, _code string, _order struct<none: boolean, r: double, s: string>").count()
+    finally:
+        spark.conf.set(key, was)
+    order = lambda r, s: (r is None, (r is not None and r != r, 0.0 if r is None or r != r else r), (s is not None, s or ""))
+    best = {}
+    for code, r, s, groups in rows:
+        for g in groups:
+            if code is not None:
+                own = best.setdefault((g["k"], g["n"]), {})
+                own[code] = min(own.get(code, order(r, s)), order(r, s))
+    assert got == {g: ",".join(c for _, c in sorted((o, c) for c, o in own.items())[:3]) for g, own in best.items()}
+    assert shuffled <= 4 * 3 * 15  # groups x codes x batches; picks are 12,000
+
+
+def test_failed_is_having_reasons(spark):
+    rows = [(s, r, x, d, p) for s in ("ok", "missing", None) for r in (None, -9.0, -1.0, 0.0, float("nan")) for x in ("failed_breakout", "", None) for d in (None, -9.0, 1.0) for p in ("", "ok", "missing", None)]
+    df = spark.createDataFrame([(i, "s", i, 1, *row) for i, row in enumerate(rows)], "run_id long, strategy string, code long, rank int, status string, return_pct double, shape_status string, max_drawdown_pct double, path_status string")
+    got = review.complete(df).select(review.failed().alias("f"), (F.size("failure_reasons") > 0).alias("has"))
+    assert got.where("f is null or f <> has").count() == 0 and got.where("f").count() not in (0, len(rows))
