@@ -265,3 +265,35 @@ def test_last_bar_columns(spark):
     for r in closes.select("code", I.last_bands(last).alias("band"), I.last_long_line(F.col("s")).alias("zg")).collect():
         m = moving[r.code]
         assert (r.zg, *r.band) == (m.zg_long, m.boll_mid, m.boll_upper, m.boll_lower)
+
+
+def test_consolidation_looks_back_once(spark):
+    """By plain Python, with nulls, NaN and prices that aren't positive; no frame is gone over anew for each length."""
+    import datetime
+    import random
+
+    from skerry.operators.bars import consolidation
+
+    rng, rows = random.Random(8), []
+    for code in range(6):
+        for i in range(60):
+            low = rng.choice([10.0, 10.5, 11.0, 11.2] * 12 + [None, float("nan"), 0.0, 20.0])
+            rows.append((code, datetime.date(2024, 1, 1) + datetime.timedelta(days=i), None if low is None and rng.random() < 0.5 else (low or 1.0) + rng.random() / 2, low))
+    key = lambda x: (x != x, 0.0 if x != x else x)
+
+    def days(own, i):
+        best = 0
+        for d in range(2, min(i, 20) + 1):
+            high, low = [b[2] for b in own[i - d : i] if b[2] is not None], [b[3] for b in own[i - d : i] if b[3] is not None]
+            if high and low:
+                h, l = max(high, key=key), min(low, key=key)  # noqa: E741
+                if h == h and l == l and l > 0 and (h / l - 1) * 100 <= 12:
+                    best = d
+        return best if i else None
+
+    got = consolidation(spark.createDataFrame(rows, "code int, date date, high double, low double").repartition(3))
+    want = {(c, own[i][1]): days(own, i) for c in range(6) for own in [[r for r in rows if r[0] == c]] for i in range(60)}
+    assert {(r.code, r.date): r.consolidation_days_20d for r in got.collect()} == want and len(set(want.values())) > 8
+    assert got.columns == ["code", "date", "high", "low", "consolidation_days_20d"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "max(high" not in plan and "min(low" not in plan
