@@ -3,23 +3,29 @@
 Every word before (and a text's start) is a context with a restaurant of its own. All have one parent, the restaurant of words without
 context, whose customers are the contexts' tables and whose base is uniform. A sweep seats the customers of every dish of
 every restaurant anew, one after another, given the tables of the sweep before: seats of different dishes don't depend on each other then, so
-rows are seated where they are, and what they need of their restaurant and of their word comes by joins. A dish with one customer has one table,
-so only pairs seen twice or more are kept as seats. Scores average the predictive probabilities of the samples after the first sweep.
+pairs are dealt over buckets and are seated there. The values of frequent words and contexts are looked up; a pair with a seldom word lies in that word's bucket, one with
+a seldom context only in the context's, and what is known of a seldom one goes to its bucket. So only pairs of two seldom ones have to ask for a value.
+A dish with one customer has one table, so only pairs seen twice or more are seated. Scores average the predictive probabilities of the samples after the first sweep.
+
+Pairs travel and lie as packed arrays, a row for each bucket and some millions of tokens: a dictionary of the words in it and places in that. A text asks
+for each different pair of its row once, and probabilities come back in the order in which they were asked for.
 """
 
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterable, Iterator
+import secrets
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.dataset
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import process_cache, ship, stage, unstage
+from .common import lean, process_cache, ship, shuffle_partitions, stage, unstage
 from .packing import parts_of
 from .shingles import mixed, word_hashes
 
@@ -27,11 +33,15 @@ END = 0x5EED00  # the end token's code, and the context of a text's first word
 D0, THETA0 = 0.7, 20.0
 D1, THETA1 = 0.8, 1.0
 SWEEPS, BURN = 3, 1
-FREQUENT = 1_000_000  # pairs that every worker looks up
-LARGE = 100_000  # words and contexts that are broadcast
+LARGE = 200_000  # frequent words, whose values (as words and as contexts) every worker looks up
+SAMPLE_BYTES = 32 << 20  # of text, from which they are chosen: what is chosen decides where a pair lies, not its score
+BUCKET_BYTES = 16 << 20  # of text, about two million tokens
 BATCH_BYTES = 2 << 20
-FLUSH = 4_000_000
+FLUSH = 2_200_000
 SEED = 11
+WORD, CONTEXT = 0, 1  # what a code is
+HOME, ASKED, SELDOM = 0, 1, 2  # rows of texts
+SINGLES, SEATS, TALLY = 0, 1, 2  # rows of buckets
 
 
 def coded(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,31 +72,143 @@ def pair_codes(context: np.ndarray, token: np.ndarray) -> np.ndarray:
     return code
 
 
-def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, text) -> (ctx, word, n), summed over some millions of tokens at a time."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    waiting = 0
+def packed(x: np.ndarray) -> bytes:
+    """An array, whole numbers in as few bytes each as the largest needs, compressed."""
+    if x.dtype.kind in "iu" and len(x) and x.min() >= 0:
+        x = x.astype(np.min_scalar_type(int(x.max())))
+    raw = x.tobytes()
+    return x.dtype.str.encode().ljust(4) + len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
-    def out() -> Iterator[pa.RecordBatch]:
-        tokens, before = (np.concatenate(x) for x in zip(*held))
+
+def unpacked(b: bytes) -> np.ndarray:
+    """What was packed."""
+    return np.frombuffer(pa.decompress(b[12:], int.from_bytes(b[4:12], "little"), "zstd", asbytes=True), b[:4].decode().strip())
+
+
+def among(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which codes are among the known ones, which are sorted."""
+    return known[np.minimum(np.searchsorted(known, codes), len(known) - 1)] == codes if len(known) else np.zeros(len(codes), bool)
+
+
+def bucket_of(codes: np.ndarray, buckets: int) -> np.ndarray:
+    """Hashes' buckets."""
+    return ((codes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def own_bucket(code: str, buckets: int) -> Column:
+    """bucket_of as a column."""
+    return F.shiftright(F.shiftrightunsigned(code, 32) * F.lit(buckets), 32).cast("int")
+
+
+class Pairs:
+    """The distinct pairs of some texts' tokens, in order of their buckets: n and slot (each token's pair), and a slice for each bucket."""
+
+    def __init__(self, tokens: np.ndarray, frequent: np.ndarray, buckets: int):
+        self.codes, places = np.unique(np.append(tokens, np.uint64(END)), return_inverse=True)
+        u = len(self.codes)
+        # texts end with END, so a text's first word has it before
+        keys, slot, n = np.unique(np.concatenate([places[-1:], places[:-2]]) * u + places[:-1], return_inverse=True, return_counts=True)
+        ctx, word = keys // u, keys % u
+        self.seldom, self.home = ~among(self.codes, frequent), bucket_of(self.codes, buckets)
+        bucket = np.where(self.seldom[word], self.home[word], np.where(self.seldom[ctx], self.home[ctx], bucket_of(pair_codes(self.codes[ctx], self.codes[word]), buckets)))
+        bucket = bucket.astype(np.min_scalar_type(buckets))
+        order = np.argsort(bucket, kind="stable")
+        self.ctx, self.word, self.n = ctx[order], word[order], n[order]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.slot = rank[slot]
+        self.ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+
+    def slices(self) -> Iterator[tuple[int, slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """(bucket, its pairs, which codes they have, places of contexts and of words among these)."""
+        place = np.zeros(len(self.codes), np.int64)
+        for b in np.flatnonzero(np.diff(self.ends, prepend=0)).tolist():
+            at = slice(int(self.ends[b - 1]) if b else 0, int(self.ends[b]))
+            mark = np.zeros(len(self.codes), bool)
+            mark[self.ctx[at]] = mark[self.word[at]] = True
+            own = np.flatnonzero(mark)
+            place[own] = np.arange(len(own))
+            yield b, at, own, place[self.ctx[at]], place[self.word[at]]
+
+
+def steps(x: np.ndarray) -> np.ndarray:
+    """Ascending numbers as their differences; np.cumsum undoes it."""
+    return np.diff(x, prepend=0)
+
+
+def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    """Tuples as a batch with the columns of a Spark schema of ints, longs and binaries."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(fields)], names=[n for n, _ in fields])
+
+
+COUNTED = "bucket int, codes binary, ctx binary, word binary, n binary"
+
+
+def _words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text) -> (code, n) of words."""
+    for batch in batches:
+        for part in parts_of(batch, BATCH_BYTES):
+            codes, n = np.unique(coded(part)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(n)], names=["code", "n"])
+
+
+def _count(path: str, buckets: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text) -> distinct pairs of some millions of tokens at a time, a row for each bucket."""
+    held: list[np.ndarray] = []
+    frequent = _frequent(path)
+
+    def out() -> pa.RecordBatch:
+        pairs = Pairs(np.concatenate(held), frequent, buckets)
         held.clear()
-        order = np.argsort(pair_codes(before, tokens))
-        tokens, before = tokens[order], before[order]
-        first = np.flatnonzero(np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (before[1:] != before[:-1])]))
-        n = np.diff(np.concatenate([first, [len(tokens)]]))
-        tokens, before = tokens[first].view(np.int64), before[first].view(np.int64)
-        for a in range(0, len(n), 1 << 17):
-            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 17)]) for x in (before, tokens, n)], names=["ctx", "word", "n"])
+        return _rows(COUNTED, [(b, packed(pairs.codes[own]), packed(steps(c)), packed(w), packed(pairs.n[at])) for b, at, own, c, w in pairs.slices()])
 
     for batch in batches:
         for part in parts_of(batch, BATCH_BYTES):
-            held.append(coded(part)[:2])
-            waiting += len(held[-1][0])
-            if waiting >= FLUSH:
-                yield from out()
-                waiting = 0
+            held.append(coded(part)[0])
+            if sum(map(len, held)) >= FLUSH:
+                yield out()
     if held:
-        yield from out()
+        yield out()
+
+
+GATHERED = "kind int, bucket int, role int, code long, c long, single long, t long, codes binary, ctx binary, word binary, n binary, tables binary, sat binary"
+
+
+def _tallies(bucket: int, codes: np.ndarray, places: np.ndarray, role: int, *weights: np.ndarray | None) -> pa.RecordBatch:
+    """Sums by code of c, single and t, as rows of a bucket."""
+    sums = [None if w is None else np.bincount(places, w, len(codes)).astype(np.int64) for w in weights]
+    some = np.flatnonzero(np.bincount(places, minlength=len(codes)))
+    size, none = len(some), lambda k: pa.nulls(len(some), k)
+    numbers = [none(pa.int64()) if x is None else pa.array(x[some]) for x in sums]
+    ints = [pa.array(np.full(size, x, np.int32)) for x in (TALLY, bucket, role)]
+    return pa.RecordBatch.from_arrays([*ints, pa.array(codes[some].view(np.int64)), *numbers, *[none(pa.binary())] * 6], names=[x.split()[0] for x in GATHERED.split(", ")])
+
+
+def _gather(group: pa.Table) -> pa.Table:
+    """A bucket's rows of COUNTED -> its pairs seen once, those seen more often, and what it knows of words and contexts."""
+    bucket = group["bucket"][0].as_py()
+    cols = {k: [unpacked(x) for x in group[k].to_pylist()] for k in ("codes", "ctx", "word", "n")}
+    codes = np.unique(np.concatenate(cols["codes"]))
+    u, keys = len(codes), []
+    for own, c, w in zip(cols["codes"], cols["ctx"], cols["word"]):
+        to = np.searchsorted(codes, own)
+        keys.append(to[np.cumsum(c, dtype=np.int64)] * u + to[w])
+    keys, at = np.unique(np.concatenate(keys), return_inverse=True)
+    n = np.bincount(at, np.concatenate(cols["n"])).astype(np.int64)
+    ctx, word = keys // u, keys % u
+    once = n == 1
+    rows = []
+    for kind, these in ((SINGLES, once), (SEATS, ~once)):
+        mark = np.zeros(u, bool)
+        mark[ctx[these]] = mark[word[these]] = True
+        place = np.cumsum(mark) - 1
+        ones = packed(np.ones(these.sum(), np.uint8))
+        more = [packed(n[these]), ones, packed(np.zeros(these.sum(), np.uint8))] if kind == SEATS else [None] * 3
+        rows.append((kind, bucket, None, None, None, None, None, packed(codes[mark]), packed(steps(place[ctx[these]])), packed(place[word[these]]), *more))
+    told = [_tallies(bucket, codes, x, role, n, once, ~once) for role, x in ((WORD, word), (CONTEXT, ctx))]
+    return pa.Table.from_batches([_rows(GATHERED, rows), *told])
 
 
 class RowDraws:
@@ -128,15 +250,14 @@ def seat(customers: np.ndarray, new: np.ndarray, discount: float, rng: np.random
     return tables
 
 
-def _seated(count: str, weight: str, discount: float, sweep: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with the column t replaced by tables for the customers in column count; the column weight goes."""
+def _root(sweep: int, weight: float, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the column t: tables of the root for the customers of a word, none for a context."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        rng = RowDraws(sweep, *(np.asarray(batch.column(k).to_numpy(zero_copy_only=False), np.int64) for k in ("word", "ctx") if k in batch.schema.names))
-        t = seat(batch.column(count).to_numpy(), batch.column(weight).to_numpy(), discount, rng)
-        names = [k for k in batch.schema.names if k != weight]
-        yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int64)) if k == "t" else batch.column(k) for k in names], names=names)
+        if batch.num_rows:
+            code = batch.column("code").to_numpy()
+            customers = np.where(batch.column("role").to_numpy() == WORD, batch.column("customers").to_numpy(), 0)
+            t = seat(customers, np.full(len(code), weight), D0, RowDraws(sweep, code))
+            yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int64)) if k == "t" else batch.column(k) for k in batch.schema.names], names=batch.schema.names)
 
 
 def _bounded(table: DataFrame, by: str, most: int) -> Column:
@@ -150,11 +271,93 @@ def _bounded(table: DataFrame, by: str, most: int) -> Column:
     return level >= F.lit(down) if down is not None else F.lit(False)
 
 
-def _met(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """rows with their entry of table (columns key, often, ...): often entries, of which there are at most LARGE, are broadcast, and only rows of others are shuffled."""
-    often = F.broadcast(table.where("often").drop("often"))
-    seldom = table.where("not often").drop("often")
-    return rows.join(often, key).unionByName(rows.join(often.select(key), key, "left_anti").join(seldom, key))
+def _lookup(path: str) -> dict[int, tuple[np.ndarray, dict[str, np.ndarray]]]:
+    """The frequent words' and contexts' sorted codes and values, read once a worker process."""
+    held = process_cache("hpylm")
+    if held.get("path") != path:
+        held.update(path=path, table=_by_role(_read(path)))
+    return held["table"]
+
+
+def _read(path: str) -> pa.Table:
+    fs, name = pa.fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+    return pa.dataset.dataset(name, format="parquet", filesystem=fs).to_table()
+
+
+def _by_role(table: pa.Table) -> dict[int, tuple[np.ndarray, dict[str, np.ndarray]]]:
+    """Sorted codes and values of words and of contexts, of rows (role, code, values ...)."""
+    out = {}
+    for role in (WORD, CONTEXT):
+        rows = table.filter(pc.equal(table["role"], role)) if table.num_columns and table.num_rows else None
+        codes = np.zeros(0, np.uint64) if rows is None else rows["code"].to_numpy().view(np.uint64)
+        order = np.argsort(codes)
+        out[role] = codes[order], {} if rows is None else {k: rows[k].to_numpy()[order] for k in rows.column_names if k not in ("role", "code", "bucket", "flush")}
+    return out
+
+
+def _values(codes: np.ndarray, role: int, name: str, default: float, *tables: dict) -> np.ndarray:
+    """A value of each code as the tables tell, or else the default."""
+    out = np.full(len(codes), default, np.float64)
+    for table in tables:
+        known, values = table[role]
+        if len(known) and name in values:
+            at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+            hit = known[at] == codes
+            out[hit] = values[name][at[hit]]
+    return out
+
+
+def _frequent(path: str) -> np.ndarray:
+    """The frequent words' sorted codes, read once a worker process."""
+    held = process_cache("hpylm")
+    if held.get("frequent_path") != path:
+        held.update(frequent_path=path, frequent=np.sort(_read(path)["code"].to_numpy().view(np.uint64)))
+    return held["frequent"]
+
+
+ASKS = "bucket int, role int, code long"
+
+
+def _asks(bucket: int, role: int, codes: np.ndarray, places: np.ndarray, here: np.ndarray) -> pa.RecordBatch:
+    """What a bucket has to ask for: the codes at places whose values aren't here."""
+    mark = np.zeros(len(codes), bool)
+    mark[places] = True
+    rest = codes[mark & ~here].view(np.int64)
+    ints = [pa.array(np.full(len(rest), x, np.int32)) for x in (bucket, role)]
+    return pa.RecordBatch.from_arrays([*ints, pa.array(rest)], names=["bucket", "role", "code"])
+
+
+def _seldom(path: str, buckets: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Buckets' rows -> what they have to ask for."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            codes = unpacked(row["codes"])
+            here = among(codes, _frequent(path)) | (bucket_of(codes, buckets) == row["bucket"])
+            for role, places in ((WORD, unpacked(row["word"])), (CONTEXT, np.cumsum(unpacked(row["ctx"]), dtype=np.int64))):
+                yield _asks(row["bucket"], role, codes, places, here)
+
+
+def _sweep(path: str, sweep: int, counts: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A bucket's pairs with the values of its seldom words and contexts -> the same pairs seated anew, and tables by word and by context."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        tables = _lookup(path), _by_role(right)
+        out = []
+        for row in left.to_pylist():
+            codes, word, n = (unpacked(row[k]) for k in ("codes", "word", "n"))
+            ctx = np.cumsum(unpacked(row["ctx"]), dtype=np.int64)
+            now, opens = (_values(codes, role, "value", np.nan, *tables) for role in (WORD, CONTEXT))
+            weight, signed = opens[ctx] * now[word], codes.view(np.int64)
+            if np.isnan(weight).any():
+                raise ValueError("a pair's word or context is unknown")
+            t = seat(n.astype(np.int64), weight, D1, RowDraws(sweep, signed[word], signed[ctx]))
+            sat = unpacked(row["sat"]).astype(np.int64) + (t if counts else 0)
+            keep = [row[k] for k in ("codes", "ctx", "word", "n")]
+            out.append(_rows(GATHERED, [(SEATS, row["bucket"], None, None, None, None, None, *keep, packed(t), packed(sat))]))
+            out.extend(_tallies(row["bucket"], codes, x.astype(np.int64), role, None, None, t) for role, x in ((WORD, word), (CONTEXT, ctx)))
+        return pa.Table.from_batches(out, _rows(GATHERED, []).schema)
+
+    return run
 
 
 class PitmanYorModel:
@@ -165,57 +368,97 @@ class PitmanYorModel:
         ship(docs.sparkSession)
         self.samples = sweeps - burn
         texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        counted = texts.mapInArrow(_count, "ctx long, word long, n long")
-        pairs = stage(counted.groupBy("ctx", "word").agg(F.sum("n").alias("n")), "pairs")
-        each = [F.sum("n").alias("c"), F.count_if(F.col("n") == 1).alias("single")]
-        words, contexts = (stage(pairs.groupBy(k).agg(*each), "totals") for k in ("word", "ctx"))
-        self.n, self.v = (int(x or 0) for x in words.agg(F.sum("c"), F.count(F.lit(1))).first())
-        often = {k: _bounded(t, "c", LARGE) for k, t in (("word", words), ("ctx", contexts))}
+        size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.buckets = buckets = max(shuffle_partitions(docs.sparkSession), int(size) // BUCKET_BYTES)
+        share = int(2**31 * min(1.0, SAMPLE_BYTES / max(size, 1)))
+        sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(2**31)) < share).mapInArrow(lean("hpylm", _words), "code long, n long")
+        sampled = stage(sample.groupBy("code").agg(F.sum("n").alias("n")), "sampled")
+        self.frequent = stage(sampled.where(_bounded(sampled, "n", LARGE)).select("code"), "frequent")
+        unstage(sampled)
+        path = self.frequent._staged_path
+        gathered = stage(texts.mapInArrow(lean("hpylm", lambda b: _count(path, buckets, b)), COUNTED).groupBy("bucket").applyInArrow(_gather, GATHERED), "gathered", ["kind"])
+        sums = [F.sum(k).alias(k) for k in ("c", "single", "t")]
+        tally = gathered.where(F.col("kind") == TALLY).groupBy("role", "code").agg(*sums).withColumn("seated", F.col("t") > 0)
+        tally = tally.join(F.broadcast(self.frequent.withColumn("often", F.lit(True))), "code", "left").withColumn("often", F.coalesce("often", F.lit(False)))
+        tally = told = first = stage(tally, "tally")
+        unstage_kind(gathered, TALLY)
+        self.n, self.v = (int(x or 0) for x in tally.where(F.col("role") == WORD).agg(F.sum("c"), F.count(F.lit(1))).first())
         base = 1 / (self.v + 1)
-        seats = stage(pairs.where("n > 1").withColumn("t", F.lit(1).cast("long")).withColumn("kept", F.lit(0.0)), "seats")
+        seats, seldom = gathered, None
         self.floors: list[float] = []
         tables0 = float(self.v)
+        # contexts without seats never change
+        still = (F.col("role") == CONTEXT) & ~F.col("seated")
+        tally = tally.where(~still)
         for sweep in range(sweeps + 1):
             sample = sweep - burn - 1
-            # the root: a word's customers are its tables in all contexts
-            served = seats.groupBy("word").agg(F.sum("t").alias("_t"))
-            rows = words.join(served, "word", "left").withColumn("customers", F.col("single") + F.coalesce("_t", F.lit(0))).drop("_t")
-            rows = rows.withColumn("t", F.lit(0).cast("long")).withColumn("weight", F.lit(float((THETA0 + D0 * tables0) * base)))
-            rooted = stage(rows.mapInArrow(lambda b, s=sweep: _seated("customers", "weight", D0, s, b), rows.drop("weight").schema), "words")
-            customers0, tables0 = (float(x or 0) for x in rooted.agg(F.sum("customers"), F.sum("t")).first())
+            # a word's customers in the root are its tables in all contexts; a context's tables are those of all its words
+            if sweep == 0:
+                rows = tally.withColumn("customers", F.col("single") + F.col("t"))
+            else:
+                served = seats.where(F.col("kind") == TALLY).groupBy("role", "code").agg(F.sum("t").alias("_t"))
+                rows = tally.where("seated").join(served, ["role", "code"]).withColumn("customers", F.col("single") + F.col("_t")).drop("_t")
+                rows = rows.unionByName(tally.where("not seated").withColumn("customers", F.col("single")))
+            weight = float((THETA0 + D0 * tables0) * base)
+            rooted = stage(rows.mapInArrow(lambda b, s=sweep, w=weight: _root(s, w, b), rows.schema), "rooted")
+            if told is not first:
+                unstage(told)
+            customers0, tables0 = (float(x or 0) for x in rooted.where(F.col("role") == WORD).agg(F.sum("customers"), F.sum("t")).first())
             floor = (THETA0 + D0 * tables0) * base / (THETA0 + customers0)
             root = (F.col("customers") - F.lit(D0) * F.col("t")) / F.lit(THETA0 + customers0) + F.lit(floor)
-            # the contexts' tables
-            laid = seats.groupBy("ctx").agg(F.sum("t").alias("_t"))
-            tabled = stage(contexts.join(laid, "ctx", "left").withColumn("tables", F.col("single") + F.coalesce("_t", F.lit(0))).drop("_t"), "contexts")
-            opens = F.lit(THETA1) + F.lit(D1) * F.col("tables")
+            opens = F.lit(THETA1) + F.lit(D1) * F.col("customers")
+            tally, told = rooted.drop("customers"), rooted
             if sample >= 0:
                 self.floors.append(floor)
-                unstage(words, contexts)
-                words = stage(rooted.withColumn(f"r{sample}", root.cast("float")).drop("customers", "t"), "words")
-                contexts = stage(tabled.withColumn(f"s{sample}", (opens / (F.lit(THETA1) + F.col("c"))).cast("float")).drop("tables"), "contexts")
+                share = F.when(F.col("role") == WORD, root).otherwise(opens / (F.lit(THETA1) + F.col("c")))
+                tally = rooted.withColumn(f"v{sample}", share.cast("float")).drop("customers")
             if sweep < sweeps:
-                now = stage(rooted.select("word", root.alias("now"), often["word"].alias("often")), "now")
-                open_to = stage(tabled.select("ctx", opens.alias("opens"), often["ctx"].alias("often")), "now")
-                given = _met(_met(seats, now, "word"), open_to, "ctx")
-                given = given.select("ctx", "word", "n", "t", "kept", (F.col("opens") * F.col("now")).alias("weight"))
-                anew = given.mapInArrow(lambda b, s=sweep: _seated("n", "weight", D1, s, b), "ctx long, word long, n long, t long, kept double")
-                if sweep >= burn:
-                    anew = anew.withColumn("kept", F.col("kept") + F.col("n") - F.lit(D1) * F.col("t"))
-                after = stage(anew, "seats")
-                unstage(seats, now, open_to)
+                # only those with seats, of pairs seen twice or more
+                now = rooted.where("seated").select("role", "code", F.when(F.col("role") == WORD, root).otherwise(opens).alias("value"), "often")
+                top = stage(now.where("often").drop("often"), "often")
+                rest = now.where("not often").drop("often")
+                these = seats.where(F.col("kind") == SEATS)
+                if seldom is None:
+                    seldom = stage(these.select("bucket", "codes", "ctx", "word").mapInArrow(lean("hpylm", lambda b: _seldom(path, buckets, b)), ASKS), "seldom")
+                given = rest.withColumn("bucket", own_bucket("code", buckets)).unionByName(seldom.join(rest, ["role", "code"]))
+                anew = these.groupBy("bucket").cogroup(given.groupBy("bucket")).applyInArrow(_sweep(top._staged_path, sweep, sweep >= burn), GATHERED)
+                after = stage(anew, "seats", ["kind"])
+                unstage(top)
+                if seats is gathered:
+                    unstage_kind(gathered, SEATS)
+                else:
+                    unstage(seats)
                 seats = after
-            unstage(rooted, tabled)
+                del now, rest, these, given, anew
+            rows = served = None
             _free(docs)
-        self.words, self.contexts = words.drop("single"), contexts.withColumnRenamed("c", "total").drop("single")
-        once = pairs.where("n = 1").select("ctx", "word", F.lit(1).cast("long").alias("n"), F.lit(self.samples * (1 - D1)).alias("kept"))
-        every = once.unionByName(seats.select("ctx", "word", "n", "kept"))
-        every = _met(_met(every, self.words.withColumn("often", often["word"]), "word"), contexts.withColumn("often", often["ctx"]).withColumnRenamed("c", "total").drop("single"), "ctx")
-        own = F.col("kept") / F.lit(float(self.samples)) / (F.lit(THETA1) + F.col("total"))
-        self.pairs = stage(every.select(pair_code("ctx", "word").alias("code"), "n", "c", (own + self.backed_off()).cast("float").alias("p")), "pair-scores")
-        unstage(pairs, seats)
+        idle = (F.lit(THETA1) + F.lit(D1) * F.col("single")) / (F.lit(THETA1) + F.col("c"))
+        idle = first.where(still).withColumns({f"v{i}": idle.cast("float") for i in range(self.samples)})
+        self.entities = stage(tally.drop("single", "t", "seated").unionByName(idle.drop("single", "t", "seated")), "entities")
+        unstage(first, told, *([seldom] if seldom is not None else []))
+        keep = ("bucket", "codes", "ctx", "word", "n", "sat")
+        self.states = gathered.where(F.col("kind") == SINGLES).select(*keep).unionByName(seats.where(F.col("kind") == SEATS).select(*keep))
         _free(docs)
 
+    def _entities(self, role: int, code: str, count: str, value: str) -> DataFrame:
+        return self.entities.where(F.col("role") == role).select(F.col("code").alias(code), F.col("c").alias(count), *[F.col(f"v{i}").alias(f"{value}{i}") for i in range(self.samples)])
+
+    @property
+    def words(self) -> DataFrame:
+        return self._entities(WORD, "word", "c", "r")
+
+    @property
+    def contexts(self) -> DataFrame:
+        return self._entities(CONTEXT, "ctx", "total", "s")
+
+    @property
+    def pairs(self) -> DataFrame:
+        """All pairs as rows; scores don't need them."""
+        samples = self.samples
+        every = self.states.mapInArrow(lambda b: _unfolded(samples, b), "ctx long, word long, n long, kept double").join(self.words, "word").join(self.contexts, "ctx")
+        own = F.col("kept") / (F.lit(THETA1) + F.col("total"))
+        return every.select(pair_code("ctx", "word").alias("code"), "n", "c", (own + self.backed_off()).cast("float").alias("p"))
+
     def backed_off(self) -> Column:
         """The part of a probability that comes from the root, averaged over samples, of rows joined to words and contexts; nulls: an unknown word or context."""
         total = F.lit(0.0)
@@ -223,10 +466,29 @@ class PitmanYorModel:
             total = total + F.coalesce(F.col(f"s{s}").cast("double"), F.lit(1.0)) * F.coalesce(F.col(f"r{s}").cast("double"), F.lit(floor))
         return total / F.lit(float(self.samples))
 
-    def frequent(self, most: int) -> DataFrame:
-        """The most frequent pairs, as many as there are down to some count, but no more than so many: a bound whatever the corpus."""
-        twice = self.pairs.where("n > 1")
-        return stage(twice.where(_bounded(twice, "n", most)).select("code", "c", "p"), "frequent-pairs")
+
+def _state(samples: int, row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A row of states: codes, places of contexts and words, customers, and customers less the tables' discounts, averaged over samples."""
+    codes, word = unpacked(row["codes"]), unpacked(row["word"])
+    ctx = np.cumsum(unpacked(row["ctx"]), dtype=np.int64)
+    if row["n"] is None:
+        return codes, ctx, word, np.ones(len(word), np.int64), np.full(len(word), 1 - D1)
+    n = unpacked(row["n"]).astype(np.int64)
+    return codes, ctx, word, n, n - D1 * unpacked(row["sat"]) / samples
+
+
+def _unfolded(samples: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            codes, ctx, word, n, kept = _state(samples, row)
+            yield pa.RecordBatch.from_arrays([pa.array(codes[ctx].view(np.int64)), pa.array(codes[word].view(np.int64)), pa.array(n), pa.array(kept)], names=["ctx", "word", "n", "kept"])
+
+
+def unstage_kind(staged: DataFrame, kind: int) -> None:
+    """Delete the rows of one kind of a table staged by kind."""
+    context = staged.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{staged._staged_path}/kind={kind}")
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pair_code(ctx: str, word: str) -> Column:
@@ -240,85 +502,139 @@ def _free(df: DataFrame) -> None:
     df.sparkSession._jvm.System.gc()
 
 
-def _lookup(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted pair codes with c and p, read once a worker process."""
-    held = process_cache("hpylm")
-    if held.get("path") != path:
-        fs, name = pa.fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
-        schema = pa.schema([("code", pa.int64()), ("c", pa.int64()), ("p", pa.float32())])
-        read = pa.dataset.dataset(name, schema=schema, format="parquet", filesystem=fs).to_table()
-        codes = read["code"].to_numpy().view(np.uint64)
-        order = np.argsort(codes)
-        held.update(path=path, table=(codes[order], read["c"].to_numpy()[order].astype(np.float64), read["p"].to_numpy()[order].astype(np.float64)))
-    return held["table"]
+TEXTS = "kind int, flush long, bucket int, role int, code long, a binary, b binary, c binary, d binary"
 
 
-PARTS = "uid long, code long, ctx long, word long, n long, known long, base double, score double"
+def _ask(path: str, frequent_path: str, buckets: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, taught) -> of some millions of tokens at a time: the texts as numbers of pairs, their distinct pairs by bucket, and the pairs' seldom words and contexts."""
+    table, frequent = _lookup(path), _frequent(frequent_path)
+    held: list[tuple[np.ndarray, ...]] = []
 
+    def out() -> Iterator[pa.RecordBatch]:
+        tokens, lengths, ids, null, taught = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        flush, pairs = secrets.randbits(62), Pairs(tokens, frequent, buckets)
+        known = np.zeros(len(pairs.n), np.uint8)
+        known[pairs.slot[np.repeat(taught, lengths)]] = 1
+        rows = [(HOME, flush, None, None, None, packed(ids), packed(null.astype(np.uint8)), packed(lengths), packed(pairs.slot))]
+        rest, top = [], {role: among(pairs.codes, codes) for role, (codes, _) in table.items()}
+        for b, at, own, c, w in pairs.slices():
+            codes, delivered = pairs.codes[own], pairs.seldom[own] & (pairs.home[own] == b)
+            rows.append((ASKED, flush, b, None, None, packed(codes), packed(steps(c)), packed(w), packed(known[at])))
+            rest.extend(_asks(b, role, codes, x, delivered | top[role][own]) for role, x in ((WORD, w), (CONTEXT, c)))
+        yield _rows(TEXTS, rows)
+        seldom = pa.Table.from_batches(rest).combine_chunks()
+        size, none = seldom.num_rows, lambda k: pa.nulls(size, k)
+        if size:
+            cols = [pa.array(np.full(size, SELDOM, np.int32)), none(pa.int64()), *[seldom[k].chunk(0) for k in ("bucket", "role", "code")], *[none(pa.binary())] * 4]
+            yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in TEXTS.split(", ")])
 
-def _score(path: str, base_log: float, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(uid, text, doc_id, taught) -> a row (uid, null, doc_id, null, ...) with the text's length and the sums over frequent pairs, and one for each other pair of a text."""
-    names = [x.split()[0] for x in PARTS.split(", ")]
-    codes_of, counts_of, p_of = _lookup(path)
+    waiting = 0
     for batch in batches:
         for part in parts_of(batch, BATCH_BYTES):
-            uid, taught = part.column(0).to_numpy(), part.column(3).to_numpy(zero_copy_only=False)
-            tokens, before, lengths = coded(part)
-            owner = np.repeat(np.arange(len(lengths)), lengths)
-            codes, at, inverse = np.unique(pair_codes(before, tokens), return_index=True, return_inverse=True)
-            place = np.minimum(np.searchsorted(codes_of, codes), max(len(codes_of) - 1, 0))
-            hit = codes_of[place] == codes if len(codes_of) else np.zeros(len(codes), bool)
-            held = hit[inverse]
-            many = len(lengths)
-            if held.any():
-                o, w = owner[held], place[inverse[held]]
-                sums = [np.bincount(o, minlength=many), np.bincount(o, np.log10(counts_of[w] + 1) - base_log, many), np.bincount(o, np.log10(p_of[w]), many)]
-            else:
-                sums = [np.zeros(many, np.int64), np.zeros(many), np.zeros(many)]
-            none = pa.nulls(many, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(uid), none, part.column(2), none, pa.array(lengths), *[pa.array(x) for x in sums]], names=names)
-            rest, n = np.unique(owner[~held] * len(codes) + inverse[~held], return_counts=True)
-            for a in range(0, len(rest), 1 << 16):
-                r, m = rest[a : a + (1 << 16)], n[a : a + (1 << 16)]
-                i, known, zero = at[r % len(codes)], taught[r // len(codes)], pa.nulls(len(r), pa.int64())
-                words = [pa.array(x[i].view(np.int64), mask=known) for x in (before, tokens)]
-                yield pa.RecordBatch.from_arrays([pa.array(uid[r // len(codes)]), pa.array(codes[r % len(codes)].view(np.int64)), *words, pa.array(m), zero, zero.cast(pa.float64()), zero.cast(pa.float64())], names=names)
-
-
-def score_texts(docs: DataFrame, model: PitmanYorModel, frequent: int = FREQUENT, taught: Column | None = None) -> DataFrame:
+            tokens, _, lengths = coded(part)
+            ids = part.column(0)
+            held.append((tokens, lengths, pc.fill_null(ids, 0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), part.column(2).to_numpy(zero_copy_only=False).astype(bool)))
+            waiting += len(tokens)
+            if waiting >= FLUSH:
+                yield from out()
+                waiting = 0
+    if held:
+        yield from out()
+
+
+ANSWERS = "flush long, bucket int, p binary, c binary"
+
+
+def _answer(path: str, samples: int, floors: list[float]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A bucket's pairs, and what texts ask of it with the values of seldom words and contexts -> each asked pair's probability and its word's count, in the order asked."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        seldom = pc.is_null(right["flush"])
+        asks = right.filter(pc.invert(seldom)).select(["flush", "bucket", "a", "b", "c", "d"]).to_pylist()
+        if not asks:
+            return pa.Table.from_batches([_rows(ANSWERS, [])])
+        values = [k for k in right.column_names if k == "n_c" or k.startswith("v")]
+        tables = _lookup(path), _by_role(right.filter(seldom).select(["role", "code", *values]))
+        owns = [unpacked(r["a"]) for r in asks]
+        codes = np.unique(np.concatenate(owns))
+        u = len(codes)
+        count, total = (_values(codes, role, "n_c", 0, *tables) for role in (WORD, CONTEXT))
+        roots = [_values(codes, WORD, f"v{s}", floor, *tables) for s, floor in enumerate(floors)]
+        shares = [_values(codes, CONTEXT, f"v{s}", 1.0, *tables) for s in range(samples)]
+        keys, kept = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for row in left.to_pylist():
+            own, ctx, word, _, k = _state(samples, row)
+            to = np.minimum(np.searchsorted(codes, own), u - 1)
+            here = codes[to] == own
+            both = here[ctx] & here[word]
+            keys.append(to[ctx[both]] * u + to[word[both]])
+            kept.append(k[both])
+        keys, kept = np.concatenate(keys), np.concatenate(kept)
+        order = np.argsort(keys)
+        keys, kept = keys[order], kept[order]
+        rows = []
+        for r, own in zip(asks, owns):
+            to = np.searchsorted(codes, own)
+            ctx, word = to[np.cumsum(unpacked(r["b"]), dtype=np.int64)], to[unpacked(r["c"])]
+            key = ctx * u + word
+            at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+            hit = keys[at] == key if len(keys) else np.zeros(len(key), bool)
+            if (unpacked(r["d"]).astype(bool) & ~hit).any():
+                raise ValueError("a text that the model was said to know has a pair that it doesn't know")
+            p = sum(s[ctx] * x[word] for s, x in zip(shares, roots)) / samples
+            p[hit] += kept[at[hit]] / (THETA1 + total[ctx[hit]])
+            rows.append((r["flush"], r["bucket"], packed(p.astype(np.float32)), packed(count[word].astype(np.int64))))
+        return pa.Table.from_batches([_rows(ANSWERS, rows)])
+
+    return run
+
+
+SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+
+
+def _total(base_log: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Texts as numbers of pairs, and all buckets' answers -> a row for each text."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        home = left.to_pylist()[0]
+        ids, null, lengths, slot = (unpacked(home[k]) for k in "abcd")
+        answers = sorted(right.select(["bucket", "p", "c"]).to_pylist(), key=lambda r: r["bucket"])
+        p, c = (np.concatenate([unpacked(r[k]).astype(np.float64) for r in answers]) for k in "pc")
+        lengths = lengths.astype(np.int64)
+        begins = np.cumsum(lengths) - lengths
+        sums = [np.add.reduceat(x[slot], begins) for x in ((c > 0).astype(np.int64), np.log10(c + 1) - base_log, np.log10(p))]
+        ids = pa.array(ids.astype(np.int64), pa.int64(), mask=null.astype(bool))
+        return pa.Table.from_arrays([ids, pa.array(lengths), *[pa.array(x) for x in sums]], names=[x.split()[0] for x in SCORES.split(", ")])
+
+    return run
+
+
+def score_texts(docs: DataFrame, model: PitmanYorModel, frequent: int = LARGE, taught: Column | None = None) -> DataFrame:
     """docs' doc_id with n_tokens, n_known, base_score and score (log10), whole texts.
 
-    The most frequent pairs of words (a fixed number at most, however large the corpus) are looked up where the texts are; all others meet
-    the model by a shuffle. Rows where taught holds were among the model's texts, so that only others have pairs that it doesn't know (a wrong taught raises). Null and empty texts
+    Some millions of tokens at a time ask the model's buckets for each of their distinct pairs once. The most frequent words and contexts (a fixed number at most,
+    however large the corpus) are looked up there; all others meet the model by a shuffle. Rows where taught holds were among the model's texts (a wrong taught raises). Null and empty texts
     are one end token; repeated rows are scored each; null ids are kept; other columns are not looked at; an empty table gives an empty
     result, and a model of no texts is uniform.
     """
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     base_log = float(np.log10(model.n + model.v + 1))
-    path = model.frequent(frequent)._staged_path
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id"), (F.lit(False) if taught is None else F.coalesce(taught, F.lit(False))).alias("taught"))
-    parts = rows.mapInArrow(lambda b: _score(path, base_log, b), PARTS)
-    met = parts.join(model.pairs.select("code", "c", "p"), "code", "left")
-    # what isn't of a known pair stays a row of its own; all else is summed by text
-    whole, seen = F.col("code").isNull(), F.col("p").isNotNull()
-    lost = F.when(~whole & ~seen & F.col("word").isNull(), F.raise_error(F.lit("a text that the model was said to know has a pair that it doesn't know")).cast("long"))
-    met = met.select("uid", *[F.when(~seen, F.col(k)).alias(k) for k in ("ctx", "word")], F.coalesce(lost, F.when(~whole, F.col("n"))).alias("n"), F.when(whole, F.col("n")).alias("length"), "known", "base", "score", "c", "p")
-    log = lambda c: F.log10(c + F.lit(1)) - F.lit(base_log)
-    kept = F.col("p").isNotNull()
-    sums = [
-        F.sum("n").alias("n"),
-        F.sum("length").alias("length"),
-        F.sum(F.when(kept, F.col("n")).otherwise(F.col("known"))).alias("known"),
-        F.sum(F.when(kept, F.col("n") * log(F.col("c"))).otherwise(F.col("base"))).alias("base"),
-        F.sum(F.when(kept, F.col("n") * F.log10(F.col("p").cast("double"))).otherwise(F.col("score"))).alias("score"),
-    ]
-    found = stage(met.groupBy("uid", "ctx", "word").agg(*sums), "score-parts")
+    known = model.entities.withColumnRenamed("c", "n_c")
+    buckets, top = model.buckets, known.where("often").drop("often")
+    if frequent < LARGE:
+        top = top.where(_bounded(top, "n_c", frequent))
+    path, frequent_path = stage(top, "often")._staged_path, model.frequent._staged_path
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (F.lit(False) if taught is None else F.coalesce(taught, F.lit(False))).alias("taught"))
+    asked = stage(rows.mapInArrow(lean("hpylm", lambda b: _ask(path, frequent_path, buckets, b)), TEXTS), "asked", ["kind"])
+    seldom = stage(asked.where(F.col("kind") == SELDOM).select("bucket", "role", "code").join(known.drop("often"), ["role", "code"]), "seldom-values")
+    _free(docs)
+    delivered = known.where("not often").drop("often").withColumn("bucket", own_bucket("code", buckets))
+    asks = asked.where(F.col("kind") == ASKED).select("flush", "bucket", "a", "b", "c", "d").unionByName(seldom.unionByName(delivered), allowMissingColumns=True)
+    answers = model.states.groupBy("bucket").cogroup(asks.groupBy("bucket")).applyInArrow(_answer(path, model.samples, model.floors), ANSWERS)
+    answers = stage(answers, "answers")
+    unstage_kind(asked, ASKED)
+    unstage_kind(asked, SELDOM)
     _free(docs)
-    new = found.where("word is not null").select("uid", "ctx", "word", "n").join(model.words, "word", "left").join(model.contexts, "ctx", "left")
-    known = F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)
-    none = F.lit(None).cast("long")
-    new = new.select("uid", none.alias("doc_id"), none.alias("length"), known.alias("known"), (F.col("n") * log(F.coalesce("c", F.lit(0)))).alias("base"), (F.col("n") * F.log10(model.backed_off())).alias("score"))
-    totals = found.where("word is null").select("uid", F.col("ctx").alias("doc_id"), "length", "known", "base", "score").unionByName(new)
-    totals = totals.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.sum("length").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-    return totals.select("doc_id", "n_tokens", "n_known", "base_score", "score")
+    home = asked.where(F.col("kind") == HOME).select("flush", "a", "b", "c", "d")
+    return home.groupBy("flush").cogroup(answers.groupBy("flush")).applyInArrow(_total(base_log), SCORES)

@@ -323,6 +323,26 @@ def test_language_model_probabilities_sum_to_one(spark):
     assert len(sums) == 4 and all(abs(x - 1) < 1e-5 for x in sums.values())
 
 
+def test_pairs_lie_with_their_seldom_word_and_are_short():
+    rng = np.random.default_rng(3)
+    words = hpylm.mixed(np.arange(1, 20001, dtype=np.uint64))
+    tokens = np.append(words[np.minimum(rng.zipf(1.3, 200_000), 20000) - 1], np.uint64(hpylm.END))
+    frequent = np.sort(np.append(words[:2000], np.uint64(hpylm.END)))
+    pairs, got, size = hpylm.Pairs(tokens, frequent, 7), {}, 0
+    for b, at, own, c, w in pairs.slices():
+        codes = pairs.codes[own]
+        for k, x, y in zip(range(at.start, at.stop), codes[c].tolist(), codes[w].tolist()):
+            got[k] = x, y
+        hot, home = hpylm.among(codes, frequent), hpylm.bucket_of(codes, 7)
+        assert (home[w][~hot[w]] == b).all() and (home[c][hot[w] & ~hot[c]] == b).all()
+        columns = [hpylm.packed(x) for x in (codes, hpylm.steps(c), w, pairs.n[at])]
+        assert all((hpylm.unpacked(x) == y).all() for x, y in zip(columns, (codes, hpylm.steps(c), w, pairs.n[at])))
+        size += sum(map(len, columns))
+    before = [hpylm.END, *tokens[:-1].tolist()]
+    assert [got[k] for k in pairs.slot.tolist()] == list(zip(before, tokens.tolist()))
+    assert len(got) == len(set(zip(before, tokens.tolist()))) and size < 8 * len(got)  # two codes and a count took 24 bytes
+
+
 def test_pair_codes_equal_spark_s(spark):
     pairs = [(5, -7), (0, 0), (1 << 62, -(1 << 63))]
     got = spark.createDataFrame(pairs, "ctx long, word long").select(hpylm.pair_code("ctx", "word").alias("c")).collect()
