@@ -297,3 +297,18 @@ def test_consolidation_looks_back_once(spark):
     assert got.columns == ["code", "date", "high", "low", "consolidation_days_20d"]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "max(high" not in plan and "min(low" not in plan
+
+
+def test_shape_of_series_equals_moving_frames(spark):
+    nan, rows = float("nan"), []
+    for code, n in ((1, 1), (2, 19), (3, 20), (4, 75), (None, 25)):
+        for i in range(n):
+            x = 10 + (i * 7919 % 31) / 7 + (code or 0)
+            odd = code == 4 and i % 9 == 4
+            rows.append((code, dt.date(2026, 1, 1) + dt.timedelta(i), None if odd else x, nan if code == 4 and i == 40 else x + 1, None if odd else nan if i == 33 else x - 1, None if code == 4 and i == 60 else x, None if code == 2 else float(i * i)))
+    b = spark.createDataFrame(rows[::-1], "code long, date date, open double, high double, low double, close double, volume double")
+    names = ["code", "date", "prev_high_20d", "range_20d_pct", "breakout_20d_pct", "volume_ratio_20d", "body_pct", "pullback_to_ma20_pct"]
+    got, want = ([tuple(map(str, r)) for r in f.select(names).orderBy("code", "date").collect()] for f in (bars.shape_of_series(b), bars.shape(bars.averages(b))))
+    assert got == want and len(got) == len(rows)
+    plan = bars.shape_of_series(b)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
