@@ -7,8 +7,9 @@ pairs are dealt over buckets and are seated there. The values of frequent words
 a seldom context only in the context's, and what is known of a seldom one goes to its bucket. So only pairs of two seldom ones have to ask for a value.
 A dish with one customer has one table, so only pairs seen twice or more are seated. Scores average the predictive probabilities of the samples after the first sweep.
 
-Pairs travel and lie as packed arrays, a row for each bucket and some millions of tokens: a dictionary of the words in it and places in that. A text asks
-for each different pair of its row once, and probabilities come back in the order in which they were asked for.
+Pairs travel and lie as packed arrays, a row for each bucket and some millions of tokens: a dictionary of the words in it (frequent ones by their place in the list of them) and places in that.
+A text asks for each different pair of its row once, and probabilities come back in the order in which they were asked for. Texts are scored in a few rounds, so that only one round's
+questions and answers lie on disk at a time.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ SAMPLE_BYTES = 32 << 20  # of text, from which they are chosen: what is chosen d
 BUCKET_BYTES = 16 << 20  # of text, about two million tokens
 BATCH_BYTES = 2 << 20
 FLUSH = 2_200_000
+ROUNDS, ROUND_BYTES = 2, 16 << 20  # of scored texts, as many at most, of so many bytes at least
 SEED = 11
 WORD, CONTEXT = 0, 1  # what a code is
 HOME, ASKED, SELDOM = 0, 1, 2  # rows of texts
@@ -73,16 +75,37 @@ def pair_codes(context: np.ndarray, token: np.ndarray) -> np.ndarray:
 
 
 def packed(x: np.ndarray) -> bytes:
-    """An array, whole numbers in as few bytes each as the largest needs, compressed."""
+    """An array, whole numbers in as few bytes each as the largest needs, all first bytes, all second ones and so on, compressed."""
     if x.dtype.kind in "iu" and len(x) and x.min() >= 0:
         x = x.astype(np.min_scalar_type(int(x.max())))
-    raw = x.tobytes()
+    raw = x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
     return x.dtype.str.encode().ljust(4) + len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
 def unpacked(b: bytes) -> np.ndarray:
     """What was packed."""
-    return np.frombuffer(pa.decompress(b[12:], int.from_bytes(b[4:12], "little"), "zstd", asbytes=True), b[:4].decode().strip())
+    kind = np.dtype(b[:4].decode().strip())
+    raw = np.frombuffer(pa.decompress(b[12:], int.from_bytes(b[4:12], "little"), "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(kind.itemsize, len(raw) // kind.itemsize).T).view(kind).ravel()
+
+
+def packed_codes(codes: np.ndarray, frequent: np.ndarray) -> bytes:
+    """Codes, ascending frequent ones and then ascending others: places in the list of frequent ones, and hashes."""
+    hot = int(among(codes, frequent).sum())
+    first = packed(steps(np.searchsorted(frequent, codes[:hot])))
+    return len(first).to_bytes(8, "little") + first + packed(steps(codes[hot:]))
+
+
+def unpacked_codes(b: bytes, frequent: np.ndarray) -> np.ndarray:
+    """What was packed with the same list."""
+    size = int.from_bytes(b[:8], "little")
+    first, rest = unpacked(b[8 : 8 + size]), unpacked(b[8 + size :])
+    return np.concatenate([frequent[np.cumsum(first, dtype=np.int64)], np.cumsum(rest, dtype=np.uint64)])
+
+
+def frequent_first(codes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The order in which ascending codes are packed."""
+    return np.argsort(~among(codes, frequent), kind="stable")
 
 
 def among(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -104,8 +127,11 @@ class Pairs:
     """The distinct pairs of some texts' tokens, in order of their buckets: n and slot (each token's pair), and a slice for each bucket."""
 
     def __init__(self, tokens: np.ndarray, frequent: np.ndarray, buckets: int):
-        self.codes, places = np.unique(np.append(tokens, np.uint64(END)), return_inverse=True)
-        u = len(self.codes)
+        codes, places = np.unique(np.append(tokens, np.uint64(END)), return_inverse=True)
+        order, u = frequent_first(codes, frequent), len(codes)
+        rank = np.empty(u, np.int64)
+        rank[order] = np.arange(u)
+        self.codes, places = codes[order], rank[places]
         # texts end with END, so a text's first word has it before
         keys, slot, n = np.unique(np.concatenate([places[-1:], places[:-2]]) * u + places[:-1], return_inverse=True, return_counts=True)
         ctx, word = keys // u, keys % u
@@ -133,7 +159,7 @@ class Pairs:
 
 def steps(x: np.ndarray) -> np.ndarray:
     """Ascending numbers as their differences; np.cumsum undoes it."""
-    return np.diff(x, prepend=0)
+    return np.diff(x, prepend=x.dtype.type(0))
 
 
 def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
@@ -162,7 +188,7 @@ def _count(path: str, buckets: int, batches: Iterable[pa.RecordBatch]) -> Iterat
     def out() -> pa.RecordBatch:
         pairs = Pairs(np.concatenate(held), frequent, buckets)
         held.clear()
-        return _rows(COUNTED, [(b, packed(pairs.codes[own]), packed(steps(c)), packed(w), packed(pairs.n[at])) for b, at, own, c, w in pairs.slices()])
+        return _rows(COUNTED, [(b, packed_codes(pairs.codes[own], frequent), packed(steps(c)), packed(w), packed(pairs.n[at])) for b, at, own, c, w in pairs.slices()])
 
     for batch in batches:
         for part in parts_of(batch, BATCH_BYTES):
@@ -186,29 +212,37 @@ def _tallies(bucket: int, codes: np.ndarray, places: np.ndarray, role: int, *wei
     return pa.RecordBatch.from_arrays([*ints, pa.array(codes[some].view(np.int64)), *numbers, *[none(pa.binary())] * 6], names=[x.split()[0] for x in GATHERED.split(", ")])
 
 
-def _gather(group: pa.Table) -> pa.Table:
+def _gather(path: str) -> Callable[[pa.Table], pa.Table]:
     """A bucket's rows of COUNTED -> its pairs seen once, those seen more often, and what it knows of words and contexts."""
-    bucket = group["bucket"][0].as_py()
-    cols = {k: [unpacked(x) for x in group[k].to_pylist()] for k in ("codes", "ctx", "word", "n")}
-    codes = np.unique(np.concatenate(cols["codes"]))
-    u, keys = len(codes), []
-    for own, c, w in zip(cols["codes"], cols["ctx"], cols["word"]):
-        to = np.searchsorted(codes, own)
-        keys.append(to[np.cumsum(c, dtype=np.int64)] * u + to[w])
-    keys, at = np.unique(np.concatenate(keys), return_inverse=True)
-    n = np.bincount(at, np.concatenate(cols["n"])).astype(np.int64)
-    ctx, word = keys // u, keys % u
-    once = n == 1
-    rows = []
-    for kind, these in ((SINGLES, once), (SEATS, ~once)):
-        mark = np.zeros(u, bool)
-        mark[ctx[these]] = mark[word[these]] = True
-        place = np.cumsum(mark) - 1
-        ones = packed(np.ones(these.sum(), np.uint8))
-        more = [packed(n[these]), ones, packed(np.zeros(these.sum(), np.uint8))] if kind == SEATS else [None] * 3
-        rows.append((kind, bucket, None, None, None, None, None, packed(codes[mark]), packed(steps(place[ctx[these]])), packed(place[word[these]]), *more))
-    told = [_tallies(bucket, codes, x, role, n, once, ~once) for role, x in ((WORD, word), (CONTEXT, ctx))]
-    return pa.Table.from_batches([_rows(GATHERED, rows), *told])
+
+    def run(group: pa.Table) -> pa.Table:
+        bucket, frequent = group["bucket"][0].as_py(), _frequent(path)
+        cols = {k: [unpacked(x) for x in group[k].to_pylist()] for k in ("ctx", "word", "n")}
+        owns = [unpacked_codes(x, frequent) for x in group["codes"].to_pylist()]
+        codes = np.unique(np.concatenate(owns))
+        order, u, keys = frequent_first(codes, frequent), len(codes), []
+        rank = np.empty(u, np.int64)
+        rank[order] = np.arange(u)
+        for own, c, w in zip(owns, cols["ctx"], cols["word"]):
+            to = rank[np.searchsorted(codes, own)]
+            keys.append(to[np.cumsum(c, dtype=np.int64)] * u + to[w])
+        codes = codes[order]
+        keys, at = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(at, np.concatenate(cols["n"])).astype(np.int64)
+        ctx, word = keys // u, keys % u
+        once = n == 1
+        rows = []
+        for kind, these in ((SINGLES, once), (SEATS, ~once)):
+            mark = np.zeros(u, bool)
+            mark[ctx[these]] = mark[word[these]] = True
+            place = np.cumsum(mark) - 1
+            ones = packed(np.ones(these.sum(), np.uint8))
+            more = [packed(n[these]), ones, packed(np.zeros(these.sum(), np.uint8))] if kind == SEATS else [None] * 3
+            rows.append((kind, bucket, None, None, None, None, None, packed_codes(codes[mark], frequent), packed(steps(place[ctx[these]])), packed(place[word[these]]), *more))
+        told = [_tallies(bucket, codes, x, role, n, once, ~once) for role, x in ((WORD, word), (CONTEXT, ctx))]
+        return pa.Table.from_batches([_rows(GATHERED, rows), *told])
+
+    return run
 
 
 class RowDraws:
@@ -307,6 +341,48 @@ def _values(codes: np.ndarray, role: int, name: str, default: float, *tables: di
     return out
 
 
+VALUES = "bucket int, role int, a binary, b binary, c binary"
+
+
+def _pack_values(group: pa.Table) -> pa.Table:
+    """A bucket's seldom words and contexts (bucket, role, code, n_c, v0, ...) -> a row of each: codes, counts, and values of all samples."""
+    rows, names = [], sorted(k for k in group.column_names if k.startswith("v"))
+    for role, (codes, values) in _by_role(group).items():
+        if len(codes):
+            rows.append((group["bucket"][0].as_py(), role, packed(steps(codes)), packed(values["n_c"]), packed(np.concatenate([values[k] for k in names]))))
+    return pa.Table.from_batches([_rows(VALUES, rows)])
+
+
+def _unpack_values(rows: list[dict]) -> dict[int, tuple[np.ndarray, dict[str, np.ndarray]]]:
+    """A bucket's rows of VALUES as _by_role gives them."""
+    out: dict[int, tuple[np.ndarray, dict[str, np.ndarray]]] = {role: (np.zeros(0, np.uint64), {}) for role in (WORD, CONTEXT)}
+    for row in rows:
+        codes, values = np.cumsum(unpacked(row["a"]), dtype=np.uint64), unpacked(row["c"])
+        samples = len(values) // len(codes)
+        out[row["role"]] = codes, {"n_c": unpacked(row["b"]), **{f"v{i}": x for i, x in enumerate(values.reshape(samples, len(codes)))}}
+    return out
+
+
+def _tell(schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """What other buckets ask of a bucket (role, code, bucket), and its rows of VALUES -> the asked values; nothing for what isn't known."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        known, out = _unpack_values(right.to_pylist()), []
+        for role, (codes, values) in known.items():
+            asks = left.filter(pc.equal(left["role"], role))
+            if asks.num_rows and len(codes):
+                asked = asks["code"].to_numpy().view(np.uint64)
+                hit = among(asked, codes)
+                at = np.searchsorted(codes, asked[hit])
+                cols = {k: pa.array(x[at]) for k, x in values.items()}
+                for k in ("bucket", "role", "code"):
+                    cols[k] = asks[k].combine_chunks().filter(pa.array(hit))
+                out.append(pa.Table.from_arrays([cols[f.name] for f in schema], names=schema.names).cast(schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
+
+    return run
+
+
 def _frequent(path: str) -> np.ndarray:
     """The frequent words' sorted codes, read once a worker process."""
     held = process_cache("hpylm")
@@ -331,20 +407,20 @@ def _seldom(path: str, buckets: int, batches: Iterable[pa.RecordBatch]) -> Itera
     """Buckets' rows -> what they have to ask for."""
     for batch in batches:
         for row in batch.to_pylist():
-            codes = unpacked(row["codes"])
+            codes = unpacked_codes(row["codes"], _frequent(path))
             here = among(codes, _frequent(path)) | (bucket_of(codes, buckets) == row["bucket"])
             for role, places in ((WORD, unpacked(row["word"])), (CONTEXT, np.cumsum(unpacked(row["ctx"]), dtype=np.int64))):
                 yield _asks(row["bucket"], role, codes, places, here)
 
 
-def _sweep(path: str, sweep: int, counts: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _sweep(path: str, frequent_path: str, sweep: int, counts: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """A bucket's pairs with the values of its seldom words and contexts -> the same pairs seated anew, and tables by word and by context."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        tables = _lookup(path), _by_role(right)
+        tables, frequent = (_lookup(path), _by_role(right)), _frequent(frequent_path)
         out = []
         for row in left.to_pylist():
-            codes, word, n = (unpacked(row[k]) for k in ("codes", "word", "n"))
+            codes, word, n = unpacked_codes(row["codes"], frequent), unpacked(row["word"]), unpacked(row["n"])
             ctx = np.cumsum(unpacked(row["ctx"]), dtype=np.int64)
             now, opens = (_values(codes, role, "value", np.nan, *tables) for role in (WORD, CONTEXT))
             weight, signed = opens[ctx] * now[word], codes.view(np.int64)
@@ -376,7 +452,7 @@ class PitmanYorModel:
         self.frequent = stage(sampled.where(_bounded(sampled, "n", LARGE)).select("code"), "frequent")
         unstage(sampled)
         path = self.frequent._staged_path
-        gathered = stage(texts.mapInArrow(lean("hpylm", lambda b: _count(path, buckets, b)), COUNTED).groupBy("bucket").applyInArrow(_gather, GATHERED), "gathered", ["kind"])
+        gathered = stage(texts.mapInArrow(lean("hpylm", lambda b: _count(path, buckets, b)), COUNTED).groupBy("bucket").applyInArrow(_gather(path), GATHERED), "gathered", ["kind"])
         sums = [F.sum(k).alias(k) for k in ("c", "single", "t")]
         tally = gathered.where(F.col("kind") == TALLY).groupBy("role", "code").agg(*sums).withColumn("seated", F.col("t") > 0)
         tally = tally.join(F.broadcast(self.frequent.withColumn("often", F.lit(True))), "code", "left").withColumn("often", F.coalesce("often", F.lit(False)))
@@ -387,9 +463,11 @@ class PitmanYorModel:
         seats, seldom = gathered, None
         self.floors: list[float] = []
         tables0 = float(self.v)
-        # contexts without seats never change
-        still = (F.col("role") == CONTEXT) & ~F.col("seated")
+        # contexts without seats never change, nor do words that are one customer of the root
+        still = ~F.col("seated") & ((F.col("role") == CONTEXT) | (F.col("single") == 1))
+        alone = tally.where(still & (F.col("role") == WORD)).count()
         tally = tally.where(~still)
+        lone = []
         for sweep in range(sweeps + 1):
             sample = sweep - burn - 1
             # a word's customers in the root are its tables in all contexts; a context's tables are those of all its words
@@ -403,13 +481,14 @@ class PitmanYorModel:
             rooted = stage(rows.mapInArrow(lambda b, s=sweep, w=weight: _root(s, w, b), rows.schema), "rooted")
             if told is not first:
                 unstage(told)
-            customers0, tables0 = (float(x or 0) for x in rooted.where(F.col("role") == WORD).agg(F.sum("customers"), F.sum("t")).first())
+            customers0, tables0 = (float((x or 0) + alone) for x in rooted.where(F.col("role") == WORD).agg(F.sum("customers"), F.sum("t")).first())
             floor = (THETA0 + D0 * tables0) * base / (THETA0 + customers0)
             root = (F.col("customers") - F.lit(D0) * F.col("t")) / F.lit(THETA0 + customers0) + F.lit(floor)
             opens = F.lit(THETA1) + F.lit(D1) * F.col("customers")
             tally, told = rooted.drop("customers"), rooted
             if sample >= 0:
                 self.floors.append(floor)
+                lone.append((1 - D0) / (THETA0 + customers0) + floor)
                 share = F.when(F.col("role") == WORD, root).otherwise(opens / (F.lit(THETA1) + F.col("c")))
                 tally = rooted.withColumn(f"v{sample}", share.cast("float")).drop("customers")
             if sweep < sweeps:
@@ -421,7 +500,7 @@ class PitmanYorModel:
                 if seldom is None:
                     seldom = stage(these.select("bucket", "codes", "ctx", "word").mapInArrow(lean("hpylm", lambda b: _seldom(path, buckets, b)), ASKS), "seldom")
                 given = rest.withColumn("bucket", own_bucket("code", buckets)).unionByName(seldom.join(rest, ["role", "code"]))
-                anew = these.groupBy("bucket").cogroup(given.groupBy("bucket")).applyInArrow(_sweep(top._staged_path, sweep, sweep >= burn), GATHERED)
+                anew = these.groupBy("bucket").cogroup(given.groupBy("bucket")).applyInArrow(_sweep(top._staged_path, path, sweep, sweep >= burn), GATHERED)
                 after = stage(anew, "seats", ["kind"])
                 unstage(top)
                 if seats is gathered:
@@ -433,9 +512,10 @@ class PitmanYorModel:
             rows = served = None
             _free(docs)
         idle = (F.lit(THETA1) + F.lit(D1) * F.col("single")) / (F.lit(THETA1) + F.col("c"))
-        idle = first.where(still).withColumns({f"v{i}": idle.cast("float") for i in range(self.samples)})
+        idle = first.where(still).withColumns({f"v{i}": F.when(F.col("role") == WORD, F.lit(x)).otherwise(idle).cast("float") for i, x in enumerate(lone)})
         self.entities = stage(tally.drop("single", "t", "seated").unionByName(idle.drop("single", "t", "seated")), "entities")
         unstage(first, told, *([seldom] if seldom is not None else []))
+        unstage_kind(seats, TALLY)
         keep = ("bucket", "codes", "ctx", "word", "n", "sat")
         self.states = gathered.where(F.col("kind") == SINGLES).select(*keep).unionByName(seats.where(F.col("kind") == SEATS).select(*keep))
         _free(docs)
@@ -454,8 +534,8 @@ class PitmanYorModel:
     @property
     def pairs(self) -> DataFrame:
         """All pairs as rows; scores don't need them."""
-        samples = self.samples
-        every = self.states.mapInArrow(lambda b: _unfolded(samples, b), "ctx long, word long, n long, kept double").join(self.words, "word").join(self.contexts, "ctx")
+        samples, path = self.samples, self.frequent._staged_path
+        every = self.states.mapInArrow(lambda b: _unfolded(path, samples, b), "ctx long, word long, n long, kept double").join(self.words, "word").join(self.contexts, "ctx")
         own = F.col("kept") / (F.lit(THETA1) + F.col("total"))
         return every.select(pair_code("ctx", "word").alias("code"), "n", "c", (own + self.backed_off()).cast("float").alias("p"))
 
@@ -467,9 +547,9 @@ class PitmanYorModel:
         return total / F.lit(float(self.samples))
 
 
-def _state(samples: int, row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _state(frequent: np.ndarray, samples: int, row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A row of states: codes, places of contexts and words, customers, and customers less the tables' discounts, averaged over samples."""
-    codes, word = unpacked(row["codes"]), unpacked(row["word"])
+    codes, word = unpacked_codes(row["codes"], frequent), unpacked(row["word"])
     ctx = np.cumsum(unpacked(row["ctx"]), dtype=np.int64)
     if row["n"] is None:
         return codes, ctx, word, np.ones(len(word), np.int64), np.full(len(word), 1 - D1)
@@ -477,10 +557,10 @@ def _state(samples: int, row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return codes, ctx, word, n, n - D1 * unpacked(row["sat"]) / samples
 
 
-def _unfolded(samples: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _unfolded(path: str, samples: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            codes, ctx, word, n, kept = _state(samples, row)
+            codes, ctx, word, n, kept = _state(_frequent(path), samples, row)
             yield pa.RecordBatch.from_arrays([pa.array(codes[ctx].view(np.int64)), pa.array(codes[word].view(np.int64)), pa.array(n), pa.array(kept)], names=["ctx", "word", "n", "kept"])
 
 
@@ -520,7 +600,7 @@ def _ask(path: str, frequent_path: str, buckets: int, batches: Iterable[pa.Recor
         rest, top = [], {role: among(pairs.codes, codes) for role, (codes, _) in table.items()}
         for b, at, own, c, w in pairs.slices():
             codes, delivered = pairs.codes[own], pairs.seldom[own] & (pairs.home[own] == b)
-            rows.append((ASKED, flush, b, None, None, packed(codes), packed(steps(c)), packed(w), packed(known[at])))
+            rows.append((ASKED, flush, b, None, None, packed_codes(codes, frequent), packed(steps(c)), packed(w), packed(known[at])))
             rest.extend(_asks(b, role, codes, x, delivered | top[role][own]) for role, x in ((WORD, w), (CONTEXT, c)))
         yield _rows(TEXTS, rows)
         seldom = pa.Table.from_batches(rest).combine_chunks()
@@ -546,17 +626,18 @@ def _ask(path: str, frequent_path: str, buckets: int, batches: Iterable[pa.Recor
 ANSWERS = "flush long, bucket int, p binary, c binary"
 
 
-def _answer(path: str, samples: int, floors: list[float]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _answer(path: str, frequent_path: str, samples: int, floors: list[float]) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """A bucket's pairs, and what texts ask of it with the values of seldom words and contexts -> each asked pair's probability and its word's count, in the order asked."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        seldom = pc.is_null(right["flush"])
-        asks = right.filter(pc.invert(seldom)).select(["flush", "bucket", "a", "b", "c", "d"]).to_pylist()
+        told, own = pc.is_valid(right["code"]), pc.and_(pc.is_null(right["flush"]), pc.is_null(right["code"]))
+        asks = right.filter(pc.is_valid(right["flush"])).select(["flush", "bucket", "a", "b", "c", "d"]).to_pylist()
         if not asks:
             return pa.Table.from_batches([_rows(ANSWERS, [])])
         values = [k for k in right.column_names if k == "n_c" or k.startswith("v")]
-        tables = _lookup(path), _by_role(right.filter(seldom).select(["role", "code", *values]))
-        owns = [unpacked(r["a"]) for r in asks]
+        tables = _lookup(path), _unpack_values(right.filter(own).select(["role", "a", "b", "c"]).to_pylist()), _by_role(right.filter(told).select(["role", "code", *values]))
+        frequent = _frequent(frequent_path)
+        owns = [unpacked_codes(r["a"], frequent) for r in asks]
         codes = np.unique(np.concatenate(owns))
         u = len(codes)
         count, total = (_values(codes, role, "n_c", 0, *tables) for role in (WORD, CONTEXT))
@@ -564,7 +645,7 @@ def _answer(path: str, samples: int, floors: list[float]) -> Callable[[pa.Table,
         shares = [_values(codes, CONTEXT, f"v{s}", 1.0, *tables) for s in range(samples)]
         keys, kept = [np.zeros(0, np.int64)], [np.zeros(0)]
         for row in left.to_pylist():
-            own, ctx, word, _, k = _state(samples, row)
+            own, ctx, word, _, k = _state(frequent, samples, row)
             to = np.minimum(np.searchsorted(codes, own), u - 1)
             here = codes[to] == own
             both = here[ctx] & here[word]
@@ -610,31 +691,54 @@ def _total(base_log: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return run
 
 
-def score_texts(docs: DataFrame, model: PitmanYorModel, frequent: int = LARGE, taught: Column | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, model: PitmanYorModel, frequent: int = LARGE, taught: Column | None = None, rounds: int | None = None) -> DataFrame:
     """docs' doc_id with n_tokens, n_known, base_score and score (log10), whole texts.
 
     Some millions of tokens at a time ask the model's buckets for each of their distinct pairs once. The most frequent words and contexts (a fixed number at most,
-    however large the corpus) are looked up there; all others meet the model by a shuffle. Rows where taught holds were among the model's texts (a wrong taught raises). Null and empty texts
+    however large the corpus) are looked up there; all others meet the model by a shuffle. All texts are scored, a share of them in each round (by a hash; ROUNDS shares of larger tables), whose tables
+    are deleted before the next. Rows where taught holds were among the model's texts (a wrong taught raises). Null and empty texts
     are one end token; repeated rows are scored each; null ids are kept; other columns are not looked at; an empty table gives an empty
     result, and a model of no texts is uniform.
     """
     ship(docs.sparkSession)
-    base_log = float(np.log10(model.n + model.v + 1))
     known = model.entities.withColumnRenamed("c", "n_c")
-    buckets, top = model.buckets, known.where("often").drop("often")
+    top, rest = known.where("often").drop("often"), known.where("not often")
     if frequent < LARGE:
-        top = top.where(_bounded(top, "n_c", frequent))
-    path, frequent_path = stage(top, "often")._staged_path, model.frequent._staged_path
+        top, rest = top.where(_bounded(top, "n_c", frequent)), known
+    top = stage(top, "often")
+    delivered = rest.drop("often").withColumn("bucket", own_bucket("code", model.buckets))
+    delivered = stage(delivered.groupBy("bucket").applyInArrow(_pack_values, VALUES), "values")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (F.lit(False) if taught is None else F.coalesce(taught, F.lit(False))).alias("taught"))
+    if rounds is None:
+        rounds = min(ROUNDS, 1 + int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // ROUND_BYTES)
+    scores = None
+    for i in range(rounds):
+        share = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == i) if rounds > 1 else rows
+        done = _round(share, model, delivered, top._staged_path)
+        scores = done if scores is None else scores.unionByName(done)
+        _free(docs)
+    unstage(top, delivered)
+    return scores
+
+
+def _round(rows: DataFrame, model: PitmanYorModel, delivered: DataFrame, path: str) -> DataFrame:
+    """The scores of some texts, as a staged table."""
+    buckets, samples, floors, frequent_path = model.buckets, model.samples, model.floors, model.frequent._staged_path
+    base_log = float(np.log10(model.n + model.v + 1))
     asked = stage(rows.mapInArrow(lean("hpylm", lambda b: _ask(path, frequent_path, buckets, b)), TEXTS), "asked", ["kind"])
-    seldom = stage(asked.where(F.col("kind") == SELDOM).select("bucket", "role", "code").join(known.drop("often"), ["role", "code"]), "seldom-values")
-    _free(docs)
-    delivered = known.where("not often").drop("often").withColumn("bucket", own_bucket("code", buckets))
-    asks = asked.where(F.col("kind") == ASKED).select("flush", "bucket", "a", "b", "c", "d").unionByName(seldom.unionByName(delivered), allowMissingColumns=True)
-    answers = model.states.groupBy("bucket").cogroup(asks.groupBy("bucket")).applyInArrow(_answer(path, model.samples, model.floors), ANSWERS)
-    answers = stage(answers, "answers")
+    seldom = asked.where(F.col("kind") == SELDOM).select("bucket", "role", "code", own_bucket("code", buckets).alias("own"))
+    told = ", ".join(["bucket int", "role int", "code long", "n_c long", *[f"v{i} float" for i in range(samples)]])
+    kinds = {"int": pa.int32(), "long": pa.int64(), "float": pa.float32()}
+    tell = _tell(pa.schema([(k, kinds[t]) for k, t in map(str.split, told.split(", "))]))
+    seldom = stage(seldom.groupBy("own").cogroup(delivered.groupBy("bucket")).applyInArrow(tell, told), "seldom-values")
+    asks = asked.where(F.col("kind") == ASKED).select("flush", "bucket", "a", "b", "c", "d").unionByName(seldom, allowMissingColumns=True).unionByName(delivered, allowMissingColumns=True)
+    answers = stage(model.states.groupBy("bucket").cogroup(asks.groupBy("bucket")).applyInArrow(_answer(path, frequent_path, samples, floors), ANSWERS), "answers")
     unstage_kind(asked, ASKED)
     unstage_kind(asked, SELDOM)
-    _free(docs)
+    unstage(seldom)
+    del asks, seldom
+    _free(rows)
     home = asked.where(F.col("kind") == HOME).select("flush", "a", "b", "c", "d")
-    return home.groupBy("flush").cogroup(answers.groupBy("flush")).applyInArrow(_total(base_log), SCORES)
+    scores = stage(home.groupBy("flush").cogroup(answers.groupBy("flush")).applyInArrow(_total(base_log), SCORES), "scores")
+    unstage(asked, answers)
+    return scores

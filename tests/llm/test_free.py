@@ -7,6 +7,7 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -15,6 +16,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from skerry.llm import hpylm, mpegts, warc
+from skerry.llm.common import shared_dir
 from skerry.llm.components import connected_components
 from skerry.llm.hpylm import PitmanYorModel, score_texts, seat
 from skerry.llm.ngram_join import NgramJoin, keep_first, near_duplicates
@@ -309,6 +311,36 @@ def test_language_model_does_not_depend_on_batches(spark):
         assert all(abs(other[i] - s) < 1e-9 * (1 + abs(s)) for i, s in scores[0].items())
 
 
+def test_language_model_scores_in_rounds_and_keeps_only_scores(spark):
+    rng = random.Random(12)
+    docs = [(i, " ".join(rng.choice(["the", "of", f"w{rng.randrange(60)}"]) for _ in range(rng.randrange(60)))) for i in range(60)]
+    frame = spark.createDataFrame([*docs, docs[7], (None, "the w1 unseen"), (None, None)], "doc_id long, text string")
+    model = PitmanYorModel(frame.where("doc_id % 4 <> 0"))
+    folder = Path(shared_dir(spark).removeprefix("file://")) / spark.sparkContext.applicationId
+    scores = []
+    for rounds in (1, 3):
+        before = set(folder.iterdir())
+        out = score_texts(frame, model, frequent=20, rounds=rounds)
+        scores.append(sorted(out.collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.n_tokens)))
+        assert len(scores[-1]) == 63
+        assert {f.name.split("-")[0] for f in set(folder.iterdir()) - before} == {"scores"}
+    for one, other in zip(*scores):
+        assert one[:3] == other[:3] and all(abs(x - y) < 1e-9 * (1 + abs(x)) for x, y in zip(one[3:], other[3:]))
+
+
+def test_frequent_words_lie_as_places():
+    rng = np.random.default_rng(4)
+    codes = np.unique(rng.integers(0, 1 << 64, 30_000, np.uint64, endpoint=False))
+    frequent = codes[::2]
+    some = codes[rng.random(len(codes)) < 0.3]
+    some = some[hpylm.frequent_first(some, frequent)]
+    hot = some[hpylm.among(some, frequent)]
+    for x in (some, hot, some[len(hot) :], some[:0]):
+        assert (hpylm.unpacked_codes(hpylm.packed_codes(x, frequent), frequent) == x).all()
+    assert (hpylm.unpacked_codes(hpylm.packed_codes(some[len(hot) :], codes[:0]), codes[:0]) == some[len(hot) :]).all()
+    assert len(hpylm.packed_codes(hot, frequent)) < 2 * len(hot) < len(hpylm.packed(hot)) / 3  # a hash took eight bytes
+
+
 def test_language_model_probabilities_sum_to_one(spark):
     texts = [(i, t) for i, t in enumerate(["a b a c", "a b", "b c c a", "a a a"])]
     model = PitmanYorModel(spark.createDataFrame(texts, "doc_id long, text string"))
