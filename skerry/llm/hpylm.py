@@ -46,13 +46,10 @@ HOME, ASKED, SELDOM = 0, 1, 2  # rows of texts
 SINGLES, SEATS, TALLY = 0, 1, 2  # rows of buckets
 
 
-def coded(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token codes (a hash of each word, and then an end), their contexts' codes, and the texts' lengths."""
+def coded(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Token codes (a hash of each word, and then an end), and the texts' lengths."""
     words, counts = word_hashes(part.column(1))
-    tokens = np.insert(words, np.cumsum(counts), np.uint64(END))
-    lengths = counts + 1
-    before = np.concatenate([np.array([END], np.uint64), tokens[:-1]])
-    return tokens, before, lengths
+    return np.insert(words, np.cumsum(counts), np.uint64(END)), counts + 1
 
 
 # fixed values: the multipliers of the public 64-bit xxHash
@@ -103,6 +100,16 @@ def unpacked_codes(b: bytes, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate([frequent[np.cumsum(first, dtype=np.int64)], np.cumsum(rest, dtype=np.uint64)])
 
 
+def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending different codes and each code's place in them; by hashing, as most are repeated."""
+    found = pa.array(codes).dictionary_encode()
+    values = found.dictionary.to_numpy()
+    order = np.argsort(values)
+    rank = np.empty(len(values), np.int64)
+    rank[order] = np.arange(len(values))
+    return values[order], rank[found.indices.to_numpy()]
+
+
 def frequent_first(codes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """The order in which ascending codes are packed."""
     return np.argsort(~among(codes, frequent), kind="stable")
@@ -127,7 +134,7 @@ class Pairs:
     """The distinct pairs of some texts' tokens, in order of their buckets: n and slot (each token's pair), and a slice for each bucket."""
 
     def __init__(self, tokens: np.ndarray, frequent: np.ndarray, buckets: int):
-        codes, places = np.unique(np.append(tokens, np.uint64(END)), return_inverse=True)
+        codes, places = distinct(np.append(tokens, np.uint64(END)))
         order, u = frequent_first(codes, frequent), len(codes)
         rank = np.empty(u, np.int64)
         rank[order] = np.arange(u)
@@ -150,9 +157,12 @@ class Pairs:
         place = np.zeros(len(self.codes), np.int64)
         for b in np.flatnonzero(np.diff(self.ends, prepend=0)).tolist():
             at = slice(int(self.ends[b - 1]) if b else 0, int(self.ends[b]))
-            mark = np.zeros(len(self.codes), bool)
-            mark[self.ctx[at]] = mark[self.word[at]] = True
-            own = np.flatnonzero(mark)
+            if 64 * (at.stop - at.start) < len(self.codes):
+                own = np.unique(np.concatenate([self.ctx[at], self.word[at]]))
+            else:
+                mark = np.zeros(len(self.codes), bool)
+                mark[self.ctx[at]] = mark[self.word[at]] = True
+                own = np.flatnonzero(mark)
             place[own] = np.arange(len(own))
             yield b, at, own, place[self.ctx[at]], place[self.word[at]]
 
@@ -612,7 +622,7 @@ def _ask(path: str, frequent_path: str, buckets: int, batches: Iterable[pa.Recor
     waiting = 0
     for batch in batches:
         for part in parts_of(batch, BATCH_BYTES):
-            tokens, _, lengths = coded(part)
+            tokens, lengths = coded(part)
             ids = part.column(0)
             held.append((tokens, lengths, pc.fill_null(ids, 0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), part.column(2).to_numpy(zero_copy_only=False).astype(bool)))
             waiting += len(tokens)

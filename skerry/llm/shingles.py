@@ -43,8 +43,10 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     begins, ends = edge[::2], edge[1::2]
     # powers repeat after 65,536 bytes: a word is hashed from its own start, so that its place doesn't count
     sums = np.zeros(len(raw) + 1, np.uint64)
-    place = np.arange(len(raw)) % CHUNK
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _POWERS[place], out=sums[1:])
+    values = raw.astype(np.uint64)
+    values += np.uint64(1)
+    values *= np.resize(_POWERS, len(raw))
+    np.cumsum(values, out=sums[1:])
     hashes = (sums[ends] - sums[begins]) * _INVERSES[begins % CHUNK]
     across = np.flatnonzero(begins // CHUNK != (ends - 1) // CHUNK)
     for i in across.tolist():  # the few words over the end of the powers
