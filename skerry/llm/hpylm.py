@@ -26,7 +26,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, process_cache, ship, shuffle_partitions, stage, unstage
+from .common import give_back, lean, process_cache, ship, shuffle_partitions, stage, unstage
 from .packing import parts_of
 from .shingles import mixed, word_hashes
 
@@ -46,6 +46,20 @@ HOME, ASKED, SELDOM = 0, 1, 2  # rows of texts
 SINGLES, SEATS, TALLY = 0, 1, 2  # rows of buckets
 
 
+def sparing(run: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """A group's function that gives its memory back at its end; the next task of the worker may be another step's."""
+    if run.__code__.co_argcount == 1:
+        return lambda group: _spared(run, group)
+    return lambda left, right: _spared(run, left, right)
+
+
+def _spared(run: Callable[..., pa.Table], *tables: pa.Table) -> pa.Table:
+    try:
+        return run(*tables)
+    finally:
+        give_back()
+
+
 def coded(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Token codes (a hash of each word, and then an end), and the texts' lengths."""
     words, counts = word_hashes(part.column(1))
@@ -462,7 +476,7 @@ class PitmanYorModel:
         self.frequent = stage(sampled.where(_bounded(sampled, "n", LARGE)).select("code"), "frequent")
         unstage(sampled)
         path = self.frequent._staged_path
-        gathered = stage(texts.mapInArrow(lean("hpylm", lambda b: _count(path, buckets, b)), COUNTED).groupBy("bucket").applyInArrow(_gather(path), GATHERED), "gathered", ["kind"])
+        gathered = stage(texts.mapInArrow(lean("hpylm", lambda b: _count(path, buckets, b)), COUNTED).groupBy("bucket").applyInArrow(sparing(_gather(path)), GATHERED), "gathered", ["kind"])
         sums = [F.sum(k).alias(k) for k in ("c", "single", "t")]
         tally = gathered.where(F.col("kind") == TALLY).groupBy("role", "code").agg(*sums).withColumn("seated", F.col("t") > 0)
         tally = tally.join(F.broadcast(self.frequent.withColumn("often", F.lit(True))), "code", "left").withColumn("often", F.coalesce("often", F.lit(False)))
@@ -510,7 +524,7 @@ class PitmanYorModel:
                 if seldom is None:
                     seldom = stage(these.select("bucket", "codes", "ctx", "word").mapInArrow(lean("hpylm", lambda b: _seldom(path, buckets, b)), ASKS), "seldom")
                 given = rest.withColumn("bucket", own_bucket("code", buckets)).unionByName(seldom.join(rest, ["role", "code"]))
-                anew = these.groupBy("bucket").cogroup(given.groupBy("bucket")).applyInArrow(_sweep(top._staged_path, path, sweep, sweep >= burn), GATHERED)
+                anew = these.groupBy("bucket").cogroup(given.groupBy("bucket")).applyInArrow(sparing(_sweep(top._staged_path, path, sweep, sweep >= burn)), GATHERED)
                 after = stage(anew, "seats", ["kind"])
                 unstage(top)
                 if seats is gathered:
@@ -742,13 +756,13 @@ def _round(rows: DataFrame, model: PitmanYorModel, delivered: DataFrame, path: s
     tell = _tell(pa.schema([(k, kinds[t]) for k, t in map(str.split, told.split(", "))]))
     seldom = stage(seldom.groupBy("own").cogroup(delivered.groupBy("bucket")).applyInArrow(tell, told), "seldom-values")
     asks = asked.where(F.col("kind") == ASKED).select("flush", "bucket", "a", "b", "c", "d").unionByName(seldom, allowMissingColumns=True).unionByName(delivered, allowMissingColumns=True)
-    answers = stage(model.states.groupBy("bucket").cogroup(asks.groupBy("bucket")).applyInArrow(_answer(path, frequent_path, samples, floors), ANSWERS), "answers")
+    answers = stage(model.states.groupBy("bucket").cogroup(asks.groupBy("bucket")).applyInArrow(sparing(_answer(path, frequent_path, samples, floors)), ANSWERS), "answers")
     unstage_kind(asked, ASKED)
     unstage_kind(asked, SELDOM)
     unstage(seldom)
     del asks, seldom
     _free(rows)
     home = asked.where(F.col("kind") == HOME).select("flush", "a", "b", "c", "d")
-    scores = stage(home.groupBy("flush").cogroup(answers.groupBy("flush")).applyInArrow(_total(base_log), SCORES), "scores")
+    scores = stage(home.groupBy("flush").cogroup(answers.groupBy("flush")).applyInArrow(sparing(_total(base_log)), SCORES), "scores")
     unstage(asked, answers)
     return scores
